@@ -1,10 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, secret_scan
 
 QUERIES = {
+    "op6_chat_format": chat_format.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_secret_scan": secret_scan.query,
 }
 ORACLES = {
+    "op6_chat_format": chat_format.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
 }
