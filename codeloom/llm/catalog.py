@@ -1,17 +1,22 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, exact_dedup, secret_scan, simhash, warc
+from . import chat_format, exact_dedup, knn, mixing, packing, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op3_packing": packing.query,
+    "op4_mixing": mixing.query,
     "op6_chat_format": chat_format.query,
     "op7_simhash": simhash.query,
+    "op8_knn": knn.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_secret_scan": secret_scan.query,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op4_mixing": mixing.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op8_knn": knn.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }

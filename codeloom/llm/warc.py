@@ -25,6 +25,8 @@ from ._shared import new_folder, settle
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Archived bytes that a reading task fetches, about.
+TASK_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -152,7 +154,10 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
                 k = last
 
     wanted = index.select("file", "offset", "length")
-    dealt = wanted.repartitionByRange(tasks, "file", "offset") if tasks else wanted.repartitionByRange("file", "offset")
+    if tasks is None:  # index rows are small, what they name is not: deal by the bytes to be fetched
+        fetched = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-fetched // TASK_BYTES))
+    dealt = wanted.repartitionByRange(tasks, "file", "offset")
     return dealt.sortWithinPartitions("file", "offset").mapInArrow(fetch, schema)
 
 
