@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, exact_dedup, knn, mixing, packing, secret_scan, simhash, warc
+from . import chat_format, exact_dedup, knn, language_id, line_dedup, mixing, packing, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_language_id": language_id.query,
     "op3_packing": packing.query,
     "op4_mixing": mixing.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_chat_format": chat_format.query,
     "op7_simhash": simhash.query,
     "op8_knn": knn.query,
