@@ -106,7 +106,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = settle(lines.select(*key, "pos", F.unhex(F.md5("line")).alias("line"), words.alias("words")), "lines")
     me = F.struct("_id", "_h")
     holders = lines.groupBy("line").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count("*").alias("held")).filter("first._id < last._id")
-    shared = settle(lines.join(holders.select("line", "first", "held"), "line"), "shared")
+    holders = settle(holders.select("line", "first", "held"), "holders")  # so that the join's sides are exchanges, which Spark can split
+    shared = settle(lines.join(holders, "line"), "shared")
 
     sequence = F.array_sort(F.collect_list(F.struct("pos", "line", "words"))).alias("seq")
     sequences = settle(shared.dropDuplicates([*key, "pos"]).groupBy(*key).agg(sequence), "sequences")
