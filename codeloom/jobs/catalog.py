@@ -1,4 +1,558 @@
-"""Queries over the driver's tables, each with its SQL oracle."""
+"""Queries over the driver's tables, each with its SQL oracle where SQL can express it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import features as P
+from ..functions import sequences as Q
+from ..functions import vectors as V
+from ..operators import decode, kmeans, metrics, residual
+from ..operators import sids as I
+from ..sources import tables as S
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ---- the driver's tables as items, histories, code tables
+
+E_SQL = "e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+SEQ_SQL = "s AS (SELECT user_id, list(CAST(json_extract_string(props, '$.k') AS BIGINT) ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id)"
+SID_SQL = "i AS (SELECT vec_id AS item_id, [label::INT, (vec_id % 4)::INT] AS sid FROM embeddings)"
+TOK_SQL = f"{SEQ_SQL}, {SID_SQL}, x AS (SELECT user_id, unnest(seq) AS item_id, unnest(range(len(seq))) AS pos FROM s), t AS (SELECT user_id, flatten(list([sid[1]::BIGINT, sid[2]::BIGINT] ORDER BY pos)) AS tok FROM x JOIN i USING (item_id) GROUP BY user_id)"
+JOIN = "array_to_string({}, '-')"
+
+
+def items(spark, d):
+    return S.load_embeddings(S.read_table(spark, f"{d}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding")
+
+
+def sequences(spark, d):
+    rows = S.read_table(spark, f"{d}/events.parquet", ["user_id", "ts", "event_id", "props"])
+    event = F.struct("ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("item"))
+    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(event)).alias("e")).select("user_id", F.col("e.item").alias("seq"))
+
+
+def plain_sids(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), F.array(F.col("label").cast("int"), (F.col("vec_id") % 4).cast("int")).alias("sid"))
+
+
+def tokens(spark, d):
+    return Q.to_sid_tokens(sequences(spark, d), plain_sids(spark, d), "user_id", "seq").withColumn("tokens", F.col("tokens").cast("array<long>"))
+
+
+def fixed_codebooks(spark, d, layers=2, k=16):
+    """A codebook is a fixed range of vectors, scaled by half for each layer: no training."""
+    rows = items(spark, d).filter(F.col("item_id") < layers * k).orderBy("item_id").collect()  # layers * k rows
+    m = np.array([r["embedding"] for r in rows], np.float64)
+    return [m[h * k : (h + 1) * k] * 0.5**h for h in range(layers)]
+
+
+def joined(col):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), "-")
+
+
+UNIT = "list_transform({x}, lambda a: a / greatest(sqrt(list_inner_product({x}, {x})), 1e-12))"
+
+
+def _codes_sql(residual_: bool) -> str:
+    r2 = "list_transform(list_zip(v, q1), lambda z: z[1] - z[2])" if residual_ else "v"
+    minus = "list_transform(list_zip(r1, q2), lambda z: z[1] - z[2])" if residual_ else "v"
+    return f"""{E_SQL},
+c AS (SELECT item_id // 16 AS layer, item_id % 16 AS code, list_transform(v, lambda a: a * power(0.5, item_id // 16)) AS c FROM e WHERE item_id < 32),
+u1 AS (SELECT item_id, v, {UNIT.format(x="v")} AS u FROM e),
+a1 AS (SELECT item_id, any_value(v) AS v, arg_min(code, row(list_distance(u, c), code)) AS c1 FROM u1, c WHERE layer = 0 GROUP BY item_id),
+b1 AS (SELECT item_id, v, c1, c AS q1 FROM a1 JOIN c ON layer = 0 AND code = c1),
+r1 AS (SELECT item_id, v, c1, {r2} AS r1 FROM b1),
+u2 AS (SELECT *, {UNIT.format(x="r1")} AS u FROM r1),
+a2 AS (SELECT item_id, any_value(v) AS v, any_value(r1) AS r1, any_value(c1) AS c1, arg_min(code, row(list_distance(u, c), code)) AS c2 FROM u2, c WHERE layer = 1 GROUP BY item_id),
+q AS (SELECT item_id, v, r1, c1, c2, r2 FROM (SELECT item_id, v, r1, c1, c2, c AS q2, {minus} AS r2 FROM a2 JOIN c ON layer = 1 AND code = c2))"""
+
+
+@query(f"WITH {_codes_sql(True)} SELECT item_id, c1 || '-' || c2 AS sid, CASE WHEN count(*) OVER (PARTITION BY c1, c2) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY c1, c2 ORDER BY item_id) END AS digit FROM q")
+def w1_sid_table(spark, d):
+    sids = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d)).select("item_id", "sid")
+    return I.dedup_sids(sids).select("item_id", joined("sid").alias("sid"), F.col("digit").cast("long").alias("digit"))
+
+
+@query(f"WITH {_codes_sql(True)} SELECT item_id, c1 || '-' || c2 AS sid, round(sqrt(list_inner_product(r2, r2)), 6) AS left_over FROM q")
+def assign_rq(spark, d):
+    out = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d))
+    return out.select("item_id", joined("sid").alias("sid"), F.round(F.sqrt(V.dot("last_residual", "last_residual")), 6).alias("left_over"))
+
+
+@query(f"WITH {_codes_sql(False)} SELECT item_id, c1 || '-' || c2 AS sid FROM q")
+def assign_mlq(spark, d):
+    return residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d), residual=False).select("item_id", joined("sid").alias("sid"))
+
+
+_STATS = "sqrt(sum(list_inner_product({a}, {a})) / sum(list_inner_product(v, v)))"
+
+
+@query(f"""WITH {_codes_sql(True)}, l AS (SELECT 0 AS layer, c1 AS code, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 1, c2, count(*) FROM q GROUP BY 2)
+SELECT 'usage' AS metric, layer, round(count(*) / 16.0, 6) AS value FROM l GROUP BY layer
+UNION ALL SELECT 'entropy', layer, round(-sum(p * ln(p)), 6) FROM (SELECT layer, n / sum(n) OVER (PARTITION BY layer) AS p FROM l) GROUP BY layer
+UNION ALL SELECT 'distinct', -1, round(count(DISTINCT c1 * 100 + c2) / count(*), 6) FROM q
+UNION ALL SELECT 'mse', -1, round(sum(list_inner_product(r2, r2)) / sum(len(v)), 6) FROM q
+UNION ALL SELECT 'first_share', -1, round({_STATS.format(a="r1")}, 6) FROM q
+UNION ALL SELECT 'last_share', -1, round({_STATS.format(a="r2")}, 6) FROM q""")
+def sid_stats(spark, d):
+    assigned = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d))
+    return residual.sid_stats(assigned, items(spark, d), "item_id", "embedding", 16).withColumn("value", F.round("value", 6))
+
+
+# ---- sources and sinks
+
+
+@query("SELECT doc_id, lang FROM documents")
+def read_table(spark, d):
+    return S.read_table(spark, f"{d}/documents.parquet", ["doc_id", "lang"])
+
+
+@query(f"WITH {E_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT r.range AS position, round(coalesce(list_sum(e.v), 0), 6) AS total FROM n, range(n.n) r LEFT JOIN e ON e.item_id = r.range AND e.item_id % 3 != 0")
+def merge_keyed(spark, d):
+    rows = items(spark, d).withColumn("key", F.when(F.col("item_id") % 3 == 0, F.greatest(F.col("item_id") - 2, F.lit(1)) ).otherwise(F.col("item_id")))
+    # keys divisible by 3 are missing; their rows come before the last row of another key and lose
+    merged = S.merge_keyed(rows.withColumn("o", (F.col("key") == F.col("item_id")).cast("int")), "key", "embedding", "o")
+    return merged.select("position", F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '-3'), doc_id) AS place FROM documents")
+def shuffle_rows(spark, d):
+    shuffled = S.shuffle_rows(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", 3)
+    from pyspark.sql import Window
+
+    # the window is over ids alone, and only to show the order
+    return shuffled.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit("3"))), "doc_id")).cast("long"))
+
+
+# ---- features
+
+
+@query("SELECT doc_id AS id, lang AS language FROM documents")
+def map_features(spark, d):
+    return P.map_features(spark.read.parquet(f"{d}/documents.parquet"), {"doc_id": "id", "lang": "language", "absent": "x"})
+
+
+@query("SELECT doc_id, lang FROM documents")
+def select_features(spark, d):
+    return P.select_features(spark.read.parquet(f"{d}/documents.parquet"), ["lang"], keep=["doc_id"])
+
+
+@query("SELECT event_id, trunc(value)::BIGINT AS value FROM events")
+def cast_features(spark, d):
+    out = P.cast_features(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), {}, only=["value"])
+    return out.select("event_id", F.col("value")[0].alias("value"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def decode_features(spark, d):
+    return P.decode_features(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode("lang", "UTF-8").alias("lang")), ["lang"])
+
+
+@query(f"WITH {SEQ_SQL} SELECT user_id, len(seq)::BIGINT AS n FROM s WHERE len(seq) >= 66")
+def filter_min_length(spark, d):
+    return P.filter_min_length(sequences(spark, d), 66, ["seq"]).select("user_id", F.size("seq").cast("long").alias("n"))
+
+
+@query(f"WITH {SEQ_SQL} SELECT user_id, len(list_filter(seq, lambda x: x < 1))::BIGINT AS n FROM s WHERE len(list_filter(seq, lambda x: x < 1)) > 0")
+def filter_non_empty(spark, d):
+    few = sequences(spark, d).withColumn("seq", F.filter("seq", lambda x: x < 1))
+    return P.filter_non_empty(few, ["seq"]).select("user_id", F.size("seq").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 0 END AS lang FROM documents")
+def encode_category(spark, d):
+    mapping = spark.createDataFrame([("en", 1), ("fr", 2)], "category string, index int")
+    return P.encode_category(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "lang", mapping)
+
+
+@query(f"WITH {SEQ_SQL} SELECT user_id, len(seq)::BIGINT AS n FROM s WHERE len(seq) >= 60 AND user_id % 2 = 0")
+def pipeline_of_rows(spark, d):
+    steps = [lambda x: P.filter_min_length(x, 60, ["seq"]), lambda x: x.filter("user_id % 2 = 0")]
+    return P.pipeline(sequences(spark, d), steps).select("user_id", F.size("seq").cast("long").alias("n"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:32] AS w FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, 33), lambda i: CASE WHEN i > len(w) THEN 0 ELSE CASE w[i] WHEN 'the' THEN 2 WHEN 'and' THEN 3 WHEN 'de' THEN 4 WHEN 'der' THEN 5 ELSE 1 END END), '-') AS ids, least(len(w), 32)::BIGINT AS n FROM t""")
+def tokenize_text(spark, d):
+    vocab = spark.createDataFrame([("the", 2), ("and", 3), ("de", 4), ("der", 5)], "token string, id int")
+    out = P.tokenize_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", vocab, 32)
+    return out.select("doc_id", joined("ids").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
+
+
+# ---- sequences
+
+
+def seq_query(sql_expr: str, col, source=sequences, base=SEQ_SQL, table="s"):
+    return (f"WITH {base} SELECT user_id, array_to_string({sql_expr}, '-') AS out FROM {table}", lambda spark, d: source(spark, d).select("user_id", joined(col()).alias("out")))
+
+
+_PAD = "list_concat({0}, list_transform(range(greatest(0, {n} - len({0}))), lambda x: -1))"
+_SEQ = {
+    "to_sid_tokens": seq_query("tok", lambda: F.col("tokens"), tokens, TOK_SQL, "t"),
+    "trim": seq_query("seq[-40:]", lambda: Q.trim("seq", 40)),
+    "trim_right": seq_query("seq[1:40]", lambda: Q.trim("seq", 40, left=False)),
+    "drop_token": seq_query("list_filter(seq, lambda x: x != 7)", lambda: Q.drop_token("seq", 7)),
+    "pad_or_trim": seq_query(_PAD.format("seq[-70:]", n=70), lambda: Q.pad_or_trim("seq", 70, -1)),
+    "attention_mask": seq_query("list_transform(seq, lambda x: (x != 7)::INT)", lambda: Q.attention_mask("seq", 7)),
+    "last_k_mask": seq_query("list_transform(range(100), lambda i: CASE WHEN i BETWEEN greatest(len(seq) - 5, 0) AND len(seq) - 1 THEN 'true' ELSE 'false' END)", lambda: Q.last_k_mask(100, F.size("seq") - 1, 5)),
+    "offset_tokens": seq_query("list_transform(range(len(tok)), lambda k: tok[k + 1] + (k % 2) * 10)", lambda: Q.offset_tokens("tokens", 10, 2, F.transform("tokens", lambda x: F.lit(1))), tokens, TOK_SQL, "t"),
+    "insert_separator": seq_query("flatten(list_transform(range(len(tok) // 2), lambda k: [tok[2 * k + 1], tok[2 * k + 2], 99]))", lambda: Q.insert_separator("tokens", 2, 99), tokens, TOK_SQL, "t"),
+    "inference_rows": (
+        f"WITH {SEQ_SQL}, f AS (SELECT user_id, list_filter(seq, lambda x: x != 7) AS q FROM s) SELECT user_id, array_to_string({_PAD.format('q[-70:]', n=70)}, '-') AS out, least(len(q), 70)::BIGINT AS n FROM f",
+        lambda spark, d: Q.inference_rows(sequences(spark, d), "user_id", "seq", 70, -1, 7).select("user_id", joined("seq").alias("out"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n")),
+    ),
+}
+for _name, (_sql, _fn) in _SEQ.items():
+    QUERIES[_name], ORACLES[_name] = _fn, _sql
+
+
+@query(f"WITH {E_SQL}, {SEQ_SQL}, x AS (SELECT user_id, seq[-1] AS item_id FROM s) SELECT user_id, item_id, round(list_sum(v), 6) AS total FROM x JOIN e USING (item_id)")
+def attach_embedding(spark, d):
+    last = sequences(spark, d).select("user_id", F.element_at("seq", -1).alias("item_id"))
+    return Q.attach_embedding(last, items(spark, d), "item_id", "v").select("user_id", "item_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
+_WIN = f"{SEQ_SQL}, k AS (SELECT user_id, seq[-12:] AS seq FROM s), w AS (SELECT user_id, seq, unnest(range(2, len(seq) + 1)) AS hi FROM k), v AS (SELECT user_id, seq, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
+
+
+@query(f"WITH {_WIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
+def contiguous_subsequences(spark, d):
+    short = sequences(spark, d).withColumn("seq", Q.trim("seq", 12))
+    return Q.contiguous_subsequences(short, "seq").select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
+
+
+@query(f"WITH {_WIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\" FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-5'), user_id, lo, hi) <= 20")
+def sample_augmented(spark, d):
+    short = sequences(spark, d).withColumn("seq", Q.trim("seq", 12))
+    spans = Q.sample_augmented(Q.contiguous_subsequences(short, "seq"), ["user_id"], 20, 5, ["user_id", "start", "end"])
+    return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"WITH {SEQ_SQL}, p AS (SELECT user_id, {_PAD.format('seq[-60:]', n=60)} AS q, least(len(seq), 60) AS n FROM s) SELECT user_id, array_to_string(list_concat(q[1:n - 2], [-2], list_transform(range(60 - n + 1), lambda x: -1)), '-') AS seq, array_to_string(q[n - 1:n], '-') AS label, (n - 2)::BIGINT AS label_pos FROM p")
+def next_k_split(spark, d):
+    rows = sequences(spark, d).withColumn("seq", Q.pad_or_trim("seq", 60, -1))
+    return Q.next_k_split(rows, "seq", 2, -1, -2).select("user_id", joined("seq").alias("seq"), joined("label").alias("label"), F.col("label_pos").cast("long").alias("label_pos"))
+
+
+@query(f"WITH {SEQ_SQL}, x AS (SELECT user_id, unnest(seq) AS token, unnest(range(len(seq))) AS pos FROM s) SELECT user_id, pos, token FROM x WHERE token != 7")
+def token_labels(spark, d):
+    return Q.token_labels(sequences(spark, d), "user_id", "seq", 7).select("user_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@query(f"WITH {SEQ_SQL} SELECT user_id, (user_id % 5)::INT AS pos, seq[user_id % 5 + 1] AS value FROM s")
+def gather_locations(spark, d):
+    seqs = sequences(spark, d)
+    locs = seqs.select("user_id", (F.col("user_id") % 5).cast("int").alias("pos"))
+    return Q.gather_locations(seqs, locs, "user_id", "seq").select("user_id", "pos", "value")
+
+
+@query("SELECT DISTINCT user_id, (user_id % 8)::BIGINT AS bin FROM events")
+def user_bin(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("user_id", Q.user_bin("user_id", 8).cast("long").alias("bin")).distinct()
+
+
+_TRAIN = f"""{TOK_SQL}, w AS (SELECT user_id, tok, unnest(range(2, len(tok) // 2 + 1)) AS hi FROM t), v AS (SELECT user_id, tok, hi, unnest(range(0, hi - 1)) AS lo FROM w),
+c AS (SELECT user_id, lo, hi, tok[2 * lo + 1:2 * hi][-16:] AS q FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-9'), user_id, lo, hi) <= 64)"""
+
+
+@query(f"WITH {_TRAIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(list_concat(q[1:len(q) - 2], list_transform(range(16 - len(q) + 2), lambda x: -1)), '-') AS seq, array_to_string(q[-2:], '-') AS label, (len(q) - 2)::BIGINT AS n FROM c")
+def training_rows(spark, d):
+    out = Q.training_rows(tokens(spark, d), "user_id", "tokens", 2, 16, 2, -1, -1, 64, 9)
+    return out.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined("tokens").alias("seq"), joined("label").alias("label"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
+
+
+# ---- vectors
+
+
+def rounded(col):
+    return F.array_join(F.transform(F.slice(col, 1, 4), lambda x: F.round(x * 1000).cast("long").cast("string")), "/")
+
+
+def rounded_sql(expr):
+    return f"array_to_string(list_transform(({expr})[1:4], lambda x: round(x * 1000)::BIGINT), '/')"
+
+
+@query(f"WITH {E_SQL} SELECT item_id, {rounded_sql(UNIT.format(x='v'))} AS out FROM e")
+def l2_normalize(spark, d):
+    return items(spark, d).select("item_id", rounded(V.l2_normalize("embedding")).alias("out"))
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT item_id, unnest(range(1, 5)) AS k, v FROM e), y AS (SELECT item_id, k, v[k] AS a FROM x), z AS (SELECT item_id, k, (a - avg(a) OVER w) / sqrt(var_pop(a) OVER w + 1e-5) AS s FROM y WINDOW w AS (PARTITION BY k)) SELECT item_id, string_agg(round(s * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z GROUP BY item_id")
+def standardize(spark, d):
+    return V.standardize(items(spark, d), "item_id", "embedding").select("item_id", rounded(F.col("z")).alias("out"))
+
+
+_NEAR = f"{E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16), a AS (SELECT item_id, any_value(v) AS v, arg_min(code, row(list_distance(v, c), code)) AS code FROM e, c GROUP BY item_id)"
+
+
+@query(f"WITH {_NEAR} SELECT item_id, code FROM a")
+def assign(spark, d):
+    return V.assign(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0]).select("item_id", F.col("code").cast("long").alias("code"))
+
+
+@query(f"WITH {_NEAR} SELECT item_id, {rounded_sql('list_transform(list_zip(a.v, c.c), lambda z: z[1] - z[2])')} AS out FROM a JOIN c USING (code)")
+def residuals(spark, d):
+    return V.assign(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0]).select("item_id", rounded(F.col("residual")).alias("out"))
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16) SELECT item_id, code, round(list_distance(v, c) ** 2, 6) AS distance FROM e, c")
+def sq_distances(spark, d):
+    e = items(spark, d)
+    few = e.filter("item_id < 16").select(F.col("item_id").alias("code"), F.col("embedding").alias("c"))  # 16 rows
+    return e.join(F.broadcast(few)).select("item_id", "code", F.round(V.squared_distance("embedding", "c"), 6).alias("distance"))
+
+
+def _pairs(spark, d):
+    return V.assign(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0]).join(items(spark, d), "item_id").withColumn("w", (F.col("item_id") % 3).cast("double"))
+
+
+_SE = f"WITH {_NEAR}, p AS (SELECT item_id, len(v) AS n, list_distance(a.v, c.c) ** 2 AS se FROM a JOIN c USING (code)) "
+
+
+@query(_SE + "SELECT round(sum((item_id % 3) * se), 6) AS sse FROM p")
+def weighted_sse(spark, d):
+    return V.weighted_sse(_pairs(spark, d), "embedding", "centroid", "w").select(F.round("sse", 6).alias("sse"))
+
+
+@query(_SE + "SELECT round(1.25 * sum(se) / sum(n), 6) AS loss FROM p")
+def beta_loss(spark, d):
+    return V.beta_loss(_pairs(spark, d), "embedding", "centroid", 0.25, "mean").select(F.round("loss", 6).alias("loss"))
+
+
+@query(_SE + "SELECT round(sum(se) / sum(n), 6) AS mse FROM p")
+def mse(spark, d):
+    return V.mse(_pairs(spark, d), "embedding", "centroid").select(F.round("mse", 6).alias("mse"))
+
+
+@query(f"WITH {E_SQL}, p AS (SELECT item_id, unnest(range(1 + item_id % 8)) AS pos, v FROM e), q AS (SELECT item_id, pos, v[8 * pos + 1:8 * pos + 8] AS x, max(pos) OVER (PARTITION BY item_id) AS hi FROM p), r AS (SELECT item_id, unnest(range(1, 5)) AS k, x FROM q WHERE pos > hi - 3), m AS (SELECT item_id, k, avg(x[k]) AS a FROM r GROUP BY 1, 2) SELECT item_id, string_agg(round(a * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM m GROUP BY item_id")
+def pool(spark, d):
+    pieces = items(spark, d).select("item_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos"), "embedding")
+    rows = pieces.select("item_id", "pos", F.slice("embedding", F.col("pos") * 8 + 1, 8).cast("array<double>").alias("vec"), (F.col("pos") <= F.col("item_id") % 8).cast("int").alias("mask"))
+    return V.pool(rows, "item_id", "mean", 3).select("item_id", rounded(F.col("vec")).alias("out"))
+
+
+@query(f"WITH {E_SQL} SELECT item_id, {rounded_sql('list_reverse(v)')} AS out FROM e")
+def rotate(spark, d):
+    width = items(spark, d).agg(F.max(F.size("embedding"))).first()[0]
+    return V.rotate(items(spark, d), "item_id", "embedding", 2.0 * np.eye(width)[::-1]).select("item_id", rounded(F.col("rotated")).alias("out"))
+
+
+@query(f"WITH {E_SQL}, k AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16), l AS (SELECT item_id, code, list_cosine_similarity(v, c) AS logit FROM e, k) SELECT round(avg(ce), 6) AS ce FROM (SELECT item_id, ln(sum(exp(logit))) - max(logit) FILTER (code = item_id % 16) AS ce FROM l GROUP BY item_id)")
+def full_softmax_ce(spark, d):
+    rows = items(spark, d).withColumn("label", F.col("item_id") % 16)
+    return V.full_softmax_ce(rows, "item_id", "embedding", "label", fixed_codebooks(spark, d, 1)[0]).select(F.round("ce", 6).alias("ce"))
+
+
+# ---- fits
+
+
+@query(f"WITH {_NEAR}, b AS (SELECT code, count(*) AS n FROM a GROUP BY code), y AS (SELECT a.code, unnest(range(1, 5)) AS k, v FROM a), m AS (SELECT code, k, avg(v[k]) AS m FROM y GROUP BY 1, 2), z AS (SELECT code, k, m + (c.c[k] - m) * 10.0 / (10 + n) AS x FROM m JOIN b USING (code) JOIN c USING (code)) SELECT code, any_value(n)::BIGINT AS n, string_agg(round(x * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z JOIN b USING (code) GROUP BY code")
+def minibatch_step(spark, d):
+    start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0], np.full(16, 10.0))
+    n, s = kmeans.code_sums(items(spark, d), "embedding", start.centroids)
+    new = kmeans.minibatch_update(start, n, s)
+    rows = [(k, int(n[k]), new.centroids[k].tolist()) for k in np.flatnonzero(n).tolist()]
+    return spark.createDataFrame(rows, "code long, n long, c array<double>").select("code", "n", rounded(F.col("c")).alias("out"))
+
+
+@query(f"WITH {E_SQL} SELECT {rounded_sql('v')} AS out FROM e ORDER BY md5(item_id || '-4'), item_id LIMIT 48")
+def init_buffer(spark, d):
+    found = kmeans.init_buffer(items(spark, d), "item_id", "embedding", 48, 8, 4)
+    return spark.createDataFrame([(v.tolist(),) for v in found], "v array<double>").select(rounded(F.col("v")).alias("out"))
+
+
+def _books(spark, books):
+    rows = [(h, c, v.tolist()) for h, m in enumerate(books) for c, v in enumerate(m)]
+    return spark.createDataFrame(rows, "layer int, code int, centroid array<double>")
+
+
+@query()
+def fit_kmeans(spark, d):
+    return _books(spark, [kmeans.fit_kmeans(items(spark, d), "item_id", "embedding", 8, 10)[0].centroids])
+
+
+@query()
+def fit_rq(spark, d):
+    return _books(spark, residual.fit_rq(items(spark, d), "item_id", "embedding", 3, 16, 9)[0])
+
+
+@query()
+def fit_mlq(spark, d):
+    return _books(spark, residual.fit_rq(items(spark, d), "item_id", "embedding", 2, 16, 6, residual=False)[0])
+
+
+@query()
+def fit_rvq(spark, d):
+    return _books(spark, residual.fit_rvq(items(spark, d), "item_id", "embedding", 2, 16, 6)[0])
+
+
+@query()
+def fit_opq(spark, d):
+    return _books(spark, residual.fit_opq(items(spark, d), "item_id", "embedding", 2, 8, 2, 4)[1])
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16) SELECT item_id, arg_min(code, row(list_distance(v, c), code)) AS code FROM e, c GROUP BY item_id")
+def assign_soft(spark, d):
+    return residual.assign_soft(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0], noise=False).select("item_id", F.col("code").cast("long").alias("code"))
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id")
+def mean_metric(spark, d):
+    return residual.mean_metric(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "value").withColumn("mean_value", F.round("mean_value", 6))
+
+
+# ---- code tables
+
+
+@query(f"WITH {SID_SQL} SELECT item_id, array_to_string(sid, '-') AS sid, CASE WHEN count(*) OVER (PARTITION BY sid) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY sid ORDER BY item_id) END AS digit FROM i")
+def dedup_sids(spark, d):
+    return I.dedup_sids(plain_sids(spark, d)).select("item_id", joined("sid").alias("sid"), F.col("digit").cast("long").alias("digit"))
+
+
+@query(f"WITH {SID_SQL} SELECT unnest([0, 1]) AS hierarchy, item_id, unnest(sid) AS code FROM i")
+def transpose_sids(spark, d):
+    return I.transpose_sids(plain_sids(spark, d))
+
+
+@query(f"WITH {SID_SQL} SELECT max(len(sid))::BIGINT AS hierarchies, (max(list_max(sid)) + 1)::BIGINT AS codebook_size FROM i")
+def sid_shape(spark, d):
+    return I.sid_shape(plain_sids(spark, d)).select(F.col("hierarchies").cast("long").alias("hierarchies"), F.col("codebook_size").cast("long").alias("codebook_size"))
+
+
+_PRE = "p AS (SELECT doc_id, [(doc_id % 13)::INT, (doc_id % 5)::INT][1:1 + doc_id % 2] AS prefix FROM documents)"
+
+
+def _prefixes(spark, d):
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    return ids.withColumn("prefix", F.slice(F.array((F.col("doc_id") % 13).cast("int"), (F.col("doc_id") % 5).cast("int")), F.lit(1), (1 + F.col("doc_id") % 2).cast("int")))
+
+
+@query(f"WITH {SID_SQL}, {_PRE}, k AS (SELECT DISTINCT sid AS x FROM i UNION SELECT DISTINCT sid[1:1] FROM i) SELECT doc_id, x IS NOT NULL AS valid FROM p LEFT JOIN k ON prefix = x")
+def valid_prefix(spark, d):
+    return I.valid_prefix(_prefixes(spark, d), plain_sids(spark, d)).select("doc_id", "valid")
+
+
+@query(f"WITH {SID_SQL}, {_PRE} SELECT doc_id, item_id FROM p JOIN i ON prefix = sid")
+def resolve(spark, d):
+    return I.resolve(_prefixes(spark, d).withColumnRenamed("prefix", "sid"), plain_sids(spark, d)).select("doc_id", "item_id")
+
+
+# ---- candidates and evaluation
+
+_LOGIT = f"{SEQ_SQL}, {SID_SQL}, x AS (SELECT user_id, unnest(seq) AS item_id FROM s), y AS (SELECT user_id, sid FROM x JOIN i USING (item_id)), l1 AS (SELECT user_id, sid[1] AS c1, count(*) AS n FROM y GROUP BY 1, 2), l2 AS (SELECT user_id, sid[1] AS c1, sid[2] AS c2, count(*) AS n FROM y GROUP BY 1, 2, 3)"
+_BEAM = f"""{_LOGIT}, p1 AS (SELECT user_id, c1, n / sum(n) OVER (PARTITION BY user_id) AS p FROM l1), t1 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(p, 12) DESC, c1) <= 6),
+p2 AS (SELECT l2.user_id, l2.c1, l2.c2, t1.p * n / sum(n) OVER (PARTITION BY l2.user_id, l2.c1) AS p FROM l2 JOIN t1 ON l2.user_id = t1.user_id AND l2.c1 = t1.c1),
+t2 AS (SELECT user_id, c1, c2, p, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 12) DESC, c1, c2) AS rank FROM p2 QUALIFY rank <= 6)"""
+
+
+def logits(spark, d):
+    rows = sequences(spark, d).select("user_id", F.explode("seq").alias("item_id")).join(plain_sids(spark, d), "item_id")
+    grown = rows.select("user_id", F.explode(F.array(*[F.struct(F.slice("sid", 1, h).alias("prefix"), F.col("sid")[h].alias("code")) for h in (0, 1)])).alias("x"))
+    return grown.groupBy("user_id", "x.prefix", "x.code").agg(F.log(F.count("*")).alias("logit"))
+
+
+@query(f"WITH {_BEAM} SELECT user_id, c1::VARCHAR AS prefix, round(p, 6) AS probability FROM t1")
+def beam_step(spark, d):
+    table = logits(spark, d)
+    start = table.select("user_id").distinct().select("user_id", F.array().cast("array<int>").alias("prefix"), F.lit(1.0).alias("probability"))
+    return decode.beam_step(start, table, 6, plain_sids(spark, d)).select("user_id", joined("prefix").alias("prefix"), F.round("probability", 6).alias("probability"))
+
+
+@query(f"WITH {_BEAM} SELECT user_id, rank, c1 || '-' || c2 AS sid, round(p, 6) AS probability FROM t2")
+def beam_decode(spark, d):
+    out = decode.beam_decode(logits(spark, d), 2, 6, plain_sids(spark, d))
+    return out.select("user_id", F.col("rank").cast("long").alias("rank"), joined("sid").alias("sid"), F.round("probability", 6).alias("probability"))
+
+
+def candidates(spark, d):
+    preds = decode.beam_decode(logits(spark, d), 2, 6, plain_sids(spark, d)).withColumn("pos", F.col("rank") - 1).withColumnRenamed("probability", "score")
+    last = sequences(spark, d).select("user_id", F.element_at("seq", -1).alias("item_id")).join(plain_sids(spark, d), "item_id").select("user_id", "sid")
+    return metrics.match_labels(preds.withColumn("score", F.round("score", 9)), last)
+
+
+_CAND = f"{_BEAM}, lab AS (SELECT user_id, sid FROM (SELECT user_id, seq[-1] AS item_id FROM s) JOIN i USING (item_id)), cand AS (SELECT t2.user_id, rank, (c1 = sid[1] AND c2 = sid[2]) AS target FROM t2 JOIN lab USING (user_id)), m AS (SELECT user_id, max(CASE WHEN target AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS ndcg_5, max(CASE WHEN target AND rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5, max(CASE WHEN target AND rank <= 3 THEN 1 / log2(rank + 1) ELSE 0 END) AS ndcg_3, max(CASE WHEN target AND rank <= 3 THEN 1.0 ELSE 0 END) AS recall_3 FROM cand GROUP BY user_id)"
+
+
+@query(f"WITH {_CAND} SELECT user_id, rank - 1 AS pos, target FROM cand")
+def match_labels(spark, d):
+    return candidates(spark, d).select("user_id", F.col("pos").cast("long").alias("pos"), "target")
+
+
+@query(f"WITH {_CAND} SELECT user_id, round(ndcg_5, 6) AS ndcg_5 FROM m")
+def ndcg(spark, d):
+    return metrics.ndcg(candidates(spark, d), 5).withColumn("ndcg_5", F.round("ndcg_5", 6))
+
+
+@query(f"WITH {_CAND} SELECT user_id, recall_5::DOUBLE AS recall_5 FROM m")
+def recall(spark, d):
+    return metrics.recall(candidates(spark, d), 5)
+
+
+@query(f"WITH {_CAND} SELECT round(avg(ndcg_3), 6) AS ndcg_3, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, count(*) AS users FROM m")
+def evaluate(spark, d):
+    out = metrics.evaluate(candidates(spark, d), [3, 5])
+    return out.select(*[F.round(c, 6).alias(c) if c != "users" else c for c in out.columns])
+
+
+def _asked(spark, d):
+    e = items(spark, d)
+    return e.filter("item_id % 10 = 0").select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"), ((F.col("item_id") * 7) % 97).alias("positive")), e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+_RET = f"{E_SQL}, r AS (SELECT q.item_id AS query_id, k.item_id AS key_id, round(list_inner_product(q.v, k.v), 9) AS score FROM e q, e k WHERE q.item_id % 10 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS pos FROM r QUALIFY pos <= 10)"
+
+
+@query(f"WITH {_RET} SELECT query_id, pos, key_id, round(score, 6) AS score FROM t")
+def retrieve_all(spark, d):
+    q, k = _asked(spark, d)
+    return metrics.retrieve_all(q, k, 10).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"))
+
+
+_NEG = f"{E_SQL}, n AS (SELECT count(*) AS n FROM e), x AS (SELECT item_id AS query_id, v, (item_id * 7) % 97 AS positive, unnest(range(21)) AS pos FROM e WHERE item_id % 10 = 0), y AS (SELECT *, CASE WHEN pos = 0 THEN positive ELSE ('0x' || substr(md5(query_id || '-' || pos || '-0'), 1, 8))::BIGINT % (n - 100) + 100 END AS key_id FROM x, n)"
+
+
+@query(f"WITH {_NEG} SELECT query_id, pos, key_id, round(list_inner_product(y.v, e.v), 6) AS score, key_id = positive AS target FROM y JOIN e ON e.item_id = key_id")
+def sample_negatives(spark, d):
+    q, k = _asked(spark, d)
+    return metrics.sample_negatives(q, k, 20).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"), "target")
+
+
+@query(f"WITH {_RET}, h AS (SELECT query_id, max(CASE WHEN key_id = (query_id * 7) % 97 THEN 1 / log2(pos + 1) ELSE 0 END) AS g, max(CASE WHEN key_id = (query_id * 7) % 97 THEN 1.0 ELSE 0 END) AS r FROM t GROUP BY query_id) SELECT round(avg(g), 6) AS ndcg_10, round(avg(r), 6) AS recall_10, count(*) AS users FROM h")
+def evaluate_retrieval(spark, d):
+    q, k = _asked(spark, d)
+    out = metrics.evaluate_retrieval(q, k, [10])
+    return out.select(F.round("ndcg_10", 6).alias("ndcg_10"), F.round("recall_10", 6).alias("recall_10"), "users")
+
+
+_RUNS = "r AS (SELECT event_type AS dataset, 'm' || user_id % 3 AS method, user_id AS step, 'val/recall@5' AS metric, round(avg(value), 6) AS value FROM events GROUP BY ALL)"
+
+
+def runs(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("dataset"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("method"), F.col("user_id").alias("step"))
+    return rows.agg(F.round(F.avg("value"), 6).alias("value")).withColumn("metric", F.lit("val/recall@5"))
+
+
+@query(f"WITH {_RUNS} SELECT dataset, method, max(value) AS best, min(value) AS worst FROM r GROUP BY dataset, method")
+def compare_runs(spark, d):
+    per = runs(spark, d).groupBy("dataset", "method").agg(F.max("value").alias("best"), F.min("value").alias("worst"))
+    long = per.select("dataset", "method", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("best", "worst")])).alias("x")).select("dataset", "method", "x.*")
+    return metrics.compare_runs(long, ["best", "worst"])
+
+
+@query(f"WITH {_RUNS} SELECT dataset, method, step, value FROM r QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY value DESC, step, method) = 1")
+def best_run(spark, d):
+    return metrics.best_run(runs(spark, d))
