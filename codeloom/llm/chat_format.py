@@ -46,7 +46,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.array_max(F.transform("log", lambda e: F.when(e["kind"] == "regenerate", e["seq"]))).alias("redone"),
     )
     texts = F.expr("transform(filter(slice(log, from + 1, size(log)), e -> e.kind in ('start', 'delta', 'edit')), e -> e.text)")
-    role = F.expr("coalesce(filter(log, e -> e.role is not null)[0].role, '')")
+    role = F.expr("coalesce(get(filter(log, e -> e.role is not null), 0).role, '')")
     messages = messages.select("conv_id", "msg_id", "begun", "redone", role.alias("role"), F.array_join(texts, "").alias("text"))
     by_begun = Window.partitionBy("conv_id").orderBy("begun", "msg_id")
     withdrawn = F.max("redone").over(by_begun.rowsBetween(Window.unboundedPreceding, -1)) > F.col("begun")

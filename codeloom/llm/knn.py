@@ -95,7 +95,7 @@ def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): for each row that satisfies the SQL condition ``is_query`` on ``vec_id``, its k best others.
 
     Rows that bear the query's id never match it; rows that repeat another id
-    match once each. An empty table, or one without usable vectors, gives an
+    match once each; of rows that repeat a query's id, each vector asks once. An empty table, or one without usable vectors, gives an
     empty result.
     """
     data = settle(quantise(df, id_col, vec_col, scale), "vectors")
@@ -145,7 +145,7 @@ def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
 
     dealt = rows.select("vec_id", "norm", "v").mapInPandas(deal, "grp int, qb int, db long, vec_id long, v binary")
     q_blocks = F.create_map(*[x for g, s in groups.items() for x in (F.lit(g), F.lit(s[2]))]) if groups else F.lit(None)
-    asked = rows.filter("q").select(F.col("cell").alias("grp"), F.pmod(F.xxhash64("vec_id"), q_blocks[F.col("cell")]).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("db"), "vec_id", "v") if groups else None
+    asked = rows.filter("q").dropDuplicates(["vec_id", "v"]).select(F.col("cell").alias("grp"), F.pmod(F.xxhash64("vec_id"), q_blocks[F.col("cell")]).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("db"), "vec_id", F.xxhash64("v").alias("qh"), "v") if groups else None
     if asked is None:
         return df.sparkSession.createDataFrame([], result)
 
@@ -158,14 +158,14 @@ def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
             ids = some["vec_id"].to_numpy()
             scores = _scores(_matrix(list(some["v"]), width), xm)
             r, c, s = _top(scores, ids, x_ids, k)
-            out.append(pd.DataFrame({"query_id": ids[r], "vec_id": x_ids[c], "score": s.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            out.append(pd.DataFrame({"query_id": ids[r], "qh": some["qh"].to_numpy()[r], "vec_id": x_ids[c], "score": s.astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "qh", "vec_id", "score")})
 
     keys = ["grp", "qb", "db"]
-    best = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    best = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(solve, "query_id long, qh long, vec_id long, score long")
     # a query's k best of every block: few rows, combined before they are ranked
     order = F.struct((-F.col("score")).alias("down"), "vec_id")
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
+    merged = best.groupBy("query_id", "qh").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))
 
 

@@ -128,9 +128,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = both.select(*key, "early", "late").mapInArrow(align, f"_id {id_type}, _h long, ranges {RANGES}").filter("size(ranges) > 0")
     per_doc = settle(found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("_deleted")), "ranges")
 
-    tagged = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text)})
+    tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
     joined = tagged.join(per_doc, key, "left")
-    return joined.select(*[_without(text, F.col("_deleted")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_deleted", F.array().cast(RANGES)).alias("_deleted"))
+    columns = [(_without(F.col("_row")[c], F.col("_deleted")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce("_deleted", F.array().cast(RANGES)).alias("_deleted"))
 
 
 def _without(text: Column, deleted: Column) -> Column:

@@ -125,13 +125,14 @@ def mix(
     ends = _join_left(ends.select(*cols, "_slot"), edge, cols)
     plan = settle(_join_left(budgets.drop("avail", "budget", "_rest"), ends, cols), "plan")
 
-    marked = docs.select("*", F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_tokens")).filter("_tokens > 0")
+    # the rows travel as one struct, so that no column of theirs can clash with one of these
+    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_tokens")).filter("_tokens > 0")
     marked = _join(marked, plan, cols)
     last_epoch = F.when(F.col("_slot").isNull(), F.col("_whole") - 1).otherwise(F.col("_whole"))
     rows = marked.filter(last_epoch >= 0).select("*", F.explode(F.sequence(F.lit(0), last_epoch)).alias("_epoch"))
     within = (slot < F.col("_slot")) | ((slot == F.col("_slot")) & F.col("_edge").isNotNull() & (F.struct(place.alias("_place"), F.col("_id")) <= F.col("_edge")))
     rows = rows.filter((F.col("_epoch") < F.col("_whole")) | within)
-    return rows.select(*docs.columns, "_epoch", "_tokens")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns], "_epoch", "_tokens")
 
 
 def _join_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
