@@ -104,7 +104,8 @@ def query(spark, sf_dir):
     from ._shared import table
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
+    planted = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, rows.columns, strict=True)]) for row in PLANTED])
+    rows = rows.unionByName(spark.range(1).select(F.explode(planted).alias("p")).select("p.*"))
     done = render(fold_events(to_events(rows)))
     turns = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = done.select("conv_id", F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"), turns.alias("turns"), read_loss(F.col("pieces"), F.col("loss")).alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
