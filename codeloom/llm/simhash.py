@@ -7,6 +7,12 @@ thresholds plus one summing to tau + 1, so that two fingerprints at distance
 tau or less are within the threshold in at least one partition. Each node is
 indexed by its bits there and probes the keys within the threshold; what meets
 is verified by the full distance.
+
+A tau of 12, which five-word shingles need for a similarity of 0.8, brings
+many candidates and, over a large corpus, pairs that only chance brings
+together. ``link_similar`` is for it: candidates of a key are verified in
+blocks, by the fingerprint and by three more words of bits beside it, and each
+block gives a forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -26,38 +32,63 @@ from .components import connected_components
 BITS = 64
 #: What writing and shuffling a probe costs against verifying a candidate.
 PROBE_COST = 4.0
+#: The same where candidates are verified in numpy blocks.
+BLOCK_PROBE_COST = 500.0
+#: Words of 64 bits beside the fingerprint, each from the shingles' hashes times an odd number (fixed values).
+WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Nodes of a key's block; links looked at together.
+BLOCK, AT_ONCE = 4096, 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of a text in UTF-8: a bit is set if it is in over half the shingles' hashes; 0 without words."""
+def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: A-Z only, and splits at \x20 and \x09-\x0D
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        begins = [0, *(ends[:-shingle] + 1).tolist()]
-        hashes = [digest(line[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([digest(line[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     n, counts = len(hashes), np.zeros(BITS, np.int64)
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     for k in range(0, n, 255):
         counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp) per row; a null text is an empty one."""
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of a text in UTF-8: a bit is set if it is in over half the shingles' hashes; 0 without words."""
+    return _majority(_hashes(text, shingle, seed))
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, bytes]:
+    """The fingerprint, and the same majority over ``WIDE`` other hashes of each shingle, as bytes."""
+    hashes = _hashes(text, shingle, seed)
+    others = []
+    for odd in WIDE:
+        x = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(odd)
+        others.append(_majority(x ^ (x >> np.uint64(32))))
+    return _majority(hashes), np.array(others, np.int64).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
+    """(id, fp) per row, with ``wide`` also the other words; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            texts = (x.as_py() or b"" for x in batch.column(1))
+            if wide:
+                both = [wide_fingerprint(x, shingle, seed) for x in texts]
+                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary())]
+            else:
+                made = [pa.array([fingerprint(x, shingle, seed) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide"][: 1 + len(made)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary" * wide)
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -107,7 +138,7 @@ def flips(width: int, threshold: int) -> int:
     return total
 
 
-def allocate(counts: np.ndarray, n: int, tau: int, most_parts: int = 5) -> tuple[list[list[int]], list[int]]:
+def allocate(counts: np.ndarray, n: int, tau: int, most_parts: int = 5, probe_cost: float = PROBE_COST) -> tuple[list[list[int]], list[int]]:
     """Partitions and thresholds of the least estimated cost.
 
     The candidates of a partition at threshold t are estimated from the whole
@@ -126,7 +157,7 @@ def allocate(counts: np.ndarray, n: int, tau: int, most_parts: int = 5) -> tuple
             dist = np.array([1.0])
             for b in g:
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
-            costs.append([0.0] + [PROBE_COST * n * (1 + flips(len(g), t)) + n * n / 2 * dist[: t + 1].sum() for t in range(min(tau, 3) + 1)])
+            costs.append([0.0] + [probe_cost * n * (1 + flips(len(g), t)) + n * n / 2 * dist[: t + 1].sum() for t in range(min(tau, 3) + 1)])
         table = {0: (0.0, [])}
         for row in costs:
             step: dict[int, tuple[float, list[int]]] = {}
@@ -209,20 +240,117 @@ def _through_middles(nodes: DataFrame, tau: int) -> DataFrame:
     return at.join(least, "point").filter("b IS NOT NULL AND b != fp").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4, seed: int = 42, hot: int = 20_000) -> DataFrame:
+def _forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for the nodes 0..n-1 that the links reach and that are not the least."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root[left] == root[right]).all():
+            at = np.flatnonzero(root != np.arange(n))
+            return at, root[at]
+
+
+def _block_links(fp: np.ndarray, wide: np.ndarray, own: np.ndarray, tau: int, wide_tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is near in a block: those with ``own`` against all."""
+    mine = np.flatnonzero(own)
+    out_a, out_b = [], []
+    step = max(1, AT_ONCE // max(len(mine), 1))
+    for k in range(0, len(fp) if len(mine) else 0, step):
+        near = np.bitwise_count(fp[k : k + step, None] ^ fp[None, mine]) <= tau
+        i, j = np.nonzero(near)
+        i, j = i + k, mine[j]
+        some = i != j
+        i, j = i[some], j[some]
+        true = np.zeros(len(i), bool)
+        for z in range(0, len(i), 1 << 18):
+            y = slice(z, z + (1 << 18))
+            true[y] = np.bitwise_count(wide[i[y]] ^ wide[j[y]]).sum(axis=1, dtype=np.int64) <= wide_tau
+        a, b = _forest(i[true], j[true], len(fp))
+        out_a.append(fp[a])
+        out_b.append(fp[b])
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def link_similar(nodes: DataFrame, tau: int, wide_tau: int, block: int = BLOCK, plan: tuple | None = None) -> DataFrame:
+    """Links (a, b) that connect just what pairs within ``tau`` in ``fp`` and within ``wide_tau`` in ``wide`` connect; ``fp`` is distinct.
+
+    The indexed nodes of a key are dealt into blocks of about ``block``, and
+    what probes the key meets each of its blocks, so a task holds one block
+    and reads its probes in turn, however many share the key.
+    """
+    n = nodes.count()
+    groups, thresholds = plan or allocate(bit_counts(nodes), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
+    indexed, probes = None, None
+    for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
+        if t < 0:
+            continue
+        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+        at = nodes.select(F.lit(k).alias("part"), own.alias("key"), F.lit(True).alias("own"), "fp", "wide")
+        indexed = at if indexed is None else indexed.unionByName(at)
+        sets = [c for size in range(1, t + 1) for c in itertools.combinations(bits, size)]
+        if sets:
+            listed = F.array(*[F.struct(F.lit(_mask(c)).alias("flip"), F.lit(_mask(c[:1])).alias("low")) for c in sets])
+            keys = F.transform(F.filter(listed, lambda s: F.col("fp").bitwiseAND(s["low"]) == 0), lambda s: own.bitwiseXOR(s["flip"]))
+            more = nodes.select(F.lit(k).alias("part"), F.explode(keys).alias("key"), F.lit(False).alias("own"), "fp", "wide")
+            probes = more if probes is None else probes.unionByName(more)
+    # own nodes of a key with several blocks probe the other blocks as well
+    counts = settle(indexed.groupBy("part", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "crowded")
+    every = indexed if probes is None else indexed.unionByName(probes)
+    dealt = every.join(counts, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = dealt.select("part", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "fp", "wide", home.alias("home"))
+    dealt = dealt.withColumn("own", F.col("own") & (F.col("home") == F.col("block"))).drop("home")
+    sorted_ = dealt.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", F.desc("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said, mine = None, None  # the key being read, and its block's nodes
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            if not len(cols[0]):
+                continue
+            fp = np.ascontiguousarray(cols[4]).astype(np.int64).view(np.uint64)
+            wide = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, len(WIDE))
+            own = cols[3].astype(bool)
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            for a, b in itertools.pairwise([0, *new.tolist(), len(fp)]):
+                key = (cols[0][a], cols[1][a], cols[2][a])
+                f, w, o = fp[a:b], wide[a:b], own[a:b]
+                if key == said:  # the key goes on from an earlier batch: its block's nodes came first
+                    f, w, o = np.concatenate([mine[0], f]), np.concatenate([mine[1], w]), np.concatenate([np.ones(len(mine[0]), bool), o])
+                said, mine = key, (f[o], w[o])
+                if o.any() and len(f) > 1:
+                    x, y = _block_links(f, w, o, tau, wide_tau)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4, seed: int = 42, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
     """One row per input row: id, ``fp`` (long), ``component_id`` (the smallest id reachable over links, itself included).
 
     Texts without words (null and empty ones among them) have fingerprint 0
     and are linked like any other. Rows may repeat; a null id never becomes a
     component_id unless nothing else is reachable. Other columns are ignored.
+
+    With a ``similarity``, links must also have at least that share of equal
+    bits in the wider fingerprint, which lets ``tau`` be large: see
+    ``link_similar``. Texts with equal fingerprints are linked in any case.
     """
-    rows = settle(fingerprints(docs, id_col, text_col, shingle, seed).withColumnRenamed(id_col, "_id"), "fingerprints")
-    nodes = settle(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "nodes")
-    roots = connected_components(link(nodes.select("fp"), tau, hot)).withColumnRenamed("node", "fp")
+    wide = similarity is not None
+    rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, wide).withColumnRenamed(id_col, "_id"), "fingerprints")
+    nodes = settle(rows.groupBy("fp").agg(F.min("_id").alias("_least"), *[F.min("wide").alias("wide")] * wide), "nodes")
+    links = link_similar(nodes.select("fp", "wide"), tau, int((1 - similarity) * BITS * len(WIDE) + 1e-9)) if wide else link(nodes.select("fp"), tau, hot)
+    roots = connected_components(links).withColumnRenamed("node", "fp")
     joined = settle(nodes.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return rows.drop("wide").join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def query(spark, sf_dir):

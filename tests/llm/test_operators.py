@@ -161,7 +161,47 @@ def test_links_against_all_pairs(spark, hot, tau):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+@pytest.mark.parametrize(("block", "tau", "batch"), [(4096, 14, 10_000), (5, 6, 10_000), (4096, 6, 16)])
+def test_similar_links_against_all_pairs(spark, block, tau, batch):
+    rng = random.Random(block + tau)
+    nodes = {rng.getrandbits(64): rng.getrandbits(192) for _ in range(40)}
+    for _ in range(200):
+        x = rng.choice(sorted(nodes))
+        y = nodes[x]
+        for b in rng.sample(range(64), rng.randrange(1, tau + 3)):
+            x ^= 1 << b
+        for b in rng.sample(range(192), rng.randrange(30, 46)):
+            y ^= 1 << b
+        nodes.setdefault(x, y)
+    signed = {x - 2**64 if x >> 63 else x: y for x, y in nodes.items()}
+    near = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= tau and (signed[a] ^ signed[b]).bit_count() <= 38]
+    frame = spark.createDataFrame([(x, y.to_bytes(24, "little")) for x, y in signed.items()], "fp long, wide binary")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["node"]: r["root"] for r in components.connected_components(simhash.link_similar(frame, tau, 38, block)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert {x: got.get(x, x) for x in signed} == components_of(near, list(signed))
+
+
+def test_near_copies_at_a_similarity(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = [rng.choices(words, k=300) for _ in range(30)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    for k, x in enumerate(texts):
+        y = list(x)
+        for at in (50, 120, 190, 260)[: k % 5]:  # each changed word changes five shingles of 296
+            y[at] = "changed"
+        rows.append((100 + k, " ".join(y)))
+    found = simhash.near_dedup(docs(spark, *rows, (500, None), (501, " ")), shingle=5, tau=14, similarity=0.8)
+    want = [(k, k % 100) for k, _ in rows] + [(500, 500), (501, 500)]
+    assert rows_of(found, "doc_id", "component_id") == sorted(want, key=repr)
+
+
 def test_near_dedup_edges(spark):
+    assert simhash.near_dedup(docs(spark, (1, "a")).limit(0), similarity=0.8).count() == 0
     found = simhash.near_dedup(docs(spark, (4, None), (2, ""), (9, "a b c d e"), (7, "A b c d e"), (7, "A b c d e"), (None, "a b c d e")))
     assert rows_of(found, "doc_id", "component_id") == sorted([(4, 2), (2, 2), (9, 7), (7, 7), (7, 7), (None, 7)], key=repr)
     assert simhash.near_dedup(docs(spark, (1, "a")).limit(0)).count() == 0
