@@ -6,13 +6,20 @@ blocks go from the later one. A line's first document keeps it, so nothing
 disappears from the corpus.
 
 No pairs of a group come out: a line that many documents hold leads each of
-them to its first holder only, one pair per document and holder. A rare line
+them to its first holder first, one pair per document and holder. A rare line
 and a frequent one lead there alike, so no frequency is a cut-off; ``rare``
 only tells how a pair was found.
+
+With ``all_holders`` what goes is what aligning with each earlier document
+would delete. Lines that the first alignment leaves meet further holders of
+the smallest runs of lines around them that could be deleted, eight times as
+many in each round, until they are gone or no holder is left. Holders of equal
+sequences count as one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +29,12 @@ from pyspark.sql import functions as F
 from ._shared import settle
 
 RANGES = "array<struct<start:int,end:int>>"
+#: How many times as many holders each round meets.
+GROWTH = 8
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched positions (in a, in b), rising in both: equal ends first, then lines unique on both sides by their longest rising run, and so on between them."""
+    """Matched positions (in a, in b), rising in both: equal ends first, then lines unique on both sides by their longest rising run, and so on between them; where none are, a longest common subsequence."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -43,9 +52,36 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             for (i, j), (i2, j2) in zip([(a0 - 1, b0 - 1), *rising], [*rising, (a1, b1)], strict=True):
                 todo.append((i + 1, i2, j + 1, j2))
             out += rising
+        else:
+            out += _lcs(a, a0, a1, b, b0, b1)
     return sorted(out)
 
 
+def _lcs(a: list, a0: int, a1: int, b: list, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two stretches, a row of bits per line."""
+    both = set(a[a0:a1]) & set(b[b0:b1])
+    i_s, j_s = [i for i in range(a0, a1) if a[i] in both], [j for j in range(b0, b1) if b[j] in both]
+    at: dict = {}
+    for k, j in enumerate(j_s):
+        at[b[j]] = at.get(b[j], 0) | 1 << k
+    full = (1 << len(j_s)) - 1
+    rows = [full]
+    for i in i_s:
+        v = rows[-1]
+        u = v & at[a[i]]
+        rows.append(((v + u) | (v - u)) & full)
+    out, row, col = [], len(i_s), len(j_s)
+    while row and col:
+        if rows[row] >> (col - 1) & 1:
+            col -= 1
+        elif rows[row - 1] >> (col - 1) & 1:
+            row, col = row - 1, col - 1
+            out.append((i_s[row], j_s[col]))
+        else:
+            row -= 1
+    return out
+
+
 def _unique(lines: list, begin: int, end: int) -> dict:
     seen: dict = {}
     for k in range(begin, end):
@@ -89,9 +125,116 @@ def common_blocks(early: list[tuple], late: list[tuple], least_words: int) -> li
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 64) -> DataFrame:
+def windows(seq: list[tuple], k: int, least_words: int) -> list[bytes]:
+    """Digests of the smallest runs of neighbouring lines around ``seq[k]`` that have ``least_words``. A block that takes the line away holds one of them."""
+    out, start, before = [], k, 0
+    while True:
+        words, end = before + seq[k][2], k
+        while words < least_words and end + 1 < len(seq) and seq[end + 1][0] == seq[end][0] + 1:
+            end += 1
+            words += seq[end][2]
+        if words >= least_words and (start == k or words - seq[start][2] < least_words):
+            out.append(hashlib.blake2b(b"".join(x[1] for x in seq[start : end + 1]), digest_size=16).digest())
+        if before + seq[k][2] >= least_words or not start or seq[start - 1][0] != seq[start][0] - 1:
+            return out
+        start -= 1
+        before += seq[start][2]
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest runs of lines that the ranges hold."""
+    out: list = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _tuples(seq: pa.Scalar) -> list[tuple]:
+    return [(x["pos"], x["line"], x["words"]) for x in seq.as_py()]
+
+
+def _further(sequences: DataFrame, found: DataFrame, align, id_type: str, least_words: int) -> DataFrame:
+    """Ranges (_id, _h, ranges) of ``found`` and those of alignments with further holders, as merged ranges of each document."""
+    key = ["_id", "_h"]
+
+    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq in map(_tuples, batch.column(2)):
+                near = bytes(k > 0 and x[0] == seq[k - 1][0] + 1 for k, x in enumerate(seq))
+                out.append(hashlib.blake2b(near + b"".join(x[1] for x in seq), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["f_id", "f_h", "class"])
+
+    def open_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, pos, keys = [], [], []
+            for n, (seq, gone) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                seq = _tuples(seq)
+                out = {p for r in gone.as_py() or [] for p in range(r["start"], r["end"] + 1)}
+                for k, x in enumerate(seq):
+                    for w in windows(seq, k, least_words) if x[0] not in out else ():
+                        who.append(n)
+                        pos.append(x[0])
+                        keys.append(w)
+            who = pa.array(who, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["_id", "_h", "pos", "w"])
+
+    def held_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, keys = [], []
+            for n, seq in enumerate(map(_tuples, batch.column(2))):
+                new = sorted({w for k in range(len(seq)) for w in windows(seq, k, least_words)})
+                who += [n] * len(new)
+                keys += new
+            who = pa.array(who, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys, pa.binary())], names=["f_id", "f_h", "w"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out = [[{"start": a, "end": b} for a, b in merged([(r["start"], r["end"]) for r in x.as_py()])] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["_id", "_h", "ranges"])
+
+    def per_doc(ranges: DataFrame) -> DataFrame:
+        one = ranges.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+        return settle(one.mapInArrow(joined, f"_id {id_type}, _h long, ranges {RANGES}"), "ranges")
+
+    found = per_doc(found)
+    # one holder of each sequence, the first: the others' alignments are the same
+    firsts = sequences.select(*key, "seq").mapInArrow(classes_of, f"f_id {id_type}, f_h long, class binary").groupBy("class").agg(F.min(F.struct("f_id", "f_h")).alias("f"))
+    firsts = settle(firsts.select("f.f_id", "f.f_h"), "firsts")
+    early = settle(firsts.join(sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"}), ["f_id", "f_h"]), "early")
+    held = settle(early.select("f_id", "f_h", "early").mapInArrow(held_of, f"f_id {id_type}, f_h long, w binary"), "held")
+    counts = held.groupBy("w").agg(F.count("*").alias("n"), F.min("f_id").alias("least"))
+    left = sequences.join(found, key, "left").select(*key, "seq", "ranges").mapInArrow(open_of, f"_id {id_type}, _h long, pos int, w binary")
+    left = settle(left.join(counts, "w").filter("least < _id").select(*key, "pos", "w", "n"), "left")
+    wanted = left.groupBy("w").agg(F.first("n").alias("n"))
+    # a holder's place among those of its run, by hash: the first GROWTH in round 0, and so on
+    place = F.pmod(F.xxhash64("w", "f_id", "f_h"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
+    rounds = F.floor(F.log(float(GROWTH), F.greatest(place, F.lit(1.0)))).cast("int")
+    held = settle(held.join(wanted, "w").select("w", "f_id", "f_h", rounds.alias("round")), "held")
+    last = held.agg(F.max("round")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        pairs = left.join(held.filter(F.col("round") == k), "w").filter("f_id < _id").select(*key, "f_id", "f_h").distinct()
+        both = pairs.join(sequences.withColumnRenamed("seq", "late"), key).join(early, ["f_id", "f_h"])
+        more = both.select(*key, "early", "late").mapInArrow(align, f"_id {id_type}, _h long, ranges {RANGES}").filter("size(ranges) > 0")
+        found = per_doc(found.unionByName(more))
+        gone = F.exists("ranges", lambda r: (r["start"] <= F.col("pos")) & (F.col("pos") <= r["end"]))
+        left = settle(left.join(found, key, "left").filter(~F.coalesce(gone, F.lit(False))).drop("ranges"), "left")
+        if left.isEmpty():
+            break
+    return found
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 64, all_holders: bool = False) -> DataFrame:
     """The rows of ``docs`` with deleted lines gone from the text, and ``_deleted``, the deleted line ranges (start, end, both included).
 
+    Without ``all_holders``, lines meet their first holder only; with it,
+    every earlier one, and the ranges are merged.
+
     Later means a larger id. Lines are cut at newlines and compared whole;
     blank ones match nothing. A text all of whose lines go is empty. Null
     texts and rows with a null id stay as they are; rows that repeat an id are
@@ -120,13 +263,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out = []
             for early, late in zip(batch.column(2), batch.column(3), strict=True):
-                early, late = ([(x["pos"], x["line"], x["words"]) for x in s.as_py()] for s in (early, late))
-                out.append([{"start": a, "end": b} for a, b in common_blocks(early, late, least_words)])
+                out.append([{"start": a, "end": b} for a, b in common_blocks(_tuples(early), _tuples(late), least_words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["_id", "_h", "ranges"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     found = both.select(*key, "early", "late").mapInArrow(align, f"_id {id_type}, _h long, ranges {RANGES}").filter("size(ranges) > 0")
-    per_doc = settle(found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("_deleted")), "ranges")
+    if all_holders:
+        per_doc = _further(sequences, found, align, id_type, least_words).withColumnRenamed("ranges", "_deleted")
+    else:
+        per_doc = settle(found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("_deleted")), "ranges")
 
     tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
     joined = tagged.join(per_doc, key, "left")
@@ -142,6 +287,6 @@ def _without(text: Column, deleted: Column) -> Column:
 def query(spark, sf_dir):
     from ._shared import table
 
-    found = line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup(table(spark, sf_dir, "documents"), all_holders=True)
     ranges = F.transform(F.array_sort("_deleted"), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
     return found.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.char_length("text").cast("long").alias("n_chars"), F.array_join(ranges, ",").alias("deleted"))

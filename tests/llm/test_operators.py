@@ -264,6 +264,44 @@ def test_line_dedup_against_slow(spark):
     assert everything - {""} == {x for t in want.values() for x in t.split("\n")} - {""}
 
 
+def all_pairs_line_dedup(data, least=5):
+    lines = {i: t.split("\n") for i, t in data}
+    holders = {}
+    for i, ls in lines.items():
+        for x in ls:
+            if x.strip():
+                holders.setdefault(x, set()).add(i)
+    seqs = {i: [(k, x, len(x.split())) for k, x in enumerate(ls) if len(holders.get(x, ())) > 1] for i, ls in lines.items()}
+    gone = {i: {p for o in lines if o < i for a, b in line_dedup.common_blocks(seqs[o], seqs[i], least) for p in range(a, b + 1)} for i in lines}
+    return {i: "\n".join(x for k, x in enumerate(ls) if k not in gone[i]) for i, ls in lines.items()}
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_line_dedup_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"line {k} of {'many ' * (k % 6)}words" for k in range(40)] + ["", "ok", "so it goes"]
+    data = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for k in range(150)]
+    got = {r["doc_id"]: (r["text"], r["_deleted"]) for r in line_dedup.line_dedup(docs(spark, *data), all_holders=True).collect()}
+    want = all_pairs_line_dedup(data)
+    assert {k: x for k, (x, _) in got.items()} == want and want != slow_line_dedup(data)
+    for k, text in data:
+        gone = [p for r in got[k][1] for p in range(r["start"], r["end"] + 1)]
+        assert gone == sorted(set(gone)) and "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone) == want[k]
+
+
+def test_patience_without_unique_lines():
+    rng = random.Random(4)
+    assert len(line_dedup.patience(list("xaabby"), list("zbabaw"))) == 2
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found = sorted(line_dedup._lcs(a, 0, len(a), b, 0, len(b)))
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(found))
+
+
 def test_patience():
     assert line_dedup.patience(list("abcdef"), list("abxcdyef")) == [(0, 0), (1, 1), (2, 3), (3, 4), (4, 6), (5, 7)]
     assert line_dedup.patience([], list("a")) == [] and line_dedup.patience(list("aa"), list("aa")) == [(0, 0), (1, 1)]
