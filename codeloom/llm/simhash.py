@@ -8,15 +8,18 @@ tau or less are within the threshold in at least one partition. Each node is
 indexed by its bits there and probes the keys within the threshold; what meets
 is verified by the full distance.
 
-A tau of 12, which five-word shingles need for a similarity of 0.8, brings
-many candidates and, over a large corpus, pairs that only chance brings
-together. ``link_similar`` is for it: candidates of a key are verified in
+A tau of 12 or more, which five-word shingles need for a similarity of 0.8,
+brings many candidates and, over a large corpus, pairs that only chance brings
+together. ``link_similar`` is for it: candidates of a key are looked at in
 blocks, by the fingerprint and by three more words of bits beside it, and each
-block gives a forest of its links, never its pairs.
+block gives a forest of its links, never its pairs. These only make groups:
+``verified`` compares the shingle sets of a group's texts, again in blocks,
+and links those whose Jaccard similarity is high enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -38,6 +41,10 @@ BLOCK_PROBE_COST = 500.0
 WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Nodes of a key's block; links looked at together.
 BLOCK, AT_ONCE = 4096, 1 << 21
+#: Differing bits of ``WIDE`` at most for candidates; texts at a Jaccard of 0.8 differ in about 29, with a deviation of 5.
+WIDE_TAU = 48
+#: Shingles of a block of texts that are compared as sets.
+SET_BLOCK = 1 << 19
 
 
 def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -64,9 +71,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return _majority(_hashes(text, shingle, seed))
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, bytes]:
-    """The fingerprint, and the same majority over ``WIDE`` other hashes of each shingle, as bytes."""
-    hashes = _hashes(text, shingle, seed)
+def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, rising."""
+    return np.unique(_hashes(text, shingle, seed))
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, bytes]:
+    """The fingerprint of a shingle set, and the same majority over ``WIDE`` other hashes of each shingle, as bytes."""
     others = []
     for odd in WIDE:
         x = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(odd)
@@ -75,20 +90,21 @@ def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
-    """(id, fp) per row, with ``wide`` also the other words; a null text is an empty one."""
+    """(id, fp) per row; a null text is an empty one. With ``wide`` the bits are of the distinct shingles, and with them come the other words, the set's digest and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (x.as_py() or b"" for x in batch.column(1))
             if wide:
-                both = [wide_fingerprint(x, shingle, seed) for x in texts]
-                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary())]
+                sets = [shingle_set(x, shingle, seed) for x in texts]
+                both = [wide_fingerprint(x) for x in sets]
+                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64())]
             else:
                 made = [pa.array([fingerprint(x, shingle, seed) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide"][: 1 + len(made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide", "set", "size"][: 1 + len(made)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary" * wide)
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary, set binary, size long" * wide)
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -277,7 +293,7 @@ def _block_links(fp: np.ndarray, wide: np.ndarray, own: np.ndarray, tau: int, wi
 
 
 def link_similar(nodes: DataFrame, tau: int, wide_tau: int, block: int = BLOCK, plan: tuple | None = None) -> DataFrame:
-    """Links (a, b) that connect just what pairs within ``tau`` in ``fp`` and within ``wide_tau`` in ``wide`` connect; ``fp`` is distinct.
+    """Links (a, b) that connect just what pairs within ``tau`` in ``fp`` and within ``wide_tau`` in ``wide`` connect, among distinct rows; rows of one ``fp`` count as linked.
 
     The indexed nodes of a key are dealt into blocks of about ``block``, and
     what probes the key meets each of its blocks, so a task holds one block
@@ -331,6 +347,86 @@ def link_similar(nodes: DataFrame, tau: int, wide_tau: int, block: int = BLOCK,
     return sorted_.mapInArrow(run, "a long, b long")
 
 
+def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect just what pairs with a Jaccard similarity of ``similarity`` or more connect. A set is compared with those that nothing links yet."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mine = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    free = np.arange(len(sets))  # what no set has linked yet, and their shingles
+    held, who = flat, np.repeat(free, sizes)
+    marked = np.zeros(len(values), bool)
+    out_a, out_b, todo = [], [], []
+    gone = np.zeros(len(sets), bool)
+    while True:
+        if not todo:
+            free = free[~gone[free]]
+            if not len(free):
+                return out_a, out_b
+            todo.append(int(free[0]))
+            gone[free[0]] = True
+        x = todo.pop()
+        stay = ~gone[who]
+        if stay.sum() * 2 < len(stay):
+            held, who = held[stay], who[stay]
+        marked[mine[x]] = True
+        common = np.bincount(who[marked[held]], minlength=len(sets))
+        marked[mine[x]] = False
+        either = sizes + sizes[x] - common
+        near = np.flatnonzero(~gone & ((common >= similarity * either - 1e-9) | (either == 0)))
+        gone[near] = True
+        out_a += [x] * len(near)
+        out_b += near.tolist()
+        todo += near.tolist()
+
+
+def verified(members: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """Links (a, b) between the ``set`` of ``members`` (root, set, size, hashes: the shingles' hashes as bytes) that connect just what pairs of one root with a Jaccard similarity of ``similarity`` or more connect.
+
+    The texts of a large root are dealt into blocks of about ``block``
+    shingles, and each two blocks meet in a task of their own.
+    """
+    counts = members.groupBy("root").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
+    dealt = members.join(counts, "root").withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    home = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = dealt.select("root", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "set", "hashes")
+    dealt = dealt.select("root", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "set", "hashes")
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("set").to_pylist()
+        a, b = _set_links([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()], similarity)
+        return pa.table({"a": pa.array([names[k] for k in a], pa.binary()), "b": pa.array([names[k] for k in b], pa.binary())})
+
+    return dealt.groupBy("root", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int, seed: int, similarity: float) -> DataFrame:
+    """``near_dedup`` with a similarity. Nodes are distinct shingle sets."""
+    rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, True).withColumnRenamed(id_col, "_id"), "fingerprints")
+    first = [F.first(c).alias(c) for c in ("fp", "wide", "size")]
+    nodes = settle(rows.groupBy("set").agg(F.min("_id").alias("_least"), *first), "nodes")
+    links = link_similar(nodes.select("fp", "wide").distinct(), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    grouped = settle(nodes.join(roots, "fp", "left").select("set", "size", "_least", F.coalesce("root", "fp").alias("root")), "grouped")
+    many = grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    chosen = settle(grouped.join(many, "root"), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py() or b"", shingle, seed) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set", "hashes"])
+
+    wanted = chosen.select("_least").distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "left_semi").select("_text")
+    hashes = texts.mapInArrow(sets, "set binary, hashes binary").dropDuplicates(["set"])
+    members = settle(chosen.select("root", "set", "size").join(hashes, "set"), "members")
+    parts = connected_components(settle(verified(members, similarity), "verified")).withColumnsRenamed({"node": "set", "root": "part"})
+    joined = settle(nodes.join(parts, "set", "left").select("set", "_least", F.coalesce("part", "set").alias("part")), "rooted")
+    named = joined.join(joined.groupBy("part").agg(F.min("_least").alias("component_id")), "part").select("set", "component_id")
+    return rows.select("_id", "fp", "set").join(named, "set").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4, seed: int = 42, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
     """One row per input row: id, ``fp`` (long), ``component_id`` (the smallest id reachable over links, itself included).
 
@@ -338,19 +434,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and are linked like any other. Rows may repeat; a null id never becomes a
     component_id unless nothing else is reachable. Other columns are ignored.
 
-    With a ``similarity``, links must also have at least that share of equal
-    bits in the wider fingerprint, which lets ``tau`` be large: see
-    ``link_similar``. Texts with equal fingerprints are linked in any case.
+    With a ``similarity``, links are pairs whose sets of shingles have at
+    least that Jaccard similarity; the bits, within ``tau``, only find the
+    candidates, and ``fp`` is that of the distinct shingles.
     """
-    wide = similarity is not None
-    rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, wide).withColumnRenamed(id_col, "_id"), "fingerprints")
-    nodes = settle(rows.groupBy("fp").agg(F.min("_id").alias("_least"), *[F.min("wide").alias("wide")] * wide), "nodes")
-    links = link_similar(nodes.select("fp", "wide"), tau, int((1 - similarity) * BITS * len(WIDE) + 1e-9)) if wide else link(nodes.select("fp"), tau, hot)
+    if similarity is not None:
+        return _similar(docs, id_col, text_col, shingle, tau, seed, similarity)
+    rows = settle(fingerprints(docs, id_col, text_col, shingle, seed).withColumnRenamed(id_col, "_id"), "fingerprints")
+    nodes = settle(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "nodes")
+    links = link(nodes.select("fp"), tau, hot)
     roots = connected_components(links).withColumnRenamed("node", "fp")
     joined = settle(nodes.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
-    return rows.drop("wide").join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return rows.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def query(spark, sf_dir):

@@ -200,6 +200,40 @@ def test_near_copies_at_a_similarity(spark):
     assert rows_of(found, "doc_id", "component_id") == sorted(want, key=repr)
 
 
+def test_near_copies_are_verified(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        x = rng.choices(words, k=300)
+        y = list(x)
+        for at in range(10, 290, 28)[: 10 if k % 2 else 6]:  # a Jaccard of 246 / 346 or 266 / 326
+            y[at] = "changed"
+        rows += [(k, " ".join(x)), (100 + k, " ".join(y))]
+    # an equal set of shingles with other counts of them; two short texts
+    rows += [(200, "a b c d e " * 3), (201, "a b c d e " * 30), (202, "a b c"), (203, "A  b c"), (204, "a b d")]
+    found = simhash.near_dedup(docs(spark, *rows), shingle=5, tau=20, similarity=0.8)
+    want = [(k, k % 100 if k < 200 and k % 2 == 0 else k) for k, _ in rows[:120]] + [(200, 200), (201, 200), (202, 202), (203, 202), (204, 204)]
+    assert rows_of(found, "doc_id", "component_id") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block", [200, 1 << 19])
+def test_verified_against_all_pairs(spark, block):
+    rng = random.Random(block)
+    sets = {bytes([0, 0]): set()}
+    for k in range(1, 120):
+        base = set(rng.choice(list(sets.values()))) if rng.random() < 0.8 else set()
+        base = base or {rng.getrandbits(63) for _ in range(rng.randrange(5, 30))}
+        for _ in range(rng.randrange(4)):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.getrandbits(63))
+        sets[bytes([k // 100, k % 100])] = base
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])]
+    frame = spark.createDataFrame([(7, k, len(v), np.array(sorted(v), np.uint64).tobytes()) for k, v in sets.items()], "root long, set binary, size long, hashes binary")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in components.connected_components(simhash.verified(frame, 0.8, block)).collect()}
+    assert {x: got.get(x, x) for x in sets} == components_of(near, list(sets))
+
+
 def test_near_dedup_edges(spark):
     assert simhash.near_dedup(docs(spark, (1, "a")).limit(0), similarity=0.8).count() == 0
     found = simhash.near_dedup(docs(spark, (4, None), (2, ""), (9, "a b c d e"), (7, "A b c d e"), (7, "A b c d e"), (None, "a b c d e")))
