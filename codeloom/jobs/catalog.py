@@ -242,6 +242,24 @@ def sample_augmented(spark, d):
     return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+# the same over whole histories
+
+
+_WIN_WHOLE = f"{SEQ_SQL}, w AS (SELECT user_id, seq, unnest(range(2, len(seq) + 1)) AS hi FROM s), v AS (SELECT user_id, seq, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
+
+
+@query(f"WITH {_WIN_WHOLE} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
+def contiguous_subsequences_whole(spark, d):
+    found = Q.contiguous_subsequences(sequences(spark, d), "seq")
+    return found.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
+
+
+@query(f"WITH {_WIN_WHOLE} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\" FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-5'), user_id, lo, hi) <= 20")
+def sample_augmented_whole(spark, d):
+    spans = Q.sample_augmented(Q.contiguous_subsequences(sequences(spark, d), "seq"), ["user_id"], 20, 5, ["user_id", "start", "end"])
+    return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 @query(f"WITH {SEQ_SQL}, p AS (SELECT user_id, {_PAD.format('seq[-60:]', n=60)} AS q, least(len(seq), 60) AS n FROM s) SELECT user_id, array_to_string(list_concat(q[1:n - 2], [-2], list_transform(range(60 - n + 1), lambda x: -1)), '-') AS seq, array_to_string(q[n - 1:n], '-') AS label, (n - 2)::BIGINT AS label_pos FROM p")
 def next_k_split(spark, d):
     rows = sequences(spark, d).withColumn("seq", Q.pad_or_trim("seq", 60, -1))
