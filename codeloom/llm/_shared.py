@@ -15,11 +15,14 @@ LOWER = UPPER.lower()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is set (tests on one machine) a temporary folder becomes it.
+    Only where none is set and one machine does everything (tests) a temporary
+    folder becomes it; a cluster without one is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext.getCheckpointDir()
     if folder is None and known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     if known is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -37,6 +40,19 @@ def settle(df: DataFrame, kind: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a settled table that no plan needs any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for file in df.inputFiles()[:1]:
+        folder = hadoop(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those of these names, in either case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, everything else unchanged; texts without other letters take the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

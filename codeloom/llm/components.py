@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import discard, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,11 +25,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root the least node that it reaches.
 
     Ends when a round changes no link; loops and repeated links do no harm.
+    Only the last round's links stay in the shared folder.
     """
     links = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     said = None
     for _ in range(most_rounds):
-        links = settle(_stars(_stars(links, True), False), "links")
+        before, links = links, settle(_stars(_stars(links, True), False), "links")
+        discard(links.sparkSession, before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == said:
             roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
