@@ -1,20 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents that share rare lines are found through the lines' hashes, each
-aligned with the earlier document by patience diff, and the aligned common
-blocks go from the later one. A line's first document keeps it, so nothing
-disappears from the corpus.
-
-No pairs of a group come out: a line that many documents hold leads each of
-them to its first holder first, one pair per document and holder. A rare line
-and a frequent one lead there alike, so no frequency is a cut-off; ``rare``
-only tells how a pair was found.
-
-With ``all_holders`` what goes is what aligning with each earlier document
-would delete. Lines that the first alignment leaves meet further holders of
-the smallest runs of lines around them that could be deleted, eight times as
-many in each round, until they are gone or no holder is left. Holders of equal
-sequences count as one.
+Documents that share rare lines are found through the lines' hashes: in each
+stretch of neighbouring shared lines of a document, the line that the fewest
+documents hold leads it to that line's first holder. The two are aligned by
+patience diff, and the aligned common blocks go from the later one. A line's
+first document keeps it, so nothing disappears from the corpus.
+
+An alignment is one to one and rising, and with one holder of a stretch. What
+it leaves (a repeated or moved run of lines, or one that another document
+holds) meets the first holder of that run: of each smallest run of lines that
+could be deleted, by the run's hash. Such a pair is aligned at the run itself,
+outwards from it. So what goes in the end is every line that lies in a common
+block with any earlier document, however many hold it, and each document meets
+at most one holder per stretch or run; no pairs of a group come out.
 """
 
 from __future__ import annotations
@@ -24,13 +22,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import others, settle
 
 RANGES = "array<struct<start:int,end:int>>"
-#: How many times as many holders each round meets.
-GROWTH = 8
+KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -125,8 +123,8 @@ def common_blocks(early: list[tuple], late: list[tuple], least_words: int) -> li
     return out
 
 
-def windows(seq: list[tuple], k: int, least_words: int) -> list[bytes]:
-    """Digests of the smallest runs of neighbouring lines around ``seq[k]`` that have ``least_words``. A block that takes the line away holds one of them."""
+def runs_around(seq: list[tuple], k: int, least_words: int) -> list[tuple[int, int]]:
+    """The smallest runs (first, last) of neighbouring lines around ``seq[k]`` that have ``least_words``. A block that takes the line away holds one of them."""
     out, start, before = [], k, 0
     while True:
         words, end = before + seq[k][2], k
@@ -134,13 +132,48 @@ def windows(seq: list[tuple], k: int, least_words: int) -> list[bytes]:
             end += 1
             words += seq[end][2]
         if words >= least_words and (start == k or words - seq[start][2] < least_words):
-            out.append(hashlib.blake2b(b"".join(x[1] for x in seq[start : end + 1]), digest_size=16).digest())
+            out.append((start, end))
         if before + seq[k][2] >= least_words or not start or seq[start - 1][0] != seq[start][0] - 1:
             return out
         start -= 1
         before += seq[start][2]
 
 
+def run_hash(seq: list[tuple], run: tuple[int, int]) -> bytes:
+    if run[0] == run[1]:
+        return seq[run[0]][1]
+    return hashlib.blake2b(b"".join(x[1] for x in seq[run[0] : run[1] + 1]), digest_size=16).digest()
+
+
+def block_around(early: list[tuple], late: list[tuple], i: int, j: int) -> tuple[int, int]:
+    """The lines of ``late`` in the common block around the matching ``early[i]`` and ``late[j]``: both ways while neighbours match."""
+    same = lambda a, b, d: early[a][1] == late[b][1] and early[a - d][0] + d == early[a][0] and late[b - d][0] + d == late[b][0]
+    back = 0
+    while i > back and j > back and same(i - back - 1, j - back - 1, -1):
+        back += 1
+    on = 0
+    while i + on + 1 < len(early) and j + on + 1 < len(late) and same(i + on + 1, j + on + 1, 1):
+        on += 1
+    return late[j - back][0], late[j + on][0]
+
+
+def anchored_blocks(early: list[tuple], late: list[tuple], anchors: set[bytes], least_words: int) -> list[tuple[int, int]]:
+    """Line ranges of ``late`` to delete: the common blocks around each run of it whose hash is one of ``anchors``."""
+    where: dict[bytes, int] = {}
+    for k in range(len(early)):
+        for run in runs_around(early, k, least_words):
+            where.setdefault(run_hash(early, run), run[0])
+    out = []
+    for k in range(len(late)):
+        if out and late[k][0] <= out[-1][1]:
+            continue  # the block before holds it already
+        for run in runs_around(late, k, least_words):
+            said = run_hash(late, run)
+            if said in anchors and said in where:
+                out.append(block_around(early, late, where[said], run[0]))
+    return out
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest runs of lines that the ranges hold."""
     out: list = []
@@ -156,127 +189,96 @@ def _tuples(seq: pa.Scalar) -> list[tuple]:
     return [(x["pos"], x["line"], x["words"]) for x in seq.as_py()]
 
 
-def _further(sequences: DataFrame, found: DataFrame, align, id_type: str, least_words: int) -> DataFrame:
-    """Ranges (_id, _h, ranges) of ``found`` and those of alignments with further holders, as merged ranges of each document."""
-    key = ["_id", "_h"]
-
-    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for seq in map(_tuples, batch.column(2)):
-                near = bytes(k > 0 and x[0] == seq[k - 1][0] + 1 for k, x in enumerate(seq))
-                out.append(hashlib.blake2b(near + b"".join(x[1] for x in seq), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["f_id", "f_h", "class"])
-
-    def open_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            who, pos, keys = [], [], []
-            for n, (seq, gone) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                seq = _tuples(seq)
-                out = {p for r in gone.as_py() or [] for p in range(r["start"], r["end"] + 1)}
-                for k, x in enumerate(seq):
-                    for w in windows(seq, k, least_words) if x[0] not in out else ():
-                        who.append(n)
-                        pos.append(x[0])
-                        keys.append(w)
-            who = pa.array(who, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["_id", "_h", "pos", "w"])
+def _ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in found], KIND)
 
-    def held_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            who, keys = [], []
-            for n, seq in enumerate(map(_tuples, batch.column(2))):
-                new = sorted({w for k in range(len(seq)) for w in windows(seq, k, least_words)})
-                who += [n] * len(new)
-                keys += new
-            who = pa.array(who, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys, pa.binary())], names=["f_id", "f_h", "w"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            out = [[{"start": a, "end": b} for a, b in merged([(r["start"], r["end"]) for r in x.as_py()])] for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["_id", "_h", "ranges"])
-
-    def per_doc(ranges: DataFrame) -> DataFrame:
-        one = ranges.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-        return settle(one.mapInArrow(joined, f"_id {id_type}, _h long, ranges {RANGES}"), "ranges")
-
-    found = per_doc(found)
-    # one holder of each sequence, the first: the others' alignments are the same
-    firsts = sequences.select(*key, "seq").mapInArrow(classes_of, f"f_id {id_type}, f_h long, class binary").groupBy("class").agg(F.min(F.struct("f_id", "f_h")).alias("f"))
-    firsts = settle(firsts.select("f.f_id", "f.f_h"), "firsts")
-    early = settle(firsts.join(sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"}), ["f_id", "f_h"]), "early")
-    held = settle(early.select("f_id", "f_h", "early").mapInArrow(held_of, f"f_id {id_type}, f_h long, w binary"), "held")
-    counts = held.groupBy("w").agg(F.count("*").alias("n"), F.min("f_id").alias("least"))
-    left = sequences.join(found, key, "left").select(*key, "seq", "ranges").mapInArrow(open_of, f"_id {id_type}, _h long, pos int, w binary")
-    left = settle(left.join(counts, "w").filter("least < _id").select(*key, "pos", "w", "n"), "left")
-    wanted = left.groupBy("w").agg(F.first("n").alias("n"))
-    # a holder's place among those of its run, by hash: the first GROWTH in round 0, and so on
-    place = F.pmod(F.xxhash64("w", "f_id", "f_h"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
-    rounds = F.floor(F.log(float(GROWTH), F.greatest(place, F.lit(1.0)))).cast("int")
-    held = settle(held.join(wanted, "w").select("w", "f_id", "f_h", rounds.alias("round")), "held")
-    last = held.agg(F.max("round")).first()[0]
-    for k in range(0 if last is None else last + 1):
-        pairs = left.join(held.filter(F.col("round") == k), "w").filter("f_id < _id").select(*key, "f_id", "f_h").distinct()
-        both = pairs.join(sequences.withColumnRenamed("seq", "late"), key).join(early, ["f_id", "f_h"])
-        more = both.select(*key, "early", "late").mapInArrow(align, f"_id {id_type}, _h long, ranges {RANGES}").filter("size(ranges) > 0")
-        found = per_doc(found.unionByName(more))
-        gone = F.exists("ranges", lambda r: (r["start"] <= F.col("pos")) & (F.col("pos") <= r["end"]))
-        left = settle(left.join(found, key, "left").filter(~F.coalesce(gone, F.lit(False))).drop("ranges"), "left")
-        if left.isEmpty():
-            break
-    return found
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 64, all_holders: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """The rows of ``docs`` with deleted lines gone from the text, and ``_deleted``, the deleted line ranges (start, end, both included).
 
-    Without ``all_holders``, lines meet their first holder only; with it,
-    every earlier one, and the ranges are merged.
-
-    Later means a larger id. Lines are cut at newlines and compared whole;
-    blank ones match nothing. A text all of whose lines go is empty. Null
-    texts and rows with a null id stay as they are; rows that repeat an id are
-    cleaned each for itself, against smaller ids only. Other columns pass
-    through.
+    A line goes if it lies in a block of neighbouring lines, ``least_words``
+    words or more in all, that a document with a smaller id has too. Lines are
+    cut at newlines and compared whole; blank ones match nothing and end a
+    block. A text all of whose lines go is empty. Null and empty texts and
+    rows with a null id stay as they are; rows that repeat an id are cleaned
+    each for itself, against smaller ids only. Texts of any length are read
+    whole. Other columns pass through, but for one named ``_deleted``, which
+    is replaced. An empty table gives an empty one.
     """
     key = ["_id", "_h"]
     text = F.col(text_col)
+    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
     lines = rows.select(*key, F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).filter("trim(line) != ''")
     words = F.size(F.split(F.trim("line"), r"\s+"))
     lines = settle(lines.select(*key, "pos", F.unhex(F.md5("line")).alias("line"), words.alias("words")), "lines")
     me = F.struct("_id", "_h")
-    holders = lines.groupBy("line").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count("*").alias("held")).filter("first._id < last._id")
-    holders = settle(holders.select("line", "first", "held"), "holders")  # so that the join's sides are exchanges, which Spark can split
-    shared = settle(lines.join(holders, "line"), "shared")
-
+    holders = lines.groupBy("line").agg(F.min(me).alias("first"), F.max("_id").alias("last"), F.count("*").alias("held")).filter("first._id < last").drop("last")
+    holders = settle(holders, "holders")  # so that the join's sides are exchanges, which Spark can split
+    shared = settle(lines.join(holders, "line").dropDuplicates([*key, "pos"]), "shared")
     sequence = F.array_sort(F.collect_list(F.struct("pos", "line", "words"))).alias("seq")
-    sequences = settle(shared.dropDuplicates([*key, "pos"]).groupBy(*key).agg(sequence), "sequences")
-    pairs = shared.filter("first._id < _id").groupBy(*key, F.col("first._id").alias("f_id"), F.col("first._h").alias("f_h")).agg((F.min("held") <= rare).alias("rare"))
-    late = pairs.join(sequences.withColumnRenamed("seq", "late"), key)
-    both = late.join(sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"}), ["f_id", "f_h"])
+    sequences = settle(shared.groupBy(*key).agg(sequence), "sequences")
+
+    # a stretch: lines at neighbouring positions; its rarest line with an earlier holder leads to that one
+    stretch = (F.col("pos") - F.row_number().over(W.partitionBy(*key).orderBy("pos"))).alias("stretch")
+    lead = F.min(F.when(F.col("first._id") < F.col("_id"), F.struct("held", "first"))).alias("lead")
+    pairs = shared.select(*key, "first", "held", stretch).groupBy(*key, "stretch").agg(lead).filter("lead IS NOT NULL")
+    pairs = pairs.select(*key, F.col("lead.first._id").alias("f_id"), F.col("lead.first._h").alias("f_h")).distinct()
+    early = sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"})
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            out = []
-            for early, late in zip(batch.column(2), batch.column(3), strict=True):
-                out.append([{"start": a, "end": b} for a, b in common_blocks(_tuples(early), _tuples(late), least_words)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["_id", "_h", "ranges"])
+            out = [common_blocks(_tuples(a), _tuples(b), least_words) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "ranges"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    found = both.select(*key, "early", "late").mapInArrow(align, f"_id {id_type}, _h long, ranges {RANGES}").filter("size(ranges) > 0")
-    if all_holders:
-        per_doc = _further(sequences, found, align, id_type, least_words).withColumnRenamed("ranges", "_deleted")
-    else:
-        per_doc = settle(found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("_deleted")), "ranges")
+    found_type = f"_id {id_type}, _h long, ranges {RANGES}"
+    both = pairs.join(sequences, key).join(early, ["f_id", "f_h"])
+    found = both.select(*key, "early", "seq").mapInArrow(align, found_type).filter("size(ranges) > 0")
+    found = settle(found.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "aligned")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of each sequence, and whether they are around a line that nothing deletes yet."""
+        for batch in batches:
+            who, keys, left = [], [], []
+            for n, (seq, gone) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                seq = _tuples(seq)
+                out = {p for r in gone.as_py() or [] for p in range(r["start"], r["end"] + 1)}
+                said: dict[tuple[int, int], bool] = {}
+                for k, x in enumerate(seq):
+                    for run in runs_around(seq, k, least_words):
+                        said[run] = said.get(run, False) or x[0] not in out
+                who += [n] * len(said)
+                keys += [run_hash(seq, run) for run in said]
+                left += said.values()
+            who = pa.array(who, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys, pa.binary()), pa.array(left, pa.bool_())], names=["_id", "_h", "run", "open"])
+
+    held = sequences.join(found, key, "left").select(*key, "seq", "ranges").mapInArrow(runs, f"_id {id_type}, _h long, run binary, open boolean")
+    held = settle(held, "runs")
+    firsts = held.groupBy("run").agg(F.min(me).alias("first"), F.max(F.when(F.col("open"), F.col("_id"))).alias("last")).filter("first._id < last")
+    firsts = settle(firsts.select("run", "first"), "firsts")
+    open_ = held.filter("open").join(firsts, "run").filter("first._id < _id")
+    anchors = open_.groupBy(*key, F.col("first._id").alias("f_id"), F.col("first._h").alias("f_h")).agg(F.collect_set("run").alias("anchors"))
+
+    def align_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [anchored_blocks(_tuples(a), _tuples(b), set(x.as_py()), least_words) for a, b, x in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "ranges"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [merged([(r["start"], r["end"]) for r in x.as_py()]) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "_deleted"])
+
+    both = anchors.join(sequences, key).join(early, ["f_id", "f_h"])
+    more = both.select(*key, "early", "seq", "anchors").mapInArrow(align_at, found_type)
+    every = found.unionByName(more).groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    per_doc = settle(every.mapInArrow(joined, f"_id {id_type}, _h long, _deleted {RANGES}"), "ranges")
 
     tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
-    joined = tagged.join(per_doc, key, "left")
-    columns = [(_without(F.col("_row")[c], F.col("_deleted")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce("_deleted", F.array().cast(RANGES)).alias("_deleted"))
+    cleaned = tagged.join(per_doc, key, "left")
+    columns = [(_without(F.col("_row")[c], F.col("_deleted")) if c == text_col else F.col("_row")[c]).alias(c) for c in others(docs, "_deleted")]
+    return cleaned.select(*columns, F.coalesce("_deleted", F.array().cast(RANGES)).alias("_deleted"))
 
 
 def _without(text: Column, deleted: Column) -> Column:
@@ -287,6 +289,6 @@ def _without(text: Column, deleted: Column) -> Column:
 def query(spark, sf_dir):
     from ._shared import table
 
-    found = line_dedup(table(spark, sf_dir, "documents"), all_holders=True)
+    found = line_dedup(table(spark, sf_dir, "documents"))
     ranges = F.transform(F.array_sort("_deleted"), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
     return found.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.char_length("text").cast("long").alias("n_chars"), F.array_join(ranges, ",").alias("deleted"))
