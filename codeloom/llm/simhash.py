@@ -8,25 +8,27 @@ tau or less are within the threshold in at least one partition. Each node is
 indexed by its bits there and probes the keys within the threshold; what meets
 is verified by the full distance.
 
-A tau of 12 or more, which five-word shingles need for a similarity of 0.8,
-brings many candidates and, over a large corpus, pairs that only chance brings
-together. ``link_similar`` is for it: candidates of a key are looked at in
-blocks, by the fingerprint and by three more words of bits beside it, and each
-block gives a forest of its links, never its pairs. These only make groups:
-``verified`` compares the shingle sets of a group's texts, again in blocks,
-and links those whose Jaccard similarity is high enough.
+At a similarity of 0.8 of five-word shingles 15 of 100 bits differ, and with so
+wide a tau keys of bits alone bring together a fixed share of all pairs.
+``link_similar`` therefore first asks for a shared shingle: the least of each
+text's shingles in a few seeded orders, which texts without common shingles
+never share. Groups too large to compare whole are cut by the pigeonhole, and
+the bits, three more words of bits and the sizes decide on candidates. Each
+block of them gives a forest of its links, never its pairs. These only make
+groups: ``verified`` compares the shingle sets of a group's texts, again in
+blocks, and links those whose Jaccard similarity is high enough.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import settle
@@ -39,8 +41,10 @@ PROBE_COST = 4.0
 BLOCK_PROBE_COST = 500.0
 #: Words of 64 bits beside the fingerprint, each from the shingles' hashes times an odd number (fixed values).
 WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Nodes of a key's block; links looked at together.
-BLOCK, AT_ONCE = 4096, 1 << 21
+#: Orders of the shingles; two texts are candidates if their least shingle is the same in one. At a Jaccard of 0.8, 0.2 ** 6 of the pairs share none.
+ORDERS = 6
+#: Nodes of a block; groups whose largest piece is sent to every task.
+BLOCK, MANY = 4096, 100_000
 #: Differing bits of ``WIDE`` at most for candidates; texts at a Jaccard of 0.8 differ in about 29, with a deviation of 5.
 WIDE_TAU = 48
 #: Shingles of a block of texts that are compared as sets.
@@ -76,6 +80,17 @@ def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(_hashes(text, shingle, seed))
 
 
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """The least of a shingle set in each of ``ORDERS`` seeded orders, as signed numbers; nothing of an empty set."""
+    if not len(hashes):
+        return []
+    x = hashes[None, :] + (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(WIDE[0]))[:, None]
+    for shift, odd in ((29, WIDE[1]), (32, WIDE[2]), (30, WIDE[0])):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(odd)
+    return x.min(axis=1).view(np.int64).tolist()
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -90,7 +105,7 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, bytes]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
-    """(id, fp) per row; a null text is an empty one. With ``wide`` the bits are of the distinct shingles, and with them come the other words, the set's digest and its size."""
+    """(id, fp) per row; a null text is an empty one. With ``wide`` the bits are of the distinct shingles, and with them come the other words, the set's digest, its size and its least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,13 +113,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if wide:
                 sets = [shingle_set(x, shingle, seed) for x in texts]
                 both = [wide_fingerprint(x) for x in sets]
-                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64())]
+                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(least_hashes, sets), pa.list_(pa.int64()))]
             else:
                 made = [pa.array([fingerprint(x, shingle, seed) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide", "set", "size"][: 1 + len(made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide", "set", "size", "least"][: 1 + len(made)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary, set binary, size long" * wide)
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary, set binary, size long, least array<long>" * wide)
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -184,6 +199,8 @@ def allocate(counts: np.ndarray, n: int, tau: int, most_parts: int = 5, probe_co
             table = step
         if tau + 1 in table and table[tau + 1][0] < best[0]:
             best = (table[tau + 1][0], groups, table[tau + 1][1])
+    if not best[1]:
+        raise ValueError(f"no thresholds of 3 or less in {most_parts} partitions cover a distance of {tau}")
     return best[1], best[2]
 
 
@@ -256,95 +273,137 @@ def _through_middles(nodes: DataFrame, tau: int) -> DataFrame:
     return at.join(least, "point").filter("b IS NOT NULL AND b != fp").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def _forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) for the nodes 0..n-1 that the links reach and that are not the least."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        np.minimum.at(root, root[left], low)
-        np.minimum.at(root, root[right], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (root[left] == root[right]).all():
-            at = np.flatnonzero(root != np.arange(n))
-            return at, root[at]
-
-
-def _block_links(fp: np.ndarray, wide: np.ndarray, own: np.ndarray, tau: int, wide_tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is near in a block: those with ``own`` against all."""
-    mine = np.flatnonzero(own)
+def _block_links(fp: np.ndarray, wide: np.ndarray, size: np.ndarray, tau: int, wide_tau: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that connect what is near in a block. A node is compared with those that nothing links yet."""
+    free, todo = np.arange(len(fp)), []
     out_a, out_b = [], []
-    step = max(1, AT_ONCE // max(len(mine), 1))
-    for k in range(0, len(fp) if len(mine) else 0, step):
-        near = np.bitwise_count(fp[k : k + step, None] ^ fp[None, mine]) <= tau
-        i, j = np.nonzero(near)
-        i, j = i + k, mine[j]
-        some = i != j
-        i, j = i[some], j[some]
-        true = np.zeros(len(i), bool)
-        for z in range(0, len(i), 1 << 18):
-            y = slice(z, z + (1 << 18))
-            true[y] = np.bitwise_count(wide[i[y]] ^ wide[j[y]]).sum(axis=1, dtype=np.int64) <= wide_tau
-        a, b = _forest(i[true], j[true], len(fp))
-        out_a.append(fp[a])
-        out_b.append(fp[b])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-
-
-def link_similar(nodes: DataFrame, tau: int, wide_tau: int, block: int = BLOCK, plan: tuple | None = None) -> DataFrame:
-    """Links (a, b) that connect just what pairs within ``tau`` in ``fp`` and within ``wide_tau`` in ``wide`` connect, among distinct rows; rows of one ``fp`` count as linked.
-
-    The indexed nodes of a key are dealt into blocks of about ``block``, and
-    what probes the key meets each of its blocks, so a task holds one block
-    and reads its probes in turn, however many share the key.
-    """
-    n = nodes.count()
-    groups, thresholds = plan or allocate(bit_counts(nodes), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
-    indexed, probes = None, None
-    for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
-        if t < 0:
+    while len(free):
+        if not todo:
+            todo.append(int(free[0]))
+            free = free[1:]
+        x = todo.pop()
+        near = np.flatnonzero(np.bitwise_count(fp[free] ^ fp[x]) <= tau)
+        if len(near):
+            y = free[near]
+            true = np.bitwise_count(wide[y] ^ wide[x]).sum(axis=1, dtype=np.int64) <= wide_tau
+            true &= np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-9
+            found = y[true].tolist()
+            out_a += [x] * len(found)
+            out_b += found
+            todo += found
+            free = np.delete(free, near[true])
+    return out_a, out_b
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of the first column, a number, from batches in its order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        at = nodes.select(F.lit(k).alias("part"), own.alias("key"), F.lit(True).alias("own"), "fp", "wide")
-        indexed = at if indexed is None else indexed.unionByName(at)
-        sets = [c for size in range(1, t + 1) for c in itertools.combinations(bits, size)]
-        if sets:
-            listed = F.array(*[F.struct(F.lit(_mask(c)).alias("flip"), F.lit(_mask(c[:1])).alias("low")) for c in sets])
-            keys = F.transform(F.filter(listed, lambda s: F.col("fp").bitwiseAND(s["low"]) == 0), lambda s: own.bitwiseXOR(s["flip"]))
-            more = nodes.select(F.lit(k).alias("part"), F.explode(keys).alias("key"), F.lit(False).alias("own"), "fp", "wide")
-            probes = more if probes is None else probes.unionByName(more)
-    # own nodes of a key with several blocks probe the other blocks as well
-    counts = settle(indexed.groupBy("part", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "crowded")
-    every = indexed if probes is None else indexed.unionByName(probes)
-    dealt = every.join(counts, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = dealt.select("part", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "fp", "wide", home.alias("home"))
-    dealt = dealt.withColumn("own", F.col("own") & (F.col("home") == F.col("block"))).drop("home")
-    sorted_ = dealt.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", F.desc("own"))
+        table = pa.Table.from_batches([*held, batch])
+        key = table.column(0).to_numpy()
+        ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_bits(tau: int, wide_tau: int, similarity: float):
+    """What compares rows (key, node, fp, wide, size) of one key: links (a, b) of nodes whose bits are near and whose sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said, mine = None, None  # the key being read, and its block's nodes
-        for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
-            if not len(cols[0]):
-                continue
-            fp = np.ascontiguousarray(cols[4]).astype(np.int64).view(np.uint64)
-            wide = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, len(WIDE))
-            own = cols[3].astype(bool)
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            for a, b in itertools.pairwise([0, *new.tolist(), len(fp)]):
-                key = (cols[0][a], cols[1][a], cols[2][a])
-                f, w, o = fp[a:b], wide[a:b], own[a:b]
-                if key == said:  # the key goes on from an earlier batch: its block's nodes came first
-                    f, w, o = np.concatenate([mine[0], f]), np.concatenate([mine[1], w]), np.concatenate([np.ones(len(mine[0]), bool), o])
-                said, mine = key, (f[o], w[o])
-                if o.any() and len(f) > 1:
-                    x, y = _block_links(f, w, o, tau, wide_tau)
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-
-    return sorted_.mapInArrow(run, "a long, b long")
+        for table in whole_groups(batches):
+            key, node, fp, size = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "fp", "size"))
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, len(WIDE))
+            bits, found = fp.view(np.uint64), []
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in itertools.pairwise(cuts):
+                if b - a > 1:
+                    x, y = _block_links(bits[a:b], wide[a:b], size[a:b], tau, wide_tau, similarity)
+                    if x:
+                        found.append((node[a:b][x], node[a:b][y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return lambda rows: rows.repartition("key").sortWithinPartitions("key").select("key", "node", "fp", "wide", "size").mapInArrow(run, "a long, b long")
+
+
+def link_groups(members: DataFrame, room: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect just what pairs of one group connect. ``members`` is (grp, node, weight, ...); ``compare`` gives the links of rows with one ``key``.
+
+    A group is dealt into blocks of about ``room`` by weight, and the first
+    block meets every other. That leaves most groups in one piece; only what
+    is not in a group's largest piece then meets all of its blocks. So a group
+    of copies costs as its rows, and no link is left out: two members of one
+    piece need no further one.
+    """
+    totals = settle(members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("weight") / room), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "totals")
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = settle(members.join(totals, "grp").withColumn("home", home), "dealt")
+    last = F.col("blocks") - 1
+    at = F.when((F.col("home") == 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array("home"))
+    first = settle(compare(dealt.withColumn("at", F.explode(at)).withColumn("key", F.xxhash64("grp", "at"))), "first")
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        return first
+    roots = connected_components(first)
+    placed = settle(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    pieces = placed.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    rest = settle(placed.join(F.broadcast(pieces) if pieces.limit(MANY + 1).count() <= MANY else pieces, "grp").filter("root != most").drop("most"), "rest")
+    pairs = [F.col("node").alias("a"), F.col("root").alias("b")]
+    known = roots.select(*pairs).filter("a != b")
+    if rest.isEmpty():
+        return known
+    parts = settle(rest.groupBy("grp").agg(F.greatest(F.ceil(F.sum("weight") / room), F.lit(1)).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    some = rest.join(parts, "grp").withColumn("part", part).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    every = placed.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("at", F.col("home"))
+    both = some.unionByName(every).withColumn("key", F.xxhash64("grp", "at", "part", F.lit(1)))
+    return known.unionByName(settle(compare(both), "further"))
+
+
+def _in_groups(at: DataFrame) -> DataFrame:
+    """The rows of ``at`` (grp, ...) whose group has another, with the group's size."""
+    shared = settle(at.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    return settle(at.join(shared, "grp"), "members")
+
+
+def _keys(part: int, bits: list[int], threshold: int) -> Column:
+    """The keys of a node in a partition of its group: its own, and those within the threshold that are its to probe."""
+    own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+    mine = F.array(F.xxhash64("grp", F.lit(part), own))
+    sets = [c for size in range(1, threshold + 1) for c in itertools.combinations(bits, size)]
+    if not sets:
+        return mine
+    listed = F.array(*[F.struct(F.lit(_mask(c)).alias("flip"), F.lit(_mask(c[:1])).alias("low")) for c in sets])
+    open_ = F.filter(listed, lambda s: F.col("fp").bitwiseAND(s["low"]) == 0)
+    return F.concat(mine, F.transform(open_, lambda s: F.xxhash64("grp", F.lit(part), own.bitwiseXOR(s["flip"]))))
+
+
+def link_similar(nodes: DataFrame, tau: int, wide_tau: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of candidates among ``nodes`` (node, fp, wide, size, least).
+
+    Candidates share one of their ``least`` hashes, lie within ``tau`` and
+    ``wide_tau`` bits, and their sizes allow ``similarity``. A group that
+    shares a least hash is compared whole if it fits a block. A larger one is
+    cut by the generalised pigeonhole: its nodes meet in the group's keys,
+    each under its own bits of a partition and under those within the
+    partition's threshold.
+    """
+    data = ["node", "fp", "wide", "size"]
+    members = _in_groups(nodes.select(F.explode("least").alias("grp"), *data))
+    large = members.filter(F.col("n") > block)
+    n = large.agg(F.max("n")).first()[0]
+    cut = members.filter(F.col("n") <= block).select("grp", *data)
+    if n is not None:
+        groups, thresholds = allocate(bit_counts(large.dropDuplicates(["node"])), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
+        keys = F.concat(*[_keys(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0])
+        cut = cut.unionByName(large.withColumn("key", F.explode(keys)).select(F.col("key").alias("grp"), *data))
+    return link_groups(cut.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
 
 
 def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -381,35 +440,26 @@ def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], li
 
 
 def verified(members: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
-    """Links (a, b) between the ``set`` of ``members`` (root, set, size, hashes: the shingles' hashes as bytes) that connect just what pairs of one root with a Jaccard similarity of ``similarity`` or more connect.
-
-    The texts of a large root are dealt into blocks of about ``block``
-    shingles, and each two blocks meet in a task of their own.
-    """
-    counts = members.groupBy("root").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
-    dealt = members.join(counts, "root").withColumn("blocks", F.greatest("blocks", F.lit(1)))
-    home = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = dealt.select("root", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "set", "hashes")
-    dealt = dealt.select("root", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "set", "hashes")
+    """Links (a, b) between the ``set`` of ``members`` (root, set, size, hashes: the shingles' hashes as bytes) that connect just what pairs of one root with a Jaccard similarity of ``similarity`` or more connect, in blocks of about ``block`` shingles."""
 
     def run(group: pa.Table) -> pa.Table:
-        names = group.column("set").to_pylist()
+        names = group.column("node").to_pylist()
         a, b = _set_links([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()], similarity)
         return pa.table({"a": pa.array([names[k] for k in a], pa.binary()), "b": pa.array([names[k] for k in b], pa.binary())})
 
-    return dealt.groupBy("root", "low", "high").applyInArrow(run, "a binary, b binary")
+    def compare(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "node", "hashes").groupBy("key").applyInArrow(run, "a binary, b binary")
+
+    return link_groups(members.select(F.col("root").alias("grp"), F.col("set").alias("node"), F.col("size").alias("weight"), "hashes"), block, compare)
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int, seed: int, similarity: float) -> DataFrame:
     """``near_dedup`` with a similarity. Nodes are distinct shingle sets."""
     rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, True).withColumnRenamed(id_col, "_id"), "fingerprints")
-    first = [F.first(c).alias(c) for c in ("fp", "wide", "size")]
-    nodes = settle(rows.groupBy("set").agg(F.min("_id").alias("_least"), *first), "nodes")
-    links = link_similar(nodes.select("fp", "wide").distinct(), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)))
-    roots = connected_components(links).withColumnRenamed("node", "fp")
-    grouped = settle(nodes.join(roots, "fp", "left").select("set", "size", "_least", F.coalesce("root", "fp").alias("root")), "grouped")
-    many = grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    chosen = settle(grouped.join(many, "root"), "candidates")
+    first = [F.first(c).alias(c) for c in ("fp", "wide", "size", "least")]
+    nodes = settle(rows.groupBy("set").agg(F.min("_id").alias("_least"), *first).withColumn("node", F.xxhash64("set")), "nodes")
+    links = link_similar(nodes.drop("set", "_least"), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)), similarity)
+    chosen = settle(nodes.join(connected_components(links), "node").select("root", "set", "size", "_least"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,7 +471,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int
     texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "left_semi").select("_text")
     hashes = texts.mapInArrow(sets, "set binary, hashes binary").dropDuplicates(["set"])
     members = settle(chosen.select("root", "set", "size").join(hashes, "set"), "members")
-    parts = connected_components(settle(verified(members, similarity), "verified")).withColumnsRenamed({"node": "set", "root": "part"})
+    parts = connected_components(verified(members, similarity)).withColumnsRenamed({"node": "set", "root": "part"})
     joined = settle(nodes.join(parts, "set", "left").select("set", "_least", F.coalesce("part", "set").alias("part")), "rooted")
     named = joined.join(joined.groupBy("part").agg(F.min("_least").alias("component_id")), "part").select("set", "component_id")
     return rows.select("_id", "fp", "set").join(named, "set").select(F.col("_id").alias(id_col), "fp", "component_id")
