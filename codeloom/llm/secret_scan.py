@@ -2,8 +2,8 @@
 
 Base spans are matches of single patterns. Weak parts (identifiers, long
 tokens, endpoints) mean nothing alone; an interval join within scopes tells
-which of them have their complementary parts nearby, and only those are
-reported beside the base spans.
+which of them have their complementary parts nearby, none of them overlapping,
+and only those are reported beside the base spans.
 
 Positions come without a UDF: the pieces between a pattern's matches and the
 matches themselves alternate, so a running sum of their lengths over a
@@ -83,31 +83,41 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak parts that have, within ``scope``, a part of every role that they need.
+    """The weak parts that have, within ``scope``, a part of every role that they need, where these parts and the weak one are disjoint.
 
     Parts meet in bins of one scope's width, each part of a needed role in its
-    own bin and both neighbours; a semi join keeps a weak part's need or not,
-    so no pairs come out.
+    own bin and both neighbours, so a weak part meets what begins within two
+    scopes of it and no more. An identifier and a secret that are disjoint
+    exist if the first end of one role lies at or before the last start of the
+    other, so four sums a weak part decide.
     """
     key = ["_id", "_h", "_n"]
     role = F.create_map(*[F.lit(x) for k, v in (BASE | WEAK).items() for x in (k, v[1])])
-    needs = F.create_map(*[x for k, v in WEAK.items() for x in (F.lit(k), F.array(*map(F.lit, v[2])))])
     bin_of = F.floor(F.col("start") / scope)
-    weak = parts.filter(F.col("kind").isin(*WEAK)).select(*key, "kind", "start", "end", bin_of.alias("bin"), F.explode(needs[F.col("kind")]).alias("role"))
-    near = parts.select(*key, F.col("start").alias("at"), role[F.col("kind")].alias("role"), F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin")).filter("role != 'endpoint'")
+    weak = parts.filter(F.col("kind").isin(*WEAK)).select(*key, "kind", "start", "end", bin_of.alias("bin"))
+    near = parts.select(*key, F.col("start").alias("p_start"), F.col("end").alias("p_end"), role[F.col("kind")].alias("role"), F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin")).filter("role != 'endpoint'")
     a, b = weak.alias("a"), near.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "role", "bin")]
-    met = a.join(b, [*same, F.abs(F.col("a.start") - F.col("b.at")) <= scope], "left_semi")
-    wanted = F.create_map(*[x for k, v in WEAK.items() for x in (F.lit(k), F.lit(len(v[2])))])
-    return met.groupBy(*key, "kind", "start", "end").agg(F.count("*").alias("met")).filter(F.col("met") == wanted[F.col("kind")]).drop("met")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "bin")]
+    apart = (F.col("p_end") <= F.col("start")) | (F.col("p_start") >= F.col("end"))
+    met = a.join(b, [*same, F.abs(F.col("start") - F.col("p_start")) <= scope, apart]).select("a.*", "role", "p_start", "p_end")
+    one = lambda r, c: F.when(F.col("role") == r, F.col(c))
+    sums = [f(one(r, c)).alias(f"{r}_{c}") for r in ("ident", "secret") for f, c in ((F.max, "p_start"), (F.min, "p_end"))]
+    met = met.groupBy(*key, "kind", "start", "end").agg(*sums)
+    both = (F.col("ident_p_end") <= F.col("secret_p_start")) | (F.col("secret_p_end") <= F.col("ident_p_start"))
+    has = {"ident": F.col("ident_p_end").isNotNull(), "secret": F.col("secret_p_end").isNotNull()}
+    found = F.lit(False)
+    for kind, (_, _, needs) in WEAK.items():
+        found = found | ((F.col("kind") == kind) & (has[needs[0]] if len(needs) == 1 else both))
+    return met.filter(found).select(*key, "kind", "start", "end")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per input row: the id and ``found``, its spans by start, then kind, as array of (start, rank, kind, end).
 
     A null text is empty; rows with a null id are kept; rows that share an id
-    are scanned apart. Other columns are ignored. A row without spans has an
-    empty array.
+    are scanned apart, and rows that repeat an id and a text each have its
+    spans. Texts of any length are scanned whole. Other columns are ignored. A
+    row without spans has an empty array; an empty table gives an empty one.
     """
     key = ["_id", "_h", "_n"]
     parts = settle(find_parts(docs, id_col, text_col))
@@ -152,10 +162,17 @@ def _sql_hits(kind, rank, role, pattern, group=0, rest=""):
                string_split_regex(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}')))) {rest}"""
 
 
-_WEAK_SQL = " UNION ALL ".join(
-    f"SELECT p.* FROM p WHERE kind = '{k}' AND " + " AND ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.role = '{r}' AND abs(q.s - p.s) <= {SCOPE})" for r in v[2])
-    for k, v in WEAK.items()
-)
+def _near_sql(role: str, name: str) -> str:
+    return f"{name}.doc_id = p.doc_id AND {name}.role = '{role}' AND abs({name}.s - p.s) <= {SCOPE} AND ({name}.e <= p.s OR {name}.s >= p.e)"
+
+
+def _need_sql(needs: tuple) -> str:
+    if len(needs) == 1:
+        return f"EXISTS (SELECT 1 FROM p q WHERE {_near_sql(needs[0], 'q')})"
+    return f"EXISTS (SELECT 1 FROM p q, p r WHERE {_near_sql(needs[0], 'q')} AND {_near_sql(needs[1], 'r')} AND (q.e <= r.s OR r.e <= q.s))"
+
+
+_WEAK_SQL = " UNION ALL ".join(f"SELECT p.* FROM p WHERE kind = '{k}' AND {_need_sql(v[2])}" for k, v in WEAK.items())
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 p AS ({" UNION ALL ".join([
