@@ -1,10 +1,12 @@
 """Exact top-k search as a Voronoi kNN join.
 
-Pivots cut queries and data into cells. From the cells' summaries (counts,
-radii, the largest norms) each query group gets a score that at least k + 1
-rows are certain to reach; a data row goes to a group only if the bound
-<pivot, x> + radius * |x| reaches that score. Groups are solved in blocks of
-bounded size and the blocks' best are merged.
+Pivots cut queries and data into cells, more of them the more rows there are.
+From the cells' summaries (counts, radii) each query cell gets a score that
+enough rows are certain to reach for all of its queries; a data cell, and then
+a row, is needed only if its bound can reach that score for some query cell.
+Query cells are merged into groups, as many as cost least by these bounds: each
+group gets only the data that it needs. Groups are solved in blocks of bounded
+size and the blocks' best are merged.
 
 Scores are integer inner products of floor(scale * x). Vectors that are null
 or hold null or non-finite components take no part; shorter vectors count as
@@ -25,10 +27,12 @@ from pyspark.sql import types as T
 
 from ._shared import settle
 
-#: Pivots are a bounded sample: the rows with the smallest seeded hashes.
-PIVOTS = 8
+#: Pivots at most and at least: the rows with the smallest seeded hashes, as many as the root of all rows between these.
+MOST_PIVOTS, LEAST_PIVOTS = 1024, 8
 #: Rows of a block: data, queries.
 DATA_BLOCK, QUERY_BLOCK = 20_000, 20_000
+#: What sending a row to a group costs against scoring it for a query.
+SEND_COST = 2000.0
 #: Components beyond this take exact Python integers instead of double arithmetic.
 EXACT = 2.0**53
 LEAST = -(2**62)
@@ -91,63 +95,126 @@ def _top(scores: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, k: int) -> tu
     return r[ok], c[ok], scores[r[ok], c[ok]]
 
 
-def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that satisfies the SQL condition ``is_query`` on ``vec_id``, its k best others.
+def plan_groups(p: np.ndarray, cells: list, k: int, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each pivot or -1, reach of each query cell, its radius, which pivots' cells each group needs).
 
-    Rows that bear the query's id never match it; rows that repeat another id
-    match once each; of rows that repeat a query's id, each vector asks once. An empty table, or one without usable vectors, gives an
-    empty result.
+    ``cells`` has a row (cell, n, far, nq, q_far) per pivot with rows; all
+    bounds follow from <q, x> with q and x within their radii of their pivots.
+    ``copies`` rows at most bear a query's own id and do not count for it.
     """
+    n_p, slack = len(p), 1e-6
+    n, far, nq, q_far = (np.zeros(n_p) for _ in range(4))
+    for c in cells:
+        n[c["cell"]], far[c["cell"]], nq[c["cell"]], q_far[c["cell"]] = c["n"], c["far"] * (1 + slack), c["nq"] or 0, (c["q_far"] or 0.0) * (1 + slack)
+    asks = np.flatnonzero(nq > 0)
+    norm = np.linalg.norm(p, axis=1)
+    dot, room = p[asks] @ p.T, np.outer(q_far[asks], norm) + np.outer(norm[asks], far) + np.outer(q_far[asks], far)
+    reach = np.full(n_p, -math.inf)
+    for row, a in enumerate(asks):
+        low = dot[row] - room[row]
+        order = np.argsort(-low)
+        sure = np.cumsum(n[order])
+        at = int(np.searchsorted(sure, k + copies))
+        if at < n_p:
+            reach[a] = low[order[at]] - slack * (1 + abs(low[order[at]]))
+    needs = (dot + room >= reach[asks][:, None]) & (n > 0)
+    # groups by farthest pivots, 1, 2, 4, ... of them; the cheapest number
+    best, best_cost = None, math.inf
+    centres, gap = [], np.full(len(asks), np.inf)
+    of = np.zeros(len(asks), np.int64)
+    size = 1
+    while len(asks):
+        while len(centres) < min(size, len(asks)):
+            new = int(gap.argmax()) if centres else 0
+            d = ((p[asks] - p[asks[new]]) ** 2).sum(1)
+            of[d < gap] = len(centres)
+            gap = np.minimum(gap, d)
+            centres.append(new)
+        kept = np.zeros((len(centres), n_p), bool)
+        np.logical_or.at(kept, of, needs)
+        rows, asked = kept @ n, np.bincount(of, nq[asks], len(centres))
+        cost = float((SEND_COST * rows * np.ceil(asked / QUERY_BLOCK) + rows * asked).sum())
+        if cost < best_cost:
+            best, best_cost = (of.copy(), kept), cost
+        if size >= len(asks):
+            break
+        size *= 2
+    group = np.full(n_p, -1)
+    if best is None:
+        return group, reach, q_far, np.zeros((0, n_p), bool)
+    group[asks] = best[0]
+    return group, reach, q_far, best[1]
+
+
+def deal(rows: DataFrame, p: np.ndarray, plan: tuple, q_blocks: list[int], blocks: int) -> DataFrame:
+    """(grp, qb, db, vec_id, v): the rows (vec_id, cell, norm, v) that each group needs, once per block of its queries."""
+    group, reach, radius, kept = plan
+    width, slack = p.shape[1], 1e-6
+    wanted = np.flatnonzero(kept.any(0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asks = np.flatnonzero(group >= 0)
+        for b in batches:
+            x = _matrix(list(b["v"]), width)
+            norm, cell = b["norm"].to_numpy(), b["cell"].to_numpy()
+            block = (b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
+            near = x @ p[asks].T + radius[asks][None, :] * norm[:, None] * (1 + slack) + slack >= reach[asks][None, :]
+            for g in range(len(kept)):
+                some = np.flatnonzero(kept[g][cell] & near[:, group[asks] == g].any(1))
+                for qb in range(q_blocks[g] if len(some) else 0):
+                    yield pd.DataFrame({"grp": g, "qb": qb, "db": block[some].astype(np.int64), "vec_id": b["vec_id"].to_numpy()[some], "v": b["v"].to_numpy()[some]})
+
+    some = rows if len(wanted) == len(p) else rows.filter(F.col("cell").isin(*map(int, wanted)))
+    return some.select("vec_id", "cell", "norm", "v").mapInPandas(run, "grp int, qb int, db long, vec_id long, v binary")
+
+
+def prepare(df: DataFrame, is_query: str, k: int, id_col: str, vec_col: str, scale: int, pivots: int | None) -> tuple | None:
+    """The rows by cell, the pivots, the plan, the number of query blocks of each group and of data blocks; None if there is nothing to ask."""
     data = settle(quantise(df, id_col, vec_col, scale), "vectors")
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # a bounded number of rows
-    result = "query_id long, rank int, vec_id long, score long"
+    total, width = data.agg(F.count("*"), F.max(F.octet_length("v"))).first()
+    count = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(total)))
+    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()  # a bounded number of rows
     if not chosen:
-        return df.sparkSession.createDataFrame([], result)
-    width = data.agg(F.max(F.octet_length("v"))).first()[0] // 8
-    p = _matrix([bytes(r["v"]) for r in chosen], width)
+        return None
+    width //= 8
+    p = np.unique(_matrix([bytes(r["v"]) for r in chosen], width), axis=0)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _matrix(list(b["v"]), width)
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :], 0))
             cell = d.argmin(1)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": cell, "far": d[np.arange(len(x)), cell], "norm": np.linalg.norm(x, axis=1), "v": b["v"]})
+            exact = np.sqrt(((x - p[cell]) ** 2).sum(1))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": cell, "far": exact, "norm": np.linalg.norm(x, axis=1), "v": b["v"]})
 
-    rows = settle(data.mapInPandas(cells, "vec_id long, cell int, far double, norm double, v binary").withColumn("q", F.expr(is_query)), "cells")
+    rows = settle(data.mapInPandas(cells, "vec_id long, cell int, far double, norm double, v binary").withColumn("q", F.coalesce(F.expr(is_query), F.lit(False))).sortWithinPartitions("cell"), "cells")
     said = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.sum(F.col("q").cast("long")).alias("nq"), F.max(F.when(F.col("q"), F.col("far"))).alias("q_far")).collect()  # a row per pivot
-    total = sum(s["n"] for s in said)
-    groups, slack = {}, 1e-6
-    for g in said:
-        if not g["nq"]:
-            continue
-        pg, rg = p[g["cell"]], g["q_far"] * (1 + slack)
-        # what each cell's rows reach for any query of the group, best cells first, until k and the query itself are certain
-        low = sorted(((float(pg @ p[c["cell"]]) - rg * np.linalg.norm(p[c["cell"]]) - c["far"] * np.linalg.norm(pg) - rg * c["far"], c["n"]) for c in said), reverse=True)
-        sure, reach = 0, -math.inf
-        for score, n in low:
-            sure += n
-            if sure >= k + 1:
-                reach = score
-                break
-        groups[g["cell"]] = (rg, reach, max(1, math.ceil(g["nq"] / QUERY_BLOCK)))
-    blocks = max(1, math.ceil(total / DATA_BLOCK))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = _matrix(list(b["v"]), width)
-            norm = b["norm"].to_numpy()
-            dot = x @ p.T
-            block = (b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
-            for g, (rg, reach, q_blocks) in groups.items():
-                keep = dot[:, g] + rg * norm * (1 + slack) + slack >= reach
-                for qb in range(q_blocks):
-                    yield pd.DataFrame({"grp": g, "qb": qb, "db": block[keep].astype(np.int64), "vec_id": b["vec_id"][keep], "v": b["v"][keep]})
-
-    dealt = rows.select("vec_id", "norm", "v").mapInPandas(deal, "grp int, qb int, db long, vec_id long, v binary")
-    q_blocks = F.create_map(*[x for g, s in groups.items() for x in (F.lit(g), F.lit(s[2]))]) if groups else F.lit(None)
-    asked = rows.filter("q").dropDuplicates(["vec_id", "v"]).select(F.col("cell").alias("grp"), F.pmod(F.xxhash64("vec_id"), q_blocks[F.col("cell")]).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("db"), "vec_id", F.xxhash64("v").alias("qh"), "v") if groups else None
-    if asked is None:
-        return df.sparkSession.createDataFrame([], result)
+    copies = rows.filter("q").groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if copies is None:
+        return None
+    plan = plan_groups(p, said, k, copies)
+    asked = np.bincount(plan[0][[s["cell"] for s in said if s["nq"]]], [s["nq"] for s in said if s["nq"]], len(plan[3]))
+    return rows, p, plan, [max(1, math.ceil(n / QUERY_BLOCK)) for n in asked], max(1, math.ceil(total / DATA_BLOCK))
+
+
+def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that satisfies the SQL condition ``is_query`` on ``vec_id``, its k best others, ties to smaller ids.
+
+    Rows that bear the query's id never match it; rows that repeat another id
+    match once each; of rows that repeat a query's id, each vector asks once.
+    Null ids and unusable vectors take no part; other columns are ignored. An
+    empty table, or one without usable vectors, gives an empty result.
+    """
+    found = prepare(df, is_query, k, id_col, vec_col, scale, pivots)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows, p, plan, q_blocks, blocks = found
+    width = p.shape[1]
+    dealt = deal(rows, p, plan, q_blocks, blocks)
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in plan[0]]), F.col("cell") + 1)
+    of = F.element_at(F.array(*map(F.lit, q_blocks)), F.col("grp") + 1)
+    asked = rows.filter("q").dropDuplicates(["vec_id", "v"]).withColumn("grp", group)
+    asked = asked.select("grp", F.pmod(F.xxhash64("vec_id"), of).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("db"), "vec_id", F.xxhash64("v").alias("qh"), "v")
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
