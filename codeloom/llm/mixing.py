@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import others, settle
 
 HASH_BITS = 60
 
@@ -33,40 +33,59 @@ def seeded(doc_id: Column, seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
 
-def share(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
+def share(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     """Add ``budget``: each parent's ``given`` tokens over its children (``cap``, ``weight``), by water-filling.
 
-    Children with the least capacity for their weight are filled first; in
-    that order, one is full if its part of what is left by weight is at least
-    its capacity, and the others share the rest by weight.
+    There is a level of tokens by weight to which all children fill or at
+    which they are full before. Children with the least capacity for their
+    weight are full first, so the level lies at one place in that order: sums
+    over bins of the order (a few hundred for any number of children) tell in
+    which bin, and only that bin's children are put in order.
     """
-    by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(1))
-    before = by.orderBy(F.col("cap") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    nodes = nodes.withColumn("full", F.col("cap") * weight <= F.col("weight") * left)
-    rest = F.col("given") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(by)
-    open_ = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(by)
-    return nodes.withColumn("budget", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * rest / open_)).drop("full", "given")
+    ratio = F.col("cap") / F.col("weight")
+    nodes = settle(nodes.withColumn("bin", F.floor(F.log2(ratio) * 16).cast("int")), "nodes")
+    bins = nodes.groupBy(*parent, "bin").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max(ratio).alias("most"), F.first("given").alias("given"))
+    if not parent:
+        bins, parent_by = bins.withColumn("_all", F.lit(1)), ["_all"]  # a few hundred rows
+    else:
+        parent_by = list(parent)
+    by = Window.partitionBy(*parent_by)
+    upto, after = by.orderBy("bin"), by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("c_upto", F.sum("cap").over(upto)).withColumn("w_after", F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
+    full = F.col("c_upto") + F.col("most") * F.col("w_after") <= F.col("given")
+    edge = bins.withColumn("full", full).filter("NOT full").groupBy(*parent_by).agg(F.min_by(F.struct("bin", "given", (F.col("c_upto") - F.col("cap")).alias("c_before"), (F.col("w_after") + F.col("weight")).alias("w_from")), "bin").alias("e")).select(*parent_by, "e.*")
+    edge = edge.drop("_all")
+    # in the bin of the level: full as long as its part of what is left by weight is its capacity or more
+    rows = _join(nodes.drop("given"), edge, [*parent, "bin"])
+    one = Window.partitionBy(*[F.col(c) for c in parent] or [F.lit(1)])
+    before = one.orderBy(ratio).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("given") - F.col("c_before") - F.coalesce(F.sum("cap").over(before), F.lit(0))
+    weight = F.col("w_from") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    rows = rows.withColumn("full", F.col("cap") * weight <= F.col("weight") * left)
+    taken = lambda c: F.sum(F.when(F.col("full"), F.col(c)).otherwise(0))
+    level = rows.groupBy(*parent).agg(F.try_divide(F.first("given") - F.first("c_before") - taken("cap"), F.first("w_from") - taken("weight")).alias("level"))
+    found = _join_left(nodes, level, parent) if parent else nodes.withColumn("level", F.lit(level.first()[0]).cast("double"))
+    budget = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")))
+    return found.withColumn("budget", budget).drop("level", "given", "bin")
 
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: dict, budget: float | Column, max_epochs: int) -> DataFrame:
-    """(levels..., avail, budget) of each leaf (levels..., avail). Weights go by level and name; a name not listed weighs 1, a weight of 0 or less takes the node and what is below out."""
+    """(levels..., avail, n, budget) of each leaf (levels..., avail, n). Weights go by level and name; a name not listed weighs 1, a weight of 0 or less takes the node and what is below out."""
     leaves = leaves.filter("avail > 0")
     for level in levels:
         leaves = leaves.withColumn(f"w_{level}", _weight(level, weights.get(level, {}))).filter(f"w_{level} > 0")
     leaves = leaves.withColumn("cap", F.col("avail") * max_epochs)
-    total = F.sum("cap").over(Window.partitionBy(F.lit(1)))
+    total = leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).cast("double")).first()[0]
     given = None
     for depth, level in enumerate(levels):
         path, parent = list(levels[: depth + 1]), list(levels[:depth])
         nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first(f"w_{level}").alias("weight"))
         if given is None:
-            nodes = nodes.withColumn("given", F.least(total.cast("double"), budget if isinstance(budget, Column) else F.lit(float(budget))))
+            nodes = nodes.withColumn("given", F.least(F.lit(total), budget if isinstance(budget, Column) else F.lit(float(budget))))
         else:
             nodes = _join(nodes, given, parent)
-        given = share(nodes, parent, level).select(*path, F.col("budget").alias("given"))
-    return _join(leaves.select(*levels, "avail"), given.withColumnRenamed("given", "budget"), levels)
+        given = share(nodes, parent).select(*path, F.col("budget").alias("given"))
+    return _join(leaves.select(*levels, "avail", "n"), given.withColumnRenamed("given", "budget"), levels)
 
 
 def _weight(level: str, by_name: dict) -> Column:
@@ -91,14 +110,16 @@ def mix(
     seed: int = 7,
     id_col: str = "doc_id",
     tokens: Column | None = None,
-    slot_bits: int = 12,
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once per epoch that takes them, with columns ``_epoch`` and ``_tokens`` added.
 
     ``levels`` names the tree from the root with an expression each; null is a
     name like any other. The budget is ``share_of_tokens`` of all tokens. Rows
-    without tokens are in no leaf and are not taken. A leaf's order goes by
-    (seeded hash, id); rows that tie in both are taken together or not at all.
+    without tokens (null and empty texts) are in no leaf and are not taken;
+    long texts count whole. A leaf's order goes by (seeded hash, id); rows that
+    tie in both, as repeated ones do, are taken together or not at all. Columns
+    named ``_epoch`` or ``_tokens`` are replaced; an empty table gives an empty
+    one.
     """
     names = list(levels)
     keyed = [e.alias(f"_l{i}") for i, e in enumerate(levels.values())]
@@ -106,15 +127,17 @@ def mix(
     weights = {f"_l{i}": weights.get(n, {}) for i, n in enumerate(names)}
     tokens = n_words(F.col("text")) if tokens is None else tokens
     narrow = settle(docs.select(F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_n")), "narrow")
-    leaves = settle(narrow.groupBy(*cols).agg(F.sum("_n").alias("avail")), "leaves")
+    leaves = settle(narrow.groupBy(*cols).agg(F.sum("_n").alias("avail"), F.count("*").alias("n")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("avail"), F.lit(0))).first()[0]
     budgets = leaf_budgets(leaves, cols, weights, share_of_tokens * total, max_epochs)
     whole = F.least(F.floor((F.col("budget") + 1e-6) / F.col("avail")), F.lit(max_epochs)).cast("int")
     budgets = settle(budgets.withColumn("_whole", whole).withColumn("_rest", F.floor(F.col("budget") + 1e-6 - F.col("_whole") * F.col("avail"))), "budgets")
 
+    # about as many slots as rows in a slot
+    budgets = budgets.withColumn("_bits", F.least(F.ceil(F.log2(F.col("n").cast("double") + 1) / 2), F.lit(24)).cast("int"))
     place = seeded(F.col("_id"), seed, F.col("_whole"))
-    slot = F.shiftright(place, HASH_BITS - slot_bits)
-    open_ = _join(narrow.filter("_n > 0"), budgets.filter("_rest > 0").drop("avail", "budget"), cols).withColumn("_place", place).withColumn("_slot", slot)
+    slot = F.call_function("shiftright", place, F.lit(HASH_BITS) - F.col("_bits"))
+    open_ = _join(narrow.filter("_n > 0"), budgets.filter("_rest > 0").drop("avail", "budget", "n"), cols).withColumn("_place", place).withColumn("_slot", slot)
     sums = open_.groupBy(*cols, "_slot", "_rest").agg(F.sum("_n").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy(*cols).orderBy("_slot"))
     ends = sums.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_sum")).filter("_before <= _rest AND _upto > _rest")
@@ -123,7 +146,7 @@ def mix(
     taken = last.withColumn("_cum", cum).filter("_cum <= _rest")
     edge = taken.groupBy(*cols).agg(F.max(F.struct("_place", "_id")).alias("_edge"))
     ends = _join_left(ends.select(*cols, "_slot"), edge, cols)
-    plan = settle(_join_left(budgets.drop("avail", "budget", "_rest"), ends, cols), "plan")
+    plan = settle(_join_left(budgets.drop("avail", "budget", "_rest", "n"), ends, cols), "plan")
 
     # the rows travel as one struct, so that no column of theirs can clash with one of these
     marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_tokens")).filter("_tokens > 0")
@@ -132,7 +155,7 @@ def mix(
     rows = marked.filter(last_epoch >= 0).select("*", F.explode(F.sequence(F.lit(0), last_epoch)).alias("_epoch"))
     within = (slot < F.col("_slot")) | ((slot == F.col("_slot")) & F.col("_edge").isNotNull() & (F.struct(place.alias("_place"), F.col("_id")) <= F.col("_edge")))
     rows = rows.filter((F.col("_epoch") < F.col("_whole")) | within)
-    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns], "_epoch", "_tokens")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in others(docs, "_epoch", "_tokens")], "_epoch", "_tokens")
 
 
 def _join_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
