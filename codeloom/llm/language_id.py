@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import others
+
 #: Width of the state in each direction; bytes of a window when labelling; windows side by side.
 HIDDEN, WINDOW, SIDE = 8, 256, 1024
 #: The bound of the training sample: documents of each language, windows of each, bytes of a window.
@@ -43,8 +45,8 @@ class Model:
     bias: np.ndarray
 
 
-def _forward(table, recurrent, x, keep=False):
-    """States (T, H, B) after each byte of ``x`` (T, B), and what the backward pass needs."""
+def _forward(table, recurrent, x, keep=False, inside=None):
+    """States (T, H, B) after each byte of ``x`` (T, B), and what the backward pass needs. Outside ``inside`` (T, B) the state stays zero."""
     steps, b = x.shape
     h3, width = recurrent.shape
     h = np.zeros((width, b), np.float32)
@@ -69,6 +71,8 @@ def _forward(table, recurrent, x, keep=False):
         h -= n
         h *= zr[:width]
         h += n
+        if inside is not None:
+            h *= inside[t]
         out[t] = h
     return out, saved
 
@@ -159,7 +163,8 @@ def label(model: Model, texts: list[bytes], size: int = WINDOW, side: int = SIDE
         seen = IS_TEXT[x] & inside
         x = x.astype(np.intp)
         ahead, _ = _forward(model.tables[0], model.recurrent[0], x)
-        back, _ = _forward(model.tables[1], model.recurrent[1], x[::-1])
+        # a window shorter than its neighbours begins at its own last byte, from a zero state
+        back, _ = _forward(model.tables[1], model.recurrent[1], x[::-1], inside=None if inside.all() else inside[::-1])
         pooled = np.zeros((n_lang, len(some)), np.float64)
         weight = seen.astype(np.float32)
         for t in range(steps):
@@ -168,10 +173,10 @@ def label(model: Model, texts: list[bytes], size: int = WINDOW, side: int = SIDE
             p += model.bias
             p -= p.max(0)
             np.exp(p, out=p)
-            p *= weight[t] / p.sum(0)
-            pooled += p
             if positions:
                 labels[at[t][inside[t]]] = p.argmax(0)[inside[t]]
+            p *= weight[t] / p.sum(0)
+            pooled += p
         np.add.at(total, doc[some], pooled.T)
         np.add.at(letters, doc[some], seen.sum(0))
     return total, letters, labels
@@ -221,31 +226,38 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", segmen
 
     A text that is null or has no letter is ``und`` with score 0, as is every
     text when there is no model. Ties go to the language that sorts first.
+    Texts of any length are read whole, in windows. Each row is answered for
+    itself, repeated ones alike; an empty table gives an empty one. Columns of
+    ``docs`` that bear a result's name are replaced.
     """
     runs_type = "array<struct<start:int,end:int,lang:string>>"
-    kept = docs if keep_text else docs.drop(text_col)
+    kept = docs.select(*[F.col(f"`{c}`") for c in others(docs, "lang_pred", "score", *["lang_runs"] * segments) if keep_text or c != text_col])
     if model is None:
         out = kept.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
         return out.withColumn("lang_runs", F.array().cast(runs_type)) if segments else out
     langs = model.langs
+    sent = kept if text_col in kept.columns else docs.select(*kept.columns, text_col)
+    at = sent.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             known = np.array([has_letter(t) for t in texts], bool)
             total, letters, labels = label(model, texts, positions=segments)
             p = total / np.maximum(letters, 1)[:, None]
             best = p.argmax(1)
-            columns = [*batch.columns[:-1], pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], pa.string())]
+            columns = [c for k, c in enumerate(batch.columns) if keep_text or k != at]
+            names = [c for k, c in enumerate(batch.schema.names) if keep_text or k != at]
+            columns.append(pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], pa.string()))
             columns.append(pa.array(np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0), pa.float64()))
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
+            names += ["lang_pred", "score"]
             if segments:
                 columns.append(_runs(texts, labels, langs))
                 names.append("lang_runs")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string", "score double"] + [f"lang_runs {runs_type}"] * segments)
-    return docs.select(*kept.columns, F.col(text_col).cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def _runs(texts, labels, langs) -> pa.Array:
