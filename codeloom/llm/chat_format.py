@@ -57,10 +57,12 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, learn_roles=("assistant",)) -> DataFrame:
     """One row per conversation: ``pieces`` (a rendered message each), ``loss`` (of each piece, start and length in code points of what is learned), ``formatted`` (the pieces joined).
 
-    The text of ``learn_roles`` is learned, nothing else.
+    The text of ``learn_roles`` is learned, nothing else. Null roles and texts
+    are empty; texts of any length are rendered whole; messages of one
+    position go by their rendered text; an empty table gives an empty one.
     """
-    head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    body = escape(F.col("text"))
+    head = F.concat(F.lit(START), escape(F.coalesce("role", F.lit(""))), F.lit(SEP))
+    body = escape(F.coalesce("text", F.lit("")))
     loss = F.struct(F.char_length(head).alias("start"), F.when(F.col("role").isin(*learn_roles), F.char_length(body)).otherwise(0).alias("length"))
     piece = F.struct("position", F.concat(head, body, F.lit(END + "\n")).alias("piece"), loss.alias("loss"))
     joined = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
@@ -83,17 +85,34 @@ def read_loss(pieces: Column, loss: Column) -> Column:
     return F.array_join(F.transform(masked, unescape), "")
 
 
-def to_events(conversations: DataFrame, delta_chars: int = 256) -> DataFrame:
-    """The log of a finished conversation table (conv_id, turn, role, text): a start and, as in streaming, deltas of so many characters.
+def to_events(conversations: DataFrame, delta_chars: int = 256, seed: int = 13) -> DataFrame:
+    """A log that folds to the finished conversations (conv_id, turn, role, text), as an editor of streamed chats would have left it.
+
+    Each message is a start and deltas of so many characters. By a seeded
+    hash, a quarter of the messages were drafted first and then edited, and a
+    quarter were drafted, answered by a message that the regeneration
+    withdraws, and streamed again.
 
     Rows go by turn; rows of one turn by role, then text.
     """
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("msg_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    rows = rows.withColumn("msg_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     chunks = F.when(F.char_length("text") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{delta_chars}}}"), F.lit(0)))
-    rows = rows.select("conv_id", "msg_id", "role", F.posexplode(chunks).alias("k", "text"))
-    kind = F.when(F.col("k") == 0, "start").otherwise("delta")
-    return rows.select("conv_id", F.struct(F.col("msg_id"), F.col("k")).alias("seq"), kind.alias("kind"), "msg_id", F.when(F.col("k") == 0, F.col("role")).alias("role"), "text")
+
+    def event(kind: str, msg_id: Column, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), msg_id.alias("msg_id"), role.cast("string").alias("role"), text.alias("text"))
+
+    me, none = F.col("msg_id"), F.lit(None).cast("string")
+    draft = F.concat(F.lit("draft of "), F.reverse(F.substring("text", 1, delta_chars)))
+    streamed = F.transform(chunks, lambda c: event("delta", me, none, c))
+    opened = F.array(event("start", me, F.col("role"), F.lit("")))
+    plain = F.transform(chunks, lambda c, i: F.struct(F.when(i == 0, "start").otherwise("delta").alias("kind"), me.alias("msg_id"), F.when(i == 0, F.col("role")).alias("role"), c.alias("text")))
+    edited = F.concat(opened, F.array(event("delta", me, none, draft), event("edit", me, none, F.col("text"))))
+    answered = F.array(event("delta", me, none, draft), event("start", -me, F.lit("user"), F.lit("withdrawn")), event("regenerate", me, none, none))
+    way = F.pmod(F.xxhash64("conv_id", "msg_id", F.lit(seed)), F.lit(4))
+    log = F.when(way == 0, edited).when(way == 1, F.concat(opened, answered, streamed)).otherwise(plain)
+    rows = rows.select("conv_id", F.col("msg_id").alias("n"), F.posexplode(log).alias("k", "e"))
+    return rows.select("conv_id", F.struct("n", "k").alias("seq"), "e.*")
 
 
 #: The conversation that says the template's own control strings.

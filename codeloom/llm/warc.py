@@ -40,7 +40,7 @@ def _page(name: str) -> int | None:
 
 
 def _uri(url: str) -> str:
-    """A URL without control characters, so that it stays in its header line; reversible with %-decoding of those."""
+    """A URL without control characters, so that it stays in its header line: they are %-escaped, for good."""
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in url)
 
 
