@@ -78,6 +78,39 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds == {1: ["ident", "long"], 2: [], 3: [], 4: ["endpoint", "ident", "assign"]}
 
 
+def slow_links(text):
+    """Weak spans with disjoint parts of every role that they need, by all combinations."""
+    parts = [(m.start(), m.end(), k) for k, pattern in (("ident", secret_scan.IDENT), ("long", secret_scan.LONG), ("endpoint", secret_scan.ENDPOINT)) for m in re.finditer(pattern, text, re.ASCII)]
+    parts += [(a, e, k) for a, k, e in brute_secrets(text)]
+    role = {k: v[1] for k, v in (secret_scan.BASE | secret_scan.WEAK).items()}
+    apart = lambda x, y: x[1] <= y[0] or y[1] <= x[0]
+    out = []
+    for p in parts:
+        if p[2] in secret_scan.WEAK:
+            near = [[q for q in parts if role[q[2]] == r and abs(q[0] - p[0]) <= secret_scan.SCOPE and apart(p, q)] for r in secret_scan.WEAK[p[2]][2]]
+            if any(all(apart(x, y) for x, y in itertools.combinations(c, 2)) for c in itertools.product(*near)):
+                out.append((p[0], p[2], p[1]))
+    return sorted(out)
+
+
+def test_links_need_disjoint_parts(spark):
+    rng = random.Random(9)
+    parts = ["login=", "account: ", "deadbeef" * 3, "Q" * 41, "https://h.example/", "AKIA" + "B2" * 8, "password=hunter22", " ", " ", "\n", "x " * 60, "client_id=bob"]
+    data = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))) for k in range(250)]
+    data += [(900, "account: " + "Q" * 44), (901, "login=" + "ab12" * 6), (902, "login=bob " + "ab12" * 6), (903, "https://x.example login=" + "ab12" * 6)]
+    found = {r["doc_id"]: sorted((x["start"], x["kind"], x["end"]) for x in r["found"] if x["kind"] in secret_scan.WEAK) for r in secret_scan.scan_secrets(docs(spark, *data)).collect()}
+    assert found == {k: slow_links(t) for k, t in data}
+    assert found[900] == [] and found[901] == [] and [x[1] for x in found[902]] == ["ident"] and found[903] == []
+
+
+def test_secret_edges(spark):
+    long = "client_id: bob " + "password=hunter22 " * 60_000
+    twice = (2, "token=abcdefgh AKIA" + "A1" * 9)
+    found = scan = secret_scan.scan_secrets(docs(spark, (1, long), twice, twice).withColumn("found", F.lit(1)))
+    assert scan.columns == ["doc_id", "found"] and [len(r["found"]) for r in found.orderBy("doc_id").collect()] == [60_001, 2, 2]
+    assert secret_scan.scan_secrets(docs(spark, twice).limit(0)).count() == 0
+
+
 # ---- chats
 
 
@@ -87,6 +120,49 @@ def test_events_fold(spark):
     assert rows_of(found, "conv_id", "position", "role", "text") == sorted([(1, 0, "user", "hello"), (1, 1, "assistant", "c"), (None, 0, "", "")], key=repr)
 
 
+def slow_fold(events):
+    """Event by event, as an editor would hold a conversation."""
+    shown = {}  # message: [begun, role, text]
+    for seq, _, kind, msg, role, text in sorted(events, key=lambda e: (e[0], {"start": 0, "regenerate": 1, "edit": 2}.get(e[2], 3))):
+        if kind == "regenerate":
+            shown = {m: x for m, x in shown.items() if m == msg or x[0] <= (shown[msg][0] if msg in shown else seq)}
+        x = shown.setdefault(msg, [seq, "", ""])
+        x[1] = x[1] or role or ""
+        x[2] = {"start": text, "edit": text, "delta": x[2] + (text or ""), "regenerate": ""}[kind] or ""
+    return [(x[1], x[2]) for x in sorted(shown.values())]
+
+
+def test_events_fold_against_slow(spark):
+    rng = random.Random(8)
+    logs = {}
+    for c in range(40):
+        seqs, open_ = itertools.count(), []
+        log = logs[c] = []
+        for m in range(rng.randrange(1, 8)):
+            log.append((next(seqs), c, "start", m, rng.choice(["user", "assistant"]), rng.choice(["", None, "a"])))
+            open_.append(m)
+            for _ in range(rng.randrange(6)):
+                kind = rng.choice(["delta", "delta", "edit", "regenerate"])
+                of = rng.choice(open_)
+                if kind == "regenerate":
+                    open_ = [x for x in open_ if x <= of]
+                log.append((next(seqs), c, kind, of, None, None if kind == "regenerate" else rng.choice("xyz")))
+    rows = [(c, e[0], *e[2:]) for c, log in logs.items() for e in log]
+    rng.shuffle(rows)
+    found = chat_format.fold_events(spark.createDataFrame(rows, "conv_id long, seq long, kind string, msg_id long, role string, text string")).collect()
+    for c, log in logs.items():
+        assert [(r["role"], r["text"]) for r in sorted((r for r in found if r["conv_id"] == c), key=lambda r: r["position"])] == slow_fold(log)
+
+
+def test_log_of_a_table_has_every_kind_and_folds_back(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {c} {t} " * (t + 1)) for c in range(20) for t in range(6)] + [(50, 0, "user", "é" * 300_000), (50, 1, "assistant", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("msg_id", F.lit(1))
+    log = chat_format.to_events(table, 16)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    assert rows_of(chat_format.fold_events(log), "conv_id", "position", "role", "text") == sorted(rows, key=repr)
+    assert chat_format.render(chat_format.fold_events(chat_format.to_events(table.limit(0)))).count() == 0
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     bits = ["<|", "im_end|>", "\\", "|", "<", "\n", "é", "n", "<|im_sep|>", "𝒳"]
@@ -161,28 +237,57 @@ def test_links_against_all_pairs(spark, hot, tau):
     assert {x: got.get(x, x) for x in signed} == want
 
 
-@pytest.mark.parametrize(("block", "tau", "batch"), [(4096, 14, 10_000), (5, 6, 10_000), (4096, 6, 16)])
+@pytest.mark.parametrize(("block", "tau", "batch"), [(4096, 14, 10_000), (12, 6, 10_000), (6, 14, 10_000), (4096, 6, 16)])
 def test_similar_links_against_all_pairs(spark, block, tau, batch):
     rng = random.Random(block + tau)
-    nodes = {rng.getrandbits(64): rng.getrandbits(192) for _ in range(40)}
+    rows = [(rng.getrandbits(64), rng.getrandbits(192), 100, [k % 3, 100 + k, 7]) for k in range(40)]
     for _ in range(200):
-        x = rng.choice(sorted(nodes))
-        y = nodes[x]
+        x, y, size, least = rng.choice(rows)
         for b in rng.sample(range(64), rng.randrange(1, tau + 3)):
             x ^= 1 << b
         for b in rng.sample(range(192), rng.randrange(30, 46)):
             y ^= 1 << b
-        nodes.setdefault(x, y)
-    signed = {x - 2**64 if x >> 63 else x: y for x, y in nodes.items()}
-    near = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= tau and (signed[a] ^ signed[b]).bit_count() <= 38]
-    frame = spark.createDataFrame([(x, y.to_bytes(24, "little")) for x, y in signed.items()], "fp long, wide binary")
+        rows.append((x, y, rng.choice([size, size, 90, 120]), rng.choice([least, [len(rows) + 1000], [least[0]]])))
+    near = [
+        (a, b) for (a, p), (b, q) in itertools.combinations(enumerate(rows), 2)
+        if (p[0] ^ q[0]).bit_count() <= tau and (p[1] ^ q[1]).bit_count() <= 38 and min(p[2], q[2]) >= 0.8 * max(p[2], q[2]) and set(p[3]) & set(q[3])
+    ]
+    data = [(k, x - 2**64 if x >> 63 else x, y.to_bytes(24, "little"), size, least) for k, (x, y, size, least) in enumerate(rows)]
+    frame = spark.createDataFrame(data, "node long, fp long, wide binary, size long, least array<long>")
     kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = {r["node"]: r["root"] for r in components.connected_components(simhash.link_similar(frame, tau, 38, block)).collect()}
+        got = {r["node"]: r["root"] for r in components.connected_components(simhash.link_similar(frame, tau, 38, 0.8, block)).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
-    assert {x: got.get(x, x) for x in signed} == components_of(near, list(signed))
+    assert {k: got.get(k, k) for k in range(len(rows))} == components_of(near, range(len(rows)))
+
+
+@pytest.mark.parametrize("room", [1, 7, 1000])
+def test_link_groups_against_all_pairs(spark, room):
+    """A chain, a clique and strangers in each group, whatever the blocks."""
+    values = [(g, g * 1000 + k, v) for g in range(3) for k, v in enumerate([*range(40), *[500] * 60, *range(1000, 3000, 100)])]
+    near = [(a[1], b[1]) for a, b in itertools.combinations(values, 2) if a[0] == b[0] and abs(a[2] - b[2]) <= 1]
+
+    def compare(rows):
+        a, b = rows.alias("a"), rows.alias("b")
+        return a.join(b, [F.col("a.key") == F.col("b.key"), F.abs(F.col("a.v") - F.col("b.v")) <= 1]).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    frame = spark.createDataFrame(values, "grp long, node long, v long").withColumn("weight", F.lit(1))
+    got = {r["node"]: r["root"] for r in components.connected_components(simhash.link_groups(frame, room, compare)).collect()}
+    nodes = [v[1] for v in values]
+    assert {n: got.get(n, n) for n in nodes} == components_of(near, nodes)
+
+
+def test_least_hashes_meet_at_a_similarity():
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(300):
+        x = rng.integers(0, 2**63, 360, dtype=np.uint64)
+        a, b = simhash.least_hashes(np.sort(x[:320])), simhash.least_hashes(np.sort(x[40:]))  # 280 of 360 are common
+        met += any(p == q for p, q in zip(a, b, strict=True))
+        assert not set(a) & set(simhash.least_hashes(rng.integers(0, 2**63, 300, dtype=np.uint64)))
+    assert met >= 298 and simhash.least_hashes(np.zeros(0, np.uint64)) == []
 
 
 def test_near_copies_at_a_similarity(spark):
@@ -195,7 +300,7 @@ def test_near_copies_at_a_similarity(spark):
         for at in (50, 120, 190, 260)[: k % 5]:  # each changed word changes five shingles of 296
             y[at] = "changed"
         rows.append((100 + k, " ".join(y)))
-    found = simhash.near_dedup(docs(spark, *rows, (500, None), (501, " ")), shingle=5, tau=14, similarity=0.8)
+    found = simhash.near_dedup(docs(spark, *rows, (500, None), (501, " ")), shingle=5, tau=18, similarity=0.8)
     want = [(k, k % 100) for k, _ in rows] + [(500, 500), (501, 500)]
     assert rows_of(found, "doc_id", "component_id") == sorted(want, key=repr)
 
@@ -261,66 +366,79 @@ def test_knn_edges(spark):
     assert rows_of(knn.knn_join(few, "vec_id % 20 = 0"), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 64 * 128)]
 
 
+def test_knn_prunes_clusters(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 25)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    centres *= 4 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[np.arange(4000) % 40] + rng.normal(0, 0.05, (4000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, p, plan, q_blocks, blocks = knn.prepare(df, "vec_id % 20 = 0", 10, "vec_id", "embedding", 64, None)
+    groups = len(plan[3])
+    assert groups > 1 and knn.deal(rows, p, plan, q_blocks, blocks).count() < 0.2 * 4000 * groups
+    v = np.floor(64 * x).astype(np.int64)
+    want = [(q, j, int(s[j])) for q in range(0, 4000, 20) for s in [v @ v[q]] for j in sorted((j for j in range(4000) if j != q), key=lambda j: (-s[j], j))[:10]]
+    assert rows_of(knn.knn_join(df, "vec_id % 20 = 0", 10), "query_id", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_knn_with_many_copies_of_a_query_id(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(200, 4)), 5 + rng.normal(0, 0.01, (60, 4)), 4 + rng.normal(0, 0.01, (5, 4))])
+    ids = [*range(1, 201), *[0] * 60, *range(201, 206)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    v = np.floor(64 * x).astype(np.int64)
+    want = {(-int(v[q] @ v[j]), ids[j]) for q in range(200, 260) for j in sorted((j for j in range(len(x)) if ids[j]), key=lambda j: (-int(v[q] @ v[j]), ids[j]))[:20]}
+    found = knn.knn_join(df, "vec_id = 0", 20, pivots=30).collect()
+    asks = {tuple(v[q]) for q in range(200, 260)}  # each vector of the id asks once
+    assert len(found) == len(asks) * 20 and {(-r["score"], r["vec_id"]) for r in found} == want
+
+
 # ---- line dedup
 
 
 def slow_line_dedup(data, least=5):
+    """By all pairs of documents and all their diagonals: lines of a common run of ``least`` words with any earlier one go."""
     lines = {i: t.split("\n") for i, t in data}
-    holders = {}
-    for i, ls in lines.items():
-        for x in ls:
-            if x.strip():
-                holders.setdefault(x, set()).add(i)
-    shared = {x: min(h) for x, h in holders.items() if len(h) > 1}
-    out = {}
-    for i, ls in lines.items():
-        gone = set()
-        for o in {shared[x] for x in ls if x in shared and shared[x] < i}:
-            early, late = ([(k, x, len(x.split())) for k, x in enumerate(lines[j]) if x in shared] for j in (o, i))
-            for a, b in line_dedup.common_blocks(early, late, least):
-                gone |= set(range(a, b + 1))
-        out[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
-    return out
-
-
-def test_line_dedup_against_slow(spark):
-    rng = random.Random(2)
-    pool = [f"line {k} of {'many ' * (k % 6)}words" for k in range(40)] + ["", "ok"]
-    data = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for k in range(50)]
-    found = line_dedup.line_dedup(docs(spark, *data, (900, None), (None, data[0][1])))
-    got = {r["doc_id"]: r["text"] for r in found.collect()}
-    assert found.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "_deleted"]
-    assert {(r["_id"], r["_h"]) for r in found.collect()} == {("x", "y")}
+    gone = {i: set() for i in lines}
+    for o, i in itertools.permutations(lines, 2):
+        if o < i:
+            a, b = lines[o], lines[i]
+            for d in range(-len(a), len(b) + 1):
+                run = []
+                for k in range(len(a) + 1):
+                    if k < len(a) and 0 <= k + d < len(b) and a[k] == b[k + d] and a[k].strip():
+                        run.append(k + d)
+                    else:
+                        if sum(len(b[j].split()) for j in run) >= least:
+                            gone[i].update(run)
+                        run = []
+    return gone
+
+
+@pytest.mark.parametrize(("seed", "lines", "n"), [(2, 14, 60), (3, 14, 150), (5, 40, 60)])
+def test_line_dedup_against_all_pairs(spark, seed, lines, n):
+    rng = random.Random(seed)
+    pool = [f"line {k} of {'many ' * (k % 6)}words" for k in range(40)] + ["", "ok", "so it goes", "a b", "c"]
+    data = [(k, "\n".join(rng.choice(pool[: rng.choice([8, 45])]) for _ in range(rng.randrange(0, lines)))) for k in range(n)]
+    found = line_dedup.line_dedup(docs(spark, *data, (900, None), (None, data[0][1]))).collect()
+    assert {(r["_id"], r["_h"]) for r in found} == {("x", "y")}
+    got = {r["doc_id"]: r for r in found}
+    assert got[900]["text"] is None and got[None]["text"] == data[0][1]
     want = slow_line_dedup(data)
-    assert {k: got[k] for k in want} == want
-    assert got[900] is None and got[None] == data[0][1]
-    everything = {x for _, t in data for x in t.split("\n")}
-    assert everything - {""} == {x for t in want.values() for x in t.split("\n")} - {""}
+    for k, text in data:
+        out = [p for r in got[k]["_deleted"] for p in range(r["start"], r["end"] + 1)]
+        assert out == sorted(want[k])
+        assert got[k]["text"] == "\n".join(x for p, x in enumerate(text.split("\n")) if p not in want[k])
+    assert {x for _, t in data for x in t.split("\n")} - {""} == {x for k, _ in data for x in got[k]["text"].split("\n")} - {""}
 
 
-def all_pairs_line_dedup(data, least=5):
-    lines = {i: t.split("\n") for i, t in data}
-    holders = {}
-    for i, ls in lines.items():
-        for x in ls:
-            if x.strip():
-                holders.setdefault(x, set()).add(i)
-    seqs = {i: [(k, x, len(x.split())) for k, x in enumerate(ls) if len(holders.get(x, ())) > 1] for i, ls in lines.items()}
-    gone = {i: {p for o in lines if o < i for a, b in line_dedup.common_blocks(seqs[o], seqs[i], least) for p in range(a, b + 1)} for i in lines}
-    return {i: "\n".join(x for k, x in enumerate(ls) if k not in gone[i]) for i, ls in lines.items()}
-
-
-@pytest.mark.parametrize("seed", [2, 3])
-def test_line_dedup_against_all_pairs(spark, seed):
-    rng = random.Random(seed)
-    pool = [f"line {k} of {'many ' * (k % 6)}words" for k in range(40)] + ["", "ok", "so it goes"]
-    data = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for k in range(150)]
-    got = {r["doc_id"]: (r["text"], r["_deleted"]) for r in line_dedup.line_dedup(docs(spark, *data), all_holders=True).collect()}
-    want = all_pairs_line_dedup(data)
-    assert {k: x for k, (x, _) in got.items()} == want and want != slow_line_dedup(data)
-    for k, text in data:
-        gone = [p for r in got[k][1] for p in range(r["start"], r["end"] + 1)]
-        assert gone == sorted(set(gone)) and "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone) == want[k]
+def test_blocks_first_seen_apart_and_repeated_runs(spark):
+    long = "\n".join(f"a line of this very long text, number {k}" for k in range(20_000))
+    data = [(1, "alpha beta x"), (2, "gamma delta y"), (3, "alpha beta x\ngamma delta y"), (4, "alpha beta x\ngamma delta y"), (5, "one two three four five"), (6, "one two three four five\nnew\none two three four five"), (7, long), (8, long), (9, "")]
+    found = line_dedup.line_dedup(docs(spark, *data, data[3]).withColumn("_Deleted", F.lit(1)))
+    assert [c.lower() for c in found.columns].count("_deleted") == 1
+    assert rows_of(found, "doc_id", "text") == sorted([*data[:3], (4, ""), (4, ""), (5, data[4][1]), (6, "new"), (7, long), (8, ""), (9, "")], key=repr)
+    assert line_dedup.line_dedup(docs(spark, (1, "a")).limit(0)).count() == 0
 
 
 def test_patience_without_unique_lines():
@@ -385,6 +503,38 @@ def test_mix_shortages_go_to_siblings_first(spark):
     assert mixing.mix(d.limit(0), levels, {}).count() == 0
 
 
+def slow_fill(children, given):
+    """By bisection of the level to which all fill."""
+    lo, hi = 0.0, max((cap / w for cap, w in children), default=0.0)
+    if sum(cap for cap, _ in children) <= given:
+        return [float(cap) for cap, _ in children]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(cap, mid * w) for cap, w in children) <= given else (lo, mid)
+    return [min(cap, lo * w) for cap, w in children]
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_water_filling_against_bisection(spark, n):
+    rng = random.Random(n)
+    groups = {g: ([(rng.choice([10, rng.randrange(1, 10**6)]), rng.choice([0.5, 1.0, 3.0])) for _ in range(n)], rng.choice([0.2, 0.9, 1.5])) for g in range(5)}
+    rows = [(g, k, cap, w, share * sum(c for c, _ in children)) for g, (children, share) in groups.items() for k, (cap, w) in enumerate(children)]
+    frame = spark.createDataFrame(rows, "g long, k long, cap long, weight double, given double")
+    got = {(r["g"], r["k"]): r["budget"] for r in mixing.share(frame, ["g"]).collect()}
+    for g, (children, share) in groups.items():
+        assert np.allclose([got[g, k] for k in range(n)], slow_fill(children, share * sum(c for c, _ in children)))
+    alone = {r["k"]: r["budget"] for r in mixing.share(frame.filter("g = 0").drop("g"), []).collect()}
+    assert np.allclose([alone[k] for k in range(n)], [got[0, k] for k in range(n)])
+
+
+def test_mix_edges(spark):
+    same = (5, "w w w", "en")
+    d = docs(spark, (1, None), (2, ""), same, same, (6, "w " * 5000), (None, "w w")).withColumn("_Epoch", F.lit("x")).withColumn("_tokens", F.lit("y")).withColumn("_place", F.lit(0))
+    found = mixing.mix(d, {"lang": F.col("lang")}, {}, 1.0, 1)
+    assert [c.lower() for c in found.columns].count("_epoch") == 1 and found.columns.count("_tokens") == 1
+    assert rows_of(found, "doc_id", "_tokens", "_epoch") == sorted([(5, 3, 0), (5, 3, 0), (6, 5000, 0), (None, 2, 0)], key=repr)
+
+
 # ---- language
 
 
@@ -401,6 +551,56 @@ def test_language_held_out(trained):
     assert n > 100 and right > 0.97
 
 
+def slow_label(model, text):
+    """One byte at a time, each window of the text from a zero state in both directions."""
+    width = model.recurrent.shape[2]
+
+    def states(which, window):
+        h, out = np.zeros(width), []
+        for b in window:
+            a, g = model.tables[which][:, b].astype(float), model.recurrent[which].astype(float) @ h
+            z, r = (np.clip(a[k * width : (k + 1) * width] + g[k * width : (k + 1) * width], 0, 1) for k in (0, 1))
+            n = r * g[2 * width :] + a[2 * width :]
+            n = n / (1 + abs(n))
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    total, letters, labels = np.zeros(len(model.langs)), 0, []
+    for k in range(0, len(text), language_id.WINDOW):
+        window = text[k : k + language_id.WINDOW]
+        for b, s, t in zip(window, states(0, window), states(1, window[::-1])[::-1], strict=True):
+            logits = model.head @ np.concatenate([s, t]) + model.bias[:, 0]
+            p = np.exp(logits - logits.max())
+            labels.append(int(p.argmax()))
+            if b >= 128 or chr(b).isalpha():
+                total, letters = total + p / p.sum(), letters + 1
+    return total, letters, labels
+
+
+def test_labels_against_a_slow_loop(trained):
+    model, d = trained
+    texts = [(r["text"] or "")[:900].encode() for r in d.orderBy("doc_id").limit(12).collect()] + [b"", b"1 2", "é".encode() * 200, b"x" * 257]
+    total, letters, labels = language_id.label(model, texts, side=5, positions=True)
+    at = 0
+    for k, text in enumerate(texts):
+        t, n, slow = slow_label(model, text)
+        assert np.allclose(total[k], t, atol=1e-3 * (n + 1)) and letters[k] == n
+        assert np.mean(labels[at : at + len(text)] == np.array(slow)) > 0.99 if text else True
+        at += len(text)
+
+
+def test_language_columns(spark, trained):
+    model, _ = trained
+    d = docs(spark, (1, "the house and the garden"), (1, "the house and the garden"), (2, None)).withColumn("Score", F.lit("x")).withColumn("lang_pred", F.lit("y")).withColumn("_bytes", F.lit(1))
+    for keep in (True, False):
+        found = language_id.predict(d, model, keep_text=keep)
+        assert ("text" in found.columns) == keep and [c.lower() for c in found.columns].count("score") == 1 and found.columns.count("lang_pred") == 1
+        rows = found.select("doc_id", "lang_pred", "score", "_bytes").collect()
+        assert sorted((r["doc_id"], r["lang_pred"]) for r in rows) == [(1, "en"), (1, "en"), (2, "und")] and rows[0]["score"] == rows[1]["score"]
+    assert language_id.predict(d.limit(0), model).count() == 0
+
+
 def test_language_edges(spark, trained):
     model, _ = trained
     long = "the and of tion her ing " * 20_000
