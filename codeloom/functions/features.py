@@ -47,10 +47,23 @@ def filter_non_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return filter_min_length(df, 1, cols)
 
 
-def encode_category(df: DataFrame, col: str, mapping: DataFrame, oov: int = 0) -> DataFrame:
-    """The scalar ``col`` by its index in ``mapping`` (category, index); unknown ones are ``oov``."""
-    joined = df.join(mapping.select(F.col("category").alias(col), "index"), col, "left")
-    return joined.select(*[F.coalesce("index", F.lit(oov)).alias(col) if c == col else c for c in df.columns])
+def encode_category(df: DataFrame, col: str, mapping: DataFrame, oov: int = 0, key: str | None = None) -> DataFrame:
+    """``col`` by its index in ``mapping`` (category, index); unknown ones, null among them, are ``oov``. A category with two indexes is an error.
+
+    A list is encoded element by element, in order; that needs ``key``, the
+    name of a column whose values are all different.
+    """
+    one = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("two indexes of category "), F.first("category")))).otherwise(F.first("index"))
+    known = mapping.groupBy("category").agg(one.cast("int").alias("_index"))
+    if not isinstance(df.schema[col].dataType, T.ArrayType):
+        joined = df.join(known.withColumnRenamed("category", "_category"), F.col(col) == F.col("_category"), "left")
+        return joined.select(*[F.coalesce("_index", F.lit(oov)).alias(col) if c == col else c for c in df.columns])
+    if key is None:
+        raise ValueError("a list column needs a key")
+    items = df.select(key, F.posexplode(col).alias("_pos", "category")).join(known, "category", "left")
+    lists = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_index", F.lit(oov)).alias("i")))).alias("_l")).select(key, F.col("_l.i").alias("_l"))
+    none = F.when(F.col(col).isNotNull(), F.array().cast("array<int>"))
+    return df.join(lists, key, "left").select(*[F.coalesce("_l", none).alias(col) if c == col else c for c in df.columns])
 
 
 def pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

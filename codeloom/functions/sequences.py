@@ -63,6 +63,26 @@ def sample_augmented(df: DataFrame, group: list[str], max_rows: int, seed: int,
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).drop("_rank")
 
 
+def draw_windows(df: DataFrame, key: str, col: str, step: int, max_rows: int, seed: int) -> DataFrame:
+    """``df`` with (start, end) of windows of two items or more: all of them if there are at most ``max_rows``, else as many draws with replacement, repeats left out.
+
+    Windows are numbered by rising end, then start, and draws are numbers from
+    a digest of ``key``, the draw and the seed, so no window is made that is
+    not kept, and nothing is shuffled.
+    """
+    items = (F.size(col) / step).cast("int").cast("long")
+    n = F.expr("_items * (_items - 1) div 2")
+    said = lambda i: F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 15)
+    draw = lambda i: F.when(F.col("_n") <= max_rows, i.cast("long")).otherwise(F.conv(said(i), 16, 10).cast("long") % F.col("_n"))
+    rows = df.withColumn("_items", items).withColumn("_n", n).filter("_n > 0")
+    numbers = F.array_distinct(F.transform(F.sequence(F.lit(0), F.least("_n", F.lit(max_rows)).cast("int") - 1), draw))
+    rows = rows.withColumn("_t", F.explode(numbers))
+    # number t has end - 2 = m, the largest m with m (m + 1) / 2 <= t; the root may be off by one
+    rows = rows.withColumn("_m", F.floor((F.sqrt(F.col("_t") * 8.0 + 1) - 1) / 2))
+    rows = rows.withColumn("_m", F.expr("CASE WHEN _m * (_m + 1) div 2 > _t THEN _m - 1 WHEN (_m + 1) * (_m + 2) div 2 <= _t THEN _m + 1 ELSE _m END"))
+    return rows.withColumn("start", F.expr("CAST(_t - _m * (_m + 1) div 2 AS INT)")).withColumn("end", F.expr("CAST(_m + 2 AS INT)")).drop("_items", "_n", "_t", "_m")
+
+
 def next_k_split(df: DataFrame, col: str, k: int, pad: int, mask_token: int) -> DataFrame:
     """``col`` with its last k real tokens gone (the first such place holds ``mask_token``, the others ``pad``), ``label`` (those tokens), ``label_pos``. Fewer than k + 1 real tokens are an error."""
     n = F.size(F.filter(col, lambda x: x != pad))
@@ -118,7 +138,7 @@ def inference_rows(df: DataFrame, key: str, col: str, length: int, pad: int, oov
 
 
 def training_rows(df: DataFrame, key: str, col: str, step: int, length: int, k: int, pad: int, mask_token: int, max_rows: int, seed: int, oov: int | None = None) -> DataFrame:
-    """Windows, capped per ``key`` before any is cut out, then trimmed, padded, split into input and label, and masked."""
-    spans = sample_augmented(contiguous_subsequences(df.select(key, col), col, step), [key], max_rows, seed, [key, "start", "end"])
+    """Windows, at most ``max_rows`` per ``key`` and drawn by their numbers, then cut out, trimmed, padded, split into input and label, and masked. Nothing is shuffled."""
+    spans = draw_windows(df.select(key, col), key, col, step, max_rows, seed)
     rows = spans.select(key, "start", "end", pad_or_trim(drop_token(window(col, step), oov), length, pad).alias(col))
     return next_k_split(rows, col, k, pad, mask_token).withColumn("mask", attention_mask(col, pad))

@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+#: Rows of a key matrix that travels with a task, and of a block of keys or queries.
+KEY_BLOCK = 20_000
 
 
 def _sum(arr: Column) -> Column:
@@ -61,9 +64,16 @@ def nearest(x: np.ndarray, c: np.ndarray, distances: Callable = sq_distances) ->
     d = distances(x, c)
     best = d.argmin(1)
     close = d <= d[np.arange(len(x)), best][:, None] + 1e-9
-    for k in np.flatnonzero(close.sum(1) > 1):
-        codes = np.flatnonzero(close[k])
-        best[k] = codes[((x[k] - c[codes]) ** 2).sum(1).argmin()]
+    near = np.flatnonzero(close.sum(1) > 1)
+    if len(near):
+        # all close pairs at once; of each row the first code among the least
+        row, code = np.nonzero(close[near])
+        exact = np.empty(len(row))
+        for k in range(0, len(row), 4096):
+            exact[k : k + 4096] = ((x[near[row[k : k + 4096]]] - c[code[k : k + 4096]]) ** 2).sum(1)
+        order = np.lexsort((code, exact, row))
+        first = order[np.searchsorted(row[order], np.arange(len(near)))]
+        best[near] = code[first]
     return best
 
 
@@ -110,8 +120,41 @@ def pool(df: DataFrame, key: str, how: str = "mean", last_k: int | None = None)
     if last_k is not None:
         ends = real.groupBy(key).agg(F.max("pos").alias("end"))
         real = real.join(ends, key).filter(F.col("pos") > F.col("end") - last_k)
-    means = real.select(key, F.posexplode("vec").alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("x"))
-    return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).select(key, F.col("v.x").alias("vec"))
+    sums = sum_rows(real.select(key, F.lit(1.0).alias("n"), F.col("vec").cast("array<double>").alias("s")), key)
+    return sums.select(key, F.transform("s", lambda x: x / F.col("n")).alias("vec"))
+
+
+def sum_rows(parts: DataFrame, key: str) -> DataFrame:
+    """(key, n, s): the sums of ``n`` and, element by element, of the arrays ``s`` of each key.
+
+    Rows are brought together and sorted by key and summed as they stream, so
+    a task holds a batch and one sum, however many rows a key has.
+    """
+    kind = parts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the batch's last key, whose rows may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            n, s = batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2))
+            same = pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+            found = [keys.take(pa.array(starts)).to_pylist(), np.add.reduceat(n, starts), np.add.reduceat(s, starts, axis=0)]
+            if held is not None and held[0] == found[0][0]:
+                found[1][0] += held[1]
+                found[2][0] += held[2]
+            elif held is not None:
+                found = [[held[0], *found[0]], np.concatenate([[held[1]], found[1]]), np.concatenate([held[2][None], found[2]])]
+            held = (found[0][-1], found[1][-1], found[2][-1])
+            if len(found[0]) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][:-1], keys.type), pa.array(found[1][:-1]), lists(found[2][:-1])], names=[key, "n", "s"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], keys.type), pa.array([held[1]]), lists(held[2][None])], names=[key, "n", "s"])
+
+    rows = parts.select(key, F.col("n").cast("double"), "s").filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    return rows.mapInArrow(run, f"{key} {kind}, n double, s array<double>")
 
 
 def to_orthogonal(m: np.ndarray) -> np.ndarray:
@@ -125,17 +168,53 @@ def rotate(df: DataFrame, key: str, col: str, rotation: np.ndarray) -> DataFrame
     return map_vectors(df, key, col, "rotated array<double>", lambda x: [lists(x @ w.T)])
 
 
-def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np.ndarray, normalize: bool = True) -> DataFrame:
-    """The mean of logsumexp(logits) - logit[label] over dot products with all ``keys`` (a matrix that fits a task)."""
-    unit = (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPS)) if normalize else (lambda m: m)
-    k = unit(keys)
-
-    def run(batches):
-        for b in batches:
-            logits = unit(matrix(b.column(1))) @ k.T
-            top = logits.max(1)
-            lse = top + np.log(np.exp(logits - top[:, None]).sum(1))
-            own = logits[np.arange(len(logits)), b.column(0).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(lse - own)], names=["ce"])
+def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np.ndarray | DataFrame, normalize: bool = True, block: int = KEY_BLOCK) -> DataFrame:
+    """The mean of logsumexp(logits) - logit[label] over dot products with all ``keys``.
 
-    return queries.select(F.col(label).cast("long"), F.col(col).cast("array<double>")).mapInArrow(run, "ce double").agg(F.avg("ce").alias("ce"))
+    Keys are a matrix, at most ``block`` rows of which travel with a task, or
+    a table (id, vec) of any size, ids from 0: then blocks of queries meet
+    blocks of keys, and each query's maxima and sums of exponentials are merged.
+    """
+    unit = (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPS)) if normalize else (lambda m: m)
+    if isinstance(keys, np.ndarray) and len(keys) > block:
+        raise ValueError(f"more than {block} keys: pass them as a table")
+    q = queries.select(F.col(key).alias("q"), F.col(label).cast("long").alias("label"), F.col(col).cast("array<double>").alias("vec"))
+    if isinstance(keys, np.ndarray):
+        k = unit(keys)
+
+        def run(batches):
+            for b in batches:
+                logits = unit(matrix(b.column(2))) @ k.T
+                top = logits.max(1)
+                own = logits[np.arange(len(logits)), b.column(1).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(top + np.log(np.exp(logits - top[:, None]).sum(1)) - own)], names=["ce"])
+
+        return q.mapInArrow(run, "ce double").agg(F.avg("ce").alias("ce"))
+
+    n, m = keys.count(), q.count()
+    key_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // block))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(key_blocks - 1))))
+    right = keys.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(key_blocks)).cast("int").alias("kb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"q": a.column("q").slice(0, 0), "top": pa.array([], pa.float64()), "total": pa.array([], pa.float64()), "own": pa.array([], pa.float64())})
+        ids, order = np.unique(b.column("id").to_numpy(), return_index=True)
+        x, c = unit(matrix(a.column("vec").combine_chunks())), unit(matrix(b.column("vec").combine_chunks()))[order]
+        labels = a.column("label").to_numpy()
+        top, total, own = np.empty(len(x)), np.empty(len(x)), np.full(len(x), np.nan)
+        at = np.minimum(np.searchsorted(ids, labels), len(ids) - 1)
+        for k in range(0, len(x), 256):
+            y = slice(k, k + 256)
+            logits = x[y] @ c.T
+            top[y] = logits.max(1)
+            total[y] = np.exp(logits - top[y][:, None]).sum(1)
+            own[y] = np.where(ids[at[y]] == labels[y], logits[np.arange(len(logits)), at[y]], np.nan)
+        return pa.table({"q": a.column("q"), "top": pa.array(top), "total": pa.array(total), "own": pa.array(own, from_pandas=True)})
+
+    kind = queries.schema[key].dataType.simpleString()
+    found = left.groupBy("qb", "kb").cogroup(right.groupBy("qb", "kb")).applyInArrow(meet, f"q {kind}, top double, total double, own double")
+    # the sum of exponentials of all blocks, relative to the largest logit of all
+    merged = found.groupBy("q").agg(F.max("top").alias("most"), F.collect_list(F.struct("top", "total")).alias("parts"), F.max("own").alias("own"))  # a row per block of keys
+    lse = F.col("most") + F.log(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("most"))))
+    return merged.agg(F.avg(lse - F.col("own")).alias("ce"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import vectors as V
 from ..operators import decode, kmeans, metrics, residual
 from ..operators import sids as I
 from ..sources import tables as S
+from ..sources.tables import shared_folder
+from ..streaming import sids as T
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -107,10 +111,12 @@ UNION ALL SELECT 'entropy', layer, round(-sum(p * ln(p)), 6) FROM (SELECT layer,
 UNION ALL SELECT 'distinct', -1, round(count(DISTINCT c1 * 100 + c2) / count(*), 6) FROM q
 UNION ALL SELECT 'mse', -1, round(sum(list_inner_product(r2, r2)) / sum(len(v)), 6) FROM q
 UNION ALL SELECT 'first_share', -1, round({_STATS.format(a="r1")}, 6) FROM q
-UNION ALL SELECT 'last_share', -1, round({_STATS.format(a="r2")}, 6) FROM q""")
+UNION ALL SELECT 'last_share', -1, round({_STATS.format(a="r2")}, 6) FROM q
+UNION ALL SELECT CASE layer WHEN 0 THEN 'first_codebook_norm' ELSE 'last_codebook_norm' END, -1, round(sqrt(sum(list_inner_product(c, c))), 6) FROM c GROUP BY layer""")
 def sid_stats(spark, d):
-    assigned = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d))
-    return residual.sid_stats(assigned, items(spark, d), "item_id", "embedding", 16).withColumn("value", F.round("value", 6))
+    books = fixed_codebooks(spark, d)
+    assigned = residual.assign_rq(items(spark, d), "item_id", "embedding", books)
+    return residual.sid_stats(assigned, books).withColumn("value", F.round("value", 6))
 
 
 # ---- sources and sinks
@@ -131,11 +137,31 @@ def merge_keyed(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '-3'), doc_id) AS place FROM documents")
 def shuffle_rows(spark, d):
-    shuffled = S.shuffle_rows(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", 3)
-    from pyspark.sql import Window
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    return S.shuffle_places(rows, "doc_id", 3)
+
+
+@query("SELECT DISTINCT lang AS category, dense_rank() OVER (ORDER BY lang) AS index FROM documents WHERE lang IS NOT NULL")
+def load_mapping(spark, d):
+    """The languages' numbers, written as a JSON object and read back."""
+    langs = S.read_table(spark, f"{d}/documents.parquet", ["lang"]).filter("lang IS NOT NULL").groupBy("lang").count()
+    numbered = F.map_from_entries(F.transform(F.array_sort(F.collect_list("lang")), lambda x, i: F.struct(x.alias("key"), (i + 1).alias("value"))))  # an entry per language
+    folder = f"{shared_folder(spark)}/mapping-{uuid.uuid4().hex}"
+    langs.agg(F.to_json(numbered).alias("value")).write.text(folder)
+    return S.load_mapping(spark, folder).select("category", F.col("index").cast("long").alias("index"))
+
+
+@query("SELECT doc_id AS id, lang AS value FROM documents")
+def write_predictions(spark, d):
+    """Predictions written in bounded files and read back."""
+    folder = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    S.write_predictions(S.read_table(spark, f"{d}/documents.parquet", ["doc_id", "lang"]), folder, "doc_id", "lang", 5_000)
+    return spark.read.parquet(folder).select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
 
-    # the window is over ids alone, and only to show the order
-    return shuffled.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit("3"))), "doc_id")).cast("long"))
+
+@query(f"WITH {E_SQL} SELECT item_id, len(v)::BIGINT AS width FROM e")
+def load_embeddings(spark, d):
+    return items(spark, d).select("item_id", F.size("embedding").cast("long").alias("width"))
 
 
 # ---- features
@@ -179,17 +205,23 @@ def encode_category(spark, d):
     return P.encode_category(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "lang", mapping)
 
 
-@query(f"WITH {SEQ_SQL} SELECT user_id, len(seq)::BIGINT AS n FROM s WHERE len(seq) >= 60 AND user_id % 2 = 0")
+@query(f"WITH {SEQ_SQL} SELECT user_id, array_to_string(list_transform(seq, lambda x: CASE x WHEN 1 THEN 11 WHEN 7 THEN 17 ELSE 0 END), '-') AS out FROM s")
+def encode_category_list(spark, d):
+    mapping = spark.createDataFrame([(1, 11), (7, 17)], "category long, index int")
+    return P.encode_category(sequences(spark, d), "seq", mapping, key="user_id").select("user_id", joined("seq").alias("out"))
+
+
+@query(f"WITH {SEQ_SQL} SELECT user_id, len(seq)::BIGINT AS n FROM s WHERE len(seq) >= 60 AND list_contains(seq, 7)")
 def pipeline_of_rows(spark, d):
-    steps = [lambda x: P.filter_min_length(x, 60, ["seq"]), lambda x: x.filter("user_id % 2 = 0")]
+    steps = [lambda x: P.filter_min_length(x, 60, ["seq"]), lambda x: x.filter(F.array_contains("seq", 7))]
     return P.pipeline(sequences(spark, d), steps).select("user_id", F.size("seq").cast("long").alias("n"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:32] AS w FROM documents)
-SELECT doc_id, array_to_string(list_transform(range(1, 33), lambda i: CASE WHEN i > len(w) THEN 0 ELSE CASE w[i] WHEN 'the' THEN 2 WHEN 'and' THEN 3 WHEN 'de' THEN 4 WHEN 'der' THEN 5 ELSE 1 END END), '-') AS ids, least(len(w), 32)::BIGINT AS n FROM t""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:128] AS w FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN i > len(w) THEN 0 ELSE CASE w[i] WHEN 'the' THEN 2 WHEN 'and' THEN 3 WHEN 'de' THEN 4 WHEN 'der' THEN 5 ELSE 1 END END), '-') AS ids, least(len(w), 128)::BIGINT AS n FROM t""")
 def tokenize_text(spark, d):
     vocab = spark.createDataFrame([("the", 2), ("and", 3), ("de", 4), ("der", 5)], "token string, id int")
-    out = P.tokenize_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", vocab, 32)
+    out = P.tokenize_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", vocab)
     return out.select("doc_id", joined("ids").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
 
 
@@ -201,7 +233,12 @@ def seq_query(sql_expr: str, col, source=sequences, base=SEQ_SQL, table="s"):
 
 
 _PAD = "list_concat({0}, list_transform(range(greatest(0, {n} - len({0}))), lambda x: -1))"
+_SEPARATED = "flatten(list_transform(range(len(m) // 2), lambda k: [m[2 * k + 1], m[2 * k + 2], m[2 * k + 2]]))"
 _SEQ = {
+    "insert_mask": (
+        f"WITH {TOK_SQL}, k AS (SELECT user_id, list_transform(tok, lambda x: (x % 3 != 0)::INT) AS m FROM t) SELECT user_id, array_to_string({_SEPARATED}, '-') AS out FROM k",
+        lambda spark, d: tokens(spark, d).withColumn("m", F.transform("tokens", lambda x: (x % 3 != 0).cast("int"))).select("user_id", joined(Q.insert_mask("m", 2)).alias("out")),
+    ),
     "to_sid_tokens": seq_query("tok", lambda: F.col("tokens"), tokens, TOK_SQL, "t"),
     "trim": seq_query("seq[-40:]", lambda: Q.trim("seq", 40)),
     "trim_right": seq_query("seq[1:40]", lambda: Q.trim("seq", 40, left=False)),
@@ -226,40 +263,39 @@ def attach_embedding(spark, d):
     return Q.attach_embedding(last, items(spark, d), "item_id", "v").select("user_id", "item_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
-_WIN = f"{SEQ_SQL}, k AS (SELECT user_id, seq[-12:] AS seq FROM s), w AS (SELECT user_id, seq, unnest(range(2, len(seq) + 1)) AS hi FROM k), v AS (SELECT user_id, seq, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
+_WIN = f"{SEQ_SQL}, w AS (SELECT user_id, seq, unnest(range(2, len(seq) + 1)) AS hi FROM s), v AS (SELECT user_id, seq, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
 
 
 @query(f"WITH {_WIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
 def contiguous_subsequences(spark, d):
-    short = sequences(spark, d).withColumn("seq", Q.trim("seq", 12))
-    return Q.contiguous_subsequences(short, "seq").select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
+    found = Q.contiguous_subsequences(sequences(spark, d), "seq")
+    return found.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
 
 
 @query(f"WITH {_WIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\" FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-5'), user_id, lo, hi) <= 20")
 def sample_augmented(spark, d):
-    short = sequences(spark, d).withColumn("seq", Q.trim("seq", 12))
-    spans = Q.sample_augmented(Q.contiguous_subsequences(short, "seq"), ["user_id"], 20, 5, ["user_id", "start", "end"])
+    spans = Q.sample_augmented(Q.contiguous_subsequences(sequences(spark, d).select("user_id", "seq"), "seq").select("user_id", "start", "end"), ["user_id"], 20, 5, ["user_id", "start", "end"])
     return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-# the same over whole histories
+# the names under which these were first registered over whole histories
+for _name in ("contiguous_subsequences", "sample_augmented"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
 
 
-_WIN_WHOLE = f"{SEQ_SQL}, w AS (SELECT user_id, seq, unnest(range(2, len(seq) + 1)) AS hi FROM s), v AS (SELECT user_id, seq, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
+def _draws(source: str, items: str, most: int, seed: int) -> str:
+    """Windows (lo, hi) of each user of ``source``: all, or ``most`` draws by digest, repeats left out."""
+    return f"""g0 AS (SELECT *, {items} AS k, {items} * ({items} - 1) // 2 AS n FROM {source}), g1 AS (SELECT *, unnest(range(least(n, {most}))) AS i FROM g0),
+g2 AS (SELECT DISTINCT * EXCLUDE (i), CASE WHEN n <= {most} THEN i ELSE ('0x' || substr(md5(user_id || '-' || i || '-{seed}'), 1, 15))::BIGINT % n END AS t FROM g1),
+g3 AS (SELECT *, unnest(range(2, k + 1)) AS hi FROM g2), v AS (SELECT *, t - (hi - 2) * (hi - 1) // 2 AS lo FROM g3 WHERE t >= (hi - 2) * (hi - 1) // 2 AND t < (hi - 1) * hi // 2)"""
 
 
-@query(f"WITH {_WIN_WHOLE} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
-def contiguous_subsequences_whole(spark, d):
-    found = Q.contiguous_subsequences(sequences(spark, d), "seq")
+@query(f"WITH {SEQ_SQL}, {_draws('s', 'len(seq)', 200, 6)} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
+def draw_windows(spark, d):
+    found = Q.draw_windows(sequences(spark, d), "user_id", "seq", 1, 200, 6)
     return found.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
 
 
-@query(f"WITH {_WIN_WHOLE} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\" FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-5'), user_id, lo, hi) <= 20")
-def sample_augmented_whole(spark, d):
-    spans = Q.sample_augmented(Q.contiguous_subsequences(sequences(spark, d), "seq"), ["user_id"], 20, 5, ["user_id", "start", "end"])
-    return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-
-
 @query(f"WITH {SEQ_SQL}, p AS (SELECT user_id, {_PAD.format('seq[-60:]', n=60)} AS q, least(len(seq), 60) AS n FROM s) SELECT user_id, array_to_string(list_concat(q[1:n - 2], [-2], list_transform(range(60 - n + 1), lambda x: -1)), '-') AS seq, array_to_string(q[n - 1:n], '-') AS label, (n - 2)::BIGINT AS label_pos FROM p")
 def next_k_split(spark, d):
     rows = sequences(spark, d).withColumn("seq", Q.pad_or_trim("seq", 60, -1))
@@ -283,8 +319,7 @@ def user_bin(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("user_id", Q.user_bin("user_id", 8).cast("long").alias("bin")).distinct()
 
 
-_TRAIN = f"""{TOK_SQL}, w AS (SELECT user_id, tok, unnest(range(2, len(tok) // 2 + 1)) AS hi FROM t), v AS (SELECT user_id, tok, hi, unnest(range(0, hi - 1)) AS lo FROM w),
-c AS (SELECT user_id, lo, hi, tok[2 * lo + 1:2 * hi][-16:] AS q FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || lo || '-' || hi || '-9'), user_id, lo, hi) <= 64)"""
+_TRAIN = f"{TOK_SQL}, {_draws('t', 'len(tok) // 2', 64, 9)}, c AS (SELECT user_id, lo, hi, tok[2 * lo + 1:2 * hi][-16:] AS q FROM v)"
 
 
 @query(f"WITH {_TRAIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(list_concat(q[1:len(q) - 2], list_transform(range(16 - len(q) + 2), lambda x: -1)), '-') AS seq, array_to_string(q[-2:], '-') AS label, (len(q) - 2)::BIGINT AS n FROM c")
@@ -297,11 +332,11 @@ def training_rows(spark, d):
 
 
 def rounded(col):
-    return F.array_join(F.transform(F.slice(col, 1, 4), lambda x: F.round(x * 1000).cast("long").cast("string")), "/")
+    return F.array_join(F.transform(col, lambda x: F.round(x * 1e6).cast("long").cast("string")), "/")
 
 
 def rounded_sql(expr):
-    return f"array_to_string(list_transform(({expr})[1:4], lambda x: round(x * 1000)::BIGINT), '/')"
+    return f"array_to_string(list_transform({expr}, lambda x: round(x * 1000000)::BIGINT), '/')"
 
 
 @query(f"WITH {E_SQL} SELECT item_id, {rounded_sql(UNIT.format(x='v'))} AS out FROM e")
@@ -309,7 +344,7 @@ def l2_normalize(spark, d):
     return items(spark, d).select("item_id", rounded(V.l2_normalize("embedding")).alias("out"))
 
 
-@query(f"WITH {E_SQL}, x AS (SELECT item_id, unnest(range(1, 5)) AS k, v FROM e), y AS (SELECT item_id, k, v[k] AS a FROM x), z AS (SELECT item_id, k, (a - avg(a) OVER w) / sqrt(var_pop(a) OVER w + 1e-5) AS s FROM y WINDOW w AS (PARTITION BY k)) SELECT item_id, string_agg(round(s * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z GROUP BY item_id")
+@query(f"WITH {E_SQL}, x AS (SELECT item_id, unnest(range(1, len(v) + 1)) AS k, v FROM e), y AS (SELECT item_id, k, v[k] AS a FROM x), z AS (SELECT item_id, k, (a - avg(a) OVER w) / sqrt(var_pop(a) OVER w + 1e-5) AS s FROM y WINDOW w AS (PARTITION BY k)) SELECT item_id, string_agg(round(s * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z GROUP BY item_id")
 def standardize(spark, d):
     return V.standardize(items(spark, d), "item_id", "embedding").select("item_id", rounded(F.col("z")).alias("out"))
 
@@ -356,11 +391,32 @@ def mse(spark, d):
     return V.mse(_pairs(spark, d), "embedding", "centroid").select(F.round("mse", 6).alias("mse"))
 
 
-@query(f"WITH {E_SQL}, p AS (SELECT item_id, unnest(range(1 + item_id % 8)) AS pos, v FROM e), q AS (SELECT item_id, pos, v[8 * pos + 1:8 * pos + 8] AS x, max(pos) OVER (PARTITION BY item_id) AS hi FROM p), r AS (SELECT item_id, unnest(range(1, 5)) AS k, x FROM q WHERE pos > hi - 3), m AS (SELECT item_id, k, avg(x[k]) AS a FROM r GROUP BY 1, 2) SELECT item_id, string_agg(round(a * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM m GROUP BY item_id")
-def pool(spark, d):
+_POOL = "WITH " + E_SQL + ", p AS (SELECT item_id, unnest(range(1 + item_id % 8)) AS pos, v FROM e), q AS (SELECT item_id, pos, v[8 * pos + 1:8 * pos + 8] AS x, max(pos) OVER (PARTITION BY item_id) AS hi FROM p), r AS (SELECT item_id, unnest(range(1, len(x) + 1)) AS k, x FROM q WHERE {keep}), m AS (SELECT item_id, k, avg(x[k]) AS a FROM r GROUP BY 1, 2) SELECT item_id, string_agg(round(a * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM m GROUP BY item_id"
+
+
+def _tokens_of_items(spark, d):
     pieces = items(spark, d).select("item_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos"), "embedding")
-    rows = pieces.select("item_id", "pos", F.slice("embedding", F.col("pos") * 8 + 1, 8).cast("array<double>").alias("vec"), (F.col("pos") <= F.col("item_id") % 8).cast("int").alias("mask"))
-    return V.pool(rows, "item_id", "mean", 3).select("item_id", rounded(F.col("vec")).alias("out"))
+    return pieces.select("item_id", "pos", F.slice("embedding", F.col("pos") * 8 + 1, 8).cast("array<double>").alias("vec"), (F.col("pos") <= F.col("item_id") % 8).cast("int").alias("mask"))
+
+
+@query(_POOL.replace("{keep}", "pos > hi - 3"))
+def pool(spark, d):
+    return V.pool(_tokens_of_items(spark, d), "item_id", "mean", 3).select("item_id", rounded(F.col("vec")).alias("out"))
+
+
+@query(_POOL.replace("{keep}", "true"))
+def pool_all(spark, d):
+    return V.pool(_tokens_of_items(spark, d), "item_id").select("item_id", rounded(F.col("vec")).alias("out"))
+
+
+@query(_POOL.replace("{keep}", "pos = hi"))
+def pool_last(spark, d):
+    return V.pool(_tokens_of_items(spark, d), "item_id", "last").select("item_id", rounded(F.col("vec")).alias("out"))
+
+
+@query(_POOL.replace("{keep}", "pos = 0"))
+def pool_first(spark, d):
+    return V.pool(_tokens_of_items(spark, d), "item_id", "first").select("item_id", rounded(F.col("vec")).alias("out"))
 
 
 @query(f"WITH {E_SQL} SELECT item_id, {rounded_sql('list_reverse(v)')} AS out FROM e")
@@ -375,18 +431,86 @@ def full_softmax_ce(spark, d):
     return V.full_softmax_ce(rows, "item_id", "embedding", "label", fixed_codebooks(spark, d, 1)[0]).select(F.round("ce", 6).alias("ce"))
 
 
+@query(f"WITH {E_SQL}, l AS (SELECT q.item_id, (q.item_id * 7) % (SELECT count(*) FROM e) AS label, k.item_id AS code, list_cosine_similarity(q.v, k.v) AS logit FROM e q, e k) SELECT round(avg(ce), 6) AS ce FROM (SELECT item_id, ln(sum(exp(logit))) - max(logit) FILTER (code = label) AS ce FROM l GROUP BY item_id)")
+def full_softmax_ce_blocks(spark, d):
+    """All items as keys, in blocks."""
+    rows = items(spark, d)
+    keys = rows.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = rows.withColumn("label", (F.col("item_id") * 7) % F.lit(rows.count()))
+    return V.full_softmax_ce(asked, "item_id", "embedding", "label", keys, block=300).select(F.round("ce", 6).alias("ce"))
+
+
 # ---- fits
 
 
-@query(f"WITH {_NEAR}, b AS (SELECT code, count(*) AS n FROM a GROUP BY code), y AS (SELECT a.code, unnest(range(1, 5)) AS k, v FROM a), m AS (SELECT code, k, avg(v[k]) AS m FROM y GROUP BY 1, 2), z AS (SELECT code, k, m + (c.c[k] - m) * 10.0 / (10 + n) AS x FROM m JOIN b USING (code) JOIN c USING (code)) SELECT code, any_value(n)::BIGINT AS n, string_agg(round(x * 1000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z JOIN b USING (code) GROUP BY code")
+@query(f"WITH {_NEAR}, b AS (SELECT code, count(*) AS n FROM a GROUP BY code), y AS (SELECT a.code, unnest(range(1, len(v) + 1)) AS k, v FROM a), m AS (SELECT code, k, avg(v[k]) AS m FROM y GROUP BY 1, 2), z AS (SELECT code, k, m + (c.c[k] - m) * 10.0 / (10 + n) AS x FROM m JOIN b USING (code) JOIN c USING (code)) SELECT code, any_value(n)::BIGINT AS n, string_agg(round(x * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z JOIN b USING (code) GROUP BY code")
 def minibatch_step(spark, d):
     start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0], np.full(16, 10.0))
-    n, s = kmeans.code_sums(items(spark, d), "embedding", start.centroids)
+    n, s, _ = kmeans.code_sums(items(spark, d), "embedding", start.centroids)
     new = kmeans.minibatch_update(start, n, s)
     rows = [(k, int(n[k]), new.centroids[k].tolist()) for k in np.flatnonzero(n).tolist()]
     return spark.createDataFrame(rows, "code long, n long, c array<double>").select("code", "n", rounded(F.col("c")).alias("out"))
 
 
+_MEANS = f"{_NEAR}, n AS (SELECT code, count(*) AS n FROM a GROUP BY code), m AS (SELECT code, k, avg(v[k]) AS m FROM (SELECT code, v, unnest(range(1, len(v) + 1)) AS k FROM a) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_MEANS}, g AS (SELECT code, sum((c.c[k] - m) ** 2) AS gap FROM m JOIN c USING (code) GROUP BY code) SELECT round(sum(gap * n / (10.0 + n)), 6) AS loss FROM g JOIN n USING (code)")
+def minibatch_loss(spark, d):
+    start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0], np.full(16, 10.0))
+    return spark.createDataFrame([(kmeans.minibatch_loss(start, *kmeans.code_sums(items(spark, d), "embedding", start.centroids)),)], "loss double").select(F.round("loss", 6).alias("loss"))
+
+
+@query(_SE + "SELECT round(1.25 * sum(se), 6) AS loss FROM p")
+def quantization_loss(spark, d):
+    start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0])
+    return spark.createDataFrame([(residual.quantization_loss(0.25)(start, *kmeans.code_sums(items(spark, d), "embedding", start.centroids)),)], "loss double").select(F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {_MEANS}, z AS (SELECT m.code, k, c.c[k] - 0.5 * 2 * (n * c.c[k] - n * m) / (SELECT count(*) FROM e) AS x FROM m JOIN n USING (code) JOIN c USING (code)) SELECT code, string_agg(round(x * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM z GROUP BY code")
+def gradient_step(spark, d):
+    """One plain gradient step from fixed centroids."""
+    start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0])
+    n, s, _ = kmeans.code_sums(items(spark, d), "embedding", start.centroids)
+    new = residual.gradient_move(0.5, adagrad=False)(start, n, s)
+    rows = [(k, new.centroids[k].tolist()) for k in np.flatnonzero(n).tolist()]
+    return spark.createDataFrame(rows, "code long, c array<double>").select("code", rounded(F.col("c")).alias("out"))
+
+
+@query(f"WITH {_NEAR}, y AS (SELECT a.v AS x, c.c AS q FROM a JOIN c USING (code)), i AS (SELECT unnest(range(1, len(x) + 1)) AS i, x, q FROM y), j AS (SELECT i, x[i] AS xi, unnest(range(1, len(q) + 1)) AS j, q FROM i) SELECT (i - 1)::BIGINT AS i, (j - 1)::BIGINT AS j, round(sum(xi * q[j]), 6) AS total FROM j GROUP BY 1, 2")
+def rotation_sums(spark, d):
+    """The sums from which a rotation step is solved, before any rotation."""
+    rows = items(spark, d).select("item_id", F.col("embedding").cast("array<double>").alias("_v"))
+    book = fixed_codebooks(spark, d, 1)
+    m, _ = residual._cross(rows, np.eye(book[0].shape[1]), book)
+    flat = [(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
+    return spark.createDataFrame(flat, "i long, j long, total double").withColumn("total", F.round("total", 6))
+
+
+@query(f"WITH {E_SQL} SELECT {rounded_sql('v')} AS out FROM e ORDER BY md5(item_id || '-2'), item_id LIMIT 16")
+def init_random(spark, d):
+    found = kmeans.init_random(items(spark, d), "item_id", "embedding", 16, 2).centroids
+    return spark.createDataFrame([(v.tolist(),) for v in found], "v array<double>").select(rounded(F.col("v")).alias("out"))
+
+
+@query()
+def init_kmeanspp(spark, d):
+    return _books(spark, [kmeans.init_kmeanspp(kmeans.init_buffer(items(spark, d), "item_id", "embedding", 3072, 16), 16).centroids])
+
+
+@query()
+def init_kmeans_parallel(spark, d):
+    return _books(spark, [kmeans.init_kmeans_parallel(items(spark, d), "item_id", "embedding", 16).centroids])
+
+
+@query()
+def fit_history(spark, d):
+    """The mean loss of each layer's steps."""
+    history = residual.fit_rq(items(spark, d), "item_id", "embedding", 3, 16, 9)[1]
+    rows = spark.createDataFrame(history, "layer int, step int, loss double")
+    return residual.mean_metric(rows, ["layer"], "loss")
+
+
 @query(f"WITH {E_SQL} SELECT {rounded_sql('v')} AS out FROM e ORDER BY md5(item_id || '-4'), item_id LIMIT 48")
 def init_buffer(spark, d):
     found = kmeans.init_buffer(items(spark, d), "item_id", "embedding", 48, 8, 4)
@@ -423,9 +547,25 @@ def fit_opq(spark, d):
     return _books(spark, residual.fit_opq(items(spark, d), "item_id", "embedding", 2, 8, 2, 4)[1])
 
 
-@query(f"WITH {E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16) SELECT item_id, arg_min(code, row(list_distance(v, c), code)) AS code FROM e, c GROUP BY item_id")
+_SOFT = f"""{E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16),
+l AS (SELECT item_id, code, c, {{noise}} - list_distance(v, c) ** 2 AS logit FROM e, c), w AS (SELECT item_id, code, c, logit, exp((logit - max(logit) OVER (PARTITION BY item_id)) / 0.7) AS w FROM l),
+x AS (SELECT item_id, w, c, unnest(range(1, len(c) + 1)) AS k FROM w), y AS (SELECT item_id, k, sum(w * c[k]) / sum(w) AS x FROM x GROUP BY 1, 2), z AS (SELECT item_id, string_agg(round(x * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM y GROUP BY item_id)
+SELECT item_id, arg_min(code, row(-logit, code)) AS code, any_value(out) AS out FROM w JOIN z USING (item_id) GROUP BY item_id"""
+
+
+def _soft(spark, d, noise):
+    found = residual.assign_soft(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0], noise=noise)
+    return found.select("item_id", F.col("code").cast("long").alias("code"), rounded(F.col("vector")).alias("out"))
+
+
+@query(f"WITH {_SOFT.format(noise='0')}")
 def assign_soft(spark, d):
-    return residual.assign_soft(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0], noise=False).select("item_id", F.col("code").cast("long").alias("code"))
+    return _soft(spark, d, False)
+
+
+@query(f"""WITH {_SOFT.format(noise="-ln(-ln((('0x' || substr(md5(e.item_id || '-' || c.code || '-0'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE))")}""")
+def assign_soft_noise(spark, d):
+    return _soft(spark, d, True)
 
 
 @query("SELECT user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id")
@@ -528,10 +668,10 @@ def evaluate(spark, d):
 
 def _asked(spark, d):
     e = items(spark, d)
-    return e.filter("item_id % 10 = 0").select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"), ((F.col("item_id") * 7) % 97).alias("positive")), e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"))
+    return e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"), ((F.col("item_id") * 7) % 97).alias("positive")), e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-_RET = f"{E_SQL}, r AS (SELECT q.item_id AS query_id, k.item_id AS key_id, round(list_inner_product(q.v, k.v), 9) AS score FROM e q, e k WHERE q.item_id % 10 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS pos FROM r QUALIFY pos <= 10)"
+_RET = f"{E_SQL}, r AS (SELECT q.item_id AS query_id, k.item_id AS key_id, round(list_inner_product(q.v, k.v), 9) AS score FROM e q, e k), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS pos FROM r QUALIFY pos <= 10)"
 
 
 @query(f"WITH {_RET} SELECT query_id, pos, key_id, round(score, 6) AS score FROM t")
@@ -540,13 +680,13 @@ def retrieve_all(spark, d):
     return metrics.retrieve_all(q, k, 10).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"))
 
 
-_NEG = f"{E_SQL}, n AS (SELECT count(*) AS n FROM e), x AS (SELECT item_id AS query_id, v, (item_id * 7) % 97 AS positive, unnest(range(21)) AS pos FROM e WHERE item_id % 10 = 0), y AS (SELECT *, CASE WHEN pos = 0 THEN positive ELSE ('0x' || substr(md5(query_id || '-' || pos || '-0'), 1, 8))::BIGINT % (n - 100) + 100 END AS key_id FROM x, n)"
+_NEG = f"{E_SQL}, n AS (SELECT count(*) AS n FROM e), x AS (SELECT item_id AS query_id, v, (item_id * 7) % 97 AS positive, unnest(range(501)) AS pos FROM e), y AS (SELECT *, CASE WHEN pos = 0 THEN positive ELSE ('0x' || substr(md5(query_id || '-' || pos || '-0'), 1, 8))::BIGINT % (n - 100) + 100 END AS key_id FROM x, n)"
 
 
 @query(f"WITH {_NEG} SELECT query_id, pos, key_id, round(list_inner_product(y.v, e.v), 6) AS score, key_id = positive AS target FROM y JOIN e ON e.item_id = key_id")
 def sample_negatives(spark, d):
     q, k = _asked(spark, d)
-    return metrics.sample_negatives(q, k, 20).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"), "target")
+    return metrics.sample_negatives(q, k).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"), "target")
 
 
 @query(f"WITH {_RET}, h AS (SELECT query_id, max(CASE WHEN key_id = (query_id * 7) % 97 THEN 1 / log2(pos + 1) ELSE 0 END) AS g, max(CASE WHEN key_id = (query_id * 7) % 97 THEN 1.0 ELSE 0 END) AS r FROM t GROUP BY query_id) SELECT round(avg(g), 6) AS ndcg_10, round(avg(r), 6) AS recall_10, count(*) AS users FROM h")
@@ -556,6 +696,16 @@ def evaluate_retrieval(spark, d):
     return out.select(F.round("ndcg_10", 6).alias("ndcg_10"), F.round("recall_10", 6).alias("recall_10"), "users")
 
 
+@query(f"""WITH {_NEG}, z AS (SELECT query_id, pos, key_id = positive AS target, list_inner_product(y.v, e.v) AS score FROM y JOIN e ON e.item_id = key_id),
+r AS (SELECT query_id, target, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, (sum(target::INT) OVER (PARTITION BY query_id))::BIGINT AS positives FROM z),
+u AS (SELECT query_id, least(any_value(positives), 10) AS most, sum(CASE WHEN target AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum((target AND rank <= 10)::INT) AS hits FROM r GROUP BY query_id)
+SELECT round(avg(dcg / list_sum(list_transform(range(1, most + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg_10, round(avg(hits / most), 6) AS recall_10, count(*) AS users FROM u""")
+def evaluate_retrieval_sampled(spark, d):
+    q, k = _asked(spark, d)
+    out = metrics.evaluate_retrieval(q, k, [10], sampled=500)
+    return out.select(F.round("ndcg_10", 6).alias("ndcg_10"), F.round("recall_10", 6).alias("recall_10"), "users")
+
+
 _RUNS = "r AS (SELECT event_type AS dataset, 'm' || user_id % 3 AS method, user_id AS step, 'val/recall@5' AS metric, round(avg(value), 6) AS value FROM events GROUP BY ALL)"
 
 
@@ -574,3 +724,33 @@ def compare_runs(spark, d):
 @query(f"WITH {_RUNS} SELECT dataset, method, step, value FROM r QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY value DESC, step, method) = 1")
 def best_run(spark, d):
     return metrics.best_run(runs(spark, d))
+
+
+# ---- streams
+
+
+def _stream(spark, d):
+    schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
+    # as a pattern, the path may name a file as well as a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{d}/embeddings.parque[t]")
+
+
+@query(f"WITH {_codes_sql(True)} SELECT item_id, c1 || '-' || c2 AS sid FROM q")
+def assign_stream(spark, d):
+    """The embeddings as a stream, its codes appended to a table that is read back."""
+    folder = f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    found = T.assign_stream(_stream(spark, d), "vec_id", "embedding", fixed_codebooks(spark, d)).select(F.col("vec_id").alias("item_id"), joined("sid").alias("sid"))
+    found.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("item_id", "sid")
+
+
+@query(f"WITH {_MEANS} SELECT code, n::BIGINT AS n, string_agg(round(m * 1000000)::BIGINT::VARCHAR, '/' ORDER BY k) AS out FROM m JOIN n USING (code) GROUP BY code, n")
+def fit_stream(spark, d):
+    """The state after the embeddings as one micro-batch from fixed centroids: touched codes are at their means."""
+    folder = f"{shared_folder(spark)}/fit-{uuid.uuid4().hex}"
+    start = kmeans.Codebook(fixed_codebooks(spark, d, 1)[0])
+    q = T.fit_stream(_stream(spark, d), "embedding", start, f"{folder}/state", f"{folder}/checkpoint")
+    q.awaitTermination()
+    state = T.read_state(spark, f"{folder}/state/{q.id}", 0)
+    rows = [(k, int(state.counts[k]), state.centroids[k].tolist()) for k in np.flatnonzero(state.counts).tolist()]
+    return spark.createDataFrame(rows, "code long, n long, c array<double>").select("code", "n", rounded(F.col("c")).alias("out"))

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def beam_step(beams: DataFrame, logits: DataFrame, k: int, sids: DataFrame | None = None) -> DataFrame:
-    """(user_id, prefix, probability): each beam's valid next codes by softmax, times the beam's probability, the best ``k`` per user, ties to the smaller prefix."""
-    rows = beams.join(logits, ["user_id", "prefix"]).withColumn("next", F.concat("prefix", F.array("code")))
+def beam_step(beams: DataFrame, logits: DataFrame, k: int, sids: DataFrame | None = None, depth: int = 0) -> DataFrame:
+    """(user_id, prefix, probability): each beam's valid next codes by softmax, times the beam's probability, the best ``k`` per user, ties to the smaller prefix. Beams have ``depth`` codes; only logits and valid prefixes of that depth are read."""
+    rows = beams.join(logits.filter(F.size("prefix") == depth), ["user_id", "prefix"]).withColumn("next", F.concat("prefix", F.array("code")))
     if sids is not None:
-        depth = F.size("next")
-        known = sids.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("sid")), lambda h: F.slice("sid", F.lit(1), h))).alias("next")).distinct()
-        rows = rows.join(known, "next", "left_semi").filter(depth > 0)
+        known = sids.filter(F.size("sid") > depth).select(F.slice("sid", 1, depth + 1).alias("next")).distinct()
+        rows = rows.join(known, "next", "left_semi")
     beam = Window.partitionBy("user_id", "prefix")
     top = F.exp(F.col("logit") - F.max("logit").over(beam))
     scored = rows.withColumn("_e", top).withColumn("p", F.col("probability") * F.col("_e") / F.sum("_e").over(beam))
@@ -23,7 +22,7 @@ def beam_step(beams: DataFrame, logits: DataFrame, k: int, sids: DataFrame | Non
 def beam_decode(logits: DataFrame, hierarchies: int, k: int = 10, sids: DataFrame | None = None) -> DataFrame:
     """(user_id, rank, sid, probability) after ``hierarchies`` steps. A user without valid codes has fewer than ``k`` rows."""
     beams = logits.select("user_id").distinct().select("user_id", F.array().cast("array<int>").alias("prefix"), F.lit(1.0).alias("probability"))
-    for _ in range(hierarchies):
-        beams = beam_step(beams, logits, k, sids)
+    for depth in range(hierarchies):
+        beams = beam_step(beams, logits, k, sids, depth)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("probability", 12)), "prefix"))
     return beams.select("user_id", rank.alias("rank"), F.col("prefix").alias("sid"), "probability")

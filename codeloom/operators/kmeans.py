@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix, nearest, sq_distances
+from ..functions.vectors import lists, matrix, nearest, sq_distances, sum_rows
 
 
 @dataclass
@@ -38,16 +38,17 @@ def init_random(df: DataFrame, key: str, col: str, k: int, seed: int = 0) -> Cod
     return Codebook(init_buffer(df, key, col, k, k, seed))
 
 
-def init_kmeanspp(buffer: np.ndarray, k: int, seed: int = 0) -> Codebook:
-    """k-means++ on a buffer: the first point evenly, each next by its squared distance to the nearest chosen; once all are zero, evenly among the rest."""
+def init_kmeanspp(buffer: np.ndarray, k: int, seed: int = 0, weights: np.ndarray | None = None) -> Codebook:
+    """k-means++ on a buffer: the first point evenly, each next by its squared distance to the nearest chosen, times its weight if given; once all are zero, evenly among the rest."""
     if len(buffer) < k:
         raise ValueError(f"{len(buffer)} points for {k} clusters")
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(buffer)))]
     d = ((buffer - buffer[chosen[0]]) ** 2).sum(1)
     while len(chosen) < k:
-        if d.sum() > 0:
-            new = int(rng.choice(len(buffer), p=d / d.sum()))
+        p = d if weights is None else d * weights
+        if p.sum() > 0:
+            new = int(rng.choice(len(buffer), p=p / p.sum()))
         else:
             new = int(rng.choice(np.setdiff1d(np.arange(len(buffer)), chosen)))
         chosen.append(new)
@@ -55,29 +56,58 @@ def init_kmeanspp(buffer: np.ndarray, k: int, seed: int = 0) -> Codebook:
     return Codebook(buffer[chosen].copy())
 
 
-def code_sums(df: DataFrame, col: str, centroids: np.ndarray, prepare=None) -> tuple[np.ndarray, np.ndarray]:
-    """(n_k, S_k) of the nearest-centroid assignment: a row per code and partition is shuffled, K rows come to the driver."""
+def init_kmeans_parallel(df: DataFrame, key: str, col: str, k: int, rounds: int = 5, oversample: float = 2.0, seed: int = 0) -> Codebook:
+    """k-means++ for a buffer of any size (k-means||): in each round a row is chosen with a chance of ``oversample * k`` by its share of the squared distances; the few chosen, weighted by the rows nearest to them, are clustered on the driver.
+
+    The chance comes from a digest of key, round and seed. About ``rounds *
+    oversample * k`` rows reach the driver, whatever the table's size.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(col).cast("array<double>").alias("_v"))
+    chosen = init_buffer(df, key, col, 1, 1, seed)
+    for step in range(rounds):
+        def far(batches, chosen=chosen):
+            for b in batches:
+                d = np.maximum(sq_distances(matrix(b.column(1)), chosen).min(1), 0)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["_k", "_v", "d"])
+
+        near = rows.mapInArrow(far, f"_k {rows.schema['_k'].dataType.simpleString()}, _v array<double>, d double")
+        total = near.agg(F.sum("d")).first()[0]
+        if not total:
+            break
+        digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("_k").cast("string"), F.lit(str(step)), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
+        drawn = near.filter(digest / float(1 << 52) < F.col("d") * (oversample * k / total)).orderBy("_k").collect()
+        if drawn:
+            chosen = np.concatenate([chosen, np.array([r["_v"] for r in drawn])])
+    chosen = np.unique(chosen, axis=0)
+    if len(chosen) < k:
+        return init_kmeanspp(init_buffer(df, key, col, max(k, 3072), k, seed), k, seed)
+    n, _, _ = code_sums(rows, "_v", chosen)
+    return init_kmeanspp(chosen, k, seed, n)
+
+
+def code_sums(df: DataFrame, col: str, centroids: np.ndarray, prepare=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_k, S_k, Q_k: the sum of squared norms) of the nearest-centroid assignment: a row per code and partition is shuffled, K rows come to the driver."""
     k, d = centroids.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(k), np.zeros((k, d))
+        n, s = np.zeros(k), np.zeros((k, d + 1))
         for b in batches:
             x = matrix(b.column(0))
             x = prepare(x) if prepare else x
             code = nearest(x, centroids)
             n += np.bincount(code, minlength=k)
-            np.add.at(s, code, x)
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            if len(starts):
+                s[code[order][starts]] += np.add.reduceat(np.column_stack([x, (x * x).sum(1)])[order], starts, axis=0)
         used = np.flatnonzero(n)
-        sums = pa.array([s[c].tolist() for c in used], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used]), sums], names=["code", "n", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used]), lists(s[used])], names=["code", "n", "s"])
 
     parts = df.select(F.col(col).cast("array<double>")).mapInArrow(run, "code int, n double, s array<double>")
-    rows = parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(d)]).collect()
-    n, s = np.zeros(k), np.zeros((k, d))
-    for r in rows:
-        n[r["code"]] = r["n"]
-        s[r["code"]] = r[2:]
-    return n, s
+    n, s = np.zeros(k), np.zeros((k, d + 1))
+    for r in sum_rows(parts, "code").collect():
+        n[r["code"]], s[r["code"]] = r["n"], r["s"]
+    return n, s[:, :d], s[:, d]
 
 
 def minibatch_update(state: Codebook, n: np.ndarray, s: np.ndarray) -> Codebook:
@@ -88,7 +118,14 @@ def minibatch_update(state: Codebook, n: np.ndarray, s: np.ndarray) -> Codebook:
 
 
 def minibatch_step(df: DataFrame, col: str, state: Codebook, prepare=None) -> Codebook:
-    return minibatch_update(state, *code_sums(df, col, state.centroids, prepare))
+    return minibatch_update(state, *code_sums(df, col, state.centroids, prepare)[:2])
+
+
+def minibatch_loss(state: Codebook, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> float:
+    """The loss that a mini-batch step lowers: over the codes it touches, the squared distance of centroid and batch mean times n / N, N counting this batch."""
+    hit = n > 0
+    gap = ((state.centroids[hit] - s[hit] / n[hit, None]) ** 2).sum(1)
+    return float((gap * n[hit] / (state.counts + n)[hit]).sum())
 
 
 def fit_kmeans(df: DataFrame, key: str, col: str, k: int, max_iter: int = 100, atol: float = 1e-8, buffer: int = 3072, seed: int = 0) -> tuple[Codebook, int]:

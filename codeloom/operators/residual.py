@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS, lists, map_vectors, matrix, nearest, sq_distances, to_orthogonal
-from .kmeans import Codebook, code_sums, init_buffer, init_kmeanspp, minibatch_update
+from ..functions.vectors import EPS, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal
+from .kmeans import Codebook, code_sums, init_buffer, init_kmeanspp, minibatch_loss, minibatch_update
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -28,14 +28,15 @@ def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, res
 
 
 def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True) -> DataFrame:
-    """(key, sid, quantized, first_residual, last_residual): all layers in one pass, no shuffle."""
+    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals): all layers in one pass, no shuffle."""
 
     def run(x):
         codes, total, first, last = walk(x, codebooks, normalize, residual)
         sid = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(codebooks)), pa.array(codes.astype(np.int32).ravel()))
-        return [sid, lists(total), lists(first), lists(last)]
+        norms = np.column_stack([(m * m).sum(1) for m in (x, first, last)])
+        return [sid, lists(total), lists(first), lists(last), lists(norms)]
 
-    return map_vectors(df, key, col, "sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>", run)
+    return map_vectors(df, key, col, "sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>", run)
 
 
 def _layer_input(x, codebooks, normalize, residual):
@@ -43,8 +44,8 @@ def _layer_input(x, codebooks, normalize, residual):
     return unit(r) if normalize else r
 
 
-def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, normalize: bool = True, residual: bool = True, buffer: int = 3072, seed: int = 0, move=minibatch_update, batches: int = 1) -> tuple[list[np.ndarray], list[tuple]]:
-    """Codebooks of ``layers`` layers, ``steps // layers`` steps each, and the history (layer, step, loss).
+def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, normalize: bool = True, residual: bool = True, buffer: int = 3072, seed: int = 0, move=minibatch_update, loss=minibatch_loss, batches: int = 1) -> tuple[list[np.ndarray], list[tuple]]:
+    """Codebooks of ``layers`` layers, ``steps // layers`` steps each, and the history (layer, step, loss), the loss before each step.
 
     Steps read the rows once each; ``batches`` above 1 takes hash buckets of
     them in turn. Without ``residual`` each layer quantises the vector itself
@@ -59,10 +60,9 @@ def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int =
             state = init_kmeanspp(prepare(init_buffer(rows, key, "_v", buffer, k, seed + layer)), k, seed + layer)
             for step in range(max(1, steps // layers)):
                 part = rows.filter(F.col("_b") == step % batches) if batches > 1 else rows
-                n, s = code_sums(part, "_v", state.centroids, prepare)
-                new = move(state, n, s)
-                history.append((layer, step, float(((new.centroids - state.centroids) ** 2).sum())))
-                state = new
+                n, s, q = code_sums(part, "_v", state.centroids, prepare)
+                history.append((layer, step, loss(state, n, s, q)))
+                state = move(state, n, s)
             codebooks.append(state.centroids)
     finally:
         rows.unpersist()
@@ -84,8 +84,18 @@ def gradient_move(lr: float = 0.1, adagrad: bool = True):
     return move
 
 
-def fit_rvq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, lr: float = 0.1, adagrad: bool = True, **options):
-    return fit_rq(df, key, col, layers, k, steps, move=gradient_move(lr, adagrad), **options)
+def quantization_loss(beta: float = 0.25):
+    """The loss that gradient steps lower: (1 + beta) times the squared error of all rows to their centroids, from the sums alone."""
+
+    def loss(state: Codebook, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> float:
+        c = state.centroids
+        return float((1 + beta) * (q.sum() - 2 * (c * s).sum() + (n * (c * c).sum(1)).sum()))
+
+    return loss
+
+
+def fit_rvq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, lr: float = 0.1, adagrad: bool = True, beta: float = 0.25, **options):
+    return fit_rq(df, key, col, layers, k, steps, move=gradient_move(lr, adagrad), loss=quantization_loss(beta), **options)
 
 
 def fit_opq(df: DataFrame, key: str, col: str, layers: int, k: int, iters: int = 4, steps: int = 9, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
@@ -121,11 +131,10 @@ def _cross(rows: DataFrame, w: np.ndarray, codebooks) -> tuple[np.ndarray, float
             y = walk(x @ w.T, codebooks, normalize=False)[1]
             total += x.T @ y
             error += float(((x @ w.T - y) ** 2).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array([*total.tolist(), [error] * d], pa.list_(pa.float64()))], names=["i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(np.ones(d + 1)), lists(np.vstack([total, np.full(d, error)]))], names=["i", "n", "s"])
 
-    parts = rows.select("_v").mapInArrow(run, "i long, row array<double>")
-    sums = parts.groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"x{j}") for j in range(d)]).orderBy("i").collect()
-    m = np.array([r[1:] for r in sums])
+    sums = sum_rows(rows.select("_v").mapInArrow(run, "i long, n double, s array<double>"), "i").orderBy("i").collect()  # d + 1 rows
+    m = np.array([r["s"] for r in sums])
     return m[:d], float(m[d][0])
 
 
@@ -149,20 +158,22 @@ def assign_soft(df: DataFrame, key: str, col: str, codebook: np.ndarray, tempera
     return df.select(key, F.col(col).cast("array<double>")).mapInArrow(run, f"{key} {kind}, code int, vector array<double>")
 
 
-def sid_stats(assigned: DataFrame, inputs: DataFrame, key: str, col: str, codebook_size: int) -> DataFrame:
-    """(metric, layer, value): share of distinct tuples, of codes used and entropy per layer, mean error, residual shares of the input's norm."""
-    codes = assigned.select(F.posexplode("sid").alias("layer", "code")).groupBy("layer", "code").count()
-    total = F.sum("count").over(Window.partitionBy("layer"))
-    p = codes.withColumn("p", F.col("count") / total)
-    layers = p.groupBy("layer").agg((F.count("*") / codebook_size).alias("usage"), (-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
-    per_layer = layers.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), "layer", F.col(m).alias("value")) for m in ("usage", "entropy")])).alias("x")).select("x.*")
-    sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    joined = assigned.join(inputs.select(key, F.col(col).alias("_x")), key)
-    sums = joined.agg(F.sum(sq("last_residual")).alias("last"), F.sum(sq("first_residual")).alias("first"), F.sum(sq("_x")).alias("x"), F.sum(F.size("_x")).alias("n"))
-    distinct = assigned.groupBy("sid").count().agg((F.count("*") / F.sum("count")).alias("value"))
-    said = {"mse": F.col("last") / F.col("n"), "first_share": F.sqrt(F.col("first") / F.col("x")), "last_share": F.sqrt(F.col("last") / F.col("x"))}
-    whole = sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(-1).alias("layer"), v.alias("value")) for m, v in said.items()])).alias("x")).select("x.*")
-    return per_layer.unionByName(whole).unionByName(distinct.select(F.lit("distinct").alias("metric"), F.lit(-1).alias("layer"), "value"))
+def sid_stats(assigned: DataFrame, codebooks: list[np.ndarray]) -> DataFrame:
+    """(metric, layer, value) of ``assign_rq``'s rows: share of distinct tuples, of codes used and entropy per layer, mean error, residual shares of the input's norm, norms of the first and last codebook.
+
+    Rows are read once: each adds to its tuple (layer -1) and to its code in
+    every layer, and sums per layer of these give all metrics.
+    """
+    sums = [F.col("norms")[k].alias(n) for k, n in enumerate(("x", "first", "last"))]
+    codes = F.transform("sid", lambda c, h: F.struct(h.alias("layer"), F.array(c).alias("code")))
+    rows = assigned.select(F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("layer"), F.col("sid").alias("code"))), codes)).alias("c"), *sums, F.size("quantized").alias("width"))
+    used = rows.groupBy("c.layer", "c.code").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x", "first", "last", "width")])
+    per = used.groupBy("layer").agg(F.count("*").alias("codes"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), *[F.sum(c).alias(c) for c in ("x", "first", "last", "width")])
+    each = {"usage": F.col("codes") / len(codebooks[0]), "entropy": F.log("rows") - F.col("n_log_n") / F.col("rows")}
+    whole = {"distinct": F.col("codes") / F.col("rows"), "mse": F.col("last") / F.col("width"), "first_share": F.sqrt(F.col("first") / F.col("x")), "last_share": F.sqrt(F.col("last") / F.col("x"))}
+    whole |= {f"{name}_codebook_norm": F.lit(float(np.linalg.norm(c))) for name, c in (("first", codebooks[0]), ("last", codebooks[-1]))}
+    listed = lambda said: F.array(*[F.struct(F.lit(m).alias("metric"), "layer", v.cast("double").alias("value")) for m, v in said.items()])
+    return per.select(F.explode(F.when(F.col("layer") < 0, listed(whole)).otherwise(listed(each))).alias("x")).select("x.*")
 
 
 def mean_metric(df: DataFrame, keys: list[str], value: str = "loss") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +49,27 @@ def merge_keyed(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.sparkSession.range(n).withColumnRenamed("id", "position").join(last, "position", "left").select("position", F.coalesce(F.col("value").cast("array<double>"), zeros).alias("value"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one only where one machine does everything and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A full, repeatable shuffle: rows in the order of a seeded digest of their key."""
     return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key)
+
+
+def shuffle_places(df: DataFrame, key: str, seed: int, shards: int = 4096) -> DataFrame:
+    """(key, place): the places, from 1, that ``shuffle_rows`` gives. Digests are evenly spread, so ranks within ranges of them and the ranges' sizes tell the places, no task holding more than a range."""
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    rows = df.select(key, digest.alias("_d")).withColumn("_r", (F.conv(F.substring("_d", 1, 8), 16, 10).cast("long") * shards / (1 << 32)).cast("int"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", before.alias("_before"))  # a row per range
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy("_d", key))
+    return rows.withColumn("_rank", rank).join(F.broadcast(sizes), "_r").select(key, (F.col("_rank") + F.col("_before")).cast("long").alias("place"))

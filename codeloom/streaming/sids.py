@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,12 @@ def assign_stream(sdf: DataFrame, key: str, col: str, codebooks: list[np.ndarray
 
 
 def read_state(spark: SparkSession, path: str, batch_id: int) -> Codebook | None:
-    try:
-        rows = spark.read.parquet(f"{path}/batch={batch_id}").orderBy("code").collect()  # K rows
-    except Exception as e:  # the batch has no state yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return Codebook(np.array([r["centroid"] for r in rows]), np.array([r["n"] for r in rows])) if rows else None
+    """The state after a batch; None if that batch's state was not written to its end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        return None
+    rows = spark.read.parquet(folder.toString()).orderBy("code").collect()  # K rows
+    return Codebook(np.array([r["centroid"] for r in rows]), np.array([r["n"] for r in rows]))
 
 
 def write_state(spark: SparkSession, path: str, batch_id: int, state: Codebook) -> None:
@@ -42,6 +43,21 @@ def fit_batch(df: DataFrame, batch_id: int, col: str, start: Codebook, state_pat
     return state
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream's checkpoint gives it for life; a new checkpoint has a new one."""
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{checkpoint}/metadata").collect()))["id"]
+
+
 def fit_stream(sdf: DataFrame, col: str, start: Codebook, state_path: str, checkpoint: str):
-    """A started query that moves the codebook by each micro-batch."""
-    return sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: fit_batch(df, i, col, start, state_path) and None).trigger(availableNow=True).start()
+    """A started query that moves the codebook by each micro-batch.
+
+    Its states are under ``state_path`` and the stream's own id (its query's
+    ``id``), so a stream that begins anew with another checkpoint finds no
+    states of an earlier one.
+    """
+    spark = sdf.sparkSession
+
+    def step(df: DataFrame, batch_id: int) -> None:
+        fit_batch(df, batch_id, col, start, f"{state_path}/{stream_id(spark, checkpoint)}")
+
+    return sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import features as P
 from codeloom.functions import sequences as Q
 from codeloom.functions import vectors as V
 from codeloom.operators import kmeans, metrics, residual
@@ -96,11 +97,26 @@ def test_fits(spark):
     assert kmeans.inertia(df, "v", state.centroids) < kmeans.inertia(df, "v", first.centroids)
     books, history = residual.fit_rq(df, "id", "v", 2, 6, 8, normalize=False)
     assert len(books) == 2 and len(history) == 8
+    first = kmeans.init_kmeanspp(kmeans.init_buffer(df, "id", "v", 3072, 6, 0), 6, 0).centroids
+    code = ((x[:, None] - first[None]) ** 2).sum(2).argmin(1)
+    want = sum(((first[c] - x[code == c].mean(0)) ** 2).sum() for c in set(code.tolist()))  # all counts are new: weights of 1
+    assert np.isclose(history[0][2], want)
+    rvq, losses = residual.fit_rvq(df, "id", "v", 1, 6, 12, lr=0.3, normalize=False)
+    assert np.isclose(losses[0][2], 1.25 * ((x - first[code]) ** 2).sum()) and losses[-1][2] < losses[0][2]
+    g = 2 * (np.bincount(code, minlength=6)[:, None] * first - np.array([x[code == c].sum(0) for c in range(6)])) / len(x)
+    one, _ = residual.fit_rvq(df, "id", "v", 1, 6, 1, lr=0.3, normalize=False)
+    assert np.allclose(one[0], first - 0.3 * g / (abs(g) + 1e-10))
     codes, total, first_r, last = residual.walk(x, books, normalize=False)
     assert (last**2).sum() < (first_r**2).sum() < (x**2).sum() and np.allclose(total + last, x)
     w, _, errors = residual.fit_opq(df, "id", "v", 1, 6, 3, 4)
     assert np.allclose(w @ w.T, np.eye(6), atol=1e-8) and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:], strict=False))
     assert kmeans.init_kmeanspp(np.ones((4, 2)), 3).centroids.shape == (3, 2)
+    many = kmeans.init_kmeans_parallel(df, "id", "v", 6, seed=3).centroids
+    rows = {tuple(v) for v in x.tolist()}
+    assert len(many) == 6 and {tuple(v) for v in many.tolist()} <= rows
+    assert np.allclose(many, kmeans.init_kmeans_parallel(df.repartition(5), "id", "v", 6, seed=3).centroids)
+    even = kmeans.init_random(df, "id", "v", 6).centroids
+    assert kmeans.inertia(df, "v", many) < 1.5 * kmeans.inertia(df, "v", even)
 
 
 def test_streams(spark, tmp_path):
@@ -112,10 +128,14 @@ def test_streams(spark, tmp_path):
     plain = residual.assign_rq(df, "id", "v", [x[:4], x[4:8]])
     assert sorted(map(str, spark.sql("SELECT id, sid FROM codes").collect())) == sorted(map(str, plain.select("id", "sid").collect()))
     start, state = kmeans.Codebook(x[:4].copy()), str(tmp_path / "state")
-    T.fit_stream(sdf, "v", start, state, str(tmp_path / "c2")).awaitTermination()
-    got = T.read_state(spark, state, 0)
-    assert np.allclose(got.centroids, kmeans.minibatch_step(df, "v", start).centroids)
-    assert np.allclose(T.fit_batch(df, 0, "v", start, state).centroids, got.centroids)
+    for c in ("c2", "c3"):  # a new checkpoint begins anew beside the states of the old one
+        q = T.fit_stream(sdf, "v", start, state, str(tmp_path / c))
+        q.awaitTermination()
+        got = T.read_state(spark, f"{state}/{q.id}", 0)
+        assert np.allclose(got.centroids, kmeans.minibatch_step(df, "v", start).centroids)
+        assert np.allclose(T.fit_batch(df, 0, "v", start, f"{state}/{q.id}").centroids, got.centroids)
+    (tmp_path / "half" / "batch=0").mkdir(parents=True)
+    assert T.read_state(spark, str(tmp_path / "half"), 0) is None
 
 
 def test_mapping_and_sink(spark, tmp_path):
@@ -123,3 +143,71 @@ def test_mapping_and_sink(spark, tmp_path):
     assert {r["category"]: r["index"] for r in S.load_mapping(spark, str(tmp_path / "m.json")).collect()} == {"a": 1, "b": 2}
     S.write_predictions(spark.range(25).select("id", F.lit(1).alias("v")).coalesce(1), str(tmp_path / "out"), "id", "v", 10)
     assert len(list((tmp_path / "out").glob("*.parquet"))) == 3
+
+
+def test_embedding_errors(spark):
+    twice = spark.createDataFrame([(0, [1.0]), (0, [2.0])], "k long, v array<double>")
+    with pytest.raises(ValueError, match="more than once"):
+        S.load_embeddings(twice, "k", "v")
+    with pytest.raises(ValueError, match="widths 1 to 2"):
+        S.load_embeddings(spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0])], "k long, v array<double>"), "k", "v")
+
+
+def test_category_lists_and_errors(spark):
+    mapping = spark.createDataFrame([("a", 1), ("b", 2)], "category string, index int")
+    df = spark.createDataFrame([(0, ["b", "x", "a", "b", None]), (1, []), (2, None)], "id long, c array<string>")
+    assert {r["id"]: r["c"] for r in P.encode_category(df, "c", mapping, key="id").collect()} == {0: [2, 0, 1, 2, 0], 1: [], 2: None}
+    with pytest.raises(ValueError, match="key"):
+        P.encode_category(df, "c", mapping)
+    with pytest.raises(Exception, match="two indexes of category a"):
+        P.encode_category(df.select("id", F.lit("a").alias("c")), "c", mapping.unionByName(mapping.limit(1))).collect()
+
+
+def test_windows_are_drawn_without_making_all(spark):
+    n = 10_000
+    df = spark.createDataFrame([(0, list(range(n))), (1, [5, 6, 7]), (2, [5])], "id long, s array<long>")
+    rows = Q.draw_windows(df, "id", "s", 1, 64, 9)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = [(r["id"], r["start"], r["end"]) for r in rows.collect()]
+    assert sorted(x for x in got if x[0] == 1) == [(1, 0, 2), (1, 0, 3), (1, 1, 3)] and not [x for x in got if x[0] == 2]
+    mine = [x for x in got if x[0] == 0]
+    assert 60 < len(mine) == len(set(mine)) <= 64 and all(0 <= a < b - 1 < n for _, a, b in mine)
+    for k in (2, 3, 50, 1000):  # every number is a window of its own, in the order of ends, then starts
+        pairs = [(a, b) for b in range(2, k + 1) for a in range(b - 1)]
+        all_ = Q.draw_windows(spark.createDataFrame([(0, list(range(k)))], "id long, s array<long>"), "id", "s", 1, 10**6, 1)
+        assert [(r["start"], r["end"]) for r in all_.collect()] == pairs
+    out = Q.training_rows(df.filter("id < 2"), "id", "s", 1, 16, 1, -1, -2, 64, 9)
+    assert all(len(r["s"]) == 16 and len(r["label"]) == 1 for r in out.collect())
+
+
+def test_sums_of_rows(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 7, 500).tolist()
+    x = rng.normal(size=(500, 3))
+    frame = spark.createDataFrame([(k, 1.0, v) for k, v in zip(keys, x.tolist(), strict=True)], "k long, n double, s array<double>")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 16, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {r["k"]: (r["n"], r["s"]) for r in V.sum_rows(frame, "k").collect()}
+        assert all(got[k][0] == keys.count(k) and np.allclose(got[k][1], x[np.array(keys) == k].sum(0)) for k in set(keys)) and len(got) == len(set(keys))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert V.sum_rows(frame.limit(0), "k").count() == 0
+
+
+def test_nearest_with_equal_centroids():
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(6, 5))
+    c = np.concatenate([c, c[::-1], c + 1e-11])
+    x = np.concatenate([rng.normal(size=(5000, 5)), c])
+    want = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert (V.nearest(x, c) == want).all()
+
+
+def test_cross_entropy_over_a_table_of_keys(spark):
+    x, df = points(spark, 90, 4)
+    keys = df.select("id", F.col("v").alias("vec"))
+    asked = df.withColumn("label", (F.col("id") * 7) % 90)
+    plain = V.full_softmax_ce(asked, "id", "v", "label", x).first()["ce"]
+    assert np.isclose(V.full_softmax_ce(asked, "id", "v", "label", keys, block=20).first()["ce"], plain)
+    with pytest.raises(ValueError, match="as a table"):
+        V.full_softmax_ce(asked, "id", "v", "label", x, block=20)
