@@ -41,6 +41,12 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(docs(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_exact_dedup_of_long_and_repeated_rows(spark):
+    long = "Long text \u00e9 " * 200_000
+    found = exact_dedup.exact_dedup(docs(spark, (1, long), (2, long.upper().replace("\u00c9", "\u00e9")), (2, long), (3, long + "x"), (4, "a"), (4, "a")).withColumn("digest", F.lit("clash")).withColumn("kept", F.lit(0)))
+    assert rows_of(found, "doc_id", "keep_id", "group_size", "kept") == sorted([(1, 2, 3, False), (2, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True), (4, 4, 2, False), (4, 4, 2, True)], key=repr)
+
+
 def test_exact_dedup_compares_content_where_digests_clash(spark):
     data = docs(spark, *[(k, f"text {k % 7}") for k in range(60)])
     weak = exact_dedup.exact_dedup(data, digest=lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(2)).cast("string"))
@@ -103,6 +109,20 @@ def test_links_need_disjoint_parts(spark):
     assert found[900] == [] and found[901] == [] and [x[1] for x in found[902]] == ["ident"] and found[903] == []
 
 
+def test_secrets_without_broadcasts(spark):
+    """No join is forced to broadcast: beyond the threshold they shuffle, with the same result."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = rows_of(secret_scan.scan_secrets(d), "doc_id", "found")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = secret_scan.scan_secrets(d)
+        assert rows_of(found, "doc_id", "found") == want
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_secret_edges(spark):
     long = "client_id: bob " + "password=hunter22 " * 60_000
     twice = (2, "token=abcdefgh AKIA" + "A1" * 9)
@@ -189,6 +209,8 @@ def test_warc_round_trip_and_selection(spark):
     assert all(r["payload_digest"] == base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode() for i, _, t in data for r in [back[i]])
     assert rows_of(warc.read_archives(index.filter("page_id = 3"), folder, payloads=False), "page_id") == [(3,)]
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
+    twice = warc.write_archives(pages.filter("page_id = 3").unionByName(pages.filter("page_id = 3")), folder)
+    assert rows_of(warc.read_archives(twice, folder), "page_id", "record_type") == [(3, "response")] * 2
 
 
 # ---- SimHash
@@ -339,6 +361,40 @@ def test_verified_against_all_pairs(spark, block):
     assert {x: got.get(x, x) for x in sets} == components_of(near, list(sets))
 
 
+def near_groups(texts, similarity=0.8, n=5):
+    """Least id reachable over pairs of a Jaccard similarity, all pairs that share a shingle counted."""
+    sets = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = frozenset(" ".join(words[k : k + n]) for k in range(len(words) - n + 1)) or frozenset([" ".join(words)] if words else [])
+    holders = {}
+    for s in set(sets.values()):
+        for x in s:
+            holders.setdefault(x, []).append(s)
+    met = {}
+    for group in holders.values():
+        for a, b in itertools.combinations(group, 2):
+            key = (a, b) if id(a) < id(b) else (b, a)
+            met[key] = met.get(key, 0) + 1
+    ids = {}
+    for i, s in sets.items():
+        ids.setdefault(s, []).append(i)
+    links = [(g[0], x) for g in ids.values() for x in g[1:]]
+    links += [(ids[a][0], ids[b][0]) for (a, b), c in met.items() if c * 10 >= (len(a) + len(b) - c) * 8]
+    return components_of(links, sorted(texts)), len(links)
+
+
+def test_near_dedup_of_what_line_dedup_hands_over(spark):
+    d = line_dedup.line_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("_deleted")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    want, links = near_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(d, shingle=5, tau=18, similarity=0.8).collect()}
+    assert links > 5
+    wrong = [i for i in texts if got[i] != want[i]]
+    assert len(wrong) <= 0.1 * sum(want[i] != i for i in texts)
+    assert all(want[got[i]] == want[i] for i in texts)  # nothing is linked that no chain of true links connects
+
+
 def test_near_dedup_edges(spark):
     assert simhash.near_dedup(docs(spark, (1, "a")).limit(0), similarity=0.8).count() == 0
     found = simhash.near_dedup(docs(spark, (4, None), (2, ""), (9, "a b c d e"), (7, "A b c d e"), (7, "A b c d e"), (None, "a b c d e")))
@@ -488,9 +544,24 @@ def test_pack(spark):
     for (b, pad, k), at in batches.items():
         room = max(1, 256 // pad)
         assert sorted(at) == list(range(len(at))) and (len(at) == room or k == max(x[2] for x in batches if x[0] == b))
+    # pieces by their text's length: every one is there, under the least boundary that holds it
+    want = sorted(((i, k, 64 * k, min(64, n - 64 * k)) for i, t in data for n in [len((t or "").split())] for k in range(max(1, -(-n // 64)))), key=repr)
+    assert rows_of(packing.pack(docs(spark, *data), max_len=64, buckets=3, token_budget=256), "doc_id", "piece", "start_token", "n_tokens") == want
+    hist = {}
+    for *_, n in want:
+        hist[n] = hist.get(n, 0) + 1
+    bounds = packing.boundaries({n: c for n, c in hist.items() if n}, 3)
+    assert all(r["pad_to"] == min(b for b in bounds if b >= r["n_tokens"]) and r["bucket"] == bounds.index(r["pad_to"]) for r in rows if r["n_tokens"])
     assert packing.pack(docs(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_pack_ties_and_repeats(spark):
+    same = [(7, "a b c")] * 5 + [(8, "a b c")] * 4
+    rows = packing.pack(docs(spark, *same).withColumn("bucket", F.lit("x")), buckets=2, token_budget=6).collect()
+    assert len(rows) == 9 and {(r["bucket"], r["pad_to"]) for r in rows} == {(0, 3)}
+    assert sorted((r["batch"], r["row"]) for r in rows) == [(k // 2, k % 2) for k in range(9)]
+
+
 def test_mix_shortages_go_to_siblings_first(spark):
     data = [(k, "w " * 10, "en" if k < 5 else "de" if k < 60 else None) for k in range(160)]
     d = docs(spark, *data).withColumn("source", F.when(F.col("doc_id") < 60, "a").otherwise("b"))
