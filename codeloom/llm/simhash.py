@@ -212,11 +212,12 @@ def _mask(bits) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def link(nodes: DataFrame, tau: int = 4, hot: int = 20_000, plan: tuple | None = None) -> DataFrame:
+def link(nodes: DataFrame, tau: int = 4, block: int = BLOCK, plan: tuple | None = None) -> DataFrame:
     """Links (a, b) that connect just what links at distance ``tau`` or less connect, over distinct fingerprints ``fp``.
 
-    Keys that over ``hot`` nodes are indexed under give links of their own way:
-    see ``_through_middles``.
+    Pairs come from a join of the indexed keys and the probes. What meets in a
+    key that over ``block`` nodes are indexed under is compared in blocks
+    instead, without its pairs: see ``link_groups``.
     """
     n = nodes.count()
     groups, thresholds = plan or allocate(bit_counts(nodes), n, tau)
@@ -238,39 +239,15 @@ def link(nodes: DataFrame, tau: int = 4, hot: int = 20_000, plan: tuple | None =
         probes = probe if probes is None else probes.unionByName(probe)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("by"))) <= tau
     once = ~F.col("same") | (F.col("by") < F.col("fp"))
-    crowded = settle(indexed.groupBy("part", "key").count().filter(F.col("count") > hot).select("part", "key"), "crowded")
+    crowded = settle(indexed.groupBy("part", "key").count().filter(F.col("count") > block).select("part", "key"), "crowded")
     if crowded.isEmpty():
         met = indexed.join(probes.hint("shuffle_merge"), ["part", "key"]).filter(near & once)
         return met.select(F.col("fp").alias("a"), F.col("by").alias("b"))
     met = indexed.join(crowded, ["part", "key"], "left_anti").join(probes, ["part", "key"]).filter(near & once)
-    close = probes.join(crowded, ["part", "key"], "left_semi").select(F.col("by").alias("fp")).distinct()
-    return met.select(F.col("fp").alias("a"), F.col("by").alias("b")).unionByName(_through_middles(close, tau))
-
-
-def _through_middles(nodes: DataFrame, tau: int) -> DataFrame:
-    """Links of a crowd without its pairs: two fingerprints are within ``tau`` exactly if some point is within the halves of tau of them.
-
-    Each node lists all points within the larger half and, for an odd tau,
-    those within the smaller apart; the nodes of a point link to its least one.
-    The rows grow with the nodes, not with their pairs.
-    """
-    inner, outer = tau // 2, tau - tau // 2
-    masks = [sum(1 << b for b in c) for size in range(outer + 1) for c in itertools.combinations(range(BITS), size)]
-    sizes = np.array([bin(m).count("1") for m in masks])
-    flip = np.array(masks, np.uint64).view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for k in range(0, len(fps), 64):
-                some = fps[k : k + 64]
-                points = (some[:, None] ^ flip[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(some, len(flip))), pa.array(np.tile(sizes <= inner, len(some)))], names=["point", "fp", "inner"])
-
-    at = nodes.mapInArrow(run, "point long, fp long, inner boolean")
-    # for an odd tau a point must be in the inner ball of one of the two: link all to the least inner one
-    least = at.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("b"))
-    return at.join(least, "point").filter("b IS NOT NULL AND b != fp").select(F.col("fp").alias("a"), "b").distinct()
+    # a node probes its own key as well, so the probes are all that meets in a key
+    members = probes.join(crowded, ["part", "key"], "left_semi").select(F.xxhash64("part", "key").alias("grp"), F.col("by").alias("node"), F.col("by").alias("fp"))
+    members = members.select("*", F.lit(1).alias("weight"), F.lit(bytes(8 * len(WIDE))).alias("wide"), F.lit(1).alias("size"))
+    return met.select(F.col("fp").alias("a"), F.col("by").alias("b")).unionByName(link_groups(members, block, near_bits(tau, 0, 0.0)))
 
 
 def _block_links(fp: np.ndarray, wide: np.ndarray, size: np.ndarray, tau: int, wide_tau: int, similarity: float) -> tuple[list[int], list[int]]:
@@ -477,7 +454,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int
     return rows.select("_id", "fp", "set").join(named, "set").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4, seed: int = 42, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4, seed: int = 42, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """One row per input row: id, ``fp`` (long), ``component_id`` (the smallest id reachable over links, itself included).
 
     Texts without words (null and empty ones among them) have fingerprint 0
@@ -492,7 +469,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _similar(docs, id_col, text_col, shingle, tau, seed, similarity)
     rows = settle(fingerprints(docs, id_col, text_col, shingle, seed).withColumnRenamed(id_col, "_id"), "fingerprints")
     nodes = settle(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "nodes")
-    links = link(nodes.select("fp"), tau, hot)
+    links = link(nodes.select("fp"), tau, block)
     roots = connected_components(links).withColumnRenamed("node", "fp")
     joined = settle(nodes.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))

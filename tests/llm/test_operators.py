@@ -242,9 +242,9 @@ def components_of(links, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize(("hot", "tau"), [(20_000, 4), (3, 4), (3, 3)])
-def test_links_against_all_pairs(spark, hot, tau):
-    rng = random.Random(hot + tau)
+@pytest.mark.parametrize(("block", "tau"), [(4096, 4), (3, 4), (3, 3)])
+def test_links_against_all_pairs(spark, block, tau):
+    rng = random.Random(block + tau)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for _ in range(120):
         x = rng.choice(sorted(fps))
@@ -254,7 +254,7 @@ def test_links_against_all_pairs(spark, hot, tau):
     signed = [x - 2**64 if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = components_of([(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= tau], signed)
-    found = components.connected_components(simhash.link(nodes, tau, hot))
+    found = components.connected_components(simhash.link(nodes, tau, block))
     got = {r["node"]: r["root"] for r in found.collect()}
     assert {x: got.get(x, x) for x in signed} == want
 
