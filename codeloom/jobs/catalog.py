@@ -39,8 +39,9 @@ TOK_SQL = f"{SEQ_SQL}, {SID_SQL}, x AS (SELECT user_id, unnest(seq) AS item_id,
 JOIN = "array_to_string({}, '-')"
 
 
-def items(spark, d):
-    return S.load_embeddings(S.read_table(spark, f"{d}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding")
+def items(spark, d, check=False):
+    """The embeddings; ``load_embeddings`` below is the query that checks them."""
+    return S.load_embeddings(S.read_table(spark, f"{d}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", check)
 
 
 def sequences(spark, d):
@@ -97,6 +98,12 @@ def assign_rq(spark, d):
     return out.select("item_id", joined("sid").alias("sid"), F.round(F.sqrt(V.dot("last_residual", "last_residual")), 6).alias("left_over"))
 
 
+@query(f"WITH {_codes_sql(True)}, l1 AS (SELECT u1.item_id, list_distance(u, c) ** 2 AS e FROM u1 JOIN a1 USING (item_id) JOIN c ON layer = 0 AND code = c1), l2 AS (SELECT u2.item_id, list_distance(u, c) ** 2 AS e FROM u2 JOIN q ON q.item_id = u2.item_id JOIN c ON layer = 1 AND code = c2) SELECT round(1.25 * (SELECT sum(e) FROM l1) + 1.25 * (SELECT sum(e) FROM l2), 6) AS loss")
+def assignment_loss(spark, d):
+    out = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d))
+    return residual.assignment_loss(out).select(F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {_codes_sql(False)} SELECT item_id, c1 || '-' || c2 AS sid FROM q")
 def assign_mlq(spark, d):
     return residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d), residual=False).select("item_id", joined("sid").alias("sid"))
@@ -161,7 +168,7 @@ def write_predictions(spark, d):
 
 @query(f"WITH {E_SQL} SELECT item_id, len(v)::BIGINT AS width FROM e")
 def load_embeddings(spark, d):
-    return items(spark, d).select("item_id", F.size("embedding").cast("long").alias("width"))
+    return items(spark, d, check=True).select("item_id", F.size("embedding").cast("long").alias("width"))
 
 
 # ---- features

@@ -55,12 +55,11 @@ def retrieve_all(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_00
     Queries (id, vec) meet keys (id, vec) in blocks of keys, each task keeping
     its k best a query, which are then merged.
     """
-    n = keys.count()
-    blocks = max(1, -(-n // block))
+    blocks, asked = (max(1, -(-t.count() // block)) for t in (keys, queries))
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     x = keys.select(F.col("id").alias("key_id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
-    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-queries.count() // block) - 1)))))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int"))
+    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
 
     def best(left, right):
         import pandas as pd

@@ -16,27 +16,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True):
-    """Codes (N, H), sum of centroids, residual after the first layer, residual after the last. A layer assigns on the normalised residual but subtracts its centroid from the plain one."""
-    r, total, codes, first = x, np.zeros_like(x), [], x
+    """Codes (N, H), sum of centroids, residual after the first layer, residual after the last, squared errors summed over layers. A layer assigns on the normalised residual but subtracts its centroid from the plain one."""
+    r, total, codes, first, error = x, np.zeros_like(x), [], x, np.zeros(len(x))
     for h, c in enumerate(codebooks):
-        code = nearest(unit(r) if normalize else r, c)
+        given = unit(r) if normalize else r
+        code = nearest(given, c)
+        error = error + ((given - c[code]) ** 2).sum(1)
         codes.append(code)
         total = total + c[code]
         r = r - c[code] if residual else r
         first = r if h == 0 else first
-    return np.array(codes).T.reshape(len(x), -1), total, first, r
+    return np.array(codes).T.reshape(len(x), -1), total, first, r, error
 
 
 def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True) -> DataFrame:
-    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals): all layers in one pass, no shuffle."""
+    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals, error: the squared errors of what the layers assign on, summed): all layers in one pass, no shuffle."""
 
     def run(x):
-        codes, total, first, last = walk(x, codebooks, normalize, residual)
+        codes, total, first, last, error = walk(x, codebooks, normalize, residual)
         sid = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(codebooks)), pa.array(codes.astype(np.int32).ravel()))
         norms = np.column_stack([(m * m).sum(1) for m in (x, first, last)])
-        return [sid, lists(total), lists(first), lists(last), lists(norms)]
+        return [sid, lists(total), lists(first), lists(last), lists(norms), pa.array(error)]
 
-    return map_vectors(df, key, col, "sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>", run)
+    return map_vectors(df, key, col, "sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>, error double", run)
+
+
+def assignment_loss(assigned: DataFrame, beta: float = 0.25) -> DataFrame:
+    """The quantization loss of ``assign_rq``'s rows, summed across layers."""
+    return assigned.agg((F.sum("error") * (1 + beta)).alias("loss"))
 
 
 def _layer_input(x, codebooks, normalize, residual):

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, glob: str | None = None) -> DataFrame:
-    """Parquet under ``path``, only ``columns`` (all if none are named), only files that match ``glob``."""
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, glob: str | None = None, limit_files: int | None = None) -> DataFrame:
+    """Parquet under ``path``, only ``columns`` (all if none are named), only files that match ``glob``, of these only the first ``limit_files`` by name if given."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     df = reader.parquet(path)
+    if limit_files is not None:
+        df = spark.read.schema(df.schema).parquet(*sorted(df.inputFiles())[:limit_files])
     return df.select(*columns) if columns else df
 
 
-def load_embeddings(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(item_id, embedding); an error unless ids are unique and all vectors have one width."""
+def load_embeddings(df: DataFrame, id_col: str, vec_col: str, check: bool = True) -> DataFrame:
+    """(item_id, embedding); an error unless ids are unique and all vectors have one width. The check reads all ids and widths once; leave it out for a table that has passed it."""
     out = df.select(F.col(id_col).cast("long").alias("item_id"), F.col(vec_col).alias("embedding"))
+    if not check:
+        return out
     seen = out.groupBy("item_id").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
     n, lo, hi = seen.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
     if n is not None and n > 1:

@@ -106,7 +106,8 @@ def test_fits(spark):
     g = 2 * (np.bincount(code, minlength=6)[:, None] * first - np.array([x[code == c].sum(0) for c in range(6)])) / len(x)
     one, _ = residual.fit_rvq(df, "id", "v", 1, 6, 1, lr=0.3, normalize=False)
     assert np.allclose(one[0], first - 0.3 * g / (abs(g) + 1e-10))
-    codes, total, first_r, last = residual.walk(x, books, normalize=False)
+    codes, total, first_r, last, error = residual.walk(x, books, normalize=False)
+    assert np.allclose(error, (first_r**2).sum(1) + (last**2).sum(1))
     assert (last**2).sum() < (first_r**2).sum() < (x**2).sum() and np.allclose(total + last, x)
     w, _, errors = residual.fit_opq(df, "id", "v", 1, 6, 3, 4)
     assert np.allclose(w @ w.T, np.eye(6), atol=1e-8) and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:], strict=False))
@@ -138,6 +139,13 @@ def test_streams(spark, tmp_path):
     assert T.read_state(spark, str(tmp_path / "half"), 0) is None
 
 
+def test_limited_files(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "t"))
+    assert S.read_table(spark, str(tmp_path / "t"), ["id"]).count() == 30
+    some = S.read_table(spark, str(tmp_path / "t"), ["id"], "part-*", 2)
+    assert some.inputFiles() == sorted(S.read_table(spark, str(tmp_path / "t")).inputFiles())[:2] and 0 < some.count() < 30
+
+
 def test_mapping_and_sink(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": 1, "b": 2}')
     assert {r["category"]: r["index"] for r in S.load_mapping(spark, str(tmp_path / "m.json")).collect()} == {"a": 1, "b": 2}
