@@ -40,12 +40,13 @@ def settle(df: DataFrame, kind: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a settled table that no plan needs any more."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete settled tables that no plan needs any more: what was made of them is settled itself."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for file in df.inputFiles()[:1]:
-        folder = hadoop(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = hadoop(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def others(df: DataFrame, *names: str) -> list[str]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import settle
+from ._shared import discard, settle
 
 #: Pivots at most and at least: the rows with the smallest seeded hashes, as many as the root of all rows between these.
 MOST_PIVOTS, LEAST_PIVOTS = 1024, 8
@@ -188,6 +188,7 @@ def prepare(df: DataFrame, is_query: str, k: int, id_col: str, vec_col: str, sca
             yield pd.DataFrame({"vec_id": b["vec_id"], "cell": cell, "far": exact, "norm": np.linalg.norm(x, axis=1), "v": b["v"]})
 
     rows = settle(data.mapInPandas(cells, "vec_id long, cell int, far double, norm double, v binary").withColumn("q", F.coalesce(F.expr(is_query), F.lit(False))).sortWithinPartitions("cell"), "cells")
+    discard(df.sparkSession, data)
     said = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.sum(F.col("q").cast("long")).alias("nq"), F.max(F.when(F.col("q"), F.col("far"))).alias("q_far")).collect()  # a row per pivot
     copies = rows.filter("q").groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if copies is None:

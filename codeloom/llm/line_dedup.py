@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import others, settle
+from ._shared import discard, others, settle
 
 RANGES = "array<struct<start:int,end:int>>"
 KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -274,6 +274,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = both.select(*key, "early", "seq", "anchors").mapInArrow(align_at, found_type)
     every = found.unionByName(more).groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     per_doc = settle(every.mapInArrow(joined, f"_id {id_type}, _h long, _deleted {RANGES}"), "ranges")
+    discard(docs.sparkSession, lines, holders, shared, sequences, found, held, firsts)
 
     tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
     cleaned = tagged.join(per_doc, key, "left")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import others, settle
+from ._shared import discard, others, settle
 
 HASH_BITS = 60
 
@@ -131,7 +131,7 @@ def mix(
     total = leaves.agg(F.coalesce(F.sum("avail"), F.lit(0))).first()[0]
     budgets = leaf_budgets(leaves, cols, weights, share_of_tokens * total, max_epochs)
     whole = F.least(F.floor((F.col("budget") + 1e-6) / F.col("avail")), F.lit(max_epochs)).cast("int")
-    budgets = settle(budgets.withColumn("_whole", whole).withColumn("_rest", F.floor(F.col("budget") + 1e-6 - F.col("_whole") * F.col("avail"))), "budgets")
+    budgets = told = settle(budgets.withColumn("_whole", whole).withColumn("_rest", F.floor(F.col("budget") + 1e-6 - F.col("_whole") * F.col("avail"))), "budgets")
 
     # about as many slots as rows in a slot
     budgets = budgets.withColumn("_bits", F.least(F.ceil(F.log2(F.col("n").cast("double") + 1) / 2), F.lit(24)).cast("int"))
@@ -147,6 +147,7 @@ def mix(
     edge = taken.groupBy(*cols).agg(F.max(F.struct("_place", "_id")).alias("_edge"))
     ends = _join_left(ends.select(*cols, "_slot"), edge, cols)
     plan = settle(_join_left(budgets.drop("avail", "budget", "_rest", "n"), ends, cols), "plan")
+    discard(docs.sparkSession, narrow, leaves, told)
 
     # the rows travel as one struct, so that no column of theirs can clash with one of these
     marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_tokens")).filter("_tokens > 0")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import discard, settle
 from .components import connected_components
 
 BITS = 64
@@ -324,8 +324,9 @@ def link_groups(members: DataFrame, room: int, compare: Callable[[DataFrame], Da
     last = F.col("blocks") - 1
     at = F.when((F.col("home") == 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array("home"))
     first = settle(compare(dealt.withColumn("at", F.explode(at)).withColumn("key", F.xxhash64("grp", "at"))), "first")
-    large = dealt.filter("blocks > 1")
+    spark, large = members.sparkSession, dealt.filter("blocks > 1")
     if large.isEmpty():
+        discard(spark, totals, dealt)
         return first
     roots = connected_components(first)
     placed = settle(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
@@ -334,19 +335,24 @@ def link_groups(members: DataFrame, room: int, compare: Callable[[DataFrame], Da
     pairs = [F.col("node").alias("a"), F.col("root").alias("b")]
     known = roots.select(*pairs).filter("a != b")
     if rest.isEmpty():
+        discard(spark, totals, dealt, first, placed, rest)
         return known
     parts = settle(rest.groupBy("grp").agg(F.greatest(F.ceil(F.sum("weight") / room), F.lit(1)).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     some = rest.join(parts, "grp").withColumn("part", part).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
     every = placed.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("at", F.col("home"))
     both = some.unionByName(every).withColumn("key", F.xxhash64("grp", "at", "part", F.lit(1)))
-    return known.unionByName(settle(compare(both), "further"))
+    further = settle(compare(both), "further")
+    discard(spark, totals, dealt, first, placed, rest, parts)
+    return known.unionByName(further)
 
 
 def _in_groups(at: DataFrame) -> DataFrame:
     """The rows of ``at`` (grp, ...) whose group has another, with the group's size."""
     shared = settle(at.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    return settle(at.join(shared, "grp"), "members")
+    members = settle(at.join(shared, "grp"), "members")
+    discard(at.sparkSession, shared)
+    return members
 
 
 def _keys(part: int, bits: list[int], threshold: int) -> Column:
@@ -380,7 +386,9 @@ def link_similar(nodes: DataFrame, tau: int, wide_tau: int, similarity: float, b
         groups, thresholds = allocate(bit_counts(large.dropDuplicates(["node"])), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
         keys = F.concat(*[_keys(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0])
         cut = cut.unionByName(large.withColumn("key", F.explode(keys)).select(F.col("key").alias("grp"), *data))
-    return link_groups(cut.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
+    links = link_groups(cut.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
+    discard(nodes.sparkSession, members)
+    return links
 
 
 def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -450,6 +458,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int
     members = settle(chosen.select("root", "set", "size").join(hashes, "set"), "members")
     parts = connected_components(verified(members, similarity)).withColumnsRenamed({"node": "set", "root": "part"})
     joined = settle(nodes.join(parts, "set", "left").select("set", "_least", F.coalesce("part", "set").alias("part")), "rooted")
+    discard(docs.sparkSession, nodes, chosen, members)
     named = joined.join(joined.groupBy("part").agg(F.min("_least").alias("component_id")), "part").select("set", "component_id")
     return rows.select("_id", "fp", "set").join(named, "set").select(F.col("_id").alias(id_col), "fp", "component_id")
 
