@@ -395,6 +395,14 @@ def test_near_dedup_of_what_line_dedup_hands_over(spark):
     assert all(want[got[i]] == want[i] for i in texts)  # nothing is linked that no chain of true links connects
 
 
+def test_simhash_query_against_all_pairs(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    fps = {i: slow_fingerprint(t or "") for i, t in texts.items()}
+    want = components_of([(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 4], sorted(fps))
+    found = simhash.query(spark, SF).collect()
+    assert len(found) == len(texts) and {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
+
+
 def test_near_dedup_edges(spark):
     assert simhash.near_dedup(docs(spark, (1, "a")).limit(0), similarity=0.8).count() == 0
     found = simhash.near_dedup(docs(spark, (4, None), (2, ""), (9, "a b c d e"), (7, "A b c d e"), (7, "A b c d e"), (None, "a b c d e")))
