@@ -23,8 +23,11 @@ from ._shared import discard, others, settle
 HASH_BITS = 60
 
 
+WORD = r"[^ \t\n\r]+"
+
+
 def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def seeded(doc_id: Column, seed: int, epoch: Column) -> Column:
@@ -125,6 +128,9 @@ def mix(
     keyed = [e.alias(f"_l{i}") for i, e in enumerate(levels.values())]
     cols = [f"_l{i}" for i in range(len(names))]
     weights = {f"_l{i}": weights.get(n, {}) for i, n in enumerate(names)}
+    # whether a row has tokens is cheap to tell of a text; they are counted again only of what is taken
+    has = F.col("text").rlike(WORD) if tokens is None else tokens > 0
+    count = (lambda: n_words(F.col("_row")["text"])) if tokens is None else (lambda: F.col("_tokens"))
     tokens = n_words(F.col("text")) if tokens is None else tokens
     narrow = settle(docs.select(F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_n")), "narrow")
     leaves = settle(narrow.groupBy(*cols).agg(F.sum("_n").alias("avail"), F.count("*").alias("n")), "leaves")
@@ -150,13 +156,13 @@ def mix(
     discard(docs.sparkSession, narrow, leaves, told)
 
     # the rows travel as one struct, so that no column of theirs can clash with one of these
-    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *keyed, tokens.cast("long").alias("_tokens")).filter("_tokens > 0")
+    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *keyed, has.alias("_has"), tokens.cast("long").alias("_tokens")).filter("_has").drop("_has")
     marked = _join(marked, plan, cols)
     last_epoch = F.when(F.col("_slot").isNull(), F.col("_whole") - 1).otherwise(F.col("_whole"))
     rows = marked.filter(last_epoch >= 0).select("*", F.explode(F.sequence(F.lit(0), last_epoch)).alias("_epoch"))
     within = (slot < F.col("_slot")) | ((slot == F.col("_slot")) & F.col("_edge").isNotNull() & (F.struct(place.alias("_place"), F.col("_id")) <= F.col("_edge")))
     rows = rows.filter((F.col("_epoch") < F.col("_whole")) | within)
-    return rows.select(*[F.col("_row")[c].alias(c) for c in others(docs, "_epoch", "_tokens")], "_epoch", "_tokens")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in others(docs, "_epoch", "_tokens")], "_epoch", count().cast("long").alias("_tokens"))
 
 
 def _join_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
