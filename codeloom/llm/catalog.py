@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, exact_dedup, knn, language_id, line_dedup, mixing, packing, periodic_runs, secret_scan, sharding, simhash, warc
+from . import chat_format, conversation_repair, exact_dedup, knn, language_id, line_dedup, mixing, packing, periodic_runs, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_knn": knn.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_conversation_repair": conversation_repair.query,
     "op12_sharding": sharding.query,
     "op13_periodic_runs": periodic_runs.query,
 }
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_knn": knn.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
 }
