@@ -63,6 +63,27 @@ def sample_augmented(df: DataFrame, group: list[str], max_rows: int, seed: int,
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).drop("_rank")
 
 
+def _bounds(df: DataFrame, t: Column) -> DataFrame:
+    """``df`` with (start, end) of window number ``t`` of a row; windows are numbered by rising end, then start."""
+    # number t has end - 2 = m, the largest m with m (m + 1) / 2 <= t; the root may be off by one
+    rows = df.withColumn("_t", t).withColumn("_m", F.floor((F.sqrt(F.col("_t") * 8.0 + 1) - 1) / 2))
+    rows = rows.withColumn("_m", F.expr("CASE WHEN _m * (_m + 1) div 2 > _t THEN _m - 1 WHEN (_m + 1) * (_m + 2) div 2 <= _t THEN _m + 1 ELSE _m END"))
+    return rows.withColumn("start", F.expr("CAST(_t - _m * (_m + 1) div 2 AS INT)")).withColumn("end", F.expr("CAST(_m + 2 AS INT)")).drop("_t", "_m")
+
+
+def _numbers(of: str, total: str, max_rows: int, seed: int) -> Column:
+    """All numbers below ``total`` if there are at most ``max_rows``; else so many draws with replacement from digests of ``of``, the draw and the seed, repeats left out."""
+    said = lambda i: F.substring(F.md5(F.concat_ws("-", F.col(of).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 15)
+    draw = lambda i: F.when(F.col(total) <= max_rows, i.cast("long")).otherwise(F.conv(said(i), 16, 10).cast("long") % F.col(total))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.least(total, F.lit(max_rows)).cast("int") - 1), draw))
+
+
+def _with_counts(df: DataFrame, col: str, step: int) -> DataFrame:
+    """``df`` with ``_n``, the number of windows; null and empty histories have none."""
+    items = F.greatest((F.size(col) / step).cast("int").cast("long"), F.lit(0))
+    return df.withColumn("_items", items).withColumn("_n", F.expr("_items * (_items - 1) div 2")).drop("_items")
+
+
 def draw_windows(df: DataFrame, key: str, col: str, step: int, max_rows: int, seed: int) -> DataFrame:
     """``df`` with (start, end) of windows of two items or more: all of them if there are at most ``max_rows``, else as many draws with replacement, repeats left out.
 
@@ -70,17 +91,40 @@ def draw_windows(df: DataFrame, key: str, col: str, step: int, max_rows: int, se
     a digest of ``key``, the draw and the seed, so no window is made that is
     not kept, and nothing is shuffled.
     """
-    items = (F.size(col) / step).cast("int").cast("long")
-    n = F.expr("_items * (_items - 1) div 2")
-    said = lambda i: F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 15)
-    draw = lambda i: F.when(F.col("_n") <= max_rows, i.cast("long")).otherwise(F.conv(said(i), 16, 10).cast("long") % F.col("_n"))
-    rows = df.withColumn("_items", items).withColumn("_n", n).filter("_n > 0")
-    numbers = F.array_distinct(F.transform(F.sequence(F.lit(0), F.least("_n", F.lit(max_rows)).cast("int") - 1), draw))
-    rows = rows.withColumn("_t", F.explode(numbers))
-    # number t has end - 2 = m, the largest m with m (m + 1) / 2 <= t; the root may be off by one
-    rows = rows.withColumn("_m", F.floor((F.sqrt(F.col("_t") * 8.0 + 1) - 1) / 2))
-    rows = rows.withColumn("_m", F.expr("CASE WHEN _m * (_m + 1) div 2 > _t THEN _m - 1 WHEN (_m + 1) * (_m + 2) div 2 <= _t THEN _m + 1 ELSE _m END"))
-    return rows.withColumn("start", F.expr("CAST(_t - _m * (_m + 1) div 2 AS INT)")).withColumn("end", F.expr("CAST(_m + 2 AS INT)")).drop("_items", "_n", "_t", "_m")
+    rows = _with_counts(df, col, step).filter("_n > 0").withColumn("_draw", F.explode(_numbers(key, "_n", max_rows, seed)))
+    return _bounds(rows, F.col("_draw")).drop("_n", "_draw")
+
+
+def draw_group_windows(df: DataFrame, key: str, col: str, step: int, group_size: int, max_rows: int, seed: int, shards: int = 4096) -> DataFrame:
+    """``df`` with ``group`` and (start, end) of windows drawn from groups of ``group_size`` rows together, as a training loader draws them from a batch: all windows of a group if there are at most ``max_rows``, else as many draws with replacement over all of them, repeats left out.
+
+    Rows are grouped in the order of a seeded digest of ``key``, whose values
+    are all different. A group's windows are numbered through its rows in
+    that order: the numbers before a row are a prefix sum of k (k - 1) / 2,
+    which comes from sums within ranges of digests and of the ranges before.
+    A draw is a number; merged with the rows by number, it belongs to the row
+    last before it. Only keys and numbers are sorted; histories meet the
+    draws of their own row once, and no window is made that is not kept.
+    """
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    rows = _with_counts(df, col, step).select(key, "_n", digest.alias("_d"))
+    rows = rows.withColumn("_r", (F.conv(F.substring("_d", 1, 8), 16, 10).cast("long") * shards / (1 << 32)).cast("int"))
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_r").agg(F.count("*").alias("_rows"), F.sum("_n").alias("_sum"))
+    ranges = ranges.select("_r", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(to) for c, to in (("_rows", "_rows0"), ("_sum", "_sum0"))])  # a row per range
+    inside = Window.partitionBy("_r").orderBy("_d", key)
+    upto = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    rows = rows.withColumn("_place", F.row_number().over(inside) - 1).withColumn("_upto", upto).join(F.broadcast(ranges), "_r")
+    rows = rows.select(key, "_n", F.expr(f"(_place + _rows0) div {group_size}").alias("group"), (F.col("_upto") + F.col("_sum0")).alias("_first"))
+    groups = rows.groupBy("group").agg(F.min("_first").alias("_base"), F.sum("_n").alias("_total")).filter("_total > 0")
+    drawn = groups.select("group", F.explode(_numbers("group", "_total", max_rows, seed)).alias("_t"), "_base")
+    owner = F.struct(F.col(key).alias("key"), F.col("_first").alias("first"))
+    marks = rows.filter("_n > 0").select("group", F.col("_first").alias("_at"), F.lit(0).alias("_kind"), owner.alias("_row"))
+    asked = drawn.select("group", (F.col("_t") + F.col("_base")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_row"].dataType).alias("_row"))
+    last = F.last("_row", ignorenulls=True).over(Window.partitionBy("group").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.unionByName(asked).withColumn("_row", last).filter("_kind = 1").select("group", F.col("_row.key").alias(key), (F.col("_at") - F.col("_row.first")).alias("_draw"))
+    draws = found.groupBy(key).agg(F.first("group").alias("group"), F.collect_list("_draw").alias("_draws"))  # max_rows at most
+    return _bounds(df.join(draws, key).withColumn("_draw", F.explode("_draws")), F.col("_draw")).drop("_draw", "_draws")
 
 
 def next_k_split(df: DataFrame, col: str, k: int, pad: int, mask_token: int) -> DataFrame:
@@ -137,8 +181,10 @@ def inference_rows(df: DataFrame, key: str, col: str, length: int, pad: int, oov
     return out.withColumn("mask", attention_mask(col, pad))
 
 
-def training_rows(df: DataFrame, key: str, col: str, step: int, length: int, k: int, pad: int, mask_token: int, max_rows: int, seed: int, oov: int | None = None) -> DataFrame:
-    """Windows, at most ``max_rows`` per ``key`` and drawn by their numbers, then cut out, trimmed, padded, split into input and label, and masked. Nothing is shuffled."""
-    spans = draw_windows(df.select(key, col), key, col, step, max_rows, seed)
-    rows = spans.select(key, "start", "end", pad_or_trim(drop_token(window(col, step), oov), length, pad).alias(col))
+def training_rows(df: DataFrame, key: str, col: str, step: int, length: int, k: int, pad: int, mask_token: int, max_rows: int, seed: int, oov: int | None = None, group_size: int | None = None) -> DataFrame:
+    """Windows drawn by their numbers, at most ``max_rows`` per ``key``, or per ``group_size`` rows together, then cut out, trimmed, padded, split into input and label, and masked."""
+    rows = df.select(key, col)
+    spans = draw_windows(rows, key, col, step, max_rows, seed) if group_size is None else draw_group_windows(rows, key, col, step, group_size, max_rows, seed)
+    group = [] if group_size is None else ["group"]
+    rows = spans.select(*group, key, "start", "end", pad_or_trim(drop_token(window(col, step), oov), length, pad).alias(col))
     return next_k_split(rows, col, k, pad, mask_token).withColumn("mask", attention_mask(col, pad))

@@ -285,9 +285,31 @@ def sample_augmented(spark, d):
     return spans.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-# the names under which these were first registered over whole histories
-for _name in ("contiguous_subsequences", "sample_augmented"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
+_TOKEN_WIN = f"{TOK_SQL}, w AS (SELECT user_id, tok, unnest(range(2, len(tok) // 2 + 1)) AS hi FROM t), v AS (SELECT user_id, tok, hi, unnest(range(0, hi - 1)) AS lo FROM w)"
+
+
+@query(f"WITH {_TOKEN_WIN} SELECT user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(tok[2 * lo + 1:2 * hi], '-') AS out FROM v")
+def contiguous_subsequences_whole(spark, d):
+    """Windows of whole items over histories of code digits."""
+    found = Q.contiguous_subsequences(tokens(spark, d), "tokens", 2)
+    return found.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("tokens", 2)).alias("out"))
+
+
+def _group_draws(source: str, items: str, size: int, most: int, seed: int) -> str:
+    """Windows (grp, lo, hi) of ``size`` users of ``source`` together, in the order of their digests: all, or ``most`` draws by digest, repeats left out."""
+    return f"""h0 AS (SELECT *, {items} AS k, {items} * ({items} - 1) // 2 AS n FROM {source}), h1 AS (SELECT *, (row_number() OVER (ORDER BY md5(user_id || '-{seed}'), user_id) - 1) // {size} AS grp FROM h0),
+h2 AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY md5(user_id || '-{seed}'), user_id ROWS UNBOUNDED PRECEDING)::BIGINT - n AS first, (sum(n) OVER (PARTITION BY grp))::BIGINT AS total FROM h1),
+h3 AS (SELECT grp, total, unnest(range(least(total, {most}))) AS i FROM (SELECT DISTINCT grp, total FROM h2)),
+h4 AS (SELECT DISTINCT grp, CASE WHEN total <= {most} THEN i ELSE ('0x' || substr(md5(grp || '-' || i || '-{seed}'), 1, 15))::BIGINT % total END AS t FROM h3),
+h5 AS (SELECT h2.*, t - first AS t FROM h4 JOIN h2 ON h4.grp = h2.grp AND t >= first AND t < first + n),
+h6 AS (SELECT *, unnest(range(2, k + 1)) AS hi FROM h5), v AS (SELECT *, t - (hi - 2) * (hi - 1) // 2 AS lo FROM h6 WHERE t >= (hi - 2) * (hi - 1) // 2 AND t < (hi - 1) * hi // 2)"""
+
+
+@query(f"WITH {SEQ_SQL}, {_group_draws('s', 'len(seq)', 32, 512, 5)} SELECT grp AS \"group\", user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
+def sample_augmented_whole(spark, d):
+    """Windows of whole histories, drawn from 32 users together."""
+    found = Q.draw_group_windows(sequences(spark, d), "user_id", "seq", 1, 32, 512, 5)
+    return found.select("group", "user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
 
 
 def _draws(source: str, items: str, most: int, seed: int) -> str:
@@ -335,6 +357,16 @@ def training_rows(spark, d):
     return out.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined("tokens").alias("seq"), joined("label").alias("label"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
 
 
+_TRAIN_GROUPS = f"{TOK_SQL}, {_group_draws('t', 'len(tok) // 2', 32, 512, 9)}, c AS (SELECT grp, user_id, lo, hi, tok[2 * lo + 1:2 * hi][-16:] AS q FROM v)"
+
+
+@query(f"WITH {_TRAIN_GROUPS} SELECT grp AS \"group\", user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(list_concat(q[1:len(q) - 2], list_transform(range(16 - len(q) + 2), lambda x: -1)), '-') AS seq, array_to_string(q[-2:], '-') AS label, (len(q) - 2)::BIGINT AS n FROM c")
+def training_rows_grouped(spark, d):
+    """Training rows as a loader makes them of batches of 32 users, 512 rows a batch."""
+    out = Q.training_rows(tokens(spark, d), "user_id", "tokens", 2, 16, 2, -1, -1, 512, 9, group_size=32)
+    return out.select("group", "user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined("tokens").alias("seq"), joined("label").alias("label"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
+
+
 # ---- vectors
 
 

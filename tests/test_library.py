@@ -188,6 +188,36 @@ def test_windows_are_drawn_without_making_all(spark):
     assert all(len(r["s"]) == 16 and len(r["label"]) == 1 for r in out.collect())
 
 
+def test_group_draws(spark):
+    """Windows of a group's rows are numbered together, in the order of the rows' digests."""
+    import hashlib
+
+    sizes = {0: 10_000, 1: 3, 2: 1, 3: 0, 4: None, 5: 40, 6: 2, 7: 25, 8: 7, 9: 6}
+    df = spark.createDataFrame([(k, None if n is None else list(range(n))) for k, n in sizes.items()], "id long, s array<long>")
+    digest = lambda *x: hashlib.md5("-".join(map(str, x)).encode()).hexdigest()
+    order = sorted(sizes, key=lambda k: digest(k, 9))
+    want = set()
+    for g in range(0, 10, 4):
+        few = order[g : g + 4]
+        counts = [(sizes[k] or 0) * ((sizes[k] or 0) - 1) // 2 for k in few]
+        total = sum(counts)
+        for i in range(min(total, 30)):
+            t = i if total <= 30 else int(digest(g // 4, i, 9)[:15], 16) % total
+            for k, n in zip(few, counts, strict=True):
+                if t < n:
+                    end = next(e for e in range(2, sizes[k] + 1) if e * (e - 1) // 2 > t)
+                    want.add((g // 4, k, t - (end - 2) * (end - 1) // 2, end))
+                    break
+                t -= n
+    for shards, parts in ((4096, 3), (2, 1)):
+        got = Q.draw_group_windows(df.repartition(parts), "id", "s", 1, 4, 30, 9, shards).select("group", "id", "start", "end")
+        assert "Generate explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    assert any(k == 0 for _, k, _, _ in want) and len({g for g, *_ in want}) == 3
+    assert Q.draw_group_windows(df.limit(0), "id", "s", 1, 4, 30, 9).count() == 0
+
+
 def test_sums_of_rows(spark):
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 7, 500).tolist()

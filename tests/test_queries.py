@@ -25,8 +25,11 @@ def test_entry_points(spark):
 def test_windows_of_whole_histories(spark):
     n = {r["user_id"]: len(r["seq"]) for r in catalog.sequences(spark, SF).collect()}
     want = sorted((u, a, b) for u, k in n.items() for b in range(2, k + 1) for a in range(b - 1))
-    found = catalog.QUERIES["contiguous_subsequences_whole"](spark, SF).collect()
-    assert sorted((r["user_id"], r["start"], r["end"]) for r in found) == want
-    sampled = [(r["user_id"], r["start"], r["end"]) for r in catalog.QUERIES["sample_augmented_whole"](spark, SF).collect()]
+    for name in ("contiguous_subsequences", "contiguous_subsequences_whole"):
+        found = catalog.QUERIES[name](spark, SF).collect()
+        assert sorted((r["user_id"], r["start"], r["end"]) for r in found) == want
+    sampled = [(r["user_id"], r["start"], r["end"]) for r in catalog.QUERIES["sample_augmented"](spark, SF).collect()]
     assert len(set(sampled)) == len(sampled) == 20 * len(n) and set(sampled) <= set(want)
     assert any(b <= n[u] - 12 for u, _, b in sampled)
+    drawn = [(r["user_id"], r["start"], r["end"]) for r in catalog.QUERIES["sample_augmented_whole"](spark, SF).collect()]
+    assert 500 < len(set(drawn)) == len(drawn) <= 512 and set(drawn) <= set(want)
