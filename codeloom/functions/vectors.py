@@ -9,34 +9,90 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 EPS = 1e-12
 #: Rows of a key matrix that travels with a task, and of a block of keys or queries.
 KEY_BLOCK = 20_000
+#: Partial results of all partitions are merged in so many tasks before the last one.
+MERGES = 32
+
+#: Distances (n, k) of n rows from k centroids; the least is the nearest.
+Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
+def _paired(x, y, each: Callable) -> Column:
+    """``each`` of the paired elements; unequal widths are an error, a null vector gives null."""
+    unequal = F.size(x) != F.size(y)
+    return F.when(unequal, F.raise_error(F.lit("vectors have unequal widths")).cast("array<double>")).otherwise(F.zip_with(x, y, each))
+
+
 def squared_distance(x, y) -> Column:
-    return _sum(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))))
+    return _sum(_paired(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))))
 
 
 def dot(x, y) -> Column:
-    return _sum(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")))
+    return _sum(_paired(x, y, lambda a, b: a.cast("double") * b.cast("double")))
 
 
 def l2_normalize(col) -> Column:
-    norm = F.greatest(F.sqrt(dot(col, col)), F.lit(EPS))
+    norm = F.greatest(F.sqrt(_sum(F.transform(col, lambda a: a.cast("double") * a.cast("double")))), F.lit(EPS))
     return F.transform(F.arrays_zip(F.col(col).alias("x"), F.array_repeat(norm, F.size(col)).alias("n")), lambda z: z["x"].cast("double") / z["n"])
 
 
+def moments(df: DataFrame, col: str) -> DataFrame:
+    """One row (n, mean, m2): the number of vectors, their mean and their summed squared deviations from it by dimension, in one pass.
+
+    Each partition streams its own three; these are merged pairwise, without
+    differences of large sums, in ``MERGES`` tasks and then in one. Null
+    vectors count nothing; no vectors give no row.
+    """
+
+    def merge(held, n, mean, m2):
+        if held is None or not n:
+            return (n, mean, m2) if n else held
+        gap, total = mean - held[1], held[0] + n
+        return total, held[1] + gap * (n / total), held[2] + m2 + gap * gap * (held[0] * n / total)
+
+    def out(held, slot):
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([float(held[0])]), lists(held[1][None]), lists(held[2][None])], names=["slot", "n", "mean", "m2"])
+
+    def part(batches):
+        from pyspark import TaskContext
+
+        held = None
+        for b in batches:
+            x = whole_matrix(b.column(0))
+            mean = x.mean(0) if len(x) else None
+            held = merge(held, len(x), mean, ((x - mean) ** 2).sum(0) if len(x) else None)
+        yield from out(held, TaskContext.get().partitionId() % MERGES)
+
+    def again(batches):
+        held = None
+        for b in batches:
+            for n, mean, m2 in zip(b.column(1).to_pylist(), matrix(b.column(2)), matrix(b.column(3)), strict=True):
+                held = merge(held, n, mean, m2)
+        yield from out(held, 0)
+
+    kind = "slot int, n double, mean array<double>, m2 array<double>"
+    parts = df.select(F.col(col).cast("array<double>")).mapInArrow(part, kind)
+    merged = parts.repartition(MERGES, "slot").mapInArrow(again, kind).coalesce(1).mapInArrow(again, kind)
+    return merged.select("n", "mean", "m2")
+
+
 def standardize(df: DataFrame, key: str, col: str, eps: float = 1e-5) -> DataFrame:
-    """(key, z): each dimension less its mean, over the root of its population variance plus ``eps``; over all rows."""
-    dims = df.select(F.posexplode(col).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    stats = dims.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "v"))).alias("s"))  # a row; as wide as a vector
-    return df.join(F.broadcast(stats)).select(key, F.zip_with(col, "s", lambda x, s: (x.cast("double") - s["m"]) / F.sqrt(s["v"] + eps)).alias("z"))
+    """(key, z): each dimension less its mean, over the root of its population variance plus ``eps``; over all rows. A null vector gives null."""
+    found = F.broadcast(moments(df, col))  # a row; as wide as a vector
+    scale = F.transform("m2", lambda s: F.sqrt(s / F.col("n") + eps)).alias("_scale")
+    stats = found.select("mean", scale)
+    centred = F.zip_with(col, "mean", lambda x, m: x.cast("double") - m)
+    return df.join(stats, how="left").select(key, F.zip_with(centred, "_scale", lambda x, s: x / s).alias("z"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -53,16 +109,50 @@ def lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(m, np.float64).ravel()))
 
 
+def whole(column: pa.Array) -> np.ndarray | None:
+    """Which vectors are neither null nor hold nulls; None if all are whole."""
+    if not column.null_count and not column.flatten().null_count:
+        return None
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    holes = np.concatenate([[0], np.cumsum(pc.is_null(column.flatten()).to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    return there & (holes[ends] == holes[np.concatenate([[0], ends[:-1]])])
+
+
+def whole_matrix(column: pa.Array) -> np.ndarray:
+    """The matrix of the whole vectors of a column."""
+    mask = whole(column)
+    return matrix(column if mask is None else column.filter(pa.array(mask)))
+
+
 def sq_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     if x.shape[1] != c.shape[1]:
         raise ValueError("vectors have unequal widths")
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
 
 
-def nearest(x: np.ndarray, c: np.ndarray, distances: Callable = sq_distances) -> np.ndarray:
-    """The nearest code of each row, the lowest on ties; near-ties of the product form are settled by the direct one."""
+def cosine_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One less the cosine; a zero vector is at 1 from everything."""
+    if x.shape[1] != c.shape[1]:
+        raise ValueError("vectors have unequal widths")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPS)
+    return 1 - unit(x) @ unit(c).T
+
+
+def distances_to(x: np.ndarray, c: np.ndarray, distances: Distance = sq_distances) -> np.ndarray:
+    """Distances of the rows of ``x`` from one centroid, none below 0; the squared ones directly, so that equal vectors are at 0."""
+    if distances is sq_distances:
+        return ((x - c) ** 2).sum(1)
+    d = distances(x, c[None])[:, 0]
+    return np.where(d > EPS, d, 0.0)
+
+
+def nearest(x: np.ndarray, c: np.ndarray, distances: Distance = sq_distances) -> np.ndarray:
+    """The nearest code of each row, the lowest on ties; near-ties of the product form of squared distances are settled by the direct one, other distances tie within 1e-12."""
     d = distances(x, c)
     best = d.argmin(1)
+    if distances is not sq_distances:
+        return (d <= d[np.arange(len(x)), best][:, None] + EPS).argmax(1)
     close = d <= d[np.arange(len(x)), best][:, None] + 1e-9
     near = np.flatnonzero(close.sum(1) > 1)
     if len(near):
@@ -78,38 +168,55 @@ def nearest(x: np.ndarray, c: np.ndarray, distances: Callable = sq_distances) ->
 
 
 def map_vectors(df: DataFrame, key: str, col: str, out: str, run: Callable) -> DataFrame:
-    """``key`` and what ``run`` makes of each Arrow batch's matrix: a list of Arrow arrays for the columns of ``out``."""
+    """``key`` and what ``run`` makes of each Arrow batch's matrix: a list of Arrow arrays for the columns of ``out``. A vector that is null or holds nulls gives nulls."""
     names = [x.split()[0] for x in out.split(", ")]
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(out))]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *run(matrix(batch.column(1)))], names=[key, *names])
+            mask = whole(batch.column(1))
+            if mask is not None and not mask.any():
+                columns = [pa.nulls(len(batch), t) for t in types]
+            else:
+                columns = run(whole_matrix(batch.column(1)))
+            if mask is not None and mask.any():
+                at = pa.array(np.cumsum(mask) - 1, mask=~mask)
+                columns = [c.take(at) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(col).cast("array<double>").alias("_v")).mapInArrow(go, f"{key} {kind}, {out}")
 
 
-def assign(df: DataFrame, key: str, col: str, codebook: np.ndarray) -> DataFrame:
-    """(key, code, centroid, residual) of the nearest centroid; the codebook (K x d) travels with the task."""
+def assign(df: DataFrame, key: str, col: str, codebook: np.ndarray, distances: Distance = sq_distances) -> DataFrame:
+    """(key, code, centroid, residual) of the nearest centroid by ``distances``; the codebook (K x d) travels with the task."""
 
     def run(x):
-        code = nearest(x, codebook)
+        code = nearest(x, codebook, distances)
         return [pa.array(code.astype(np.int32)), lists(codebook[code]), lists(x - codebook[code])]
 
     return map_vectors(df, key, col, "code int, centroid array<double>, residual array<double>", run)
 
 
+def _losses(df: DataFrame, x: str, y: str) -> tuple[Column, Column]:
+    """The squared error of a row, and its width if it has one; rows with a null vector have neither, unequal widths are an error."""
+    error = squared_distance(x, y)
+    return error, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.size(x))
+
+
 def weighted_sse(df: DataFrame, x: str, y: str, w: str | None = None) -> DataFrame:
-    return df.agg(F.sum(squared_distance(x, y) * (F.col(w) if w else F.lit(1.0))).alias("sse"))
+    return df.agg(F.sum(_losses(df, x, y)[0] * (F.col(w) if w else F.lit(1.0))).alias("sse"))
 
 
 def beta_loss(df: DataFrame, x: str, xq: str, beta: float = 0.25, reduction: str = "sum") -> DataFrame:
-    se = F.sum(squared_distance(x, xq)) * (1 + beta)
-    return df.agg((se if reduction == "sum" else se / F.sum(F.size(x))).alias("loss"))
+    error, width = _losses(df, x, xq)
+    se = F.sum(error) * (1 + beta)
+    return df.agg((se if reduction == "sum" else se / F.sum(width)).alias("loss"))
 
 
 def mse(df: DataFrame, x: str, xrec: str) -> DataFrame:
-    return df.agg((F.sum(squared_distance(x, xrec)) / F.sum(F.size(x))).alias("mse"))
+    error, width = _losses(df, x, xrec)
+    return df.agg((F.sum(error) / F.sum(width)).alias("mse"))
 
 
 def pool(df: DataFrame, key: str, how: str = "mean", last_k: int | None = None) -> DataFrame:

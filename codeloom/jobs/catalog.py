@@ -98,6 +98,14 @@ def assign_rq(spark, d):
     return out.select("item_id", joined("sid").alias("sid"), F.round(F.sqrt(V.dot("last_residual", "last_residual")), 6).alias("left_over"))
 
 
+@query(f"WITH {_codes_sql(True)} SELECT item_id, unnest([0, 1]) AS layer, unnest([round(list_sum(r1), 6), round(list_sum(r2), 6)]) AS total, unnest([round(sqrt(list_inner_product(r1, r1)), 6), round(sqrt(list_inner_product(r2, r2)), 6)]) AS norm FROM q")
+def assign_rq_residuals(spark, d):
+    """The residuals after each layer."""
+    out = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d), track=True)
+    each = out.select("item_id", F.posexplode("residuals").alias("layer", "r"))
+    return each.select("item_id", "layer", F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.sqrt(V.dot("r", "r")), 6).alias("norm"))
+
+
 @query(f"WITH {_codes_sql(True)}, l1 AS (SELECT u1.item_id, list_distance(u, c) ** 2 AS e FROM u1 JOIN a1 USING (item_id) JOIN c ON layer = 0 AND code = c1), l2 AS (SELECT u2.item_id, list_distance(u, c) ** 2 AS e FROM u2 JOIN q ON q.item_id = u2.item_id JOIN c ON layer = 1 AND code = c2) SELECT round(1.25 * (SELECT sum(e) FROM l1) + 1.25 * (SELECT sum(e) FROM l2), 6) AS loss")
 def assignment_loss(spark, d):
     out = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d))
@@ -302,7 +310,7 @@ h2 AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY md5(user_id || '-{seed}'
 h3 AS (SELECT grp, total, unnest(range(least(total, {most}))) AS i FROM (SELECT DISTINCT grp, total FROM h2)),
 h4 AS (SELECT DISTINCT grp, CASE WHEN total <= {most} THEN i ELSE ('0x' || substr(md5(grp || '-' || i || '-{seed}'), 1, 15))::BIGINT % total END AS t FROM h3),
 h5 AS (SELECT h2.*, t - first AS t FROM h4 JOIN h2 ON h4.grp = h2.grp AND t >= first AND t < first + n),
-h6 AS (SELECT *, unnest(range(2, k + 1)) AS hi FROM h5), v AS (SELECT *, t - (hi - 2) * (hi - 1) // 2 AS lo FROM h6 WHERE t >= (hi - 2) * (hi - 1) // 2 AND t < (hi - 1) * hi // 2)"""
+h6 AS (SELECT *, 1 + floor((1 + sqrt(8.0 * t + 1)) / 2)::BIGINT + unnest([-1, 0, 1]) AS hi FROM h5), v AS (SELECT *, t - (hi - 2) * (hi - 1) // 2 AS lo FROM h6 WHERE t >= (hi - 2) * (hi - 1) // 2 AND t < (hi - 1) * hi // 2)"""
 
 
 @query(f"WITH {SEQ_SQL}, {_group_draws('s', 'len(seq)', 32, 512, 5)} SELECT grp AS \"group\", user_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", array_to_string(seq[lo + 1:hi], '-') AS out FROM v")
@@ -312,6 +320,17 @@ def sample_augmented_whole(spark, d):
     return found.select("group", "user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), joined(Q.window("seq")).alias("out"))
 
 
+_WORDS = "s AS (SELECT doc_id AS user_id, string_split(text, ' ') AS seq FROM documents)"
+
+
+@query(f"WITH {_WORDS}, {_group_draws('s', 'len(seq)', 32, 512, 5)} SELECT grp AS \"group\", user_id AS doc_id, lo::BIGINT AS start, hi::BIGINT AS \"end\", md5(array_to_string(seq[lo + 1:hi], ' ')) AS digest FROM v")
+def sample_augmented_documents(spark, d):
+    """Windows of words, drawn from 32 documents together: up to 2e8 windows of one text are addressed, none made that is not kept."""
+    rows = S.read_table(spark, f"{d}/documents.parquet", ["doc_id", "text"]).select("doc_id", F.split("text", " ").alias("seq"))
+    found = Q.draw_group_windows(rows, "doc_id", "seq", 1, 32, 512, 5)
+    return found.select("group", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.array_join(Q.window("seq"), " ")).alias("digest"))
+
+
 def _draws(source: str, items: str, most: int, seed: int) -> str:
     """Windows (lo, hi) of each user of ``source``: all, or ``most`` draws by digest, repeats left out."""
     return f"""g0 AS (SELECT *, {items} AS k, {items} * ({items} - 1) // 2 AS n FROM {source}), g1 AS (SELECT *, unnest(range(least(n, {most}))) AS i FROM g0),
@@ -401,6 +420,15 @@ def residuals(spark, d):
     return V.assign(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d, 1)[0]).select("item_id", rounded(F.col("residual")).alias("out"))
 
 
+@query(f"WITH {E_SQL}, u AS (SELECT item_id, list_transform(v, lambda x: x * (1 + item_id % 7)) AS v FROM e), c AS (SELECT item_id AS code, list_transform(v, lambda x: x / (1 + item_id)) AS c FROM u WHERE item_id < 16) SELECT item_id, arg_min(code, row(1 - list_cosine_similarity(v, c), code)) AS code FROM u, c GROUP BY item_id")
+def assign_cosine(spark, d):
+    """Nearest by the angle alone: rows and centroids have lengths of their own."""
+    longer = items(spark, d).select("item_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("item_id") % 7)).alias("v"))
+    rows = longer.filter("item_id < 16").orderBy("item_id").collect()  # 16 rows
+    book = np.array([r["v"] for r in rows]) / (1 + np.arange(16))[:, None]
+    return V.assign(longer, "item_id", "v", book, V.cosine_distances).select("item_id", F.col("code").cast("long").alias("code"))
+
+
 @query(f"WITH {E_SQL}, c AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16) SELECT item_id, code, round(list_distance(v, c) ** 2, 6) AS distance FROM e, c")
 def sq_distances(spark, d):
     e = items(spark, d)
@@ -521,7 +549,7 @@ def rotation_sums(spark, d):
     """The sums from which a rotation step is solved, before any rotation."""
     rows = items(spark, d).select("item_id", F.col("embedding").cast("array<double>").alias("_v"))
     book = fixed_codebooks(spark, d, 1)
-    m, _ = residual._cross(rows, np.eye(book[0].shape[1]), book)
+    m, _ = residual.cross_sums(rows, "_v", np.eye(book[0].shape[1]), book, width=24)
     flat = [(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
     return spark.createDataFrame(flat, "i long, j long, total double").withColumn("total", F.round("total", 6))
 
@@ -532,22 +560,101 @@ def init_random(spark, d):
     return spark.createDataFrame([(v.tolist(),) for v in found], "v array<double>").select(rounded(F.col("v")).alias("out"))
 
 
-@query()
+def _pick_sql(weights: str, u: float) -> str:
+    """The first of the rows (ord, v, w) of ``weights`` at which the weights so far exceed the share ``u`` of all."""
+    return f"SELECT ord, v FROM (SELECT ord, v, w, sum(w) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s, sum(w) OVER () AS total FROM {weights}) WHERE w > 0 AND s > {u!r} * total ORDER BY ord LIMIT 1"
+
+
+def _kmeanspp_sql(p: str, points: str, k: int, seed: int) -> list[str]:
+    """k-means++ of the rows (ord, v, w) of ``points`` as tables p_b(code, v): a choice and the distances after it in turn."""
+    out = []
+    for j in range(k):
+        weights = points if j == 0 else f"(SELECT ord, v, w * d AS w FROM {p}_d{j - 1})"
+        out.append(f"{p}_c{j} AS MATERIALIZED ({_pick_sql(weights, kmeans.fraction(seed, j))})")
+        before = f"SELECT ord, v, w, list_distance(v, (SELECT v FROM {p}_c{j})) ** 2 AS d FROM {points}"
+        if j:
+            before = f"SELECT ord, v, w, least(d, list_distance(v, (SELECT v FROM {p}_c{j})) ** 2) AS d FROM {p}_d{j - 1}"
+        out.append(f"{p}_d{j} AS MATERIALIZED ({before})")
+    return [*out, f"{p}_b AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {j} AS code, v AS c FROM {p}_c{j}' for j in range(k))})"]
+
+
+def _buffer_sql(p: str, rows: str, seed: int, size: int = 3072) -> str:
+    return f"{p} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(item_id || '-{seed}'), item_id) AS ord, g AS v, 1.0::DOUBLE AS w FROM {rows} QUALIFY ord <= {size})"
+
+
+def _zip_sql(a: str, b: str, each: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda z: {each})"
+
+
+def _steps_sql(p: str, rows: str, first: str, steps: int, rule: str = "minibatch", lr: float = 0.1) -> list[str]:
+    """``steps`` steps over the rows (item_id, g) from the centroids ``first``(code, c), as tables p_0 to p_steps (code, c, seen, grad) and losses p_l(step, loss)."""
+    out, losses = [f"{p}_0 AS MATERIALIZED (SELECT code, c, 0.0::DOUBLE AS seen, list_transform(c, lambda x: 0.0::DOUBLE) AS grad FROM {first})"], []
+    for i in range(steps):
+        out.append(f"{p}_a{i} AS MATERIALIZED (SELECT item_id, any_value(g) AS g, arg_min(code, row(list_distance(g, c), code)) AS code FROM {rows}, {p}_{i} GROUP BY item_id)")
+        out.append(f"{p}_m{i} AS MATERIALIZED (SELECT code, any_value(n)::DOUBLE AS n, list(m ORDER BY k) AS m FROM (SELECT code, k, count(*) AS n, avg(g[k]) AS m FROM (SELECT code, g, unnest(range(1, len(g) + 1)) AS k FROM {p}_a{i}) GROUP BY code, k) GROUP BY code)")
+        joined_ = f"FROM {p}_{i} LEFT JOIN {p}_m{i} USING (code)"
+        if rule == "minibatch":
+            moved = _zip_sql("c", "m", "z[1] - (z[1] - z[2]) * (n / (seen + n))")
+            out.append(f"{p}_{i + 1} AS MATERIALIZED (SELECT code, CASE WHEN n IS NULL THEN c ELSE {moved} END AS c, seen + coalesce(n, 0) AS seen, grad {joined_})")
+            losses.append(f"SELECT {i} AS step, sum(list_distance(c, m) ** 2 * n / (seen + n)) AS loss FROM {p}_{i} JOIN {p}_m{i} USING (code)")
+        else:
+            g = f"CASE WHEN n IS NULL THEN list_transform(c, lambda x: 0.0::DOUBLE) ELSE {_zip_sql('c', 'm', '2 * n * (z[1] - z[2]) / many')} END"
+            out.append(f"{p}_g{i} AS MATERIALIZED (SELECT code, c, seen, grad, {g} AS g {joined_} CROSS JOIN (SELECT count(*) AS many FROM {rows}))")
+            out.append(f"{p}_h{i} AS MATERIALIZED (SELECT code, c, seen, g, {_zip_sql('grad', 'g', 'z[1] + z[2] * z[2]')} AS grad FROM {p}_g{i})")
+            step = "list_transform(list_zip(c, g, grad), lambda z: z[1] - {lr} * z[2] / (sqrt(z[3]) + 1e-10))".replace("{lr}", repr(lr))
+            out.append(f"{p}_{i + 1} AS MATERIALIZED (SELECT code, {step} AS c, seen, grad FROM {p}_h{i})")
+    return [*out, *([f"{p}_l AS ({' UNION ALL '.join(losses)})"] if losses else [])]
+
+
+def _fit_sql(layers: int, k: int, steps: int, residual_: bool = True, normalize: bool = True, rule: str = "minibatch", seed: int = 0) -> str:
+    """A layered fit; the codebook of layer h ends up in q{h}_{steps}."""
+    given = UNIT.format(x="r") if normalize else "r"
+    out = [E_SQL, "r0 AS (SELECT item_id, v AS r FROM e)"]
+    for h in range(layers):
+        of = h if residual_ else 0
+        out += [f"g{h} AS MATERIALIZED (SELECT item_id, r, {given} AS g FROM r{of})", _buffer_sql(f"s{h}", f"g{h}", seed + h), *_kmeanspp_sql(f"i{h}", f"s{h}", k, seed + h), *_steps_sql(f"q{h}", f"g{h}", f"i{h}_b", steps, rule)]
+        if residual_ and h + 1 < layers:
+            out.append(f"n{h} AS MATERIALIZED (SELECT item_id, any_value(r) AS r, arg_min(code, row(list_distance(g, c), code)) AS code FROM g{h}, q{h}_{steps} GROUP BY item_id)")
+            out.append(f"r{h + 1} AS MATERIALIZED (SELECT item_id, {_zip_sql('r', 'c', 'z[1] - z[2]')} AS r FROM n{h} JOIN q{h}_{steps} USING (code))")
+    return ", ".join(out)
+
+
+def _books_sql(tables: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {h} AS layer, code, {rounded_sql('c')} AS centroid FROM {t}" for h, t in enumerate(tables))
+
+
+_E0 = f"{E_SQL}, g0 AS (SELECT item_id, v AS g FROM e), {_buffer_sql('s0', 'g0', 0)}"
+
+
+@query(f"WITH {_E0}, {', '.join(_kmeanspp_sql('i0', 's0', 16, 0))} {_books_sql(['i0_b'])}")
 def init_kmeanspp(spark, d):
     return _books(spark, [kmeans.init_kmeanspp(kmeans.init_buffer(items(spark, d), "item_id", "embedding", 3072, 16), 16).centroids])
 
 
-@query()
+def _parallel_sql(k: int, rounds: int, oversample: float, seed: int) -> str:
+    """k-means||: chosen rows of each round as w{step}, all as x, weighted as p(ord, v, w)."""
+    out = [f"x0 AS MATERIALIZED (SELECT v FROM e ORDER BY md5(item_id || '-{seed}'), item_id LIMIT 1)"]
+    for i in range(rounds):
+        out.append(f"y{i} AS MATERIALIZED (SELECT item_id, any_value(e.v) AS v, min(list_distance(e.v, x{i}.v) ** 2) AS d FROM e, x{i} GROUP BY item_id)")
+        chance = f"('0x' || substr(md5(item_id || '-{i}-{seed}'), 1, 13))::BIGINT / 4503599627370496::DOUBLE < d * ({oversample * k!r} / (SELECT sum(d) FROM y{i}))"
+        out.append(f"x{i + 1} AS MATERIALIZED (SELECT v FROM x{i} UNION SELECT v FROM y{i} WHERE {chance})")
+    out.append(f"x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v) AS ord, v FROM x{rounds})")
+    out.append("z AS (SELECT item_id, arg_min(ord, row(list_distance(e.v, x.v), ord)) AS ord FROM e, x GROUP BY item_id)")
+    out.append("p AS MATERIALIZED (SELECT ord, v, coalesce(n, 0)::DOUBLE AS w FROM x LEFT JOIN (SELECT ord, count(*) AS n FROM z GROUP BY ord) USING (ord))")
+    return ", ".join(out)
+
+
+@query(f"WITH {E_SQL}, {_parallel_sql(16, 5, 2.0, 0)}, {', '.join(_kmeanspp_sql('i0', 'p', 16, 0))} {_books_sql(['i0_b'])}")
 def init_kmeans_parallel(spark, d):
     return _books(spark, [kmeans.init_kmeans_parallel(items(spark, d), "item_id", "embedding", 16).centroids])
 
 
-@query()
+@query(f"WITH {_fit_sql(3, 16, 3)} {' UNION ALL '.join(f'SELECT {h} AS layer, round(avg(loss), 6) AS mean_loss FROM q{h}_l' for h in range(3))}")
 def fit_history(spark, d):
     """The mean loss of each layer's steps."""
     history = residual.fit_rq(items(spark, d), "item_id", "embedding", 3, 16, 9)[1]
     rows = spark.createDataFrame(history, "layer int, step int, loss double")
-    return residual.mean_metric(rows, ["layer"], "loss")
+    return residual.mean_metric(rows, ["layer"], "loss").withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 @query(f"WITH {E_SQL} SELECT {rounded_sql('v')} AS out FROM e ORDER BY md5(item_id || '-4'), item_id LIMIT 48")
@@ -558,25 +665,31 @@ def init_buffer(spark, d):
 
 def _books(spark, books):
     rows = [(h, c, v.tolist()) for h, m in enumerate(books) for c, v in enumerate(m)]
-    return spark.createDataFrame(rows, "layer int, code int, centroid array<double>")
+    return spark.createDataFrame(rows, "layer int, code int, centroid array<double>").withColumn("centroid", rounded(F.col("centroid")))
 
 
-@query()
+@query(f"WITH {_E0}, {', '.join(_kmeanspp_sql('i0', 's0', 8, 0))}, {', '.join(_steps_sql('q0', 'g0', 'i0_b', 10))} {_books_sql(['q0_10'])}")
 def fit_kmeans(spark, d):
     return _books(spark, [kmeans.fit_kmeans(items(spark, d), "item_id", "embedding", 8, 10)[0].centroids])
 
 
-@query()
+@query(f"WITH {_fit_sql(3, 16, 3)} {_books_sql([f'q{h}_3' for h in range(3)])}")
 def fit_rq(spark, d):
     return _books(spark, residual.fit_rq(items(spark, d), "item_id", "embedding", 3, 16, 9)[0])
 
 
-@query()
+@query(f"WITH {E_SQL}, {_parallel_sql(16, 5, 2.0, 3)}, {', '.join(_kmeanspp_sql('i0', 'p', 16, 3))}, g0 AS (SELECT item_id, v AS g FROM e), {', '.join(_steps_sql('q0', 'g0', 'i0_b', 3))} {_books_sql(['q0_3'])}")
+def fit_rq_parallel(spark, d):
+    """A layer that begins with k-means|| of all rows instead of k-means++ of a buffer."""
+    return _books(spark, residual.fit_rq(items(spark, d), "item_id", "embedding", 1, 16, 3, normalize=False, seed=3, init=kmeans.init_kmeans_parallel)[0])
+
+
+@query(f"WITH {_fit_sql(2, 16, 3, residual_=False)} {_books_sql([f'q{h}_3' for h in range(2)])}")
 def fit_mlq(spark, d):
     return _books(spark, residual.fit_rq(items(spark, d), "item_id", "embedding", 2, 16, 6, residual=False)[0])
 
 
-@query()
+@query(f"WITH {_fit_sql(2, 16, 3, rule='gradient')} {_books_sql([f'q{h}_3' for h in range(2)])}")
 def fit_rvq(spark, d):
     return _books(spark, residual.fit_rvq(items(spark, d), "item_id", "embedding", 2, 16, 6)[0])
 
@@ -602,7 +715,17 @@ def assign_soft(spark, d):
     return _soft(spark, d, False)
 
 
-@query(f"""WITH {_SOFT.format(noise="-ln(-ln((('0x' || substr(md5(e.item_id || '-' || c.code || '-0'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE))")}""")
+def _mixed_sql(h: str) -> str:
+    """32 bits stirred, on 64-bit whole numbers; each step is a name of its own, so that the text does not grow."""
+    for shift, times in ((16, 2246822507), (13, 3266489909)):
+        h = f"list_transform([{h}], lambda x: (xor(x, x >> {shift})::HUGEINT * {times} % 4294967296)::BIGINT)[1]"
+    return f"list_transform([{h}], lambda x: xor(x, x >> 16))[1]"
+
+
+_U32 = f"({_mixed_sql(f'xor(' + _mixed_sql(f'xor(e.item_id & 4294967295, ' + _mixed_sql(f'xor(e.item_id >> 32, ' + _mixed_sql('0::BIGINT') + ')') + ')') + ', ' + _mixed_sql('c.code') + ')')} + 0.5::DOUBLE) / 4294967296::DOUBLE"
+
+
+@query(f"""WITH {_SOFT.format(noise=f"-ln(-ln({_U32}))")}""")
 def assign_soft_noise(spark, d):
     return _soft(spark, d, True)
 

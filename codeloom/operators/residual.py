@@ -7,38 +7,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal
-from .kmeans import Codebook, code_sums, init_buffer, init_kmeanspp, minibatch_loss, minibatch_update
+from ..functions.vectors import EPS, Distance, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal, whole, whole_matrix
+from ..sources.tables import discard, settle
+from .kmeans import Codebook, Initializer, code_sums, from_buffer, minibatch_loss, minibatch_update
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
 
 
-def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True):
-    """Codes (N, H), sum of centroids, residual after the first layer, residual after the last, squared errors summed over layers. A layer assigns on the normalised residual but subtracts its centroid from the plain one."""
-    r, total, codes, first, error = x, np.zeros_like(x), [], x, np.zeros(len(x))
-    for h, c in enumerate(codebooks):
-        given = unit(r) if normalize else r
-        code = nearest(given, c)
-        error = error + ((given - c[code]) ** 2).sum(1)
-        codes.append(code)
-        total = total + c[code]
+def layer(r: np.ndarray, centroids: np.ndarray, normalize: bool, distances: Distance) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of what a layer is given, and their squared errors."""
+    given = unit(r) if normalize else r
+    code = nearest(given, centroids, distances)
+    return code, ((given - centroids[code]) ** 2).sum(1)
+
+
+def layers(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances):
+    """(codes, residual, squared errors) of one layer after the other. A layer assigns on the normalised residual but subtracts its centroid from the plain one."""
+    r = x
+    for c in codebooks:
+        code, error = layer(r, c, normalize, distances)
         r = r - c[code] if residual else r
+        yield code, r, error
+
+
+def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances):
+    """Codes (N, H), sum of centroids, residual after the first layer, residual after the last, squared errors summed over layers."""
+    r, total, codes, first, errors = x, np.zeros_like(x), [], x, np.zeros(len(x))
+    for h, (code, r, error) in enumerate(layers(x, codebooks, normalize, residual, distances)):
+        errors = errors + error
+        codes.append(code)
+        total = total + codebooks[h][code]
         first = r if h == 0 else first
-    return np.array(codes).T.reshape(len(x), -1), total, first, r, error
+    return np.array(codes).T.reshape(len(x), -1), total, first, r, errors
+
 
+def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances, track: bool = False) -> DataFrame:
+    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals, error: the squared errors of what the layers assign on, summed): all layers in one pass, no shuffle. With ``track`` also ``residuals``, those after each layer. A null vector gives nulls."""
+    h = len(codebooks)
 
-def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True) -> DataFrame:
-    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals, error: the squared errors of what the layers assign on, summed): all layers in one pass, no shuffle."""
+    def ragged(inner: pa.Array, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), inner)
 
     def run(x):
-        codes, total, first, last, error = walk(x, codebooks, normalize, residual)
-        sid = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(codebooks)), pa.array(codes.astype(np.int32).ravel()))
+        codes, total, first, last, error = walk(x, codebooks, normalize, residual, distances)
         norms = np.column_stack([(m * m).sum(1) for m in (x, first, last)])
-        return [sid, lists(total), lists(first), lists(last), lists(norms), pa.array(error)]
+        out = [ragged(pa.array(codes.astype(np.int32).ravel()), len(x)), lists(total), lists(first), lists(last), lists(norms), pa.array(error)]
+        if track:
+            each = np.stack([r for _, r, _ in layers(x, codebooks, normalize, residual, distances)], 1)
+            out.append(ragged(lists(each.reshape(len(x) * h, -1)), len(x)))
+        return out
 
-    return map_vectors(df, key, col, "sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>, error double", run)
+    kept = ", residuals array<array<double>>" if track else ""
+    return map_vectors(df, key, col, f"sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>, error double{kept}", run)
 
 
 def assignment_loss(assigned: DataFrame, beta: float = 0.25) -> DataFrame:
@@ -46,36 +68,50 @@ def assignment_loss(assigned: DataFrame, beta: float = 0.25) -> DataFrame:
     return assigned.agg((F.sum("error") * (1 + beta)).alias("loss"))
 
 
-def _layer_input(x, codebooks, normalize, residual):
-    r = walk(x, codebooks, normalize, residual)[3] if codebooks else x
-    return unit(r) if normalize else r
-
-
-def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, normalize: bool = True, residual: bool = True, buffer: int = 3072, seed: int = 0, move=minibatch_update, loss=minibatch_loss, batches: int = 1) -> tuple[list[np.ndarray], list[tuple]]:
+def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int = 30, normalize: bool = True, residual: bool = True, buffer: int = 3072, seed: int = 0, move=minibatch_update, loss=minibatch_loss, batches: int = 1, init: Initializer | None = None, distances: Distance = sq_distances) -> tuple[list[np.ndarray], list[tuple]]:
     """Codebooks of ``layers`` layers, ``steps // layers`` steps each, and the history (layer, step, loss), the loss before each step.
 
-    Steps read the rows once each; ``batches`` above 1 takes hash buckets of
-    them in turn. Without ``residual`` each layer quantises the vector itself
-    (multi-level).
+    What a layer is given is written once, as a table in the shared folder,
+    and the table of the layer before deleted; so a step reads and assigns
+    the rows of its own layer once, whatever came before, and a lost executor
+    costs a read. ``batches`` above 1 takes hash buckets of the rows in turn.
+    Without ``residual`` each layer quantises the vector itself (multi-level).
+    ``init`` finds each layer's first centroids (k-means++ of a ``buffer``, if
+    none is given) and ``distances`` what is nearest. Null vectors count nothing.
     """
-    rows = df.select(key, F.col(col).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(key), F.lit(batches)).alias("_b")).persist()
-    codebooks, history = [], []
-    try:
-        for layer in range(layers):
-            done = list(codebooks)
-            prepare = lambda x, done=done: _layer_input(x, done, normalize, residual)
-            state = init_kmeanspp(prepare(init_buffer(rows, key, "_v", buffer, k, seed + layer)), k, seed + layer)
-            for step in range(max(1, steps // layers)):
-                part = rows.filter(F.col("_b") == step % batches) if batches > 1 else rows
-                n, s, q = code_sums(part, "_v", state.centroids, prepare)
-                history.append((layer, step, loss(state, n, s, q)))
-                state = move(state, n, s)
-            codebooks.append(state.centroids)
-    finally:
-        rows.unpersist()
+    bucket = F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("_b")
+    vectors = df.select(F.col(key).alias("_k"), bucket, F.col(col).cast("array<double>").alias("_r")).filter("_r IS NOT NULL")
+    codebooks, history, table = [], [], None
+    for h in range(layers):
+        if h == 0 or residual:
+            before, table = table, settle(_next_layer(vectors if table is None else table, codebooks[-1] if h else None, normalize, distances), f"layer-{h}")
+            if before is not None:
+                discard(before)
+        state = (init or from_buffer(buffer))(table, "_k", "_g", k, seed + h, distances)
+        for step in range(max(1, steps // layers)):
+            part = table.filter(F.col("_b") == step % batches) if batches > 1 else table
+            n, s, q = code_sums(part, "_g", state.centroids, distances=distances)
+            history.append((h, step, loss(state, n, s, q)))
+            state = move(state, n, s)
+        codebooks.append(state.centroids)
+    discard(table)
     return codebooks, history
 
 
+def _next_layer(rows: DataFrame, centroids: np.ndarray | None, normalize: bool, distances: Distance) -> DataFrame:
+    """(_k, _b, _r, _g): residuals after a layer with these centroids (the vectors themselves, if none) and what the next layer is given."""
+
+    def run(batches):
+        for b in batches:
+            r = matrix(b.column(2))
+            if centroids is not None:
+                r = r - centroids[layer(r, centroids, normalize, distances)[0]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(r), lists(unit(r) if normalize else r)], names=["_k", "_b", "_r", "_g"])
+
+    kind = rows.schema["_k"].dataType.simpleString()
+    return rows.select("_k", "_b", "_r").mapInArrow(run, f"_k {kind}, _b int, _r array<double>, _g array<double>")
+
+
 def gradient_move(lr: float = 0.1, adagrad: bool = True):
     """Moves centroids along the gradient of the quantization loss, 2 (n c - S) / n of all, by plain or Adagrad steps."""
     seen: dict = {}
@@ -105,19 +141,19 @@ def fit_rvq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int =
     return fit_rq(df, key, col, layers, k, steps, move=gradient_move(lr, adagrad), loss=quantization_loss(beta), **options)
 
 
-def fit_opq(df: DataFrame, key: str, col: str, layers: int, k: int, iters: int = 4, steps: int = 9, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+def fit_opq(df: DataFrame, key: str, col: str, layers: int, k: int, iters: int = 4, steps: int = 9, seed: int = 0, **options) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """A rotation W and codebooks of xW^T, by turns: assign and fit, then the orthogonal Procrustes solution from a d x d sum. Also the error of each turn."""
     d = df.select(F.max(F.size(col))).first()[0]
     w, errors, codebooks = np.eye(d), [], None
-    rows = df.select(key, F.col(col).cast("array<double>").alias("_v")).persist()
+    rows = df.select(key, F.col(col).cast("array<double>").alias("_v")).filter("_v IS NOT NULL").persist()
     try:
         for _ in range(iters):
             turned = map_vectors(rows, key, "_v", "_r array<double>", lambda x, w=w: [lists(x @ w.T)])
-            new, _ = fit_rq(turned, key, "_r", layers, k, steps, normalize=False, seed=seed)
-            xy, error = _cross(rows, w, new)
+            new, _ = fit_rq(turned, key, "_r", layers, k, steps, normalize=False, seed=seed, **options)
+            xy, error = cross_sums(rows, "_v", w, new)
             if codebooks is not None and error > errors[-1]:
                 new = codebooks
-                xy, error = _cross(rows, w, new)
+                xy, error = cross_sums(rows, "_v", w, new)
             codebooks = new
             errors.append(error)
             u, _, vt = np.linalg.svd(xy)
@@ -127,42 +163,91 @@ def fit_opq(df: DataFrame, key: str, col: str, layers: int, k: int, iters: int =
     return to_orthogonal(w), codebooks, errors
 
 
-def _cross(rows: DataFrame, w: np.ndarray, codebooks) -> tuple[np.ndarray, float]:
-    """The sum of x^T y over all rows (y: the quantised rotated x), and the squared error; one matrix a partition."""
+def cross_sums(rows: DataFrame, col: str, w: np.ndarray, codebooks: list[np.ndarray], width: int = 256, tasks: int = 64) -> tuple[np.ndarray, float]:
+    """The sum of x^T y over all rows (y: the quantised rotated x), and the squared error of y.
+
+    x and y are written once in blocks of ``width`` columns. For each pair of
+    blocks at most ``tasks`` tasks read these two columns and sum one block of
+    the matrix (width x width: 0.5 MB at 256, whatever d is), a row of it at a
+    time goes to the task that adds up that row of all tasks, and d x (d /
+    width) such rows come to the driver.
+    """
     d = len(w)
+    cuts = [slice(a, min(a + width, d)) for a in range(0, d, width)]
+    names = [f"{m}{k}" for m in "xy" for k in range(len(cuts))]
 
-    def run(batches):
-        total, error = np.zeros((d, d)), 0.0
+    def split(batches):
         for b in batches:
-            x = matrix(b.column(0))
-            y = walk(x @ w.T, codebooks, normalize=False)[1]
-            total += x.T @ y
-            error += float(((x @ w.T - y) ** 2).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(np.ones(d + 1)), lists(np.vstack([total, np.full(d, error)]))], names=["i", "n", "s"])
-
-    sums = sum_rows(rows.select("_v").mapInArrow(run, "i long, n double, s array<double>"), "i").orderBy("i").collect()  # d + 1 rows
-    m = np.array([r["s"] for r in sums])
-    return m[:d], float(m[d][0])
-
-
-def assign_soft(df: DataFrame, key: str, col: str, codebook: np.ndarray, temperature: float = 0.7, seed: int = 0, noise: bool = True) -> DataFrame:
-    """(key, code, vector): softmax((noise - distance) / T) weights; the code of the largest, the weighted codebook. Gumbel noise comes from a digest of (key, code, seed)."""
-    k = len(codebook)
+            x = whole_matrix(b.column(0))
+            if not len(x):
+                continue
+            turned = x @ w.T
+            y = walk(turned, codebooks, normalize=False)[1]
+            error = ((turned - y) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*[lists(m[:, c]) for m in (x, y) for c in cuts], pa.array(error)], names=[*names, "error"])
+
+    blocks = settle(rows.select(F.col(col).cast("array<double>")).mapInArrow(split, ", ".join(f"{n} array<double>" for n in names) + ", error double"), "blocks")
+    found = None
+    for i in range(len(cuts)):
+        for j in range(len(cuts)):
+
+            def run(batches, i=i, j=j):
+                total = 0.0
+                for b in batches:
+                    total = total + matrix(b.column(0)).T @ matrix(b.column(1))
+                if np.ndim(total):
+                    at = (cuts[i].start + np.arange(len(total))) * len(cuts) + j
+                    padded = np.pad(total, ((0, 0), (0, width - total.shape[1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.ones(len(at))), lists(padded)], names=["at", "n", "s"])
+
+            part = blocks.select(f"x{i}", f"y{j}").coalesce(tasks).mapInArrow(run, "at long, n double, s array<double>")
+            found = part if found is None else found.unionByName(part)
+    m = np.zeros((d, d))
+    for r in sum_rows(found, "at").toLocalIterator():
+        i, j = divmod(r["at"], len(cuts))
+        m[i, cuts[j]] = r["s"][: cuts[j].stop - cuts[j].start]
+    error = blocks.agg(F.sum("error")).first()[0]
+    discard(blocks)
+    return m, float(error or 0.0)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """32 bits stirred so that each depends on all (the finaliser of MurmurHash3), in 64-bit words."""
+    # Its two multipliers.
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(times)) & np.uint64(0xFFFFFFFF)
+    return h ^ (h >> np.uint64(16))
+
+
+def uniform(keys: np.ndarray, codes: int, seed: int) -> np.ndarray:
+    """(keys, codes): numbers between 0 and 1 that depend on the key, the code and the seed alone."""
+    low, high = (keys.astype(np.int64).view(np.uint64) >> np.uint64(s) & np.uint64(0xFFFFFFFF) for s in (0, 32))
+    of_key = mixed(low ^ mixed(high ^ mixed(np.full(len(keys), seed & 0xFFFFFFFF, np.uint64))))
+    return (mixed(of_key[:, None] ^ mixed(np.arange(codes, dtype=np.uint64))[None]) + 0.5) / 2.0**32
+
+
+def assign_soft(df: DataFrame, key: str, col: str, codebook: np.ndarray, temperature: float = 0.7, seed: int = 0, noise: bool = True, distances: Distance = sq_distances) -> DataFrame:
+    """(key, code, vector): softmax((noise - distance) / T) weights; the code of the largest, the weighted codebook. Gumbel noise is a counter-based draw for (key, code, seed), made for a whole batch at once; a key that is no whole number counts by its 64-bit hash. A null vector gives nulls."""
+    kind = df.schema[key].dataType.simpleString()
+    number = F.coalesce(F.col(key).cast("long"), F.lit(0)) if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
 
     def run(batches):
-        import hashlib
-
         for b in batches:
-            logits = -sq_distances(matrix(b.column(1)), codebook)
-            if noise:
-                u = np.array([[int.from_bytes(hashlib.md5(f"{i}-{c}-{seed}".encode()).digest()[:6], "big") for c in range(k)] for i in b.column(0).to_pylist()], np.float64)
-                logits = logits - np.log(-np.log((u + 0.5) / 2**48))
-            p = np.exp((logits - logits.max(1, keepdims=True)) / temperature)
-            p /= p.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.argmax(1).astype(np.int32)), lists(p @ codebook)], names=[key, "code", "vector"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(col).cast("array<double>")).mapInArrow(run, f"{key} {kind}, code int, vector array<double>")
+            mask = whole(b.column(2))
+            mask = np.ones(len(b), bool) if mask is None else mask
+            code, vector = pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.list_(pa.float64()))
+            if mask.any():
+                logits = -distances(whole_matrix(b.column(2)), codebook)
+                if noise:
+                    logits = logits - np.log(-np.log(uniform(b.column(1).to_numpy()[mask], len(codebook), seed)))
+                p = np.exp((logits - logits.max(1, keepdims=True)) / temperature)
+                p /= p.sum(1, keepdims=True)
+                at = pa.array(np.cumsum(mask) - 1, mask=~mask)
+                code, vector = pa.array(p.argmax(1).astype(np.int32)).take(at), lists(p @ codebook).take(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), code, vector], names=[key, "code", "vector"])
+
+    rows = df.select(key, number.alias("_n"), F.col(col).cast("array<double>").alias("_v"))
+    return rows.mapInArrow(run, f"{key} {kind}, code int, vector array<double>")
 
 
 def sid_stats(assigned: DataFrame, codebooks: list[np.ndarray]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,6 +65,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def settle(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder; later plans read it from there, also after losing executors."""
+    folder = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a settled table that no plan needs any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A full, repeatable shuffle: rows in the order of a seeded digest of their key."""
     return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key)
