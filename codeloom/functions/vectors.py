@@ -101,7 +101,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths != lengths[0]).any():
         raise ValueError("vectors have unequal widths")
-    return values.reshape(len(lengths), -1)
+    return values.reshape(len(lengths), int(lengths[0]) if len(lengths) else 0)
 
 
 def lists(m: np.ndarray) -> pa.Array:
@@ -109,6 +109,11 @@ def lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(m, np.float64).ravel()))
 
 
+def is_whole(col: str) -> Column:
+    """Neither null nor with nulls in it."""
+    return F.col(col).isNotNull() & ~F.exists(col, lambda x: x.isNull())
+
+
 def whole(column: pa.Array) -> np.ndarray | None:
     """Which vectors are neither null nor hold nulls; None if all are whole."""
     if not column.null_count and not column.flatten().null_count:

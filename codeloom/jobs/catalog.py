@@ -828,6 +828,16 @@ def evaluate(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if c != "users" else c for c in out.columns])
 
 
+_RANKS = _CAND.replace("max(CASE WHEN target AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS ndcg_5", "max(CASE WHEN target AND rank <= 5 THEN 1 / rank ELSE 0 END) AS mrr_5")
+
+
+@query(f"WITH {_RANKS} SELECT round(avg(mrr_5), 6) AS mrr_5, round(avg(recall_5), 6) AS recall_5, count(*) AS users FROM m")
+def evaluate_plugged(spark, d):
+    """Another metric beside one of the library's."""
+    out = metrics.evaluate(candidates(spark, d), [5], {"mrr": metrics.MRR, "recall": metrics.RECALL})
+    return out.select(F.round("mrr_5", 6).alias("mrr_5"), F.round("recall_5", 6).alias("recall_5"), "users")
+
+
 def _asked(spark, d):
     e = items(spark, d)
     return e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"), ((F.col("item_id") * 7) % 97).alias("positive")), e.select(F.col("item_id").alias("id"), F.col("embedding").alias("vec"))
@@ -842,6 +852,18 @@ def retrieve_all(spark, d):
     return metrics.retrieve_all(q, k, 10).select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"))
 
 
+_UNEVEN = f"{E_SQL}, y AS (SELECT item_id, list_transform(v, lambda x: x * exp(-(item_id % 37) / 6.0)) AS v FROM e), r AS (SELECT q.item_id AS query_id, k.item_id AS key_id, round(list_inner_product(q.v, k.v), 9) AS score FROM e q, y k), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS pos FROM r QUALIFY pos <= 10)"
+
+
+@query(f"WITH {_UNEVEN} SELECT query_id, pos, key_id, round(score, 6) AS score FROM t")
+def retrieve_uneven(spark, d):
+    """Keys of uneven norms: most blocks of them are bounded away."""
+    q, k = _asked(spark, d)
+    shorter = k.withColumn("vec", F.transform("vec", lambda x: x.cast("double") * F.exp(-(F.col("id") % 37) / 6.0)))
+    found = metrics.retrieve_all(q, shorter, 10, block=250)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"))
+
+
 _NEG = f"{E_SQL}, n AS (SELECT count(*) AS n FROM e), x AS (SELECT item_id AS query_id, v, (item_id * 7) % 97 AS positive, unnest(range(501)) AS pos FROM e), y AS (SELECT *, CASE WHEN pos = 0 THEN positive ELSE ('0x' || substr(md5(query_id || '-' || pos || '-0'), 1, 8))::BIGINT % (n - 100) + 100 END AS key_id FROM x, n)"
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Distance, distances_to, lists, nearest, sq_distances, sum_rows, whole_matrix
+from ..functions.vectors import Distance, distances_to, is_whole, lists, nearest, sq_distances, sum_rows, whole_matrix
 
 
 @dataclass
@@ -33,7 +33,7 @@ Initializer = Callable[[DataFrame, str, str, int, int, Distance], Codebook]
 def init_buffer(df: DataFrame, key: str, col: str, size: int = 3072, n_clusters: int = 1, seed: int = 0) -> np.ndarray:
     """``size`` vectors (all, if fewer) in seeded order: a bounded sample. Null vectors are passed over; fewer than ``n_clusters`` are an error."""
     order = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
-    rows = df.filter(F.col(col).isNotNull()).select(key, F.col(col).cast("array<double>").alias("v")).orderBy(order, key).limit(size).collect()
+    rows = df.filter(is_whole(col)).select(key, F.col(col).cast("array<double>").alias("v")).orderBy(order, key).limit(size).collect()
     if len(rows) < n_clusters:
         raise ValueError(f"{len(rows)} points for {n_clusters} clusters")
     return np.array([r["v"] for r in rows])
@@ -95,7 +95,7 @@ def init_kmeans_parallel(df: DataFrame, key: str, col: str, k: int, seed: int =
     The chance comes from a digest of key, round and seed. About ``rounds *
     oversample * k`` rows reach the driver, whatever the table's size.
     """
-    rows = df.filter(F.col(col).isNotNull()).select(F.col(key).alias("_k"), F.col(col).cast("array<double>").alias("_v"))
+    rows = df.filter(is_whole(col)).select(F.col(key).alias("_k"), F.col(col).cast("array<double>").alias("_v"))
     chosen = init_buffer(df, key, col, 1, 1, seed)
     for step in range(rounds):
         def far(batches, chosen=chosen):

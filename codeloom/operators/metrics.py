@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, matrix
+from ..functions.vectors import dot, is_whole, matrix
+from ..sources.tables import settle
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A ranking metric at K: ``term(rank, hit)`` of each candidate up to K, brought together by ``gather``, and ``finish(gathered, positives, k)`` of a user."""
+
+    term: Callable[[Column, Column], Column]
+    finish: Callable[[Column, Column, int], Column]
+    gather: Callable[[Column], Column] = F.sum
+
+
+def _ideal(most: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + 1))
+
+
+NDCG = Metric(lambda rank, hit: hit / F.log2(rank + 1), lambda got, positives, k: F.when(positives > 0, got / _ideal(F.least(positives, F.lit(k)))).otherwise(0.0))
+RECALL = Metric(lambda rank, hit: hit, lambda got, positives, k: got / F.greatest(F.least(positives, F.lit(k)), F.lit(1)))
+#: The reciprocal rank of the first hit.
+MRR = Metric(lambda rank, hit: hit / rank, lambda got, positives, k: got.cast("double"), F.max)
+METRICS: dict[str, Metric] = {"ndcg": NDCG, "recall": RECALL}
 
 
 def match_labels(preds: DataFrame, labels: DataFrame) -> DataFrame:
@@ -18,67 +40,151 @@ def match_labels(preds: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select(*preds.columns, F.coalesce(F.col("sid") == F.col("_label"), F.lit(False)).alias("target"))
 
 
-def per_user(cands: DataFrame, ks: Sequence[int], key: str = "user_id") -> DataFrame:
-    """(key, ndcg_k, recall_k) from (key, pos, score, target): one ranking, by score, then position, serves all K. The ideal ranking and the positives are those among the candidates."""
+def per_user(cands: DataFrame, ks: Sequence[int], key: str = "user_id", metrics: Mapping[str, Metric] = METRICS) -> DataFrame:
+    """(key, name_k of each metric) from (key, pos, score, target): one ranking, by score, then position, serves all K. The ideal ranking and the positives are those among the candidates."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))
     rows = cands.withColumn("_rank", rank).withColumn("_hit", F.col("target").cast("int"))
-    aggs = [F.sum("_hit").alias("_positives")]
-    for k in ks:
-        inside = F.when(F.col("_rank") <= k, F.col("_hit")).otherwise(0)
-        aggs += [F.sum(inside / F.log2(F.col("_rank") + 1)).alias(f"_dcg_{k}"), F.sum(inside).alias(f"_hits_{k}")]
-    users = rows.groupBy(key).agg(*aggs)
-    out = [F.col(key)]
-    for k in ks:
-        most = F.least(F.col("_positives"), F.lit(k))
-        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + 1))
-        out += [F.when(most > 0, F.col(f"_dcg_{k}") / ideal).otherwise(0.0).alias(f"ndcg_{k}"), (F.col(f"_hits_{k}") / F.greatest(most, F.lit(1))).alias(f"recall_{k}")]
-    return users.select(*out)
+    named = [(f"{m}_{k}", metric, k) for k in ks for m, metric in metrics.items()]
+    inside = lambda metric, k: F.when(F.col("_rank") <= k, metric.term(F.col("_rank"), F.col("_hit"))).otherwise(0)
+    users = rows.groupBy(key).agg(F.sum("_hit").alias("_positives"), *[metric.gather(inside(metric, k)).alias(f"_{name}") for name, metric, k in named])
+    return users.select(key, *[metric.finish(F.col(f"_{name}"), F.col("_positives"), k).alias(name) for name, metric, k in named])
 
 
 def ndcg(cands: DataFrame, k: int) -> DataFrame:
-    return per_user(cands, [k]).select("user_id", f"ndcg_{k}")
+    return per_user(cands, [k], metrics={"ndcg": NDCG})
 
 
 def recall(cands: DataFrame, k: int) -> DataFrame:
-    return per_user(cands, [k]).select("user_id", f"recall_{k}")
+    return per_user(cands, [k], metrics={"recall": RECALL})
 
 
-def evaluate(cands: DataFrame, ks: Sequence[int] = (5, 10), metrics: Sequence[str] = ("ndcg", "recall"), key: str = "user_id") -> DataFrame:
-    """One row: the mean of each metric@k over users, 0 without users."""
-    users = per_user(cands, ks, key)
+def evaluate(cands: DataFrame, ks: Sequence[int] = (5, 10), metrics: Sequence[str] | Mapping[str, Metric] = ("ndcg", "recall"), key: str = "user_id") -> DataFrame:
+    """One row: the mean of each metric@k over users, 0 without users. Metrics are names of ``METRICS`` or a mapping of names to metrics of one's own."""
+    metrics = metrics if isinstance(metrics, Mapping) else {m: METRICS[m] for m in metrics}
+    users = per_user(cands, ks, key, metrics)
     return users.agg(*[F.coalesce(F.avg(f"{m}_{k}"), F.lit(0.0)).alias(f"{m}_{k}") for m in metrics for k in ks], F.count("*").alias("users"))
 
 
-def retrieve_all(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """(query_id, pos, key_id, score): the k keys of the largest dot products, ties to the smaller id.
+#: Bytes of the vectors of one side that a task of ``retrieve_all`` holds, at most, and the most norm bands.
+BLOCK_BYTES, BANDS = 1 << 26, 64
+#: Scores are compared at so many decimals; bounds give way by more than that.
+DECIMALS, SLACK = 9, 1e-8
 
-    Queries (id, vec) meet keys (id, vec) in blocks of keys, each task keeping
-    its k best a query, which are then merged.
-    """
-    blocks, asked = (max(1, -(-t.count() // block)) for t in (keys, queries))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    x = keys.select(F.col("id").alias("key_id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int"))
-    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
 
-    def best(left, right):
-        import pandas as pd
+@dataclass
+class Retrieval:
+    """What ``retrieve_all`` found, and how many of all pairs of query and key it scored."""
+
+    found: DataFrame
+    met: int
+    pairs: int
 
-        right = right.sort_values("key_id")
-        ids, m = right["key_id"].to_numpy(), np.array(right["vec"].tolist())
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best keys of each query of one block in another, none below the query's threshold."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for a in range(0, len(left) if len(right) else 0, 256):
-            some = left.iloc[a : a + 256]
-            s = np.round(np.array(some["vec"].tolist()) @ m.T, 9)
-            cols = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), cols.shape[1]), "key_id": ids[cols].ravel(), "score": np.take_along_axis(s, cols, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = q.groupBy("b", "qb").cogroup(x.groupBy("b", "qb")).applyInPandas(best, "query_id long, key_id long, score double")
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("key_id")
+            m, ids = matrix(right.column("vec").combine_chunks()), right.column("key_id").combine_chunks()
+            x, least = matrix(left.column("vec").combine_chunks()), left.column("least").to_numpy()
+            asked = left.column("query_id").combine_chunks()
+            if x.shape[1] != m.shape[1]:
+                raise ValueError("vectors have unequal widths")
+            for a in range(0, len(x), 256):
+                s = np.round(x[a : a + 256] @ m.T, DECIMALS)
+                cols = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(s, cols, 1)
+                kept = top >= least[a : a + 256, None] - SLACK
+                rows = a + np.nonzero(kept)[0]
+                out.append(pa.table({"query_id": asked.take(pa.array(rows)), "key_id": ids.take(pa.array(cols[kept])), "score": pa.array(top[kept])}))
+        if not out:
+            return pa.table({"query_id": pa.array([], left.schema.field("query_id").type), "key_id": pa.array([], right.schema.field("key_id").type), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(out)
+
+    return run
+
+
+def retrieval(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000, bands: int = BANDS) -> Retrieval:
+    """The k keys (id, vec) of the largest dot products with each query (id, vec), ties to the smaller id, exactly, with the keys' norms as bounds.
+
+    Keys are cut into bands of falling norm, bands into blocks. All queries
+    meet one block of the longest keys first; the k-th best score there is a
+    threshold that a key can only reach if its norm times the query's does, so a
+    query goes on to the blocks of the first few bands alone. Queries that
+    go equally far share blocks of queries, and a block of keys goes only to
+    those that need it. What is held of either side stays under
+    ``BLOCK_BYTES`` (or 4 k rows); driver and plan know bands and counts, never rows.
+
+    Null vectors take no part; unequal widths are an error; norms that are
+    all equal bound nothing, then every query meets every key.
+    """
+    norm = F.sqrt(dot("vec", "vec"))
+    x = keys.filter(is_whole("vec")).select(F.col("id").alias("key_id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", norm)
+    q = queries.filter(is_whole("vec")).select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", norm)
+    n, width = x.agg(F.count("*"), F.max(F.size("vec"))).first()
+    block = max(4 * k, min(block, BLOCK_BYTES // (8 * (width or 1))))
+    many = max(1, min(bands, -(-n // block)))
+    cuts = x.agg(F.percentile_approx("norm", [1 - b / many for b in range(1, many)], 100 * many)).first()[0] if many > 1 else []
+    band = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c > F.col("norm"))) if cuts else F.lit(0)
+    x = x.withColumn("band", band)
+    size = {r["band"]: (r["n"], r["most"]) for r in x.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}  # a row a band
+    known = sorted(size)
+    parts = {b: -(-size[b][0] // block) for b in known}
+    ends = dict(zip(known, np.cumsum([parts[b] for b in known]).tolist(), strict=True))
+    pick = lambda of: F.element_at(F.create_map(*[F.lit(v) for b in known for v in (b, of[b])]), F.col("band")) if known else F.lit(0)
+    x = x.withColumn("blk", (pick(ends) - 1 - F.pmod(F.xxhash64("key_id"), pick(parts))).cast("int"))
+
+    best = _best(k)
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double"
+    asked = q.count()
+    first = ends[known[0]] - 1 if known else 0
+    dealt = max(1, -(-asked // block))
+    left = q.select("query_id", "vec", F.lit(float("-inf")).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(dealt)).cast("int").alias("qb"))
+    right = x.filter(F.col("blk") == first).select("key_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("qb"))
+    met_first = left.groupBy("qb").cogroup(right.groupBy("qb")).applyInArrow(best, kinds)
+    if len(known) < 2 and max(parts.values(), default=1) == 1:
+        return Retrieval(_ranked(met_first, k), asked * n, asked * n)
+
+    met_first = settle(met_first, "first-block")
+    threshold = met_first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k)
+    q = q.join(threshold.select("query_id", "least"), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    reach = [F.col("norm") * size[b][1] * (1 + 1e-9) + SLACK >= F.col("least") for b in known]  # true for the first few
+    far = F.lit(0)
+    for c in reach:
+        far = far + c.cast("int")
+    q = settle(q.withColumn("far", far), "bounded")
+    counts = {r["far"]: r["n"] for r in q.groupBy("far").agg(F.count("*").alias("n")).collect()}  # a row a band
+    upto = {f: ends[known[f - 1]] if f else 0 for f in counts}
+    # blocks of queries, those that go furthest first; a key of band b goes to those that go beyond it
+    shares = {f: -(-c // block) for f, c in counts.items()}
+    base, total, wanted = {}, 0, {}
+    for f in sorted(counts, reverse=True):
+        base[f] = total
+        total += shares[f]
+    for at, b in enumerate(known):
+        wanted[b] = sum(shares[f] for f in counts if f > at)
+    chosen = lambda of: F.element_at(F.create_map(*[F.lit(v) for f in of for v in (f, of[f])]), F.col("far"))
+    rows = q.filter(F.col("far") > 0).withColumn("qb", (chosen(base) + F.pmod(F.xxhash64("query_id"), chosen(shares))).cast("int"))
+    left = rows.select("query_id", "vec", "least", "qb", F.explode(F.sequence(F.lit(0), chosen(upto) - 1)).alias("blk")).filter(F.col("blk") != first)
+    right = x.filter((F.col("blk") != first) & (pick(wanted) > 0)).select("key_id", "vec", "blk", F.explode(F.sequence(F.lit(0), pick(wanted) - 1)).alias("qb"))
+    rest = left.groupBy("blk", "qb").cogroup(right.groupBy("blk", "qb")).applyInArrow(best, kinds)
+    in_first = x.filter(F.col("blk") == first).count()
+    met = asked * in_first + sum(c * max(0, sum(size[b][0] for b in known[:f]) - (in_first if f else 0)) for f, c in counts.items())
+    return Retrieval(_ranked(met_first.unionByName(rest), k), met, asked * n)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))
     return found.withColumn("pos", rank).filter(F.col("pos") <= k).select("query_id", "pos", "key_id", "score")
 
 
+def retrieve_all(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """(query_id, pos, key_id, score) of ``retrieval``."""
+    return retrieval(queries, keys, k, block).found
+
+
 def seeded_id(query: Column, i: Column, seed: int, low: int, high: int) -> Column:
     digest = F.md5(F.concat_ws("-", query.cast("string"), i.cast("string"), F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % (high - low) + low
@@ -114,14 +220,3 @@ def best_run(metrics: DataFrame, monitor: str = "val/recall@5", mode: str = "max
     best = F.min(F.struct(value.alias("v"), "step", "method"))
     rows = metrics.filter(F.col("metric") == monitor).groupBy("dataset").agg(best.alias("b"))
     return rows.select("dataset", F.col("b.method").alias("method"), F.col("b.step").alias("step"), (F.col("b.v") if mode == "min" else -F.col("b.v")).alias("value"))
-
-
-def scores(queries: DataFrame, key: str, col: str, keys: np.ndarray) -> DataFrame:
-    """(key, scores): dot products with a small key matrix."""
-
-    def run(batches):
-        for b in batches:
-            s = matrix(b.column(1)) @ keys.T
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.tolist(), pa.list_(pa.float64()))], names=[key, "scores"])
-
-    return queries.select(key, F.col(col).cast("array<double>")).mapInArrow(run, f"{key} long, scores array<double>")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS, Distance, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal, whole, whole_matrix
+from ..functions.vectors import EPS, Distance, is_whole, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal, whole, whole_matrix
 from ..sources.tables import discard, settle
 from .kmeans import Codebook, Initializer, code_sums, from_buffer, minibatch_loss, minibatch_update
 
@@ -80,7 +80,7 @@ def fit_rq(df: DataFrame, key: str, col: str, layers: int, k: int, steps: int =
     none is given) and ``distances`` what is nearest. Null vectors count nothing.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("_b")
-    vectors = df.select(F.col(key).alias("_k"), bucket, F.col(col).cast("array<double>").alias("_r")).filter("_r IS NOT NULL")
+    vectors = df.select(F.col(key).alias("_k"), bucket, F.col(col).cast("array<double>").alias("_r")).filter(is_whole("_r"))
     codebooks, history, table = [], [], None
     for h in range(layers):
         if h == 0 or residual:
@@ -145,7 +145,7 @@ def fit_opq(df: DataFrame, key: str, col: str, layers: int, k: int, iters: int =
     """A rotation W and codebooks of xW^T, by turns: assign and fit, then the orthogonal Procrustes solution from a d x d sum. Also the error of each turn."""
     d = df.select(F.max(F.size(col))).first()[0]
     w, errors, codebooks = np.eye(d), [], None
-    rows = df.select(key, F.col(col).cast("array<double>").alias("_v")).filter("_v IS NOT NULL").persist()
+    rows = df.select(key, F.col(col).cast("array<double>").alias("_v")).filter(is_whole("_v")).persist()
     try:
         for _ in range(iters):
             turned = map_vectors(rows, key, "_v", "_r array<double>", lambda x, w=w: [lists(x @ w.T)])

@@ -249,3 +249,110 @@ def test_cross_entropy_over_a_table_of_keys(spark):
     assert np.isclose(V.full_softmax_ce(asked, "id", "v", "label", keys, block=20).first()["ce"], plain)
     with pytest.raises(ValueError, match="as a table"):
         V.full_softmax_ce(asked, "id", "v", "label", x, block=20)
+
+
+def test_retrieval_with_bounds(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(120, 5)), rng.normal(size=(900, 5))
+    y *= np.exp(-(np.arange(900) % 30) / 5.0)[:, None]
+    y[17] = y[400]  # a tie
+    frame = lambda m, extra=(): spark.createDataFrame([*[(k, v) for k, v in enumerate(m.tolist())], *extra], "id long, vec array<double>")
+
+    def plain(x, y, k):
+        s = np.round(x @ y.T, 9)
+        order = np.lexsort((np.broadcast_to(np.arange(len(y)), s.shape), -s), axis=1)[:, :k]
+        return {(i, p + 1, int(j), s[i, j]) for i in range(len(x)) for p, j in enumerate(order[i])}
+
+    for keys, block, share in ((y, 40, 0.5), (y, 7, 0.5), (y / np.linalg.norm(y, axis=1)[:, None], 100, None), (y[:3], 40, None), (y, 10_000, None)):
+        found = metrics.retrieval(frame(x, [(999, None)]), frame(keys, [(9999, None)]), 7, block)
+        got = found.found.collect()
+        assert {(r["query_id"], r["pos"], r["key_id"], r["score"]) for r in got} == plain(x, keys, 7) and len(got) == 120 * min(7, len(keys))
+        assert found.pairs == 120 * len(keys) and (share is None or found.met < share * found.pairs)
+    assert metrics.retrieve_all(frame(x), frame(y).limit(0), 3).count() == metrics.retrieve_all(frame(x).limit(0), frame(y), 3, 50).count() == 0
+    negative = metrics.retrieve_all(frame(-np.abs(x)), frame(np.abs(y)), 3, 40)  # no score reaches 0: nothing is bounded away
+    assert {(r["query_id"], r["pos"], r["key_id"], r["score"]) for r in negative.collect()} == plain(-np.abs(x), np.abs(y), 3)
+    with pytest.raises(Exception, match="unequal widths"):
+        metrics.retrieve_all(frame(x), frame(y[:, :4]), 3).collect()
+
+
+def test_metrics_of_ones_own(spark):
+    rows = [(u, p, 1.0 - p / 10, p in hits) for u, hits in ((1, {2, 4}), (2, {0}), (3, set())) for p in range(6)]
+    cands = spark.createDataFrame(rows, "user_id long, pos int, score double, target boolean")
+    first = metrics.evaluate(cands, [1, 5], {"mrr": metrics.MRR, "hits": metrics.Metric(lambda rank, hit: hit, lambda got, positives, k: got.cast("double"))}).first()
+    assert np.isclose(first["mrr_5"], (1 / 3 + 1) / 3) and first["mrr_1"] == 1 / 3 and first["hits_5"] == 1 and first["users"] == 3
+
+
+def test_distances_and_initialisers_of_ones_own(spark):
+    x, df = points(spark, 200, 4)
+    city = lambda a, b: np.abs(a[:, None] - b[None]).sum(2)
+    book = x[:5] + 0.3
+    got = {r["id"]: r["code"] for r in V.assign(df, "id", "v", book, city).collect()}
+    assert [got[k] for k in range(200)] == city(x, book).argmin(1).tolist()
+    cosine = 1 - (x / np.linalg.norm(x, axis=1)[:, None]) @ (book / np.linalg.norm(book, axis=1)[:, None]).T
+    got = {r["id"]: r["sid"] for r in residual.assign_rq(df, "id", "v", [book], normalize=False, distances=V.cosine_distances).collect()}
+    assert [got[k][0] for k in range(200)] == cosine.argmin(1).tolist()
+    assert V.nearest(np.zeros((1, 4)), book, V.cosine_distances).tolist() == [0]
+    for init in (kmeans.init_random, kmeans.init_kmeans_parallel, kmeans.from_fit(3), kmeans.from_buffer(50)):
+        books, history = residual.fit_rq(df, "id", "v", 2, 4, 4, normalize=False, init=init, distances=city)
+        assert [b.shape for b in books] == [(4, 4)] * 2 and len(history) == 4
+    state, _ = kmeans.fit_kmeans(df, "id", "v", 4, 8, init=lambda df, key, col, k, seed, distances: kmeans.Codebook(x[:k].copy()), distances=city)
+    assert kmeans.inertia(df, "v", state.centroids, city) < kmeans.inertia(df, "v", x[:4], city)
+
+
+def test_residuals_of_all_layers(spark):
+    x, df = points(spark, 50, 3)
+    books = [x[:4], x[4:8] / 2, x[8:12] / 3]
+    out = residual.assign_rq(df.unionByName(spark.createDataFrame([(99, None), (98, [1.0, None, 2.0])], df.schema)), "id", "v", books, normalize=False, track=True)
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 52 and all(got[k]["sid"] is got[k]["residuals"] is None for k in (98, 99))
+    for k in range(50):
+        r = x[k]
+        for book, seen in zip(books, got[k]["residuals"], strict=True):
+            r = r - book[((r - book) ** 2).sum(1).argmin()]
+            assert np.allclose(r, seen)
+
+
+def test_widths_and_null_vectors(spark):
+    uneven = spark.createDataFrame([(0, [1.0, 2.0], [1.0]), (1, [1.0], [2.0])], "id long, x array<double>, y array<double>")
+    for made in (V.weighted_sse, V.beta_loss, V.mse):
+        with pytest.raises(Exception, match="unequal widths"):
+            made(uneven, "x", "y").collect()
+    with pytest.raises(Exception, match="unequal widths"):
+        uneven.select(V.squared_distance("x", "y")).collect()
+    some = spark.createDataFrame([(0, [1.0, 2.0], [1.0, 4.0]), (1, None, [2.0, 2.0]), (2, [1.0, 1.0], None)], "id long, x array<double>, y array<double>")
+    assert V.mse(some, "x", "y").first()["mse"] == 2.0 and V.weighted_sse(some, "x", "y").first()["sse"] == 4.0
+    got = {r["id"]: r["code"] for r in V.assign(some, "id", "x", np.array([[1.0, 1.0], [1.0, 3.0]])).collect()}
+    assert got == {0: 0, 1: None, 2: 0}
+    none = V.assign(some.filter("id = 1"), "id", "x", np.eye(2)).first()
+    assert none["code"] is None and none["residual"] is None
+    n, s, _ = kmeans.code_sums(some, "x", np.eye(2))
+    assert n.tolist() == [1, 1]
+    z = {r["id"]: r["z"] for r in V.standardize(some, "id", "x", 0.0).collect()}
+    assert z[1] is None and np.isclose(z[0][1], 1.0)
+
+
+def test_moments_are_merged(spark):
+    x = np.random.default_rng(3).normal(size=(700, 3)) + 1e6
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "id long, v array<double>")
+    for parts in (1, 50):
+        r = V.moments(df.repartition(parts), "v").first()
+        assert r["n"] == 700 and np.allclose(r["mean"], x.mean(0)) and np.allclose(np.array(r["m2"]) / 700, x.var(0), rtol=1e-6)
+    assert V.moments(df.limit(0), "v").count() == 0 and V.standardize(df.limit(0), "id", "v").count() == 0
+    plan = V.standardize(df, "id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_blocked_sums_of_a_rotation(spark):
+    x, df = points(spark, 300, 20)
+    w = V.to_orthogonal(np.random.default_rng(1).normal(size=(20, 20)))
+    books = [x[:6] @ w.T]
+    y = residual.walk(x @ w.T, books, normalize=False)[1]
+    for width, tasks in ((256, 64), (6, 2), (20, 1)):
+        m, error = residual.cross_sums(df.repartition(7), "v", w, books, width, tasks)
+        assert np.allclose(m, x.T @ y) and np.isclose(error, ((x @ w.T - y) ** 2).sum())
+
+
+def test_draws_are_even():
+    u = residual.uniform(np.array([0, 1, -5, 2**40, 2**40 + 1]), 20_000, 3)
+    assert len(np.unique(u)) > 99_000 and ((0 < u) & (u < 1)).all() and abs(u.mean() - 0.5) < 0.01
+    assert (np.abs(np.corrcoef(u) - np.eye(5)) < 0.05).all() and not np.allclose(u, residual.uniform(np.array([0, 1, -5, 2**40, 2**40 + 1]), 20_000, 4))
