@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +75,46 @@ def pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -
     return df
 
 
-def tokenize_text(df: DataFrame, key: str, col: str, vocab: DataFrame, max_length: int = 128, pad_id: int = 0, unk_id: int = 1) -> DataFrame:
-    """``key``, ``ids`` and ``mask`` of fixed length: lower-cased runs of a-z and 0-9, cut to ``max_length``, looked up in ``vocab`` (token, id), padded."""
+#: A vocabulary of at most so many tokens travels with the tasks.
+MOST_TOKENS = 1_000_000
+
+
+def tokenize_text(df: DataFrame, key: str, col: str, vocab: DataFrame, max_length: int = 128, pad_id: int = 0, unk_id: int = 1, most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """``key``, ``ids`` and ``mask`` of fixed length, a row for each row: lower-cased runs of a-z and 0-9, cut to ``max_length``, looked up in ``vocab`` (token, id), padded. A token with two ids is an error; a null text has no words.
+
+    A vocabulary of at most ``most_tokens`` is looked up where the texts are,
+    without a shuffle. A larger one is joined: then rows are told apart by
+    their key, their words and a number among equal ones.
+    """
     words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), 1, max_length)
-    rows = df.select(key, F.posexplode_outer(words).alias("pos", "token")).join(vocab, "token", "left")
-    found = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).cast("long").alias("id")))
-    ids = rows.groupBy(key).agg(F.array_sort(F.collect_list(found)).alias("t")).select(key, F.col("t.id").alias("ids"))
+    rows = df.select(F.col(key).alias("_key"), words.alias("_w"))
+    known = vocab.limit(most_tokens + 1).collect()
+    if len(known) <= most_tokens:
+        ids = {r["token"]: r["id"] for r in known}
+        if len(ids) < len(known):
+            raise ValueError("a token has two ids")
+        found = _looked_up(rows, ids, unk_id)
+    else:
+        once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("two ids of token "), F.first("token")))).otherwise(F.first("id"))
+        table = vocab.groupBy("token").agg(once.cast("long").alias("id"))
+        rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_key", "_w").orderBy(F.lit(0))))
+        each = rows.select("_key", "_w", "_row", F.posexplode_outer("_w").alias("pos", "token")).join(table, "token", "left")
+        one = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
+        found = each.groupBy("_key", "_w", "_row").agg(F.array_sort(F.collect_list(one)).alias("t")).select("_key", F.col("t.id").alias("ids"))
     pad = F.lit(max_length) - F.size("ids")
-    return ids.select(key, F.concat("ids", F.array_repeat(F.lit(pad_id).cast("long"), pad)).alias("ids"), F.concat(F.transform("ids", lambda _: F.lit(1)), F.array_repeat(F.lit(0), pad)).alias("mask"))
+    return found.select(F.col("_key").alias(key), F.concat("ids", F.array_repeat(F.lit(pad_id).cast("long"), pad)).alias("ids"), F.concat(F.transform("ids", lambda _: F.lit(1)), F.array_repeat(F.lit(0), pad)).alias("mask"))
+
+
+def _looked_up(rows: DataFrame, ids: dict[str, int], unk_id: int) -> DataFrame:
+    """(_key, ids) of rows (_key, _w): whole batches of words are looked up at once."""
+    tokens = pa.array(list(ids), pa.string())
+    numbers = np.array([*ids.values(), unk_id], np.int64)
+
+    def run(batches):
+        for b in batches:
+            words = b.column(1)
+            at = pc.fill_null(pc.index_in(words.flatten(), value_set=tokens), len(tokens)).to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[at]))], names=["_key", "ids"])
+
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, ids array<long>")

@@ -779,8 +779,8 @@ p2 AS (SELECT l2.user_id, l2.c1, l2.c2, t1.p * n / sum(n) OVER (PARTITION BY l2.
 t2 AS (SELECT user_id, c1, c2, p, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 12) DESC, c1, c2) AS rank FROM p2 QUALIFY rank <= 6)"""
 
 
-def logits(spark, d):
-    rows = sequences(spark, d).select("user_id", F.explode("seq").alias("item_id")).join(plain_sids(spark, d), "item_id")
+def logits(spark, d, seqs=None):
+    rows = (sequences(spark, d) if seqs is None else seqs).select("user_id", F.explode("seq").alias("item_id")).join(plain_sids(spark, d), "item_id")
     grown = rows.select("user_id", F.explode(F.array(*[F.struct(F.slice("sid", 1, h).alias("prefix"), F.col("sid")[h].alias("code")) for h in (0, 1)])).alias("x"))
     return grown.groupBy("user_id", "x.prefix", "x.code").agg(F.log(F.count("*")).alias("logit"))
 
@@ -799,8 +799,9 @@ def beam_decode(spark, d):
 
 
 def candidates(spark, d):
-    preds = decode.beam_decode(logits(spark, d), 2, 6, plain_sids(spark, d)).withColumn("pos", F.col("rank") - 1).withColumnRenamed("probability", "score")
-    last = sequences(spark, d).select("user_id", F.element_at("seq", -1).alias("item_id")).join(plain_sids(spark, d), "item_id").select("user_id", "sid")
+    seqs = S.settle(sequences(spark, d), "histories")
+    preds = decode.beam_decode(logits(spark, d, seqs), 2, 6, plain_sids(spark, d)).withColumn("pos", F.col("rank") - 1).withColumnRenamed("probability", "score")
+    last = seqs.select("user_id", F.element_at("seq", -1).alias("item_id")).join(plain_sids(spark, d), "item_id").select("user_id", "sid")
     return metrics.match_labels(preds.withColumn("score", F.round("score", 9)), last)
 
 
@@ -938,3 +939,31 @@ def fit_stream(spark, d):
     state = T.read_state(spark, f"{folder}/state/{q.id}", 0)
     rows = [(k, int(state.counts[k]), state.centroids[k].tolist()) for k in np.flatnonzero(state.counts).tolist()]
     return spark.createDataFrame(rows, "code long, n long, c array<double>").select("code", "n", rounded(F.col("c")).alias("out"))
+
+
+_THREE = "g0 AS (SELECT item_id, v AS g FROM e), b0 AS (SELECT item_id AS code, v AS c FROM e WHERE item_id < 16), t0 AS (SELECT code, c, 0.0::DOUBLE AS seen FROM b0)"
+
+
+def _batch_sql(i: int) -> list[str]:
+    """Table t{i + 1} (code, c, seen): t{i} after a step over the items of the i-th of three batches."""
+    moved = _zip_sql("c", "m", "z[1] - (z[1] - z[2]) * (n / (seen + n))")
+    return [
+        f"a{i} AS (SELECT item_id, any_value(g) AS g, arg_min(code, row(list_distance(g, c), code)) AS code FROM g0, t{i} WHERE item_id % 3 = {i} GROUP BY item_id)",
+        f"m{i} AS (SELECT code, any_value(n)::DOUBLE AS n, list(m ORDER BY k) AS m FROM (SELECT code, k, count(*) AS n, avg(g[k]) AS m FROM (SELECT code, g, unnest(range(1, len(g) + 1)) AS k FROM a{i}) GROUP BY code, k) GROUP BY code)",
+        f"t{i + 1} AS MATERIALIZED (SELECT code, CASE WHEN n IS NULL THEN c ELSE {moved} END AS c, seen + coalesce(n, 0) AS seen FROM t{i} LEFT JOIN m{i} USING (code))",
+    ]
+
+
+@query(f"WITH {E_SQL}, {_THREE}, {', '.join(x for i in range(3) for x in _batch_sql(i))} SELECT code, seen::BIGINT AS n, {rounded_sql('c')} AS out FROM t3")
+def fit_stream_batches(spark, d):
+    """Three micro-batches, each a step from the state of the one before."""
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    rows = items(spark, d).select("item_id", "embedding")
+    for k in range(3):  # a file a batch, read in the order they were written in
+        rows.filter(F.col("item_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = T.fit_stream(stream, "embedding", kmeans.Codebook(fixed_codebooks(spark, d, 1)[0]), f"{folder}/state", f"{folder}/checkpoint")
+    q.awaitTermination()
+    state = T.read_state(spark, f"{folder}/state/{q.id}", 2)
+    found = [(k, int(n), c.tolist()) for k, (c, n) in enumerate(zip(state.centroids, state.counts, strict=True))]
+    return spark.createDataFrame(found, "code long, n long, c array<double>").select("code", "n", rounded(F.col("c")).alias("out"))

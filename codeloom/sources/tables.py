@@ -65,10 +65,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` computed once, as a table in the shared folder; later plans read it from there, also after losing executors."""
+def settle(df: DataFrame, kind: str, *by: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder, in parts by the columns ``by``; later plans read it from there, also after losing executors."""
     folder = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

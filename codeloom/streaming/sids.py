@@ -31,15 +31,33 @@ def write_state(spark: SparkSession, path: str, batch_id: int, state: Codebook)
     spark.createDataFrame(rows, "code int, centroid array<double>, n double").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def drop_states(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the states of batches before this one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < before:
+            files.delete(status.getPath(), True)
+
+
 def fit_batch(df: DataFrame, batch_id: int, col: str, start: Codebook, state_path: str) -> Codebook:
-    """One step from the state of the batch before (``start`` for the first); a batch that already has its state is skipped, so a replay changes nothing."""
+    """One step from the state of the batch before (``start`` for the first); a batch that already has its state is skipped, so a replay changes nothing.
+
+    The stream replays at most the batch that it had not committed, which
+    needs the state before it: so the last two states are kept, and older ones
+    deleted once the new one is whole. A batch whose predecessor has none is an error.
+    """
     spark = df.sparkSession
     done = read_state(spark, state_path, batch_id)
     if done is not None:
         return done
-    before = read_state(spark, state_path, batch_id - 1) if batch_id > 0 else None
-    state = minibatch_step(df.filter(F.col(col).isNotNull()), col, before or start)
+    before = read_state(spark, state_path, batch_id - 1) if batch_id > 0 else start
+    if before is None:
+        raise RuntimeError(f"no state of batch {batch_id - 1} under {state_path}")
+    state = minibatch_step(df.filter(F.col(col).isNotNull()), col, before)
     write_state(spark, state_path, batch_id, state)
+    drop_states(spark, state_path, batch_id - 1)
     return state
 
 
