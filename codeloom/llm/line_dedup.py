@@ -3,16 +3,20 @@
 Documents that share rare lines are found through the lines' hashes: in each
 stretch of neighbouring shared lines of a document, the line that the fewest
 documents hold leads it to that line's first holder. The two are aligned by
-patience diff, and the aligned common blocks go from the later one. A line's
-first document keeps it, so nothing disappears from the corpus.
+patience diff around the line, and the aligned common blocks go from the later
+one. A line's first document keeps it, so nothing disappears from the corpus.
 
 An alignment is one to one and rising, and with one holder of a stretch. What
 it leaves (a repeated or moved run of lines, or one that another document
-holds) meets the first holder of that run: of each smallest run of lines that
-could be deleted, by the run's hash. Such a pair is aligned at the run itself,
-outwards from it. So what goes in the end is every line that lies in a common
+holds) leads, in a second round, to the first holder of that run: each smallest
+run of lines that could be deleted and still is there, by the run's hash. Such
+a pair is aligned by patience diff around the run. Nothing goes but by an
+alignment; and as the run at which a pair is aligned begins both sides there,
+it lies in one of the aligned blocks, so that after the second round no run
+with an earlier holder is left. So what goes in the end is every line that lies in a common
 block with any earlier document, however many hold it, and each document meets
-at most one holder per stretch or run; no pairs of a group come out.
+at most one holder per stretch or run; no pairs of a group come out. Of both
+documents only the stretch around the places at which they meet is sent.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from ._shared import discard, others, settle
 
 RANGES = "array<struct<start:int,end:int>>"
+#: Lines to either side that are aligned at first.
+REACH = 64
 KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -107,10 +113,10 @@ def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(early: list[tuple], late: list[tuple], least_words: int) -> list[tuple[int, int]]:
+def blocks(matches: list[tuple[int, int]], early: list[tuple], late: list[tuple], least_words: int) -> list[tuple[int, int]]:
     """Line ranges of ``late`` to delete. Both are (line number, hash, words) of shared lines; a block is a run of matches that are neighbours on both sides, ``least_words`` words or more in all."""
     out, run, words = [], None, 0
-    for i, j in patience([x[1] for x in early], [x[1] for x in late]):
+    for i, j in matches:
         p, q = early[i][0], late[j][0]
         if run and p == run[2] + 1 and q == run[1] + 1:
             run, words = (run[0], q, p), words + late[j][2]
@@ -123,6 +129,40 @@ def common_blocks(early: list[tuple], late: list[tuple], least_words: int) -> li
     return out
 
 
+def aligned_at(early: list[tuple], late: list[tuple], i: int, j: int, least_words: int, reach: int = REACH) -> list[tuple[int, int]]:
+    """Line ranges of ``late`` to delete, by patience diff of what lies before ``early[i]`` and ``late[j]`` and of what begins there.
+
+    At most ``reach`` lines to either side are aligned, and more of them as
+    long as the block at the two lines goes on to the end of these.
+    """
+    lines = lambda rows, a, b: [x[1] for x in rows[a:b]]
+    reach = max(reach, least_words)  # so that a block that goes on beyond the lines is one
+    while True:
+        a, b, c, d = max(0, i - reach), max(0, j - reach), min(len(early), i + reach), min(len(late), j + reach)
+        matches = [(a + x, b + y) for x, y in patience(lines(early, a, i), lines(late, b, j))] + [(i + x, j + y) for x, y in patience(lines(early, i, c), lines(late, j, d))]
+        found = blocks(matches, early, late, least_words)
+        own = next((r for r in found if r[0] <= late[j][0] <= r[1]), None)
+        cut_left = own and a and b and own[0] == late[b][0]
+        cut_right = own and c < len(early) and d < len(late) and own[1] == late[d - 1][0]
+        if not (cut_left or cut_right):
+            return found
+        reach *= 4
+
+
+def anchored_blocks(early: list[tuple], late: list[tuple], anchors: list[tuple[int, int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Line ranges of ``late`` to delete by alignments at (line of late, last line of the run there, line of early), one after the other where the run still stands."""
+    at_early, at_late = {x[0]: k for k, x in enumerate(early)}, {x[0]: k for k, x in enumerate(late)}
+    out: list = []
+    gone: set[int] = set()
+    for pos, end, f_pos in sorted(anchors):
+        if all(p in gone for p in range(pos, end + 1)):
+            continue
+        for r in aligned_at(early, late, at_early[f_pos], at_late[pos], least_words):
+            out.append(r)
+            gone.update(range(r[0], r[1] + 1))
+    return out
+
+
 def runs_around(seq: list[tuple], k: int, least_words: int) -> list[tuple[int, int]]:
     """The smallest runs (first, last) of neighbouring lines around ``seq[k]`` that have ``least_words``. A block that takes the line away holds one of them."""
     out, start, before = [], k, 0
@@ -145,35 +185,6 @@ def run_hash(seq: list[tuple], run: tuple[int, int]) -> bytes:
     return hashlib.blake2b(b"".join(x[1] for x in seq[run[0] : run[1] + 1]), digest_size=16).digest()
 
 
-def block_around(early: list[tuple], late: list[tuple], i: int, j: int) -> tuple[int, int]:
-    """The lines of ``late`` in the common block around the matching ``early[i]`` and ``late[j]``: both ways while neighbours match."""
-    same = lambda a, b, d: early[a][1] == late[b][1] and early[a - d][0] + d == early[a][0] and late[b - d][0] + d == late[b][0]
-    back = 0
-    while i > back and j > back and same(i - back - 1, j - back - 1, -1):
-        back += 1
-    on = 0
-    while i + on + 1 < len(early) and j + on + 1 < len(late) and same(i + on + 1, j + on + 1, 1):
-        on += 1
-    return late[j - back][0], late[j + on][0]
-
-
-def anchored_blocks(early: list[tuple], late: list[tuple], anchors: set[bytes], least_words: int) -> list[tuple[int, int]]:
-    """Line ranges of ``late`` to delete: the common blocks around each run of it whose hash is one of ``anchors``."""
-    where: dict[bytes, int] = {}
-    for k in range(len(early)):
-        for run in runs_around(early, k, least_words):
-            where.setdefault(run_hash(early, run), run[0])
-    out = []
-    for k in range(len(late)):
-        if out and late[k][0] <= out[-1][1]:
-            continue  # the block before holds it already
-        for run in runs_around(late, k, least_words):
-            said = run_hash(late, run)
-            if said in anchors and said in where:
-                out.append(block_around(early, late, where[said], run[0]))
-    return out
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest runs of lines that the ranges hold."""
     out: list = []
@@ -185,6 +196,16 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _stretches(seq: list[tuple]) -> tuple[list[int], list[int]]:
+    """Of each line the first and the last line of its stretch of neighbouring lines."""
+    begins, stops = [], [0] * len(seq)
+    for k, x in enumerate(seq):
+        begins.append(begins[-1] if k and seq[k - 1][0] == x[0] - 1 else x[0])
+    for k in range(len(seq) - 1, -1, -1):
+        stops[k] = stops[k + 1] if k + 1 < len(seq) and seq[k + 1][0] == seq[k][0] + 1 else seq[k][0]
+    return begins, stops
+
+
 def _tuples(seq: pa.Scalar) -> list[tuple]:
     return [(x["pos"], x["line"], x["words"]) for x in seq.as_py()]
 
@@ -212,7 +233,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = rows.select(*key, F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).filter("trim(line) != ''")
     words = F.size(F.split(F.trim("line"), r"\s+"))
     lines = settle(lines.select(*key, "pos", F.unhex(F.md5("line")).alias("line"), words.alias("words")), "lines")
-    me = F.struct("_id", "_h")
+    me = F.struct("_id", "_h", "pos")
     holders = lines.groupBy("line").agg(F.min(me).alias("first"), F.max("_id").alias("last"), F.count("*").alias("held")).filter("first._id < last").drop("last")
     holders = settle(holders, "holders")  # so that the join's sides are exchanges, which Spark can split
     shared = settle(lines.join(holders, "line").dropDuplicates([*key, "pos"]), "shared")
@@ -221,28 +242,42 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # a stretch: lines at neighbouring positions; its rarest line with an earlier holder leads to that one
     stretch = (F.col("pos") - F.row_number().over(W.partitionBy(*key).orderBy("pos"))).alias("stretch")
-    lead = F.min(F.when(F.col("first._id") < F.col("_id"), F.struct("held", "first"))).alias("lead")
-    pairs = shared.select(*key, "first", "held", stretch).groupBy(*key, "stretch").agg(lead).filter("lead IS NOT NULL")
-    pairs = pairs.select(*key, F.col("lead.first._id").alias("f_id"), F.col("lead.first._h").alias("f_h")).distinct()
-    early = sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"})
+    lead = F.min(F.when(F.col("first._id") < F.col("_id"), F.struct("held", "first", "pos"))).alias("lead")
+    leads = shared.select(*key, "pos", "first", "held", stretch).groupBy(*key, "stretch").agg(lead, F.min("pos").alias("begin"), F.max("pos").alias("stop")).filter("lead IS NOT NULL")
+    leads = leads.select(*key, "lead.first", F.col("lead.pos").alias("pos"), F.col("lead.pos").alias("end"), "begin", "stop")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [common_blocks(_tuples(a), _tuples(b), least_words) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            out = []
+            for a, b, x in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                out.append(anchored_blocks(_tuples(a), _tuples(b), [(y["pos"], y["end"], y["f_pos"]) for y in x.as_py()], least_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "ranges"])
 
     found_type = f"_id {id_type}, _h long, ranges {RANGES}"
-    both = pairs.join(sequences, key).join(early, ["f_id", "f_h"])
-    found = both.select(*key, "early", "seq").mapInArrow(align, found_type).filter("size(ranges) > 0")
-    found = settle(found.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "aligned")
+    early = sequences.withColumnsRenamed({"_id": "f_id", "_h": "f_h", "seq": "early"})
+
+    def round_of(anchors: DataFrame) -> DataFrame:
+        """(_id, _h, ranges) by alignment with first holders, at places (pos to end) of stretches (begin to stop) of the later document."""
+        pairs = anchors.groupBy(*key, F.col("first._id").alias("f_id"), F.col("first._h").alias("f_h")).agg(
+            F.collect_set(F.struct("pos", "end", F.col("first.pos").alias("f_pos"))).alias("anchors"),
+            F.min("begin").alias("begin"), F.max("stop").alias("stop"),
+            F.min(F.col("first.pos") - F.col("pos") + F.col("begin")).alias("f_begin"), F.max(F.col("first.pos") - F.col("pos") + F.col("stop")).alias("f_stop"),
+        )
+        within = lambda seq, a, b: F.filter(seq, lambda x: x["pos"].between(F.col(a), F.col(b)))
+        both = pairs.join(sequences, key).withColumn("seq", within("seq", "begin", "stop")).join(early, ["f_id", "f_h"])
+        rows = both.select(*key, within("early", "f_begin", "f_stop").alias("early"), "seq", "anchors").mapInArrow(align, found_type).filter("size(ranges) > 0")
+        return rows.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+    found = settle(round_of(leads), "aligned")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of each sequence, and whether they are around a line that nothing deletes yet."""
+        """The runs of each sequence, the stretches they lie in, and whether they are around a line that nothing deletes yet."""
         for batch in batches:
-            who, keys, left = [], [], []
+            who, keys, left, spans = [], [], [], []
             for n, (seq, gone) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 seq = _tuples(seq)
                 out = {p for r in gone.as_py() or [] for p in range(r["start"], r["end"] + 1)}
+                begins, stops = _stretches(seq)
                 said: dict[tuple[int, int], bool] = {}
                 for k, x in enumerate(seq):
                     for run in runs_around(seq, k, least_words):
@@ -250,28 +285,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 who += [n] * len(said)
                 keys += [run_hash(seq, run) for run in said]
                 left += said.values()
+                spans += [(seq[a][0], seq[b][0], begins[a], stops[a]) for a, b in said]
             who = pa.array(who, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys, pa.binary()), pa.array(left, pa.bool_())], names=["_id", "_h", "run", "open"])
+            columns = [pa.array(x, pa.int32()) for x in (zip(*spans, strict=True) if spans else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys, pa.binary()), pa.array(left, pa.bool_()), *columns], names=["_id", "_h", "run", "open", "pos", "end", "begin", "stop"])
 
-    held = sequences.join(found, key, "left").select(*key, "seq", "ranges").mapInArrow(runs, f"_id {id_type}, _h long, run binary, open boolean")
+    held = sequences.join(found, key, "left").select(*key, "seq", "ranges").mapInArrow(runs, f"_id {id_type}, _h long, run binary, open boolean, pos int, end int, begin int, stop int")
     held = settle(held, "runs")
     firsts = held.groupBy("run").agg(F.min(me).alias("first"), F.max(F.when(F.col("open"), F.col("_id"))).alias("last")).filter("first._id < last")
     firsts = settle(firsts.select("run", "first"), "firsts")
-    open_ = held.filter("open").join(firsts, "run").filter("first._id < _id")
-    anchors = open_.groupBy(*key, F.col("first._id").alias("f_id"), F.col("first._h").alias("f_h")).agg(F.collect_set("run").alias("anchors"))
-
-    def align_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [anchored_blocks(_tuples(a), _tuples(b), set(x.as_py()), least_words) for a, b, x in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "ranges"])
+    more = round_of(held.filter("open").join(firsts, "run").filter("first._id < _id"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [merged([(r["start"], r["end"]) for r in x.as_py()]) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(out)], names=["_id", "_h", "_deleted"])
 
-    both = anchors.join(sequences, key).join(early, ["f_id", "f_h"])
-    more = both.select(*key, "early", "seq", "anchors").mapInArrow(align_at, found_type)
     every = found.unionByName(more).groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     per_doc = settle(every.mapInArrow(joined, f"_id {id_type}, _h long, _deleted {RANGES}"), "ranges")
     discard(docs.sparkSession, lines, holders, shared, sequences, found, held, firsts)
