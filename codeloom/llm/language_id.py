@@ -187,14 +187,16 @@ def has_letter(text: bytes) -> bool:
 
 
 def training_windows(rows: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS, size: int = TRAIN_BYTES) -> pd.DataFrame:
-    """(lang, window): of at most ``docs`` documents per language, those with the smallest hashes, ``each`` windows from anywhere in the text."""
+    """(lang, window): of at most ``docs`` documents per language, those with the smallest hashes of id and then text, ``each`` windows from anywhere in the text. Identical rows count once."""
     rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).cast("binary").alias("_text"), F.xxhash64(F.col(id_col), F.lit(17)).alias("_h"))
+    rows = rows.withColumn("_t", F.xxhash64("_text"))
     # the smallest hashes of every language: of each salt first, so that no language is ranked in one task
-    salted = Window.partitionBy("_lang", "_salt").orderBy("_h")
-    some = rows.select("_lang", "_h", F.pmod(F.hash("_h"), F.lit(16)).alias("_salt")).withColumn("_rank", F.row_number().over(salted)).filter(F.col("_rank") <= docs)
-    last = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_rank") <= docs)
-    last = last.groupBy("_lang").agg(F.max("_h").alias("_last"))  # a row per language
-    sample = rows.join(F.broadcast(last), "_lang").filter("_h <= _last")
+    salted = Window.partitionBy("_lang", "_salt").orderBy("_h", "_t")
+    some = rows.select("_lang", "_h", "_t").distinct()
+    some = some.withColumn("_salt", F.pmod(F.hash("_h", "_t"), F.lit(16))).withColumn("_rank", F.row_number().over(salted)).filter(F.col("_rank") <= docs)
+    last = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_t"))).filter(F.col("_rank") <= docs)
+    last = last.groupBy("_lang").agg(F.max(F.struct("_h", "_t")).alias("_last"))  # a row per language
+    sample = rows.join(F.broadcast(last), "_lang").filter(F.struct("_h", "_t") <= F.col("_last")).dropDuplicates(["_lang", "_h", "_t"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
