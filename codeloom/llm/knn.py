@@ -8,9 +8,11 @@ Query cells are merged into groups, as many as cost least by these bounds: each
 group gets only the data that it needs. Groups are solved in blocks of bounded
 size and the blocks' best are merged.
 
-Scores are integer inner products of floor(scale * x). Vectors that are null
-or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros.
+Scores are integer inner products of floor(scale * x), exact also beyond the
+whole numbers that doubles hold. Vectors that are null or hold null or
+non-finite components take no part; shorter vectors count as padded with
+zeros. A finite component whose multiple by ``scale`` is none, and a score
+among the best that no 64-bit number holds, are errors.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ SEND_COST = 2000.0
 #: Components beyond this take exact Python integers instead of double arithmetic.
 EXACT = 2.0**53
 LEAST = -(2**62)
+MOST = 2**63 - 1
 
 
 def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -48,10 +51,15 @@ def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
                 values = x.values
                 if values is None or values.null_count:
                     continue
-                v = np.floor(scale * values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(v).all():
-                    ids.append(i)
-                    out.append(v.tobytes())
+                v = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(v).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * v)
+                if not np.isfinite(v).all():
+                    raise ValueError(f"vector {i} holds a component whose {scale}-fold is no finite number")
+                ids.append(i)
+                out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v IS NOT NULL AND vec_id IS NOT NULL")
@@ -146,7 +154,7 @@ def plan_groups(p: np.ndarray, cells: list, k: int, copies: int) -> tuple[np.nda
     return group, reach, q_far, best[1]
 
 
-def deal(rows: DataFrame, p: np.ndarray, plan: tuple, q_blocks: list[int], blocks: int) -> DataFrame:
+def deal(rows: DataFrame, p: np.ndarray, plan: tuple, q_blocks: list[int], blocks: list[int]) -> DataFrame:
     """(grp, qb, db, vec_id, v): the rows (vec_id, cell, norm, v) that each group needs, once per block of its queries."""
     group, reach, radius, kept = plan
     width, slack = p.shape[1], 1e-6
@@ -157,19 +165,19 @@ def deal(rows: DataFrame, p: np.ndarray, plan: tuple, q_blocks: list[int], block
         for b in batches:
             x = _matrix(list(b["v"]), width)
             norm, cell = b["norm"].to_numpy(), b["cell"].to_numpy()
-            block = (b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
+            spread = b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             near = x @ p[asks].T + radius[asks][None, :] * norm[:, None] * (1 + slack) + slack >= reach[asks][None, :]
             for g in range(len(kept)):
                 some = np.flatnonzero(kept[g][cell] & near[:, group[asks] == g].any(1))
                 for qb in range(q_blocks[g] if len(some) else 0):
-                    yield pd.DataFrame({"grp": g, "qb": qb, "db": block[some].astype(np.int64), "vec_id": b["vec_id"].to_numpy()[some], "v": b["v"].to_numpy()[some]})
+                    yield pd.DataFrame({"grp": g, "qb": qb, "db": (spread[some] % np.uint64(blocks[g])).astype(np.int64), "vec_id": b["vec_id"].to_numpy()[some], "v": b["v"].to_numpy()[some]})
 
     some = rows if len(wanted) == len(p) else rows.filter(F.col("cell").isin(*map(int, wanted)))
     return some.select("vec_id", "cell", "norm", "v").mapInPandas(run, "grp int, qb int, db long, vec_id long, v binary")
 
 
 def prepare(df: DataFrame, is_query: str, k: int, id_col: str, vec_col: str, scale: int, pivots: int | None) -> tuple | None:
-    """The rows by cell, the pivots, the plan, the number of query blocks of each group and of data blocks; None if there is nothing to ask."""
+    """The rows by cell, the pivots, the plan, and each group's numbers of query blocks and of data blocks, by the rows of the cells it needs; None if there is nothing to ask."""
     data = settle(quantise(df, id_col, vec_col, scale), "vectors")
     total, width = data.agg(F.count("*"), F.max(F.octet_length("v"))).first()
     count = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(total)))
@@ -195,7 +203,16 @@ def prepare(df: DataFrame, is_query: str, k: int, id_col: str, vec_col: str, sca
         return None
     plan = plan_groups(p, said, k, copies)
     asked = np.bincount(plan[0][[s["cell"] for s in said if s["nq"]]], [s["nq"] for s in said if s["nq"]], len(plan[3]))
-    return rows, p, plan, [max(1, math.ceil(n / QUERY_BLOCK)) for n in asked], max(1, math.ceil(total / DATA_BLOCK))
+    needed = plan[3] @ np.bincount([s["cell"] for s in said], [s["n"] for s in said], len(p))
+    return rows, p, plan, *([max(1, math.ceil(n / size)) for n in of] for of, size in ((asked, QUERY_BLOCK), (needed, DATA_BLOCK)))
+
+
+def ask(rows: DataFrame, plan: tuple, q_blocks: list[int], blocks: list[int]) -> DataFrame:
+    """(grp, qb, db, vec_id, qh, v): each query once per block of its group's data."""
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in plan[0]]), F.col("cell") + 1)
+    of = lambda n: F.element_at(F.array(*map(F.lit, n)), F.col("grp") + 1)
+    asked = rows.filter("q").dropDuplicates(["vec_id", "v"]).withColumn("grp", group)
+    return asked.select("grp", F.pmod(F.xxhash64("vec_id"), of(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), of(blocks).cast("long") - 1)).alias("db"), "vec_id", F.xxhash64("v").alias("qh"), "v")
 
 
 def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int | None = None) -> DataFrame:
@@ -212,10 +229,7 @@ def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     rows, p, plan, q_blocks, blocks = found
     width = p.shape[1]
     dealt = deal(rows, p, plan, q_blocks, blocks)
-    group = F.element_at(F.array(*[F.lit(int(g)) for g in plan[0]]), F.col("cell") + 1)
-    of = F.element_at(F.array(*map(F.lit, q_blocks)), F.col("grp") + 1)
-    asked = rows.filter("q").dropDuplicates(["vec_id", "v"]).withColumn("grp", group)
-    asked = asked.select("grp", F.pmod(F.xxhash64("vec_id"), of).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("db"), "vec_id", F.xxhash64("v").alias("qh"), "v")
+    asked = ask(rows, plan, q_blocks, blocks)
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -226,6 +240,8 @@ def knn_join(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
             ids = some["vec_id"].to_numpy()
             scores = _scores(_matrix(list(some["v"]), width), xm)
             r, c, s = _top(scores, ids, x_ids, k)
+            if s.dtype == object and any(abs(x) > MOST for x in s):
+                raise ValueError(f"a score of query {ids[r[[abs(x) > MOST for x in s]]][0]} is no 64-bit number")
             out.append(pd.DataFrame({"query_id": ids[r], "qh": some["qh"].to_numpy()[r], "vec_id": x_ids[c], "score": s.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "qh", "vec_id", "score")})
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -440,11 +441,27 @@ def test_knn_prunes_clusters(spark, monkeypatch):
     rows, p, plan, q_blocks, blocks = knn.prepare(df, "vec_id % 20 = 0", 10, "vec_id", "embedding", 64, None)
     groups = len(plan[3])
     assert groups > 1 and knn.deal(rows, p, plan, q_blocks, blocks).count() < 0.2 * 4000 * groups
+    # a query goes to the blocks of its group's rows, not to those of all
+    monkeypatch.setattr(knn, "DATA_BLOCK", 100)
+    _, _, plan, q_blocks, blocks = knn.prepare(df, "vec_id % 20 = 0", 10, "vec_id", "embedding", 64, None)
+    copies = knn.ask(rows, plan, q_blocks, blocks).count()
+    assert len(blocks) == len(q_blocks) > 1 and copies < 0.4 * 200 * 40 and max(blocks) < 20
     v = np.floor(64 * x).astype(np.int64)
     want = [(q, j, int(s[j])) for q in range(0, 4000, 20) for s in [v @ v[q]] for j in sorted((j for j in range(4000) if j != q), key=lambda j: (-s[j], j))[:10]]
     assert rows_of(knn.knn_join(df, "vec_id % 20 = 0", 10), "query_id", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_knn_of_large_components(spark):
+    frame = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    found = knn.knn_join(frame([1e7, 1.0], [2e7, 3.0], [1e7 + 1, 0.5]), "vec_id = 0")
+    assert rows_of(found, "rank", "vec_id", "score") == [(1, 1, 64 * 64 * (2 * 10**14 + 3)), (2, 2, 64 * 64 * 10**7 * (10**7 + 1) + 64 * 32)]
+    with pytest.raises(Exception, match="no 64-bit number"):
+        knn.knn_join(frame([1e12, 1.0], [1e12, 1.0]), "vec_id = 0").collect()
+    with pytest.raises(Exception, match="no finite number"):
+        knn.knn_join(frame([1e308, 1.0], [1.0, 1.0]), "vec_id = 0").collect()
+    assert knn.knn_join(frame([1.0, 1.0], [math.inf, 1.0]), "vec_id = 0").count() == 0
+
+
 def test_knn_with_many_copies_of_a_query_id(spark):
     rng = np.random.default_rng(11)
     x = np.concatenate([rng.normal(size=(200, 4)), 5 + rng.normal(0, 0.01, (60, 4)), 4 + rng.normal(0, 0.01, (5, 4))])
@@ -505,6 +522,30 @@ def test_blocks_first_seen_apart_and_repeated_runs(spark):
     assert line_dedup.line_dedup(docs(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_nothing_goes_without_alignment(spark, monkeypatch):
+    """The runs' hashes only find pairs: with a patience diff that matches nothing, nothing is deleted."""
+    data = docs(spark, (1, "one two three four five\nsix seven"), (2, "x\none two three four five\nsix seven\ny\none two three four five"))
+    assert [r["_deleted"] for r in line_dedup.line_dedup(data).filter("doc_id = 2").collect()] == [[(1, 2), (4, 4)]]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.line_dedup(data).filter(F.size("_deleted") > 0).count() == 0
+    assert line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet")).filter(F.size("_deleted") > 0).count() == 0
+
+
+def test_alignment_grows_with_its_block():
+    rng = random.Random(6)
+    for _ in range(200):
+        early, late = ([(k, rng.choice("abcdefgh" * 2 + "xyz"), 3) for k in range(rng.randrange(5, 60))] for _ in range(2))
+        common = [(k, f"c{k}", 3) for k in range(rng.randrange(2, 50))]
+        i, j = rng.randrange(len(early)), rng.randrange(len(late))
+        early = [(k, x[1], 3) for k, x in enumerate([*early[:i], *common, *early[i:]])]
+        late = [(k, x[1], 3) for k, x in enumerate([*late[:j], *common, *late[j:]])]
+        at = rng.randrange(len(common))
+        for reach in (1, 2, 64):
+            found = line_dedup.aligned_at(early, late, i + at, j + at, 5, reach)
+            assert any(a <= j and j + len(common) - 1 <= b for a, b in found)
+            assert all(line_dedup.merged([r]) == [r] for r in found)
+
+
 def test_patience_without_unique_lines():
     rng = random.Random(4)
     assert len(line_dedup.patience(list("xaabby"), list("zbabaw"))) == 2
@@ -708,3 +749,11 @@ def test_backpropagation_against_differences():
     step = np.zeros_like(table)
     step[7, x[2, 0]] = 1e-2
     assert abs((value(table + step, rec) - value(table - step, rec)) / 2e-2 - sum(d_x[t, 7, b] for t in range(5) for b in range(2) if x[t, b] == x[2, 0])) < 2e-2
+
+
+def test_training_windows_are_bounded(spark):
+    """Repeated ids and rows do not widen the sample."""
+    same = [(7, f"text number {k} of one id", "en") for k in range(3000)] + [(k, "always the same words", "de") for k in range(40) for _ in range(20)] + [(9, "one row", "fr")] * 2000
+    found = language_id.training_windows(docs(spark, *same), "doc_id", "text", "lang", docs=50, each=3)
+    assert found.groupby("lang").size().to_dict() == {"de": 120, "en": 150, "fr": 3}
+    assert found.equals(language_id.training_windows(docs(spark, *same).repartition(5), "doc_id", "text", "lang", docs=50, each=3))
