@@ -172,8 +172,14 @@ def nearest(x: np.ndarray, c: np.ndarray, distances: Distance = sq_distances) ->
     return best
 
 
-def map_vectors(df: DataFrame, key: str, col: str, out: str, run: Callable) -> DataFrame:
-    """``key`` and what ``run`` makes of each Arrow batch's matrix: a list of Arrow arrays for the columns of ``out``. A vector that is null or holds nulls gives nulls."""
+def as_number(df: DataFrame, key: str) -> Column:
+    """A key as a whole number: itself, 0 for null, or the 64-bit hash of one that is none."""
+    whole_number = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    return F.coalesce(F.col(key).cast("long"), F.lit(0)) if whole_number else F.xxhash64(key)
+
+
+def map_vectors(df: DataFrame, key: str, col: str, out: str, run: Callable, numbered: bool = False) -> DataFrame:
+    """``key`` and what ``run`` makes of each Arrow batch's matrix (and, if ``numbered``, its keys as numbers): a list of Arrow arrays for the columns of ``out``. A vector that is null or holds nulls gives nulls."""
     names = [x.split()[0] for x in out.split(", ")]
     types = [f.type for f in to_arrow_schema(StructType.fromDDL(out))]
 
@@ -183,14 +189,19 @@ def map_vectors(df: DataFrame, key: str, col: str, out: str, run: Callable) -> D
             if mask is not None and not mask.any():
                 columns = [pa.nulls(len(batch), t) for t in types]
             else:
-                columns = run(whole_matrix(batch.column(1)))
+                given = [whole_matrix(batch.column(1))]
+                if numbered:
+                    numbers = batch.column(2).to_numpy()
+                    given.append(numbers if mask is None else numbers[mask])
+                columns = run(*given)
             if mask is not None and mask.any():
                 at = pa.array(np.cumsum(mask) - 1, mask=~mask)
                 columns = [c.take(at) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(col).cast("array<double>").alias("_v")).mapInArrow(go, f"{key} {kind}, {out}")
+    number = [as_number(df, key).alias("_n")] if numbered else []
+    return df.select(key, F.col(col).cast("array<double>").alias("_v"), *number).mapInArrow(go, f"{key} {kind}, {out}")
 
 
 def assign(df: DataFrame, key: str, col: str, codebook: np.ndarray, distances: Distance = sq_distances) -> DataFrame:

@@ -722,14 +722,35 @@ def _mixed_sql(h: str) -> str:
     return f"list_transform([{h}], lambda x: xor(x, x >> 16))[1]"
 
 
-_U32 = f"({_mixed_sql(f'xor(' + _mixed_sql(f'xor(e.item_id & 4294967295, ' + _mixed_sql(f'xor(e.item_id >> 32, ' + _mixed_sql('0::BIGINT') + ')') + ')') + ', ' + _mixed_sql('c.code') + ')')} + 0.5::DOUBLE) / 4294967296::DOUBLE"
+def _u32_sql(seed: int) -> str:
+    of_seed = _mixed_sql(f"{seed}::BIGINT")
+    high = _mixed_sql(f"xor(e.item_id >> 32, {of_seed})")
+    of_key = _mixed_sql(f"xor(e.item_id & 4294967295, {high})")
+    return f"(({_mixed_sql(f'xor({of_key}, ' + _mixed_sql('c.code') + ')')} + 0.5::DOUBLE) / 4294967296::DOUBLE)"
 
 
-@query(f"""WITH {_SOFT.format(noise=f"-ln(-ln({_U32}))")}""")
+@query(f"""WITH {_SOFT.format(noise=f"-ln(-ln({_u32_sql(0)}))")}""")
 def assign_soft_noise(spark, d):
     return _soft(spark, d, True)
 
 
+def _soft_layer_sql(h: int, seed: int) -> str:
+    """x{h + 1} (item_id, r, code): the soft layer h of the rows x{h} (item_id, r)."""
+    return f"""u{h} AS MATERIALIZED (SELECT item_id, r, {UNIT.format(x="r")} AS g FROM x{h}), k{h} AS (SELECT code, c FROM b WHERE layer = {h}),
+l{h} AS (SELECT e.item_id, c.code, c.c, e.r, -ln(-ln({_u32_sql(seed + h)})) - list_distance(e.g, c.c) ** 2 AS logit FROM u{h} e, k{h} c),
+w{h} AS MATERIALIZED (SELECT item_id, code, c, r, logit, exp((logit - max(logit) OVER (PARTITION BY item_id)) / 0.7) AS w FROM l{h}),
+y{h} AS (SELECT item_id, list(y ORDER BY k) AS y FROM (SELECT item_id, k, sum(w * c[k]) / sum(w) AS y FROM (SELECT item_id, w, c, unnest(range(1, len(c) + 1)) AS k FROM w{h}) GROUP BY item_id, k) GROUP BY item_id),
+x{h + 1} AS MATERIALIZED (SELECT item_id, {_zip_sql("any_value(r)", "any_value(y)", "z[1] - z[2]")} AS r, arg_min(code, row(-logit, code)) AS code{h} FROM w{h} JOIN y{h} USING (item_id) GROUP BY item_id)"""
+
+
+@query(f"""WITH {E_SQL}, b AS (SELECT item_id // 16 AS layer, item_id % 16 AS code, list_transform(v, lambda a: a * power(0.5, item_id // 16)) AS c FROM e WHERE item_id < 32), x0 AS (SELECT item_id, v AS r FROM e),
+{_soft_layer_sql(0, 7)}, {_soft_layer_sql(1, 7)} SELECT item_id, code0 || '-' || code1 AS sid, round(sqrt(list_inner_product(x2.r, x2.r)), 6) AS left_over FROM x1 JOIN x2 USING (item_id)""")
+def assign_rq_soft(spark, d):
+    """Two layers that quantise softly, with noise: another strategy than the nearest centroid."""
+    out = residual.assign_rq(items(spark, d), "item_id", "embedding", fixed_codebooks(spark, d), strategy=residual.soft(0.7, 7))
+    return out.select("item_id", joined("sid").alias("sid"), F.round(F.sqrt(F.col("norms")[2]), 6).alias("left_over"))
+
+
 @query("SELECT user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id")
 def mean_metric(spark, d):
     return residual.mean_metric(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "value").withColumn("mean_value", F.round("mean_value", 6))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS, Distance, is_whole, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal, whole, whole_matrix
+from ..functions.vectors import EPS, Distance, is_whole, lists, map_vectors, matrix, nearest, sq_distances, sum_rows, to_orthogonal, whole_matrix
 from ..sources.tables import discard, settle
 from .kmeans import Codebook, Initializer, code_sums, from_buffer, minibatch_loss, minibatch_update
 
@@ -16,51 +18,73 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
 
 
-def layer(r: np.ndarray, centroids: np.ndarray, normalize: bool, distances: Distance) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of what a layer is given, and their squared errors."""
-    given = unit(r) if normalize else r
-    code = nearest(given, centroids, distances)
-    return code, ((given - centroids[code]) ** 2).sum(1)
+#: How a layer quantises: ``strategy(given, centroids, numbers, layer)`` tells codes and vectors of what it is given; ``numbers`` are the rows' keys.
+Strategy = Callable[[np.ndarray, np.ndarray, np.ndarray | None, int], tuple[np.ndarray, np.ndarray]]
+
+
+def hard(distances: Distance = sq_distances) -> Strategy:
+    """The nearest centroid and itself."""
+
+    def quantise(given, centroids, numbers=None, h=0):
+        code = nearest(given, centroids, distances)
+        return code, centroids[code]
+
+    return quantise
+
 
+def soft(temperature: float = 0.7, seed: int = 0, noise: bool = True, distances: Distance = sq_distances) -> Strategy:
+    """softmax((noise - distance) / T) weights: the code of the largest, the weighted codebook. Gumbel noise is a counter-based draw for (key, code, seed + layer), made for a whole batch at once."""
 
-def layers(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances):
-    """(codes, residual, squared errors) of one layer after the other. A layer assigns on the normalised residual but subtracts its centroid from the plain one."""
-    r = x
-    for c in codebooks:
-        code, error = layer(r, c, normalize, distances)
-        r = r - c[code] if residual else r
-        yield code, r, error
+    def quantise(given, centroids, numbers, h=0):
+        logits = -distances(given, centroids)
+        if noise:
+            logits = logits - np.log(-np.log(uniform(numbers, len(centroids), seed + h)))
+        p = np.exp((logits - logits.max(1, keepdims=True)) / temperature)
+        p /= p.sum(1, keepdims=True)
+        return p.argmax(1), p @ centroids
 
+    return quantise
 
-def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances):
-    """Codes (N, H), sum of centroids, residual after the first layer, residual after the last, squared errors summed over layers."""
+
+def layers(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, strategy: Strategy | None = None, numbers: np.ndarray | None = None):
+    """(codes, vectors, residual, squared errors) of one layer after the other. A layer quantises the normalised residual but its vector goes from the plain one."""
+    r, strategy = x, strategy or hard()
+    for h, c in enumerate(codebooks):
+        given = unit(r) if normalize else r
+        code, vector = strategy(given, c, numbers, h)
+        r = r - vector if residual else r
+        yield code, vector, r, ((given - vector) ** 2).sum(1)
+
+
+def walk(x: np.ndarray, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, strategy: Strategy | None = None, numbers: np.ndarray | None = None):
+    """Codes (N, H), sum of the layers' vectors, residual after the first layer, residual after the last, squared errors summed over layers."""
     r, total, codes, first, errors = x, np.zeros_like(x), [], x, np.zeros(len(x))
-    for h, (code, r, error) in enumerate(layers(x, codebooks, normalize, residual, distances)):
+    for h, (code, vector, r, error) in enumerate(layers(x, codebooks, normalize, residual, strategy, numbers)):
         errors = errors + error
         codes.append(code)
-        total = total + codebooks[h][code]
+        total = total + vector
         first = r if h == 0 else first
     return np.array(codes).T.reshape(len(x), -1), total, first, r, errors
 
 
-def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances, track: bool = False) -> DataFrame:
-    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals, error: the squared errors of what the layers assign on, summed): all layers in one pass, no shuffle. With ``track`` also ``residuals``, those after each layer. A null vector gives nulls."""
-    h = len(codebooks)
+def assign_rq(df: DataFrame, key: str, col: str, codebooks: list[np.ndarray], normalize: bool = True, residual: bool = True, distances: Distance = sq_distances, track: bool = False, strategy: Strategy | None = None) -> DataFrame:
+    """(key, sid, quantized, first_residual, last_residual, norms: the squared norms of the vector and these residuals, error: the squared errors of what the layers quantise, summed): all layers in one pass, no shuffle. With ``track`` also ``residuals``, those after each layer. A layer takes what is nearest by ``distances``, or what ``strategy`` says. A null vector gives nulls."""
+    h, strategy = len(codebooks), strategy or hard(distances)
 
     def ragged(inner: pa.Array, n: int) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), inner)
 
-    def run(x):
-        codes, total, first, last, error = walk(x, codebooks, normalize, residual, distances)
+    def run(x, numbers):
+        codes, total, first, last, error = walk(x, codebooks, normalize, residual, strategy, numbers)
         norms = np.column_stack([(m * m).sum(1) for m in (x, first, last)])
         out = [ragged(pa.array(codes.astype(np.int32).ravel()), len(x)), lists(total), lists(first), lists(last), lists(norms), pa.array(error)]
         if track:
-            each = np.stack([r for _, r, _ in layers(x, codebooks, normalize, residual, distances)], 1)
+            each = np.stack([r for _, _, r, _ in layers(x, codebooks, normalize, residual, strategy, numbers)], 1)
             out.append(ragged(lists(each.reshape(len(x) * h, -1)), len(x)))
         return out
 
     kept = ", residuals array<array<double>>" if track else ""
-    return map_vectors(df, key, col, f"sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>, error double{kept}", run)
+    return map_vectors(df, key, col, f"sid array<int>, quantized array<double>, first_residual array<double>, last_residual array<double>, norms array<double>, error double{kept}", run, numbered=True)
 
 
 def assignment_loss(assigned: DataFrame, beta: float = 0.25) -> DataFrame:
@@ -105,7 +129,7 @@ def _next_layer(rows: DataFrame, centroids: np.ndarray | None, normalize: bool,
         for b in batches:
             r = matrix(b.column(2))
             if centroids is not None:
-                r = r - centroids[layer(r, centroids, normalize, distances)[0]]
+                r = r - centroids[nearest(unit(r) if normalize else r, centroids, distances)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(r), lists(unit(r) if normalize else r)], names=["_k", "_b", "_r", "_g"])
 
     kind = rows.schema["_k"].dataType.simpleString()
@@ -227,27 +251,14 @@ def uniform(keys: np.ndarray, codes: int, seed: int) -> np.ndarray:
 
 
 def assign_soft(df: DataFrame, key: str, col: str, codebook: np.ndarray, temperature: float = 0.7, seed: int = 0, noise: bool = True, distances: Distance = sq_distances) -> DataFrame:
-    """(key, code, vector): softmax((noise - distance) / T) weights; the code of the largest, the weighted codebook. Gumbel noise is a counter-based draw for (key, code, seed), made for a whole batch at once; a key that is no whole number counts by its 64-bit hash. A null vector gives nulls."""
-    kind = df.schema[key].dataType.simpleString()
-    number = F.coalesce(F.col(key).cast("long"), F.lit(0)) if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
+    """(key, code, vector) of one layer by the ``soft`` strategy. A null vector gives nulls."""
+    quantise = soft(temperature, seed, noise, distances)
 
-    def run(batches):
-        for b in batches:
-            mask = whole(b.column(2))
-            mask = np.ones(len(b), bool) if mask is None else mask
-            code, vector = pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.list_(pa.float64()))
-            if mask.any():
-                logits = -distances(whole_matrix(b.column(2)), codebook)
-                if noise:
-                    logits = logits - np.log(-np.log(uniform(b.column(1).to_numpy()[mask], len(codebook), seed)))
-                p = np.exp((logits - logits.max(1, keepdims=True)) / temperature)
-                p /= p.sum(1, keepdims=True)
-                at = pa.array(np.cumsum(mask) - 1, mask=~mask)
-                code, vector = pa.array(p.argmax(1).astype(np.int32)).take(at), lists(p @ codebook).take(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), code, vector], names=[key, "code", "vector"])
-
-    rows = df.select(key, number.alias("_n"), F.col(col).cast("array<double>").alias("_v"))
-    return rows.mapInArrow(run, f"{key} {kind}, code int, vector array<double>")
+    def run(x, numbers):
+        code, vector = quantise(x, codebook, numbers)
+        return [pa.array(code.astype(np.int32)), lists(vector)]
+
+    return map_vectors(df, key, col, "code int, vector array<double>", run, numbered=True)
 
 
 def sid_stats(assigned: DataFrame, codebooks: list[np.ndarray]) -> DataFrame:
