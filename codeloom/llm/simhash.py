@@ -12,8 +12,9 @@ At a similarity of 0.8 of five-word shingles 15 of 100 bits differ, and with so
 wide a tau keys of bits alone bring together a fixed share of all pairs.
 ``link_similar`` therefore first asks for a shared shingle: the least of each
 text's shingles in a few seeded orders, which texts without common shingles
-never share. Groups too large to compare whole are cut by the pigeonhole, and
-the bits, three more words of bits and the sizes decide on candidates. Each
+never share. Groups too large to compare whole are cut by the least shingle of a
+second order, and so on; what shares four and still is large, by the pigeonhole. The
+bits, three more words of bits and the sizes decide on candidates. Each
 block of them gives a forest of its links, never its pairs. These only make
 groups: ``verified`` compares the shingle sets of a group's texts, again in
 blocks, and links those whose Jaccard similarity is high enough.
@@ -41,8 +42,8 @@ PROBE_COST = 4.0
 BLOCK_PROBE_COST = 500.0
 #: Words of 64 bits beside the fingerprint, each from the shingles' hashes times an odd number (fixed values).
 WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Orders of the shingles; two texts are candidates if their least shingle is the same in one. At a Jaccard of 0.8, 0.2 ** 6 of the pairs share none.
-ORDERS = 6
+#: Orders of the shingles; two texts are candidates if their least shingle is the same in one, or in up to ``DEPTH`` where many others share it. At a Jaccard of 0.8, 0.2 ** 8 of the pairs share none and 1 of 100 fewer than four.
+ORDERS, DEPTH = 8, 4
 #: Nodes of a block; groups whose largest piece is sent to every task.
 BLOCK, MANY = 4096, 100_000
 #: Differing bits of ``WIDE`` at most for candidates; texts at a Jaccard of 0.8 differ in about 29, with a deviation of 5.
@@ -367,28 +368,41 @@ def _keys(part: int, bits: list[int], threshold: int) -> Column:
     return F.concat(mine, F.transform(open_, lambda s: F.xxhash64("grp", F.lit(part), own.bitwiseXOR(s["flip"]))))
 
 
-def link_similar(nodes: DataFrame, tau: int, wide_tau: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of candidates among ``nodes`` (node, fp, wide, size, least).
+def candidate_groups(nodes: DataFrame, tau: int, block: int, depth: int = DEPTH) -> DataFrame:
+    """(grp, node, fp, wide, size): the nodes (node, fp, wide, size, least) once per group that is compared whole.
 
-    Candidates share one of their ``least`` hashes, lie within ``tau`` and
-    ``wide_tau`` bits, and their sizes allow ``similarity``. A group that
-    shares a least hash is compared whole if it fits a block. A larger one is
-    cut by the generalised pigeonhole: its nodes meet in the group's keys,
-    each under its own bits of a partition and under those within the
-    partition's threshold.
+    A group shares a ``least`` hash. One that does not fit a block is split
+    by the further orders: its nodes share two hashes there, then three, up to
+    ``depth``. A text that a hot shingle brings together with many others meets
+    only those that it has more in common with, and a pair that shares m
+    orders is lost only where each of its groups of fewer is large and m is
+    less than their depth. What is still large at the last depth is cut by the
+    generalised pigeonhole: nodes meet under their own bits of a partition and
+    under those within the partition's threshold.
     """
     data = ["node", "fp", "wide", "size"]
-    members = _in_groups(nodes.select(F.explode("least").alias("grp"), *data))
-    large = members.filter(F.col("n") > block)
+    kept = None
+    at = nodes.select(F.posexplode("least").alias("last", "grp"), *data, "least")
+    for level in range(depth):
+        members = _in_groups(at)
+        small, large = members.filter(F.col("n") <= block).select("grp", *data), members.filter(F.col("n") > block)
+        kept = small if kept is None else kept.unionByName(small)
+        if large.isEmpty():
+            return kept
+        if level + 1 < depth:
+            further = F.expr("transform(filter(sequence(0, size(least) - 1), j -> j > last), j -> named_struct('grp', xxhash64(grp, j, least[j]), 'last', j))")
+            at = large.select(F.explode(further).alias("x"), *data, "least").select("x.grp", "x.last", *data, "least")
     n = large.agg(F.max("n")).first()[0]
-    cut = members.filter(F.col("n") <= block).select("grp", *data)
-    if n is not None:
-        groups, thresholds = allocate(bit_counts(large.dropDuplicates(["node"])), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
-        keys = F.concat(*[_keys(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0])
-        cut = cut.unionByName(large.withColumn("key", F.explode(keys)).select(F.col("key").alias("grp"), *data))
-    links = link_groups(cut.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
-    discard(nodes.sparkSession, members)
-    return links
+    groups, thresholds = allocate(bit_counts(large.dropDuplicates(["node"])), n, tau, most_parts=8, probe_cost=BLOCK_PROBE_COST)
+    keys = F.concat(*[_keys(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0])
+    return kept.unionByName(large.withColumn("key", F.explode(keys)).select(F.col("key").alias("grp"), *data))
+
+
+def link_similar(nodes: DataFrame, tau: int, wide_tau: int, similarity: float, block: int | None = None, depth: int = 1) -> DataFrame:
+    """Links (a, b) of candidates among ``nodes`` (node, fp, wide, size, least): those of one of the ``candidate_groups`` that lie within ``tau`` and ``wide_tau`` bits and whose sizes allow ``similarity``. At a ``depth`` of 1 one shared hash is enough in any group."""
+    block = block or BLOCK
+    groups = candidate_groups(nodes, tau, block, depth)
+    return link_groups(groups.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
 
 
 def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -443,7 +457,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int
     rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, True).withColumnRenamed(id_col, "_id"), "fingerprints")
     first = [F.first(c).alias(c) for c in ("fp", "wide", "size", "least")]
     nodes = settle(rows.groupBy("set").agg(F.min("_id").alias("_least"), *first).withColumn("node", F.xxhash64("set")), "nodes")
-    links = link_similar(nodes.drop("set", "_least"), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)), similarity)
+    links = link_similar(nodes.drop("set", "_least"), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)), similarity, depth=DEPTH)
     chosen = settle(nodes.join(connected_components(links), "node").select("root", "set", "size", "_least"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
