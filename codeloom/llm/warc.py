@@ -91,9 +91,10 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    marked = rows.join(firsts, "sha1")
+    # SHA-1 is what a record names; as crawls hold published collisions of it, equal payloads agree in SHA-256 as well
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("same", F.sha2("payload", 256))
+    firsts = rows.groupBy("sha1", "same").agg(F.min("page_id").alias("first"))
+    marked = rows.join(firsts, ["sha1", "same"])
     response = F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < least)
     marked = marked.select("page_id", "url", "payload", "sha1", "first", response.alias("response"))
 
