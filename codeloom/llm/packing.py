@@ -50,12 +50,13 @@ def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokens: Column, max_len: int, id_col: str = "doc_id") -> DataFrame:
-    """(_id, piece, start_token, n_tokens) of each text, at most ``max_len`` tokens each; a text without tokens is one empty piece."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("_n"))
+    """(_id, piece, start_token, n_tokens, _t: a hash of the text) of each text, at most ``max_len`` tokens each; a text without tokens is one empty piece."""
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.coalesce(tokens, F.lit(0)).cast("long").alias("_n"))
     count = F.greatest(F.ceil(F.col("_n") / max_len), F.lit(1))
-    rows = rows.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
+    rows = rows.select("_id", "_t", "_n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
     start = F.col("piece") * max_len
-    return rows.select("_id", "piece", start.alias("start_token"), F.least(F.col("_n") - start, F.lit(max_len)).alias("n_tokens"))
+    return rows.select("_id", "piece", start.alias("start_token"), F.least(F.col("_n") - start, F.lit(max_len)).alias("n_tokens"), "_t")
 
 
 def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = 2048, buckets: int = 8, token_budget: int = 16384, seed: int = 11, id_col: str = "doc_id") -> DataFrame:
@@ -63,7 +64,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = 2048, buc
 
     A batch is (bucket, batch): at most ``token_budget`` padded tokens, one
     piece at least. Every batch of a bucket but the last is full. Pieces go
-    into batches in a seeded order, ties by id, piece and length. An empty
+    into batches in an order by a seeded hash of id, piece and text, ties by id, piece and length. An empty
     piece has a null bucket and batch, so that no document is lost. Null ids
     and repeated rows are packed like others; other columns are ignored.
     """
@@ -79,7 +80,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = 2048, buc
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
     # about as many shards of a bucket as rows in a shard, whatever the size
     shards = max(1, math.isqrt(sum(found.values())))
-    place = F.xxhash64("_id", "piece", F.lit(seed))
+    place = F.xxhash64("_id", "piece", F.lit(seed), "_t")  # of the text too: ids may be null or repeat
     rows = cut.filter("n_tokens > 0").withColumn("bucket", bucket).withColumn("_place", place).withColumn("_shard", F.pmod("_place", F.lit(shards)))
     sizes = rows.groupBy("bucket", "_shard").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
