@@ -36,6 +36,25 @@ def seeded(doc_id: Column, seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
 
+def _edge(rows: DataFrame, parent: Sequence[str], key: Column) -> DataFrame:
+    """Of each parent the first ``key``, in rising order, whose children are not full: (parent..., key, given, c_before, w_after, cap, weight), with the sums of that key and of what comes before and after it.
+
+    ``rows`` (parent..., cap, weight, ratio, given, c_before, w_after) are
+    added up by key first; keys rise with the ratio.
+    """
+    sums = rows.groupBy(*parent, key.alias("key")).agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max("ratio").alias("most"), *[F.first(c).alias(c) for c in ("given", "c_before", "w_after")])
+    by = Window.partitionBy(*parent)
+    upto, after = by.orderBy("key"), by.orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("c_upto", F.col("c_before") + F.sum("cap").over(upto)).withColumn("w_after", F.col("w_after") + F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
+    open_ = sums.filter(F.col("c_upto") + F.col("most") * F.col("w_after") > F.col("given"))
+    first = F.min_by(F.struct("key", "given", (F.col("c_upto") - F.col("cap")).alias("c_before"), "w_after", "cap", "weight"), "key")
+    return open_.groupBy(*parent).agg(first.alias("e")).select(*parent, "e.*")
+
+
+#: Widths of the bins in which the level is looked for, in parts of a doubling of the ratio.
+STEPS = (16, 1 << 16)
+
+
 def share(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     """Add ``budget``: each parent's ``given`` tokens over its children (``cap``, ``weight``), by water-filling.
 
@@ -43,40 +62,30 @@ def share(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     which they are full before. Children with the least capacity for their
     weight are full first, so the level lies at one place in that order: sums
     over bins of the order (a few hundred for any number of children) tell in
-    which bin, and only that bin's children are put in order.
+    which bin, sums over 4096 parts of that bin in which part, and sums of its
+    equal ratios at which ratio. No child is ranked, and equal ones are added
+    up before anything is ordered.
     """
-    ratio = F.col("cap") / F.col("weight")
-    nodes = settle(nodes.withColumn("bin", F.floor(F.log2(ratio) * 16).cast("int")), "nodes")
-    bins = nodes.groupBy(*parent, "bin").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max(ratio).alias("most"), F.first("given").alias("given"))
-    if not parent:
-        bins, parent_by = bins.withColumn("_all", F.lit(1)), ["_all"]  # a few hundred rows
-    else:
-        parent_by = list(parent)
-    by = Window.partitionBy(*parent_by)
-    upto, after = by.orderBy("bin"), by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("c_upto", F.sum("cap").over(upto)).withColumn("w_after", F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
-    full = F.col("c_upto") + F.col("most") * F.col("w_after") <= F.col("given")
-    edge = bins.withColumn("full", full).filter("NOT full").groupBy(*parent_by).agg(F.min_by(F.struct("bin", "given", (F.col("c_upto") - F.col("cap")).alias("c_before"), (F.col("w_after") + F.col("weight")).alias("w_from")), "bin").alias("e")).select(*parent_by, "e.*")
-    edge = edge.drop("_all")
-    # in the bin of the level: full as long as its part of what is left by weight is its capacity or more
-    rows = _join(nodes.drop("given"), edge, [*parent, "bin"])
-    one = Window.partitionBy(*[F.col(c) for c in parent] or [F.lit(1)])
-    before = one.orderBy(ratio).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("given") - F.col("c_before") - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.col("w_from") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    rows = rows.withColumn("full", F.col("cap") * weight <= F.col("weight") * left)
-    taken = lambda c: F.sum(F.when(F.col("full"), F.col(c)).otherwise(0))
-    level = rows.groupBy(*parent).agg(F.try_divide(F.first("given") - F.first("c_before") - taken("cap"), F.first("w_from") - taken("weight")).alias("level"))
-    found = _join_left(nodes, level, parent) if parent else nodes.withColumn("level", F.lit(level.first()[0]).cast("double"))
+    by, ratio = [*parent] or ["_all"], F.col("cap") / F.col("weight")
+    rows = nodes if parent else nodes.withColumn("_all", F.lit(1))
+    rows = settle(rows.withColumn("ratio", ratio), "nodes")
+    at = rows.select(*by, "cap", "weight", "ratio", F.col("given").cast("double").alias("given"), F.lit(0.0).alias("c_before"), F.lit(0.0).alias("w_after"))
+    for step in STEPS:
+        key = F.floor(F.log2("ratio") * step)
+        edge = settle(_edge(at, by, key), "edge").drop("cap", "weight")
+        at = _join(at.drop("given", "c_before", "w_after").withColumn("key", key), edge, [*by, "key"]).drop("key")
+    found = _edge(at, by, F.col("ratio"))
+    level = found.select(*by, F.try_divide(F.col("given") - F.col("c_before"), F.col("w_after") + F.col("weight")).alias("level"))
+    out = _join_left(rows, level, by)
     budget = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")))
-    return found.withColumn("budget", budget).drop("level", "given", "bin")
+    return out.withColumn("budget", budget).drop("level", "given", "ratio", "_all")
 
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: dict, budget: float | Column, max_epochs: int) -> DataFrame:
     """(levels..., avail, n, budget) of each leaf (levels..., avail, n). Weights go by level and name; a name not listed weighs 1, a weight of 0 or less takes the node and what is below out."""
     leaves = leaves.filter("avail > 0")
     for level in levels:
-        leaves = leaves.withColumn(f"w_{level}", _weight(level, weights.get(level, {}))).filter(f"w_{level} > 0")
+        leaves = _weighted(leaves, level, weights.get(level, {})).filter(f"w_{level} > 0")
     leaves = leaves.withColumn("cap", F.col("avail") * max_epochs)
     total = leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).cast("double")).first()[0]
     given = None
@@ -91,11 +100,13 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: dict, budget
     return _join(leaves.select(*levels, "avail", "n"), given.withColumnRenamed("given", "budget"), levels)
 
 
-def _weight(level: str, by_name: dict) -> Column:
-    out = F.lit(1.0)
-    for name, w in by_name.items():
-        out = F.when(F.col(level).eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(out)
-    return out
+def _weighted(leaves: DataFrame, level: str, by_name: dict) -> DataFrame:
+    """``leaves`` with ``w_<level>``, joined from the listed names."""
+    if not by_name:
+        return leaves.withColumn(f"w_{level}", F.lit(1.0))
+    listed = leaves.sparkSession.createDataFrame([(k, float(w)) for k, w in by_name.items()], "_name string, _w double")
+    joined = leaves.join(F.broadcast(listed), F.col(level).cast("string").eqNullSafe(F.col("_name")), "left")  # a row per listed name
+    return joined.withColumn(f"w_{level}", F.coalesce("_w", F.lit(1.0))).drop("_name", "_w")
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,6 +159,8 @@ def mix(
     upto = F.sum("_sum").over(Window.partitionBy(*cols).orderBy("_slot"))
     ends = sums.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_sum")).filter("_before <= _rest AND _upto > _rest")
     last = _join(open_, ends.select(*cols, "_slot", "_before"), [*cols, "_slot"])
+    # rows that tie are taken together: they are added up before they are put in order
+    last = last.groupBy(*cols, "_place", "_id", "_before", "_rest").agg(F.sum("_n").alias("_n"))
     cum = F.col("_before") + F.sum("_n").over(Window.partitionBy(*cols).orderBy("_place", F.col("_id").asc_nulls_first()))
     taken = last.withColumn("_cum", cum).filter("_cum <= _rest")
     edge = taken.groupBy(*cols).agg(F.max(F.struct("_place", "_id")).alias("_edge"))

@@ -791,3 +791,29 @@ def test_training_windows_are_bounded(spark):
     found = language_id.training_windows(docs(spark, *same), "doc_id", "text", "lang", docs=50, each=3)
     assert found.groupby("lang").size().to_dict() == {"de": 120, "en": 150, "fr": 3}
     assert found.equals(language_id.training_windows(docs(spark, *same).repartition(5), "doc_id", "text", "lang", docs=50, each=3))
+
+
+def test_equal_sha1_is_not_equal_content(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "u", "a")], "page_id long, url string, html string")
+    monkeypatch.setattr(F, "sha1", lambda c: F.lit("0" * 40))
+    index = warc.write_archives(pages, _shared.new_folder(spark, "warc"))
+    assert rows_of(index, "page_id", "record_type", "refers_to") == sorted([(1, "response", None), (2, "response", None), (3, "revisit", 1)], key=repr)
+
+
+def test_pack_and_mix_of_many_null_ids(spark):
+    data = [(None, f"word {k} of a text") for k in range(2000)]
+    d = docs(spark, *data)
+    shards = packing.pieces(d, packing.n_words(F.col("text")), 64).select(F.pmod(F.xxhash64("_id", "piece", F.lit(11), "_t"), F.lit(40)).alias("s"))
+    assert max(r["count"] for r in shards.groupBy("s").count().collect()) < 150
+    rows = packing.pack(d, max_len=64, buckets=2, token_budget=50).collect()
+    assert len(rows) == 2000 and len({(r["bucket"], r["batch"], r["row"]) for r in rows}) == 2000
+    # of one place and id, all or none
+    assert mixing.mix(d, {"source": F.col("source")}, {}, 0.5, 1, 3).count() == 0 and mixing.mix(d, {"source": F.col("source")}, {}, 1.0, 1, 3).count() == 2000
+
+
+def test_water_filling_of_equal_children(spark):
+    """Children of one ratio are one row before anything is ranked."""
+    rows = [(0, k, 100, 1.0, 55_000.0) for k in range(1000)] + [(1, k, 100 + k % 2, 1.0, 30_000.0) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "g long, k long, cap long, weight double, given double")
+    got = {(r["g"], r["k"]): r["budget"] for r in mixing.share(frame, ["g"]).collect()}
+    assert len(got) == 2000 and all(np.isclose(v, 55 if g == 0 else 30) for (g, _), v in got.items())
