@@ -879,10 +879,10 @@ _UNEVEN = f"{E_SQL}, y AS (SELECT item_id, list_transform(v, lambda x: x * exp(-
 
 @query(f"WITH {_UNEVEN} SELECT query_id, pos, key_id, round(score, 6) AS score FROM t")
 def retrieve_uneven(spark, d):
-    """Keys of uneven norms: most blocks of them are bounded away."""
+    """Keys of uneven norms: most of them are bounded away."""
     q, k = _asked(spark, d)
     shorter = k.withColumn("vec", F.transform("vec", lambda x: x.cast("double") * F.exp(-(F.col("id") % 37) / 6.0)))
-    found = metrics.retrieve_all(q, shorter, 10, block=250)
+    found = metrics.retrieve_all(q, shorter, 10)
     return found.select("query_id", F.col("pos").cast("long").alias("pos"), "key_id", F.round("score", 6).alias("score"))
 
 

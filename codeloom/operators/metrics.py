@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, is_whole, matrix
+from ..functions.vectors import dot, lists, matrix, whole, whole_matrix
 from ..sources.tables import settle
 
 
@@ -67,64 +67,111 @@ def evaluate(cands: DataFrame, ks: Sequence[int] = (5, 10), metrics: Sequence[st
 
 #: Bytes of the vectors of one side that a task of ``retrieve_all`` holds, at most, and the most norm bands.
 BLOCK_BYTES, BANDS = 1 << 26, 64
+#: Keys and queries that a task scores at once.
+KEYS_AT_ONCE, QUERIES_AT_ONCE = 512, 256
 #: Scores are compared at so many decimals; bounds give way by more than that.
 DECIMALS, SLACK = 9, 1e-8
 
 
 @dataclass
 class Retrieval:
-    """What ``retrieve_all`` found, and how many of all pairs of query and key it scored."""
+    """What ``retrieval`` found, and how many of the pairs of query and key it scored (counted when asked for)."""
 
     found: DataFrame
-    met: int
+    raw: DataFrame
     pairs: int
 
+    def met(self) -> int:
+        return self.raw.agg(F.sum("met")).first()[0] or 0
+
+
+def _normed(rows: DataFrame, name: str) -> DataFrame:
+    """(name, vec, norm) of the rows (id, vec) whose vectors are whole, computed once."""
+
+    def run(batches):
+        for b in batches:
+            mask = whole(b.column(1))
+            m = whole_matrix(b.column(1))
+            ids = b.column(0) if mask is None else b.column(0).filter(pa.array(mask))
+            yield pa.RecordBatch.from_arrays([ids, lists(m), pa.array(np.linalg.norm(m, axis=1))], names=[name, "vec", "norm"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return settle(rows.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"{name} {kind}, vec array<double>, norm double"), name)
+
 
 def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k best keys of each query of one block in another, none below the query's threshold."""
+    """The k best keys of each query of one block in another, none below the query's threshold, and how many keys it was scored with.
+
+    Keys go by falling norm, some at a time; a query that their largest norm
+    cannot lift to its k-th best score so far is done.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("key_id")
-            m, ids = matrix(right.column("vec").combine_chunks()), right.column("key_id").combine_chunks()
-            x, least = matrix(left.column("vec").combine_chunks()), left.column("least").to_numpy()
-            asked = left.column("query_id").combine_chunks()
-            if x.shape[1] != m.shape[1]:
-                raise ValueError("vectors have unequal widths")
-            for a in range(0, len(x), 256):
-                s = np.round(x[a : a + 256] @ m.T, DECIMALS)
-                cols = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(s, cols, 1)
-                kept = top >= least[a : a + 256, None] - SLACK
-                rows = a + np.nonzero(kept)[0]
-                out.append(pa.table({"query_id": asked.take(pa.array(rows)), "key_id": ids.take(pa.array(cols[kept])), "score": pa.array(top[kept])}))
-        if not out:
-            return pa.table({"query_id": pa.array([], left.schema.field("query_id").type), "key_id": pa.array([], right.schema.field("key_id").type), "score": pa.array([], pa.float64())})
-        return pa.concat_tables(out)
+        empty = pa.table({"query_id": left.column("query_id").slice(0, 0), "key_id": right.column("key_id").slice(0, 0), "score": pa.array([], pa.float64()), "met": pa.array([], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        right = right.sort_by("key_id")  # a key's place tells ties
+        m, norm = matrix(right.column("vec").combine_chunks()), right.column("norm").to_numpy()
+        place = np.argsort(-norm, kind="stable")
+        m, norm = m[place], norm[place]
+        x, x_norm, least = matrix(left.column("vec").combine_chunks()), left.column("norm").to_numpy(), left.column("least").to_numpy().copy()
+        if x.shape[1] != m.shape[1]:
+            raise ValueError("vectors have unequal widths")
+        met, out = np.zeros(len(x), np.int64), []
+        for a in range(0, len(x), QUERIES_AT_ONCE):
+            rows = np.arange(a, min(a + QUERIES_AT_ONCE, len(x)))
+            held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query, score, key's place; by query, then falling score, then place
+            for c in range(0, len(m), KEYS_AT_ONCE):
+                rows = rows[x_norm[rows] * norm[c] * (1 + 1e-9) + SLACK >= least[rows]]
+                if not len(rows):
+                    break
+                s = np.round(x[rows] @ m[c : c + KEYS_AT_ONCE].T, DECIMALS)
+                met[rows] += s.shape[1]
+                bar = least[rows] - SLACK
+                if s.shape[1] > k:
+                    bar = np.maximum(bar, np.partition(s, -k, axis=1)[:, -k])
+                i, j = np.nonzero(s >= bar[:, None])
+                q, score, key = (np.concatenate(z) for z in zip(held, (rows[i], s[i, j], place[c + j]), strict=True))
+                order = np.lexsort((key, -score, q))
+                q, score, key = q[order], score[order], key[order]
+                begin = np.flatnonzero(np.diff(q, prepend=-1))
+                rank = np.arange(len(q)) - np.repeat(begin, np.diff(begin, append=len(q)))
+                held = tuple(z[rank < k] for z in (q, score, key))
+                last = rank == k - 1
+                least[q[last]] = np.maximum(least[q[last]], score[last])
+            out.append(held)
+        q, score, key = (np.concatenate(z) for z in zip(*out, strict=True))
+        kept = score >= least[q] - SLACK
+        q, score, key = q[kept], score[kept], key[kept]
+        # each query's first row tells how many keys it met; one without rows has an empty one for that
+        first = np.diff(q, prepend=-1) != 0
+        none = np.setdiff1d(np.arange(len(x)), q)
+        asked, keys = left.column("query_id").combine_chunks(), right.column("key_id").combine_chunks()
+        found = pa.table({"query_id": asked.take(pa.array(q)), "key_id": keys.take(pa.array(key)), "score": pa.array(score), "met": pa.array(np.where(first, met[q], 0))})
+        blank = pa.table({"query_id": asked.take(pa.array(none)), "key_id": pa.nulls(len(none), keys.type), "score": pa.nulls(len(none), pa.float64()), "met": pa.array(met[none])})
+        return pa.concat_tables([found, blank])
 
     return run
 
 
-def retrieval(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000, bands: int = BANDS) -> Retrieval:
+def retrieval(queries: DataFrame, keys: DataFrame, k: int, block: int | None = None, bands: int = BANDS) -> Retrieval:
     """The k keys (id, vec) of the largest dot products with each query (id, vec), ties to the smaller id, exactly, with the keys' norms as bounds.
 
-    Keys are cut into bands of falling norm, bands into blocks. All queries
-    meet one block of the longest keys first; the k-th best score there is a
-    threshold that a key can only reach if its norm times the query's does, so a
-    query goes on to the blocks of the first few bands alone. Queries that
-    go equally far share blocks of queries, and a block of keys goes only to
-    those that need it. What is held of either side stays under
-    ``BLOCK_BYTES`` (or 4 k rows); driver and plan know bands and counts, never rows.
+    Keys are cut into bands of falling norm, bands into blocks as large as a
+    task holds (``BLOCK_BYTES``, at least 4 k rows; ``block`` rows, if given).
+    All queries meet one block of the longest keys first; the k-th best score
+    there is a threshold that a key can only reach if its norm times the query's
+    does, so a query goes on to the blocks of the first few bands alone, and in
+    each block only to the first of its keys. Queries that go equally far share
+    blocks of queries, and a block of keys goes only to those that need it.
+    Driver and plan know bands and counts, never rows.
 
     Null vectors take no part; unequal widths are an error; norms that are
     all equal bound nothing, then every query meets every key.
     """
-    norm = F.sqrt(dot("vec", "vec"))
-    x = keys.filter(is_whole("vec")).select(F.col("id").alias("key_id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", norm)
-    q = queries.filter(is_whole("vec")).select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", norm)
+    x, q = _normed(keys, "key_id"), _normed(queries, "query_id")
     n, width = x.agg(F.count("*"), F.max(F.size("vec"))).first()
-    block = max(4 * k, min(block, BLOCK_BYTES // (8 * (width or 1))))
+    block = max(4 * k, min(block or n, BLOCK_BYTES // (8 * (width or 1))))
     many = max(1, min(bands, -(-n // block)))
     cuts = x.agg(F.percentile_approx("norm", [1 - b / many for b in range(1, many)], 100 * many)).first()[0] if many > 1 else []
     band = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c > F.col("norm"))) if cuts else F.lit(0)
@@ -137,18 +184,18 @@ def retrieval(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000,
     x = x.withColumn("blk", (pick(ends) - 1 - F.pmod(F.xxhash64("key_id"), pick(parts))).cast("int"))
 
     best = _best(k)
-    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double"
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double, met long"
     asked = q.count()
     first = ends[known[0]] - 1 if known else 0
-    dealt = max(1, -(-asked // block))
-    left = q.select("query_id", "vec", F.lit(float("-inf")).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(dealt)).cast("int").alias("qb"))
-    right = x.filter(F.col("blk") == first).select("key_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("qb"))
-    met_first = left.groupBy("qb").cogroup(right.groupBy("qb")).applyInArrow(best, kinds)
-    if len(known) < 2 and max(parts.values(), default=1) == 1:
-        return Retrieval(_ranked(met_first, k), asked * n, asked * n)
-
-    met_first = settle(met_first, "first-block")
-    threshold = met_first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k)
+    # no fewer blocks of queries than tasks that run at once, where there are rows for them
+    dealt = max(1, -(-asked // block), min(queries.sparkSession.sparkContext.defaultParallelism, asked // QUERIES_AT_ONCE))
+    left = q.select("query_id", "vec", "norm", F.lit(float("-inf")).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(dealt)).cast("int").alias("qb"))
+    right = x.filter(F.col("blk") == first).select("key_id", "vec", "norm", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("qb"))
+    met_first = settle(left.groupBy("qb").cogroup(right.groupBy("qb")).applyInArrow(best, kinds), "first-block")
+    if sum(parts.values()) < 2:
+        return Retrieval(_ranked(met_first, k), met_first, asked * n)
+
+    threshold = met_first.filter("key_id IS NOT NULL").groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k)
     q = q.join(threshold.select("query_id", "least"), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     reach = [F.col("norm") * size[b][1] * (1 + 1e-9) + SLACK >= F.col("least") for b in known]  # true for the first few
     far = F.lit(0)
@@ -167,20 +214,19 @@ def retrieval(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000,
         wanted[b] = sum(shares[f] for f in counts if f > at)
     chosen = lambda of: F.element_at(F.create_map(*[F.lit(v) for f in of for v in (f, of[f])]), F.col("far"))
     rows = q.filter(F.col("far") > 0).withColumn("qb", (chosen(base) + F.pmod(F.xxhash64("query_id"), chosen(shares))).cast("int"))
-    left = rows.select("query_id", "vec", "least", "qb", F.explode(F.sequence(F.lit(0), chosen(upto) - 1)).alias("blk")).filter(F.col("blk") != first)
-    right = x.filter((F.col("blk") != first) & (pick(wanted) > 0)).select("key_id", "vec", "blk", F.explode(F.sequence(F.lit(0), pick(wanted) - 1)).alias("qb"))
-    rest = left.groupBy("blk", "qb").cogroup(right.groupBy("blk", "qb")).applyInArrow(best, kinds)
-    in_first = x.filter(F.col("blk") == first).count()
-    met = asked * in_first + sum(c * max(0, sum(size[b][0] for b in known[:f]) - (in_first if f else 0)) for f, c in counts.items())
-    return Retrieval(_ranked(met_first.unionByName(rest), k), met, asked * n)
+    left = rows.select("query_id", "vec", "norm", "least", "qb", F.explode(F.sequence(F.lit(0), chosen(upto) - 1)).alias("blk")).filter(F.col("blk") != first)
+    right = x.filter((F.col("blk") != first) & (pick(wanted) > 0)).select("key_id", "vec", "norm", "blk", F.explode(F.sequence(F.lit(0), pick(wanted) - 1)).alias("qb"))
+    raw = met_first.unionByName(left.groupBy("blk", "qb").cogroup(right.groupBy("blk", "qb")).applyInArrow(best, kinds))
+    return Retrieval(_ranked(raw, k), raw, asked * n)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))
+    found = found.filter("key_id IS NOT NULL")
     return found.withColumn("pos", rank).filter(F.col("pos") <= k).select("query_id", "pos", "key_id", "score")
 
 
-def retrieve_all(queries: DataFrame, keys: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+def retrieve_all(queries: DataFrame, keys: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(query_id, pos, key_id, score) of ``retrieval``."""
     return retrieval(queries, keys, k, block).found
 

@@ -325,7 +325,7 @@ def test_cross_entropy_over_a_table_of_keys(spark):
         V.full_softmax_ce(asked, "id", "v", "label", x, block=20)
 
 
-def test_retrieval_with_bounds(spark):
+def test_retrieval_with_bounds(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(120, 5)), rng.normal(size=(900, 5))
     y *= np.exp(-(np.arange(900) % 30) / 5.0)[:, None]
@@ -337,11 +337,12 @@ def test_retrieval_with_bounds(spark):
         order = np.lexsort((np.broadcast_to(np.arange(len(y)), s.shape), -s), axis=1)[:, :k]
         return {(i, p + 1, int(j), s[i, j]) for i in range(len(x)) for p, j in enumerate(order[i])}
 
-    for keys, block, share in ((y, 40, 0.5), (y, 7, 0.5), (y / np.linalg.norm(y, axis=1)[:, None], 100, None), (y[:3], 40, None), (y, 10_000, None)):
+    monkeypatch.setattr(metrics, "KEYS_AT_ONCE", 16)
+    for keys, block, share in ((y, 40, 0.5), (y, None, 0.5), (y, 7, 0.5), (y / np.linalg.norm(y, axis=1)[:, None], 100, None), (y[:3], 40, None), (y, 10_000, None)):
         found = metrics.retrieval(frame(x, [(999, None)]), frame(keys, [(9999, None)]), 7, block)
         got = found.found.collect()
         assert {(r["query_id"], r["pos"], r["key_id"], r["score"]) for r in got} == plain(x, keys, 7) and len(got) == 120 * min(7, len(keys))
-        assert found.pairs == 120 * len(keys) and (share is None or found.met < share * found.pairs)
+        assert found.pairs == 120 * len(keys) and (share is None or found.met() < share * found.pairs)
     assert metrics.retrieve_all(frame(x), frame(y).limit(0), 3).count() == metrics.retrieve_all(frame(x).limit(0), frame(y), 3, 50).count() == 0
     negative = metrics.retrieve_all(frame(-np.abs(x)), frame(np.abs(y)), 3, 40)  # no score reaches 0: nothing is bounded away
     assert {(r["query_id"], r["pos"], r["key_id"], r["score"]) for r in negative.collect()} == plain(-np.abs(x), np.abs(y), 3)
