@@ -46,6 +46,8 @@ WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 ORDERS, DEPTH = 8, 4
 #: Nodes of a block; groups whose largest piece is sent to every task.
 BLOCK, MANY = 4096, 100_000
+#: Blocks up to which what shares ``DEPTH`` hashes is compared whole: there the keys of bits at so wide a tau cost more than they save.
+WHOLE = 16
 #: Differing bits of ``WIDE`` at most for candidates; texts at a Jaccard of 0.8 differ in about 29, with a deviation of 5.
 WIDE_TAU = 48
 #: Shingles of a block of texts that are compared as sets.
@@ -376,8 +378,8 @@ def candidate_groups(nodes: DataFrame, tau: int, block: int, depth: int = DEPTH)
     ``depth``. A text that a hot shingle brings together with many others meets
     only those that it has more in common with, and a pair that shares m
     orders is lost only where each of its groups of fewer is large and m is
-    less than their depth. What is still large at the last depth is cut by the
-    generalised pigeonhole: nodes meet under their own bits of a partition and
+    less than their depth. What is still large at the last depth (over
+    ``WHOLE`` blocks, where that is more than 1) is cut by the generalised pigeonhole: nodes meet under their own bits of a partition and
     under those within the partition's threshold.
     """
     data = ["node", "fp", "wide", "size"]
@@ -385,7 +387,8 @@ def candidate_groups(nodes: DataFrame, tau: int, block: int, depth: int = DEPTH)
     at = nodes.select(F.posexplode("least").alias("last", "grp"), *data, "least")
     for level in range(depth):
         members = _in_groups(at)
-        small, large = members.filter(F.col("n") <= block).select("grp", *data), members.filter(F.col("n") > block)
+        room = block * (WHOLE if depth > 1 and level + 1 == depth else 1)
+        small, large = members.filter(F.col("n") <= room).select("grp", *data), members.filter(F.col("n") > room)
         kept = small if kept is None else kept.unionByName(small)
         if large.isEmpty():
             return kept
