@@ -57,7 +57,7 @@ def window(col: str, step: int = 1) -> Column:
 
 
 def sample_augmented(df: DataFrame, group: list[str], max_rows: int, seed: int, key: list[str]) -> DataFrame:
-    """At most ``max_rows`` rows of each group, those with the least seeded digests of their ``key``."""
+    """At most ``max_rows`` rows of each group, those with the least seeded digests of their ``key``. It reads every row of a group; windows are drawn without making them by ``draw_windows`` and ``draw_group_windows``."""
     order = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(order, *key))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).drop("_rank")
