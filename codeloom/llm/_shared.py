@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    Only where none is set and one machine does everything (tests) a temporary
-    folder becomes it; a cluster without one is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    known = spark.sparkContext.getCheckpointDir()
-    if folder is None and known is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if known is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder or known
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, kind: str = "settled") -> DataFrame:
