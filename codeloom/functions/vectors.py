@@ -13,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 EPS = 1e-12
-#: Rows of a key matrix that travels with a task, and of a block of keys or queries.
-KEY_BLOCK = 20_000
+#: Rows of a key matrix that travels with a task; bytes of the vectors of a block of keys or of queries that a task holds.
+KEY_BLOCK, BLOCK_BYTES = 20_000, 1 << 26
 #: Partial results of all partitions are merged in so many tasks before the last one.
 MERGES = 32
 
@@ -291,16 +291,19 @@ def rotate(df: DataFrame, key: str, col: str, rotation: np.ndarray) -> DataFrame
     return map_vectors(df, key, col, "rotated array<double>", lambda x: [lists(x @ w.T)])
 
 
-def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np.ndarray | DataFrame, normalize: bool = True, block: int = KEY_BLOCK) -> DataFrame:
+def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np.ndarray | DataFrame, normalize: bool = True, block: int | None = None) -> DataFrame:
     """The mean of logsumexp(logits) - logit[label] over dot products with all ``keys``.
 
-    Keys are a matrix, at most ``block`` rows of which travel with a task, or
-    a table (id, vec) of any size, ids from 0: then blocks of queries meet
-    blocks of keys, and each query's maxima and sums of exponentials are merged.
+    Keys are a matrix, at most ``block`` rows of which (``KEY_BLOCK``, if none
+    are given) travel with a task, or a table (id, vec) of any size, ids from
+    0: then blocks of queries meet blocks of keys, as large as a task holds
+    (``BLOCK_BYTES``) and never over ``block`` rows, so that either side is copied
+    as seldom as can be. A task takes a block's keys some at a time and keeps a maximum
+    and a sum of exponentials of each query; the blocks' are merged.
     """
     unit = (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPS)) if normalize else (lambda m: m)
-    if isinstance(keys, np.ndarray) and len(keys) > block:
-        raise ValueError(f"more than {block} keys: pass them as a table")
+    if isinstance(keys, np.ndarray) and len(keys) > (block or KEY_BLOCK):
+        raise ValueError(f"more than {block or KEY_BLOCK} keys: pass them as a table")
     q = queries.select(F.col(key).alias("q"), F.col(label).cast("long").alias("label"), F.col(col).cast("array<double>").alias("vec"))
     if isinstance(keys, np.ndarray):
         k = unit(keys)
@@ -314,7 +317,9 @@ def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np
 
         return q.mapInArrow(run, "ce double").agg(F.avg("ce").alias("ce"))
 
-    n, m = keys.count(), q.count()
+    n, width = keys.agg(F.count("*"), F.max(F.size("vec"))).first()
+    m, room = q.count(), max(1, BLOCK_BYTES // (8 * (width or 1)))
+    block = min(block or room, room)
     key_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // block))
     left = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(key_blocks - 1))))
     right = keys.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(key_blocks)).cast("int").alias("kb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
@@ -329,10 +334,14 @@ def full_softmax_ce(queries: DataFrame, key: str, col: str, label: str, keys: np
         at = np.minimum(np.searchsorted(ids, labels), len(ids) - 1)
         for k in range(0, len(x), 256):
             y = slice(k, k + 256)
-            logits = x[y] @ c.T
-            top[y] = logits.max(1)
-            total[y] = np.exp(logits - top[y][:, None]).sum(1)
-            own[y] = np.where(ids[at[y]] == labels[y], logits[np.arange(len(logits)), at[y]], np.nan)
+            most, sums = np.full(len(x[y]), -np.inf), np.zeros(len(x[y]))
+            for j in range(0, len(c), 4096):
+                logits = x[y] @ c[j : j + 4096].T
+                higher = np.maximum(most, logits.max(1))
+                sums = sums * np.exp(most - higher) + np.exp(logits - higher[:, None]).sum(1)
+                most = higher
+            top[y], total[y] = most, sums
+            own[y] = np.where(ids[at[y]] == labels[y], (x[y] * c[at[y]]).sum(1), np.nan)
         return pa.table({"q": a.column("q"), "top": pa.array(top), "total": pa.array(total), "own": pa.array(own, from_pandas=True)})
 
     kind = queries.schema[key].dataType.simpleString()

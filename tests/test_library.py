@@ -320,7 +320,13 @@ def test_cross_entropy_over_a_table_of_keys(spark):
     keys = df.select("id", F.col("v").alias("vec"))
     asked = df.withColumn("label", (F.col("id") * 7) % 90)
     plain = V.full_softmax_ce(asked, "id", "v", "label", x).first()["ce"]
-    assert np.isclose(V.full_softmax_ce(asked, "id", "v", "label", keys, block=20).first()["ce"], plain)
+    for block in (20, None):
+        assert np.isclose(V.full_softmax_ce(asked, "id", "v", "label", keys, block=block).first()["ce"], plain)
+    x2, df2 = points(spark, 9000, 3)  # more keys than a task takes at a time
+    logits = (x2 / np.linalg.norm(x2, axis=1)[:, None])[:50] @ (x2 / np.linalg.norm(x2, axis=1)[:, None]).T
+    some = df2.filter("id < 50").withColumn("label", F.col("id") * 100)
+    want = (np.log(np.exp(logits).sum(1)) - logits[np.arange(50), np.arange(50) * 100]).mean()
+    assert np.isclose(V.full_softmax_ce(some, "id", "v", "label", df2.select("id", F.col("v").alias("vec"))).first()["ce"], want)
     with pytest.raises(ValueError, match="as a table"):
         V.full_softmax_ce(asked, "id", "v", "label", x, block=20)
 
