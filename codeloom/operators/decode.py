@@ -51,7 +51,8 @@ def beam_step(beams: DataFrame, logits: DataFrame, k: int, sids: DataFrame | Non
 def beam_decode(logits: DataFrame, hierarchies: int, k: int = 10, sids: DataFrame | None = None) -> DataFrame:
     """(user_id, rank, sid, probability) after ``hierarchies`` steps. A user without valid codes has fewer than ``k`` rows. The logits are computed once."""
     table = valid_logits(logits, hierarchies, sids)
-    part = lambda depth: table.filter(F.col("depth") == depth).drop("depth")
+    # dealt by user once a depth: neither the join with the beams nor softmax and ranking need a further exchange
+    part = lambda depth: table.filter(F.col("depth") == depth).drop("depth").repartition("user_id")
     beams = _grown(part(0).withColumn("probability", F.lit(1.0)), k)
     for depth in range(1, hierarchies):
         beams = _grown(_follow(beams, part(depth)), k)
