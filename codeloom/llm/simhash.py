@@ -15,9 +15,17 @@ text's shingles in a few seeded orders, which texts without common shingles
 never share. Groups too large to compare whole are cut by the least shingle of a
 second order, and so on; what shares four and still is large, by the pigeonhole. The
 bits, three more words of bits and the sizes decide on candidates. Each
-block of them gives a forest of its links, never its pairs. These only make
-groups: ``verified`` compares the shingle sets of a group's texts, again in
-blocks, and links those whose Jaccard similarity is high enough.
+block of them gives a forest of its links, never its pairs.
+
+Bits and least shingles leave out some pairs that are similar enough.
+``missed_links`` brings the rest: of the shingles of two such texts in one order
+of all shingles, rare ones first, the first ones have one in common (prefix
+filtering), so texts that share one there and that the bits have not brought
+together meet as well. What then bounds their similarity (sizes, places in the
+order, parities of the shingles) never drops a similar pair.
+
+Both only make groups: ``verified`` compares the shingle sets of a group's texts,
+again in blocks, and links those whose Jaccard similarity is high enough.
 """
 
 from __future__ import annotations
@@ -50,6 +58,12 @@ BLOCK, MANY = 4096, 100_000
 WHOLE = 16
 #: Differing bits of ``WIDE`` at most for candidates; texts at a Jaccard of 0.8 differ in about 29, with a deviation of 5.
 WIDE_TAU = 48
+#: Texts from which a shingle comes last in the order of shingles, times that a task's chunk of shingles holds it to be counted, and shingles of a chunk. They decide on how many texts meet, not on which links are found.
+HOT, TIMES, CHUNK = 64, 3, 1 << 21
+#: Texts under one shingle up to which those without a partner are left out where they meet.
+FEW = 1024
+#: What rounding may take from a bound.
+SLACK = 1e-6
 #: Shingles of a block of texts that are compared as sets.
 SET_BLOCK = 1 << 19
 
@@ -98,6 +112,18 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def parity_width(size: int) -> int:
+    """Bits of the parities of a set: the least power of two, 64 or more, that is no less than its size."""
+    return max(64, 1 << (size - 1).bit_length()) if size else 64
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of hashes has each remainder. What is in one of two sets only changes one bit, so parities differ in no more bits than the sets in hashes."""
+    width = parity_width(len(hashes))
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def wide_fingerprint(hashes: np.ndarray) -> tuple[int, bytes]:
     """The fingerprint of a shingle set, and the same majority over ``WIDE`` other hashes of each shingle, as bytes."""
     others = []
@@ -108,7 +134,7 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, bytes]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
-    """(id, fp) per row; a null text is an empty one. With ``wide`` the bits are of the distinct shingles, and with them come the other words, the set's digest, its size and its least hashes."""
+    """(id, fp) per row; a null text is an empty one. With ``wide`` the bits are of the distinct shingles, and with them come the other words, the set's digest, its size, its least hashes and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +142,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if wide:
                 sets = [shingle_set(x, shingle, seed) for x in texts]
                 both = [wide_fingerprint(x) for x in sets]
-                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(least_hashes, sets), pa.list_(pa.int64()))]
+                made = [pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(least_hashes, sets), pa.list_(pa.int64())), pa.array(map(parities, sets), pa.binary())]
             else:
                 made = [pa.array([fingerprint(x, shingle, seed) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide", "set", "size", "least"][: 1 + len(made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "fp", "wide", "set", "size", "least", "parity"][: 1 + len(made)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary, set binary, size long, least array<long>" * wide)
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long" + ", wide binary, set binary, size long, least array<long>, parity binary" * wide)
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -380,7 +406,8 @@ def candidate_groups(nodes: DataFrame, tau: int, block: int, depth: int = DEPTH)
     orders is lost only where each of its groups of fewer is large and m is
     less than their depth. What is still large at the last depth (over
     ``WHOLE`` blocks, where that is more than 1) is cut by the generalised pigeonhole: nodes meet under their own bits of a partition and
-    under those within the partition's threshold.
+    under those within the partition's threshold. Similar pairs that meet in no
+    group are those of ``missed_links``.
     """
     data = ["node", "fp", "wide", "size"]
     kept = None
@@ -408,6 +435,186 @@ def link_similar(nodes: DataFrame, tau: int, wide_tau: int, similarity: float, b
     return link_groups(groups.withColumn("weight", F.lit(1)), block, near_bits(tau, wide_tau, similarity))
 
 
+def hot_shingles(docs: DataFrame, text_col: str, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, rising, and how often they were counted: the ``MANY`` most frequent of ``HOT`` texts or more."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= TIMES
+        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["hash", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], CHUNK
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(shingle_set(x.as_py() or b"", shingle, seed))
+                room -= len(held[-1])
+                if room <= 0:
+                    yield counted(held)
+                    held, room = [], CHUNK
+        if held:
+            yield counted(held)
+
+    counts = docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, "hash long, n long")
+    most = counts.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT).orderBy(F.desc("n"), "hash").limit(MANY)
+    found = np.array([tuple(r) for r in most.collect()], np.int64).reshape(-1, 2)  # at most MANY rows at any size
+    hashes = found[:, 0].astype(np.int64).view(np.uint64) if len(found) else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found[order, 1]
+
+
+def prefix(hashes: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's hashes, hot ones last and these by rising count: as many as leave fewer than a similar set must share."""
+    size = len(hashes)
+    most = min(size, size - int(np.ceil(similarity * size - SLACK)) + 1)
+    values, counts = hot
+    if not len(values):
+        return hashes[:most]
+    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+    late = values[at] == hashes
+    first = hashes[~late][:most]
+    if len(first) == most:
+        return first
+    rest = hashes[late]
+    return np.concatenate([first, rest[np.lexsort((rest, counts[at[late]]))][: most - len(first)]])
+
+
+def _allowed(size: np.ndarray, pos: np.ndarray, size2: np.ndarray, pos2: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that share the hashes at these places of their orders, and none before, can be similar enough."""
+    most = np.minimum(size - pos, size2 - pos2)
+    near = np.minimum(size, size2) >= similarity * np.maximum(size, size2) - SLACK
+    return near & (most >= similarity / (1 + similarity) * (size + size2) - SLACK)
+
+
+def _partners(grp: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Positions of the rows, in order of ``grp`` and ``node``, that have a partner in their group; of groups over ``FEW`` all."""
+    kept = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (node[1:] != node[:-1])]))
+    begins = np.flatnonzero(np.concatenate([[True], grp[kept][1:] != grp[kept][:-1]]))
+    n = np.diff([*begins, len(kept)])
+    two = kept[begins[n == 2]], kept[begins[n == 2] + 1]
+    good = _allowed(size[two[0]], pos[two[0]], size[two[1]], pos[two[1]], similarity)
+    out = [two[0][good], two[1][good]]
+    for b, m in zip(begins[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+        k = kept[b : b + m]
+        if m <= FEW:
+            both = _allowed(size[k][:, None], pos[k][:, None], size[k], pos[k], similarity)
+            np.fill_diagonal(both, False)
+            k = k[both.any(axis=1)]
+        out.append(k)
+    return np.concatenate(out)
+
+
+def prefix_groups(docs: DataFrame, text_col: str, shingle: int, seed: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(grp, node) of the shingles, as ``grp``, that the prefixes of two or more sets hold which can be similar; two sets with the similarity are in one group."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, names, found, sizes = set(), [], [], []
+            for x in batch.column(0):
+                hashes = shingle_set(x.as_py() or b"", shingle, seed)
+                name = xxhash.xxh64_intdigest(_digest(hashes), 42)  # as Spark's xxhash64 of the digest
+                if len(hashes) and name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    found.append(prefix(hashes, similarity, hot))
+                    sizes.append(len(hashes))
+                if names and (len(names) == 1000 or sizes[-1] > CHUNK):
+                    yield table(names, found, sizes)
+                    names, found, sizes = [], [], []
+            if names:
+                yield table(names, found, sizes)
+
+    def table(names: list[int], found: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        n = np.array([len(x) for x in found])
+        pos = np.concatenate([np.arange(k) for k in n.tolist()])
+        columns = [np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.uint64).view(np.int64), n), np.repeat(np.array(sizes, np.int64), n), pos.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "node", "size", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            columns = [t.column(c).to_numpy() for c in ("grp", "node", "size", "pos")]
+            k = _partners(*columns, similarity)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0][k]), pa.array(columns[1][k])], names=["grp", "node"])
+
+    texts = docs.select(F.col(text_col).cast("binary").alias("_text"))
+    dealt = texts.mapInArrow(rows, "grp long, node long, size long, pos long").repartition("grp").sortWithinPartitions("grp", "node")
+    return dealt.mapInArrow(run, "grp long, node long")
+
+
+def _parity_links(bits: np.ndarray, size: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that connect what sizes and parities allow to be similar. A node is compared with those that nothing links yet."""
+    free, todo = np.arange(len(size)), []
+    out_a, out_b = [], []
+    while len(free):
+        if not todo:
+            todo.append(int(free[0]))
+            free = free[1:]
+        x = todo.pop()
+        allowed = np.minimum(size[free], size[x]) >= similarity * np.maximum(size[free], size[x]) - SLACK
+        near = np.flatnonzero(allowed)
+        differ = np.bitwise_count(bits[free[near]] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        near = near[differ <= (1 - similarity) / (1 + similarity) * (size[free[near]] + size[x]) + SLACK]
+        if len(near):
+            found = free[near].tolist()
+            out_a += [x] * len(found)
+            out_b += found
+            todo += found
+            free = np.delete(free, near)
+    return out_a, out_b
+
+
+def _folded(parity: bytes, width: int) -> bytes:
+    """Parities of ``width`` bits from those of as many or more."""
+    if len(parity) * 8 == width:
+        return parity
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint8).reshape(-1, width // 8), axis=0).tobytes()
+
+
+def near_parities(similarity: float):
+    """What compares rows (key, node, parity, width, size) of one key and width: links (a, b) of nodes whose parities and sizes allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            key, node, width, size = (t.column(c).to_numpy() for c in ("key", "node", "width", "size"))
+            parity, found = t.column("parity").to_pylist(), []
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (width[1:] != width[:-1])) + 1).tolist(), len(key)]
+            for a, b in itertools.pairwise(cuts):
+                if b - a > 1:
+                    w = int(width[a])
+                    bits = np.frombuffer(b"".join(_folded(x, w) for x in parity[a:b]), np.uint64).reshape(b - a, -1)
+                    x, y = _parity_links(bits, size[a:b], similarity)
+                    if x:
+                        found.append((node[a:b][x], node[a:b][y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return lambda rows: rows.repartition("key").sortWithinPartitions("key", "width").select("key", "node", "parity", "width", "size").mapInArrow(run, "a long, b long")
+
+
+def missed_links(docs: DataFrame, text_col: str, nodes: DataFrame, roots: DataFrame, shingle: int, seed: int, similarity: float, block: int | None = None) -> DataFrame:
+    """Links (a, b) that with ``roots`` (node, root) connect all pairs of ``nodes`` (node, size, parity) with a Jaccard similarity of ``similarity`` or more, and some others.
+
+    A pair shares a shingle of its prefixes. Shingles whose texts ``roots``
+    has together already are left out. Nodes meet under a shingle by the width
+    of their parities, and by each smaller one that a similar set can have. Groups that are too large for a block are dealt into
+    some, see ``link_groups``; none is cut.
+    """
+    met = prefix_groups(docs, text_col, shingle, seed, similarity, hot_shingles(docs, text_col, shingle, seed))
+    known = nodes.select("node", "size", "parity").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = settle(known, "known")
+    at = settle(met.join(known.select("node", "root"), "node"), "met")
+    apart = at.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("grp")
+    width = F.octet_length("parity") * 8
+    halves = F.array(*[F.shiftright(width, k) for k in range(int(np.ceil(-np.log2(similarity))) + 1)])
+    widths = F.filter(halves, lambda w: (w == width) | (w >= 64) & (w >= similarity * F.col("size") - SLACK))
+    members = at.select("grp", "node").join(apart, "grp", "left_semi").join(known.drop("root"), "node").withColumn("width", F.explode(widths))
+    members = members.withColumn("grp", F.xxhash64("grp", "width")).withColumn("weight", F.greatest(F.lit(1), (F.col("width") / 1024).cast("int")))
+    links = settle(link_groups(settle(members, "members"), block or BLOCK, near_parities(similarity)), "missed")
+    discard(docs.sparkSession, known, at)
+    return links
+
+
 def _set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Links that connect just what pairs with a Jaccard similarity of ``similarity`` or more connect. A set is compared with those that nothing links yet."""
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -458,9 +665,10 @@ def verified(members: DataFrame, similarity: float, block: int = SET_BLOCK) -> D
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, tau: int, seed: int, similarity: float) -> DataFrame:
     """``near_dedup`` with a similarity. Nodes are distinct shingle sets."""
     rows = settle(fingerprints(docs, id_col, text_col, shingle, seed, True).withColumnRenamed(id_col, "_id"), "fingerprints")
-    first = [F.first(c).alias(c) for c in ("fp", "wide", "size", "least")]
+    first = [F.first(c).alias(c) for c in ("fp", "wide", "size", "least", "parity")]
     nodes = settle(rows.groupBy("set").agg(F.min("_id").alias("_least"), *first).withColumn("node", F.xxhash64("set")), "nodes")
-    links = link_similar(nodes.drop("set", "_least"), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)), similarity, depth=DEPTH)
+    links = settle(link_similar(nodes.drop("set", "_least", "parity"), tau, max(WIDE_TAU, int((1 - similarity) * BITS * len(WIDE) + 1e-9)), similarity, depth=DEPTH), "similar")
+    links = links.unionByName(missed_links(docs, text_col, nodes, connected_components(links), shingle, seed, similarity))
     chosen = settle(nodes.join(connected_components(links), "node").select("root", "set", "size", "_least"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,8 +696,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id unless nothing else is reachable. Other columns are ignored.
 
     With a ``similarity``, links are pairs whose sets of shingles have at
-    least that Jaccard similarity; the bits, within ``tau``, only find the
-    candidates, and ``fp`` is that of the distinct shingles.
+    least that Jaccard similarity, all of them; the bits, within ``tau``, find
+    most candidates, shared prefixes the others (``missed_links``), and ``fp`` is
+    that of the distinct shingles.
     """
     if similarity is not None:
         return _similar(docs, id_col, text_col, shingle, tau, seed, similarity)

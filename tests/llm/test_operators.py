@@ -430,6 +430,52 @@ def test_recall_of_planted_pairs(spark, monkeypatch):
     assert found >= 380 and all(got[k] == k for k in range(400)) and all(got[1000 + k] in (k, 1000 + k) for k in range(400))
 
 
+@pytest.mark.parametrize("block", [20, 4096])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, block):
+    """Pairs of 0.8 that differ in many bits or share few least shingles: short texts, and longer ones under a passage that most share."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", 20, raising=False)
+    monkeypatch.setattr(simhash, "FEW", 30, raising=False)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    shared, rows = rng.choices(words, k=40), []
+    for k in range(80):
+        x = rng.choices(words, k=9)
+        rows += [(k, " ".join(x)), (1000 + k, " ".join(x[:8]))]  # 4 of 5 shingles
+        x = [*shared, *rng.choices(words, k=rng.randrange(5, 60))]
+        y = list(x)
+        y[rng.randrange(45)] = "new"
+        rows += [(2000 + k, " ".join(x)), (3000 + k, " ".join(y)), (4000 + k, " ".join(x[: len(x) * 9 // 10]))]
+    rows += [(5000 + k, text) for k, (_, text) in enumerate(rows[:40])] + [(6000, None), (6001, " ")]
+    want, _ = near_groups(dict(rows))
+    got = dict(rows_of(simhash.near_dedup(docs(spark, *rows), shingle=5, tau=18, similarity=0.8), "doc_id", "component_id"))
+    assert all(want[1000 + k] == k for k in range(80)) and got == want
+
+
+def test_bounds_never_drop_a_similar_pair():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    hot = np.sort(rng.choice(pool, 300, replace=False))
+    hot = hot, rng.integers(64, 99, 300)
+    met = 0
+    for t in (0.5, 0.8, 0.9):
+        for _ in range(400):
+            x = rng.choice(pool, rng.integers(1, 300), replace=False)
+            y = np.unique(np.concatenate([rng.choice(x, max(1, int(len(x) * rng.uniform(t, 1))), replace=False), rng.choice(pool, rng.integers(0, 1 + len(x) // 9))]))
+            x = np.sort(x)
+            common = len(np.intersect1d(x, y))
+            if common < t * (len(x) + len(y) - common) - 1e-9:
+                continue
+            met += 1
+            a, b = simhash.prefix(x, t, hot).tolist(), simhash.prefix(y, t, hot).tolist()
+            first = next(h for h in a if h in set(b))
+            assert simhash._allowed(*(np.array(v) for v in (len(x), a.index(first), len(y), b.index(first))), t)
+            width = min(simhash.parity_width(len(x)), simhash.parity_width(len(y)))
+            bits = [np.frombuffer(simhash._folded(simhash.parities(s), width), np.uint64) for s in (x, y)]
+            assert simhash._parity_links(np.array(bits), np.array([len(x), len(y)]), t) == ([0], [1])
+    assert met > 300
+
+
 def test_simhash_query_against_all_pairs(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     fps = {i: slow_fingerprint(t or "") for i, t in texts.items()}
